@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, url_filter
+from . import decontamination, media, mixing, packing, url_filter
 from .common import table
 
 #: (host, path, verdict)
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return decontamination.digest(found)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.url_filter(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -27,7 +32,11 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_url_filter, op5_vector_packing, op6_source_mix)}
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents")).drop("clips")
+
+
+QUERIES = {f.__name__: f for f in (op2_decontamination, op4_url_filter, op5_vector_packing, op6_source_mix, op8_media)}
 
 ORACLE_SQL = {
     "op4_url_filter": """
