@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import shipped
+
 WINDOW = 10
 #: Bytes of item texts sent to all tasks at once.
 BLOCK_BYTES = 16 << 20
@@ -202,7 +204,7 @@ def search_batch(texts: list[bytes | None], windows: Windows) -> tuple[list[int]
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all, if None) with n_words, spans of words, items found."""
-    spark = docs.sparkSession
+    spark = shipped(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in RESULT.names]
     stated = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).cast("binary").alias("text"))
     n_bytes = stated.agg(F.sum(F.octet_length("text"))).first()[0] or 0

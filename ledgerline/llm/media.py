@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import shipped
+
 WIDTH, HEIGHT, FPS = 64, 16, 25
 #: Lines that are coded or decoded at once, and bytes of texts that are worked on together.
 LINES, GROUP_BYTES = 16_384, 2 << 20
@@ -267,6 +269,7 @@ def describe(texts: list[bytes | None]) -> list[tuple]:
 
 def media_columns(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of ``docs`` with those of ``RESULT``; one row per row, no shuffle."""
+    shipped(docs.sparkSession)
     keep = [c for c in keep if c not in RESULT.names]
     source = docs.select(*dict.fromkeys([*keep, text_col]))
     schema = T.StructType([*(source.schema[c] for c in keep), *RESULT.fields])

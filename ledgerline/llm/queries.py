@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, media, mixing, packing, url_filter
+from . import decontamination, jaccard, media, mixing, packing, repeats, url_filter
 from .common import table
 
 #: (host, path, verdict)
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return decontamination.digest(found)
@@ -36,7 +40,11 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents")).drop("clips")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op4_url_filter, op5_vector_packing, op6_source_mix, op8_media)}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_decontamination, op4_url_filter, op5_vector_packing, op6_source_mix, op8_media, op9_jaccard_join)}
 
 ORACLE_SQL = {
     "op4_url_filter": """
