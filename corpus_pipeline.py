@@ -1,12 +1,64 @@
-"""A training-data pipeline over ``documents``: five stages, each written and read again."""
+"""A training-data pipeline over ``documents``: five stages, each written and read again.
+
+Toxic documents go; of each group of near duplicates the first stays; documents that hold benchmark
+passages go; sources are mixed to their target weights, a document coming as often as the mix takes
+its words; what remains is dealt to shards. No SQL states the toxicity stage, so there is none for
+the whole; the tests hold it against a plain version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerline.llm import decontamination, jaccard, mixing, packing, toxicity
+from ledgerline.llm.common import stored, table
 
-STAGES = []
 ORACLE_SQL = None
+SHARDS = 16
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Rows with the position that operators know them by; ``docs`` is read from files."""
+    return docs.withColumn("_row", F.monotonically_increasing_id())
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), keep=docs.columns)
+    return scored.where("not toxic").select(*docs.columns)
+
+
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    first = jaccard.near_duplicates(docs).where("row = first_row").select(F.col("row").alias("_row"))
+    return _numbered(docs).join(first, "_row", "left_semi").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return found.where("size(spans) = 0").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    times = mixing.mix(docs).where("size > 0").select(F.col("row").alias("_row"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    mixed = _numbered(docs).join(times.where("_times > 0"), "_row")
+    return mixed.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
+def deal_to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    placed = packing.shard(docs, SHARDS).select(F.col("row").alias("_row"), "size", "text_crc32", "shard", "slot")
+    return _numbered(docs).join(placed, "_row").drop("_row")
+
+
+STAGES = [
+    ("toxicity", drop_toxic), ("n-gram Jaccard join", one_of_near_duplicates), ("benchmark decontamination", drop_contaminated),
+    ("mixing sources to target weights", mix_sources), ("sharding", deal_to_shards),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs)
+    return docs

@@ -49,15 +49,15 @@ def water_fill(sizes: DataFrame, max_epochs: int) -> DataFrame:
     return held.withColumn("target", F.when(first.isNull(), cap).otherwise(F.least(cap, first * F.col("weight")))).drop("_level", "_fits")
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: Sequence[str] = ()) -> DataFrame:
-    """One row per row of ``docs``: id, size, source_size, target, taken, and the columns ``keep``.
+def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per row of ``docs``: row (its position in ``docs``), id, size, source_size, target, taken.
 
     The sources in code-point order, null last, weigh ``weights``, repeating.
     """
     rows = stored(docs.select(
         F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(BLANK_WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_hash"), *[F.col(c).alias(f"_keep_{c}") for c in keep],
+        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_hash"),
     ))
     by_source = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"))
@@ -84,9 +84,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3
     edge = lambda j: F.expr(f"({j} * source_size) div blocks")
     parts = rows.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(block_of("_from"), block_of("_from + size - 1")))))
     parts = parts.withColumn("_part", F.least(F.expr("_from + size"), edge("(block + 1)")) - F.greatest(F.col("_from"), edge("block")))
-    kept = [f"_keep_{c}" for c in keep]
-    taken = parts.join(uses, ["sid", "block"], "left").groupBy("_row", "_id", "size", "source_size", "target", *kept).agg(F.coalesce(F.sum(F.col("_part") * F.col("uses")), F.lit(0)).alias("taken"))
-    return taken.select(F.col("_id").alias(id_col), "size", "source_size", "target", "taken", *[F.col(f"_keep_{c}").alias(c) for c in keep])
+    taken = parts.join(uses, ["sid", "block"], "left").groupBy("_row", "_id", "size", "source_size", "target").agg(F.coalesce(F.sum(F.col("_part") * F.col("uses")), F.lit(0)).alias("taken"))
+    return taken.select(F.col("_row").alias("row"), F.col("_id").alias(id_col), "size", "source_size", "target", "taken")
 
 
 def schedule(sizes: DataFrame, max_epochs: int) -> DataFrame:

@@ -43,7 +43,7 @@ def pack(vectors: np.ndarray, bins: int, weights=WEIGHTS) -> np.ndarray:
 
 
 def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, size, text_crc32, tokens, item, shard, slot."""
+    """One row per row of ``docs``: row (its position in ``docs``), id, size, text_crc32, tokens, item, shard, slot."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = stored(docs.select(
@@ -71,5 +71,5 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     to = spark.createDataFrame(to, "item long, shard int, _before long")
     order = Window.partitionBy("item").orderBy(id_col, "text_crc32", "size")
     return rows.join(F.broadcast(to), "item").select(
-        id_col, "size", "text_crc32", "tokens", "item", "shard", (F.col("_before") + F.row_number().over(order) - 1).alias("slot")
+        F.col("_row").alias("row"), id_col, "size", "text_crc32", "tokens", "item", "shard", (F.col("_before") + F.row_number().over(order) - 1).alias("slot")
     )

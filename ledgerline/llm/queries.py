@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard, media, mixing, packing, repeats, url_filter
+from . import decontamination, jaccard, media, mixing, packing, page_text, quality, repeats, toxicity, url_filter
 from .common import table
 
 #: (host, path, verdict)
@@ -20,6 +20,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(found)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.url_filter(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -33,7 +37,11 @@ def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("row")
+
+
+def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.page_text(table(spark, sf_dir, "pages"))
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +52,14 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_repeats, op2_decontamination, op4_url_filter, op5_vector_packing, op6_source_mix, op8_media, op9_jaccard_join)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_repeats, op2_decontamination, op3_quality, op4_url_filter, op5_vector_packing,
+    op6_source_mix, op7_page_text, op8_media, op9_jaccard_join, op10_toxicity,
+)}
 
 ORACLE_SQL = {
     "op4_url_filter": """
