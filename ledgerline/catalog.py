@@ -1,4 +1,12 @@
-"""All queries of the library, by name, with their SQL."""
+"""All queries of the library, by name, with their SQL.
 
-QUERIES = {}
-ORACLES = {}
+The SQL is written on its own, over the input tables, and shares nothing with the plans.
+"""
+
+from __future__ import annotations
+
+from .plans import audit_queries, document_queries, retrieval_queries, shipment_queries, text_queries
+
+MODULES = (shipment_queries, text_queries, document_queries, retrieval_queries, audit_queries)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
