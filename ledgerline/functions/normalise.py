@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Characters without a shape of their own that text may carry.
 INVISIBLE = "​‌‍⁠﻿­‎‏"
@@ -15,7 +16,7 @@ HEADINGS = ("address", "buyer", "consignee", "date", "description", "exporter",
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type, not its name: workers that import this have no session
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility fold, for which there is no built-in."""
     return text.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")

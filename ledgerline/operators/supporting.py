@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ def verify(documents: DataFrame, shipments: DataFrame) -> DataFrame:
     ships = shipments.select("shipment_id", F.col("exporter").alias("_exporter"), F.col("destination").alias("_destination"), F.col("code").alias("_code"), F.col("invoice_number").alias("_invoice"), "shipment_date")
     claimed, detected = document_type(F.col("claimed_type")), document_type(F.col("detected"))
     joined = documents.join(ships, "shipment_id").withColumn("type", claimed).withColumn("detected_type", detected)
-    unknown = lambda *c: F.greatest(*[F.col(x).isNull().cast("int") for x in c]) == 1
+    unknown = lambda *c: reduce(lambda a, b: a | b, [F.col(x).isNull() for x in c])
     check = lambda name, applies, status: F.struct(F.lit(name).alias("check"), F.when(applies, status).otherwise(NOT_APPLICABLE).alias("status"))
     all_ = F.lit(True)
     checks = F.array(

@@ -1,3 +1,216 @@
+"""Queries over the retrieval plan: documents are chunks, benchmark items are queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import tokens as T
+from ..operators import evaluation, retrieval
+from ..session import load
 from .registry import registry
 
 QUERIES, ORACLES, query = registry()
+
+BM25 = """
+  t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents), tf AS (SELECT doc_id, token, count(*) AS tf FROM t GROUP BY ALL),
+  dl AS (SELECT doc_id, count(*) AS dl FROM t GROUP BY 1), c AS (SELECT count(*) AS n, avg(dl) AS a FROM dl), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
+  q AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark WHERE item_id < 12), qt AS (SELECT query_id, token, count(*) AS qtf FROM q GROUP BY ALL),
+  bm AS (
+    SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / a))), 6) AS score
+    FROM qt JOIN tf USING (token) JOIN df USING (token) JOIN dl USING (doc_id), c GROUP BY ALL
+  )"""
+DENSE = """
+  e AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings), qv AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 12),
+  de AS (SELECT query_id, doc_id, round(list_sum(list_transform(list_zip(e.v, qv.v), lambda p: p[1] * p[2])), 6) AS dense FROM e, qv)"""
+
+
+def _queries(spark, sf_dir):
+    return load(spark, sf_dir, "benchmark").where("item_id < 12").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _docs(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _vectors(spark, sf_dir):
+    return load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+
+
+def _query_vectors(spark, sf_dir):
+    return _vectors(spark, sf_dir).where("doc_id < 12").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query("""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents), tf AS (SELECT doc_id, token, count(*) AS tf FROM t GROUP BY ALL)
+SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM tf GROUP BY 1""")
+def corpus_statistics(spark, sf_dir):
+    index = retrieval.postings(_docs(spark, sf_dir)).where("not token rlike '^(pct|sro)[0-9]'")
+    return index.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+
+
+@query(f"WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM bm) SELECT query_id, doc_id, score FROM r WHERE n <= 200")
+def lexical_ranking(spark, sf_dir):
+    index = retrieval.postings(_docs(spark, sf_dir))
+    return retrieval.lexical_top(index, _queries(spark, sf_dir)).select("query_id", "doc_id", "score")
+
+
+@query(f"WITH {DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, doc_id) AS n FROM de) SELECT query_id, doc_id, dense, n AS dense_rank FROM r WHERE n <= 20")
+def dense_ranking(spark, sf_dir):
+    return retrieval.dense_top(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir), 20).select("query_id", "doc_id", "dense", F.col("dense_rank").cast("long").alias("dense_rank"))
+
+
+FUSED = BM25 + "," + DENSE + """,
+  rl AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM bm QUALIFY n <= 200),
+  rd AS (SELECT query_id, doc_id, dense, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, doc_id) AS n FROM de QUALIFY n <= 200),
+  fused AS (SELECT query_id, doc_id, coalesce(score, 0.0) AS lexical, coalesce(dense, 0.0) AS dense, round(coalesce(1.0 / (60 + rl.n), 0.0::DOUBLE) + coalesce(1.0 / (60 + rd.n), 0.0::DOUBLE), 6) AS rrf FROM rl FULL OUTER JOIN rd USING (query_id, doc_id))"""
+
+
+def _fused(spark, sf_dir):
+    lexical = retrieval.lexical_top(retrieval.postings(_docs(spark, sf_dir)), _queries(spark, sf_dir))
+    return retrieval.fused(lexical, retrieval.dense_top(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir)))
+
+
+@query(f"WITH {FUSED} SELECT * FROM fused")
+def fusion(spark, sf_dir):
+    return _fused(spark, sf_dir)
+
+
+RERANKED = FUSED + """,
+  f25 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS k FROM fused QUALIFY k <= 25),
+  qw AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark WHERE item_id < 12), dw AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
+  rr AS (SELECT f25.query_id, f25.doc_id, lexical, dense, rrf, round(len(list_intersect(qw.w, dw.w)) / len(qw.w), 6) AS overlap FROM f25 JOIN qw USING (query_id) JOIN dw USING (doc_id))"""
+
+
+def _reranked(spark, sf_dir):
+    return retrieval.reranked(_fused(spark, sf_dir), _docs(spark, sf_dir), _queries(spark, sf_dir))
+
+
+@query(f"WITH {RERANKED} SELECT query_id, doc_id, overlap, overlap AS rerank FROM rr")
+def reranking(spark, sf_dir):
+    return _reranked(spark, sf_dir).select("query_id", "doc_id", "overlap", "rerank")
+
+
+GATED = RERANKED + """, g AS (SELECT *, doc_id // 3 AS parent_id, round(CASE WHEN CASE WHEN doc_id % 11 = 0 THEN greatest(overlap, 0.2) ELSE overlap END < 0.2 THEN overlap
+    ELSE CASE WHEN doc_id % 11 = 0 THEN greatest(overlap, 0.2) ELSE overlap END + CASE WHEN doc_id % 5 = 0 THEN 0.25 ELSE 0 END + CASE WHEN doc_id % 11 = 0 OR doc_id % 7 = 0 THEN 0.5 ELSE 0 END + CASE WHEN doc_id % 13 = 0 THEN 0.5 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 0.25 ELSE 0 END END, 6) AS relevance FROM rr)"""
+
+
+def _gated(spark, sf_dir):
+    k = F.col("doc_id")
+    return retrieval.gated(_reranked(spark, sf_dir), k % 11 == 0, k % 7 == 0, k % 13 == 0, k % 3 == 0, k % 5 == 0)
+
+
+@query(f"WITH {GATED} SELECT query_id, doc_id, relevance, relevance >= 0.5 AS accepted FROM g")
+def relevance_gate(spark, sf_dir):
+    return _gated(spark, sf_dir).select("query_id", "doc_id", "relevance", "accepted")
+
+
+EVIDENCE = GATED + """, one AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY overlap DESC, rrf DESC, doc_id) AS n FROM g WHERE relevance >= 0.5 QUALIFY n = 1),
+  pr AS (SELECT *, overlap >= max(overlap) OVER (PARTITION BY query_id) - 1.0 AS comparable, CASE WHEN doc_id % 4 = 0 THEN 4 ELSE 0 END AS compatibility, CASE WHEN doc_id % 6 = 0 THEN 0 WHEN doc_id % 6 = 1 THEN 1 ELSE 3 END AS currency FROM one),
+  ev AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY comparable DESC, compatibility DESC, currency DESC, overlap DESC, rrf DESC, doc_id) AS position FROM pr QUALIFY position <= 5)"""
+
+
+def _evidence(spark, sf_dir):
+    k = F.col("doc_id")
+    found = _gated(spark, sf_dir).where("accepted").withColumn("parent_id", F.floor(k / 3))
+    status = F.when(k % 6 == 0, "superseded").when(k % 6 == 1, "historical_reference").otherwise("current")
+    ranked = retrieval.one_per_parent(found).withColumn("compatibility", F.when(k % 4 == 0, 4).otherwise(0)).withColumn("currency", retrieval.currency_priority(status, F.lit(False)))
+    return retrieval.prioritised(ranked)
+
+
+@query(f"WITH {EVIDENCE} SELECT query_id, doc_id, position FROM ev")
+def evidence_search(spark, sf_dir):
+    return _evidence(spark, sf_dir).select("query_id", "doc_id", F.col("position").cast("long").alias("position"))
+
+
+@query(f"""
+WITH {EVIDENCE}, rel AS (SELECT query_id, min(doc_id) AS doc_id FROM g WHERE doc_id % 3 = 0 AND relevance >= 0.5 GROUP BY 1), j AS (SELECT ev.query_id, position, CASE WHEN rel.doc_id IS NULL THEN 0 ELSE 1 END AS rel FROM ev LEFT JOIN rel USING (query_id, doc_id)),
+i AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, position) AS ideal FROM j), m AS (
+  SELECT query_id, max(CASE WHEN position <= 1 THEN rel ELSE 0 END) AS h1, max(CASE WHEN position <= 3 THEN rel ELSE 0 END) AS h3, max(rel) AS h5, sum(rel) / 5 AS p, coalesce(max(CASE WHEN rel = 1 THEN 1 / position END), 0) AS rr,
+    sum(rel / log2(position + 1.0)) AS dcg, sum(rel / log2(ideal + 1.0)) AS best FROM i GROUP BY 1)
+SELECT count(*) AS queries, round(avg(coalesce(h1, 0)), 4) AS recall_at_1, round(avg(coalesce(h3, 0)), 4) AS recall_at_3, round(avg(coalesce(h5, 0)), 4) AS recall_at_5, round(avg(coalesce(p, 0)), 4) AS precision_at_5, round(avg(coalesce(rr, 0)), 4) AS mrr,
+  round(avg(CASE WHEN best > 0 THEN dcg / best ELSE 0 END), 4) AS ndcg_at_5 FROM rel LEFT JOIN m USING (query_id)""")
+def retrieval_metrics(spark, sf_dir):
+    relevant = _gated(spark, sf_dir).where("doc_id % 3 = 0 and accepted").groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
+    return evaluation.retrieval_metrics(_evidence(spark, sf_dir), relevant)
+
+
+@query("""SELECT doc_id FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 3 = 1 AND doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND lang = 'en' AND doc_id % 28 > 13""")
+def metadata_filters(spark, sf_dir):
+    k = F.col("doc_id")
+    chunks = load(spark, sf_dir, "documents").select(
+        "doc_id", F.when(k % 4 == 0, "unverified").otherwise("verified").alias("validation_status"), F.array(F.when(k % 3 == 1, "61091000").otherwise("52010090")).alias("pct_codes"),
+        F.when(k % 5 == 0, "Private body").otherwise("Ministry of Commerce").alias("issuing_authority"), F.col("lang").alias("document_type"),
+        F.when(k % 28 > 13, F.lit("2025-01-01").cast("date")).when(k % 28 > 6, F.lit("2027-01-01").cast("date")).alias("legal_cutoff_date"), F.when(k % 7 == 0, "superseded").alias("currency_status"),
+    )
+    return retrieval.filtered(chunks, True, "61091000", "ministry", "en", "2026-07-22", True).select("doc_id")
+
+
+@query(f"WITH {DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, doc_id) AS n FROM de) SELECT query_id, doc_id, dense FROM r WHERE n <= 5 AND query_id = 3")
+def similar_shipments(spark, sf_dir):
+    vectors = _vectors(spark, sf_dir).withColumn("updated_at", F.col("doc_id"))
+    return retrieval.similar_shipments(vectors, _query_vectors(spark, sf_dir).where("query_id = 3"), vectors, 5).select("query_id", "doc_id", "dense")
+
+
+@query("""SELECT label AS query_id, vec_id AS doc_id, CAST(vec_id % 3 AS BIGINT) AS page, CASE WHEN vec_id % 5 = 0 THEN 'document' WHEN vec_id % 2 = 0 THEN 'page' END AS reason FROM embeddings""")
+def citation_validation(spark, sf_dir):
+    cited = load(spark, sf_dir, "embeddings").select(F.col("label").alias("query_id"), F.col("vec_id").alias("doc_id"), (F.col("vec_id") % 3).alias("page"))
+    return retrieval.valid_citations(cited, cited.where("doc_id % 5 <> 0").withColumn("page", F.when(F.col("doc_id") % 2 == 0, 9).otherwise(F.col("page"))))
+
+
+@query("""
+WITH l AS (SELECT doc_id, text, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents)
+SELECT p.doc_id AS parent_id, c.doc_id, coalesce(p.text, c.text) = c.text AS same FROM l c LEFT JOIN l p ON p.doc_id = c.doc_id - 1 AND c.doc_id % 2 = 1""")
+def parent_expansion(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    children = docs.select("doc_id", "text", F.when(F.col("doc_id") % 2 == 1, F.col("doc_id") - 1).alias("_parent"))
+    parents = docs.select(F.col("doc_id").alias("parent_id"), F.col("text").alias("parent_text"))
+    joined = children.join(parents, F.col("_parent") == F.col("parent_id"), "left")
+    return joined.select("parent_id", "doc_id", (F.coalesce("parent_text", "text") == F.col("text")).alias("same"))
+
+
+@query("""SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 4 <> 0)""")
+def missing_vectors(spark, sf_dir):
+    """Chunks without a stored vector of the model's size, which are to be embedded."""
+    stored = _vectors(spark, sf_dir).where("doc_id % 4 <> 0 and size(embedding) = 64")
+    return _docs(spark, sf_dir).join(stored, "doc_id", "left_anti").select("doc_id")
+
+
+@query("""
+SELECT lang, count(DISTINCT source) AS sources, count(*) AS chunks, max(doc_id) AS last, string_agg(DISTINCT source, ',' ORDER BY source) AS names FROM documents GROUP BY 1""")
+def corpus_scope(spark, sf_dir):
+    return load(spark, sf_dir, "documents").groupBy("lang").agg(F.count_distinct("source").alias("sources"), F.count("*").alias("chunks"), F.max("doc_id").alias("last"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("names"))
+
+
+@query("""SELECT count(*) AS n, max(vec_id) AS latest, min(len(embedding)) AS size, bool_and(len(embedding) = 64) AS compatible FROM embeddings""")
+def index_signature(spark, sf_dir):
+    return load(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"), F.max("vec_id").alias("latest"), F.min(F.size("embedding")).cast("long").alias("size"), F.bool_and(F.size("embedding") == 64).alias("compatible"))
+
+
+@query("""
+WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM conversations), s AS (SELECT *, list_filter(w, lambda x: NOT list_contains(['the', 'of', 'a', 'to', 'and', 'in', 'is'], x)) AS k FROM w)
+SELECT conv_id, turn, list_has_any(k, ['that', 'er', 'for']) AS shares FROM s""")
+def shipment_evidence_gate(spark, sf_dir):
+    """An answer's evidence must share a word with the question that is not a stop word."""
+    stop = F.array(*map(F.lit, ("the", "of", "a", "to", "and", "in", "is")))
+    words = F.array_except(T.words(F.col("text")), stop)
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.arrays_overlap(words, F.array(*map(F.lit, ("that", "er", "for")))).alias("shares"))
+
+
+@query("""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), s AS (SELECT doc_id, list_contains(w, 'that') AS first, list_contains(w, 'er') AS second FROM t), n AS (SELECT count(*) FILTER (WHERE first AND second) AS n FROM s)
+SELECT doc_id, CASE WHEN first AND second THEN 1 ELSE 2 END AS stage FROM s, n WHERE first AND second OR n = 0 AND first""")
+def two_stage_retrieval(spark, sf_dir):
+    """The narrow search first; the broad one counts only if the narrow one finds nothing."""
+    words = T.words(F.col("text"))
+    rows = _docs(spark, sf_dir).select("doc_id", F.array_contains(words, "that").alias("first"), F.array_contains(words, "er").alias("second"))
+    narrow = rows.where("first and second").select("doc_id", F.lit(1).alias("stage"))
+    return narrow if narrow.head(1) else rows.where("first").select("doc_id", F.lit(2).alias("stage"))
+
+
+@query("""
+WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: NOT list_contains(['the', 'of', 'a', 'to', 'and'], x) AND NOT regexp_matches(x, '^\\d+$'))) AS w FROM benchmark)
+SELECT item_id, len(w) AS n_terms FROM q""")
+def query_rewrite(spark, sf_dir):
+    """Codes and stop words off, the rest once each, in order."""
+    words = F.array_distinct(F.filter(T.words(F.col("text")), lambda w: ~w.isin("the", "of", "a", "to", "and") & ~w.rlike(r"^\d+$")))
+    return load(spark, sf_dir, "benchmark").select("item_id", F.size(words).cast("long").alias("n_terms"))
