@@ -15,8 +15,10 @@ are groups of rows by shingle.
 *Links.* First each group's rows are compared with its smallest row, a number of pairs linear in
 the index. Components of the links found settle most groups. In a group that is left with rows of
 several components, all pairs of different components are compared, in blocks where the group is
-large. Each pair passes the size filter, then the other orders' prefixes, then the exact count of
-common shingles; so no link between different components is lost, and components are exact.
+large. Each pair passes the size filter; then that of parity sketches, whose bits that differ are
+no more than the members that differ; then the other orders' prefixes; then the exact count of
+common shingles. All filters are bounds, so no link between different components is lost, and
+components are exact.
 
 Rows are known by their position in the input, so ``docs`` must be read from files or stored.
 Defined results: a null, empty or blank text has no shingle and links with nothing; fewer words
@@ -48,6 +50,10 @@ PER_COUNTER, COUNTERS_LEAST, COUNTERS_MOST, CHUNK = 32, 1 << 16, 1 << 24, 1 << 1
 BUCKET_ENTRIES, GROUP_ROWS, BLOCK_ROWS = 400_000, 1000, 512
 #: Pairs of one leader that are verified in one go.
 LEADER_PAIRS = 1000
+#: Bits of a parity sketch at least and at most; a set has twice as many as members, about.
+PARITY_LEAST, PARITY_MOST = 256, 1 << 20
+#: Rarity is told in quarters of a doubling, from this multiple of the counters' mean on.
+STEPS, PLAIN = 4, 1.75
 #: Odd multipliers: one for each word of a shingle, one for each order.
 WORD_FACTORS = tuple((0x9E3779B97F4A7C15 * (2 * k + 1) ^ (0xD6E8FEB86659FD93 << k)) & 0xFFFFFFFFFFFFFFFF | 1 for k in range(SHINGLE))
 ORDER_FACTORS = tuple((0xA24BAED4963EE407 + 0x9FB21C651E98DF26 * k) & 0xFFFFFFFFFFFFFFFF | 1 for k in range(ORDERS))
@@ -102,6 +108,37 @@ def prefix(shingles: np.ndarray, rarity: np.ndarray, order: int) -> np.ndarray:
     return shingles[np.argpartition(key, count - 1)[:count]] if count < n else shingles
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """Bit i tells whether an odd number of members falls to i; a half folds onto the other."""
+    size = 1 << min(max((2 * len(shingles) - 1).bit_length(), PARITY_LEAST.bit_length() - 1), PARITY_MOST.bit_length() - 1)
+    bits = np.bincount((mixed(shingles) % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def near_enough(batches):
+    """Of the pairs (a, b, nx, ny, px, py), those whose sizes and parity sketches allow a link."""
+    for batch in batches:
+        a, b, n, m = (batch[c].to_numpy().astype(np.int64) for c in ("a", "b", "nx", "ny"))
+        left, right = batch["px"].to_pylist(), batch["py"].to_pylist()
+        # a link has 100 * both >= PERCENT * (n + m - both), and n + m - 2 * both members differ
+        most = n + m - 2 * -(-PERCENT * (n + m) // (100 + PERCENT))
+        size = np.array([[len(x), len(y)] for x, y in zip(left, right)]).reshape(-1, 2)
+        ok = np.zeros(len(a), dtype=bool)
+        for x, y in np.unique(size, axis=0):
+            at = np.flatnonzero((size[:, 0] == x) & (size[:, 1] == y))
+            least = min(x, y)
+            folded = [np.bitwise_xor.reduce(np.frombuffer(b"".join(side[k] for k in at.tolist()), dtype=np.uint8).reshape(len(at), -1, least), axis=1) for side in (left, right)]
+            ok[at] = np.bitwise_count(folded[0] ^ folded[1]).sum(axis=1, dtype=np.int64) <= most[at]
+        yield a[ok].tolist(), b[ok].tolist()
+
+
+def salts_of(token: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """Into how many groups the rows of each shingle are dealt."""
+    shift = np.uint64(64 - len(rarity).bit_length() + 1)
+    about = 2.0 ** np.minimum(rarity[(token >> shift).astype(np.int64)] / STEPS, 50)
+    return np.maximum(1, about // GROUP_ROWS).astype(np.int64)
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     n, m = len(a), len(b)
     if 100 * min(n, m) < PERCENT * max(n, m):
@@ -131,45 +168,50 @@ def _sets(batch: dict, hashes: WordHashes, step: int = 512) -> Iterator[tuple[in
 
 
 def scanned(docs: DataFrame, counters: int) -> DataFrame:
-    """(row, n, one, two): a row's set size and fingerprint; and (row = -1 - chunk, counts)."""
+    """(row, n, one, two, bits): a row's set size, fingerprint and parity; and (-1 - chunk, counts)."""
 
     def run(batches):
         hashes, counts = WordHashes(), np.zeros(counters, dtype=np.int64)
         shift = np.uint64(64 - counters.bit_length() + 1)
         for batch in batches:
-            rows, sizes, one, two = [], [], [], []
+            rows, sizes, one, two, bits = [], [], [], [], []
             for row, s in _sets(batch, hashes):
                 key = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64).tolist()
                 rows.append(row)
                 sizes.append(len(s))
                 one.append(key[0])
                 two.append(key[1])
+                bits.append(parity(s))
                 np.add.at(counts, (s >> shift).astype(np.int64), 1)
-            yield rows, sizes, one, two, [None] * len(rows)
+            yield rows, sizes, one, two, bits
         parts = np.minimum(counts, 65_535).astype(np.uint16).reshape(-1, min(CHUNK, counters))
         live = [k for k, p in enumerate(parts) if p.any()]
         yield [-1 - k for k in live], [0] * len(live), [0] * len(live), [0] * len(live), [parts[k].tobytes() for k in live]
 
-    return _batches(docs, run, "row long, n int, one long, two long, counts binary")
+    return _batches(docs, run, "row long, n int, one long, two long, bits binary")
 
 
 def magnitudes(chunks: DataFrame, counters: int) -> np.ndarray:
-    """The magnitude of each counter over all tasks, one byte each; 0 up to four times the mean."""
+    """How often the shingles of each counter occur, in quarters of doublings, one byte each.
+
+    0 stands for all up to ``PLAIN`` times the mean, as those of single shingles do.
+    """
     width = min(CHUNK, counters)
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for row, c in zip(batch["row"].to_pylist(), batch["counts"].to_pylist()):
+            for row, c in zip(batch["row"].to_pylist(), batch["bits"].to_pylist()):
                 total[row] = total.get(row, 0) + np.frombuffer(c, dtype=np.uint16).astype(np.int64)
         keys = list(total)
-        yield keys, [np.ceil(np.log2(total[k] + 1)).astype(np.uint8).tobytes() for k in keys]
+        yield keys, [np.floor(STEPS * np.log2(total[k] + 1)).astype(np.uint8).tobytes() for k in keys]
 
     out = np.zeros(counters, dtype=np.uint8).reshape(-1, width)
-    for r in _batches(chunks.select("row", "counts").repartition("row"), run, "row long, bits binary").collect():  # `counters` bytes
-        out[-1 - r["row"]] = np.frombuffer(r["bits"], dtype=np.uint8)
-    plain = int(np.ceil(np.log2(4 * PER_COUNTER + 1)))
-    return np.where(out.ravel() <= plain, 0, out.ravel()).astype(np.uint8)
+    for r in _batches(chunks.select("row", "bits").repartition("row"), run, "row long, sums binary").collect():  # `counters` bytes
+        out[-1 - r["row"]] = np.frombuffer(r["sums"], dtype=np.uint8)
+    out = out.ravel()
+    mean = float(np.mean(2.0 ** (out / STEPS) - 1))
+    return np.where(out <= STEPS * np.log2(PLAIN * max(mean, 1) + 1), 0, out).astype(np.uint8)
 
 
 def indexed(docs: DataFrame, rarity, buckets: int) -> DataFrame:
@@ -177,7 +219,6 @@ def indexed(docs: DataFrame, rarity, buckets: int) -> DataFrame:
 
     def emit(batches):
         hashes, rare = WordHashes(), rarity.value
-        shift = np.uint64(64 - len(rare).bit_length() + 1)
         for batch in batches:
             seen, tokens, rows = set(), [], []
             for row, s in _sets(batch, hashes):
@@ -188,9 +229,7 @@ def indexed(docs: DataFrame, rarity, buckets: int) -> DataFrame:
             if not rows:
                 continue
             token, row = np.concatenate(tokens), np.concatenate(rows)
-            class_ = rare[(token >> shift).astype(np.int64)].astype(np.int64)
-            salts = np.maximum(1, (1 << np.minimum(class_, 40)) // GROUP_ROWS)
-            salt = mixed(row.astype(np.uint64)) % salts.astype(np.uint64)
+            salt = mixed(row.astype(np.uint64)) % salts_of(token, rare).astype(np.uint64)
             bucket = (mixed(token + salt * np.uint64(WORD_FACTORS[0])) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((token, bucket))
             bucket, token, row = bucket[order], token[order], row[order]
@@ -202,11 +241,10 @@ def indexed(docs: DataFrame, rarity, buckets: int) -> DataFrame:
 
     def group(batches):
         rare = rarity.value
-        shift = np.uint64(64 - len(rare).bit_length() + 1)
 
         def done(held):
             token, row = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            salts = np.maximum(1, (1 << np.minimum(rare[(token >> shift).astype(np.int64)].astype(np.int64), 40)) // GROUP_ROWS)
+            salts = salts_of(token, rare)
             salt = (mixed(row.astype(np.uint64)) % salts.astype(np.uint64)).astype(np.int64)
             order = np.lexsort((row, salt, token))
             token, row, salt, salts = token[order], row[order], salt[order], salts[order]
@@ -284,17 +322,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counters = 1 << min(max((shingles // PER_COUNTER).bit_length(), COUNTERS_LEAST.bit_length() - 1), COUNTERS_MOST.bit_length() - 1)
     scan = stored(scanned(rows, counters))
     rarity = spark.sparkContext.broadcast(magnitudes(scan.where("row < 0"), counters))
-    sets = scan.where("row >= 0").select("row", "n", "one", "two")
+    sets = scan.where("row >= 0").select("row", "n", "one", "two", "bits")
     first = sets.where("n > 0").groupBy("one", "two").agg(F.min("row").alias("rep"))
-    sets = stored(sets.join(first, ["one", "two"], "left").select("row", "n", F.coalesce("rep", "row").alias("rep")))
-    reps = sets.where("row = rep").select("row", "n")
+    sets = stored(sets.join(first, ["one", "two"], "left").select("row", "n", "bits", F.coalesce("rep", "row").alias("rep")))
     groups = stored(indexed(rows, rarity, max(64, shingles // 5 // BUCKET_ENTRIES)))
 
     def near(pairs: DataFrame) -> DataFrame:
-        """Pairs of representatives of different sets whose sizes allow a link."""
-        left, right = sets.select(F.col("row").alias("a"), F.col("rep").alias("x"), F.col("n").alias("nx")), sets.select(F.col("row").alias("b"), F.col("rep").alias("y"), F.col("n").alias("ny"))
+        """Pairs of representatives of different sets whose sizes and sketches allow a link."""
+        left, right = (sets.select(F.col("row").alias(r), F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"p{x}")) for r, x in (("a", "x"), ("b", "y")))
         pairs = pairs.distinct().join(left, "a").join(right, "b").where(f"x <> y and 100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny)")
-        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "nx", "ny", "px", "py")
+        return _batches(pairs, near_enough, "a long, b long").distinct()
 
     lead = groups.select("token", "salts", F.col("rows")[0].alias("a"), "rows")
     star = lead.select("a", F.explode("rows").alias("b")).where("a <> b")
@@ -347,7 +385,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         yield [p[0] for p in out], [p[1] for p in out]
 
     more = _batches(cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j"), cross, "a long, b long")
-    more = stored(more.distinct().join(tried, ["a", "b"], "left_anti"))
+    more = stored(near(more).join(tried, ["a", "b"], "left_anti"))
     links = stored(links.unionByName(verified(more, rows, rarity)))
     joined = components(links)
     named = stored(placed().join(ids, "row").select("row", "_id", "n", "root"))
