@@ -65,7 +65,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_y"), pa.array([measures(t).tolist() for t in b.column("_text").to_pylist()], pa.list_(pa.float64()))], names=["id", "y", "x"])
 
     got = sorted(rows.select("_id", "_y", "_text").mapInArrow(run, "id long, y int, x array<double>").collect())
-    return np.array([r["x"] for r in got]).reshape(len(got), -1), np.array([r["y"] for r in got], dtype=float)
+    return np.array([r["x"] for r in got]).reshape(len(got), len(_PUNCTUATION) + 10), np.array([r["y"] for r in got], dtype=float)
 
 
 class Model:
