@@ -98,13 +98,13 @@ def raw_findings(spark, sf_dir):
 
 
 @query("""
-WITH e AS (SELECT user_id AS shipment_id, event_type AS check_id, CASE event_id % 5 WHEN 0 THEN 'not_found' WHEN 1 THEN 'conflicting' ELSE 'supported' END AS s, event_id % 3 <> 0 AS v FROM events WHERE event_id % 5 <> 1 OR user_id % 4 = 0),
+WITH e AS (SELECT user_id AS shipment_id, event_type AS check_id, CASE WHEN event_id % 5 = 0 THEN 'not_found' WHEN event_id % 5 = 1 AND user_id % 4 = 0 THEN 'conflicting' ELSE 'supported' END AS s, event_id % 3 <> 0 AS v FROM events),
 g AS (SELECT shipment_id, check_id, count(*) AS n, count(*) FILTER (WHERE s = 'supported') AS y, count(*) FILTER (WHERE s = 'conflicting') AS c, count(*) FILTER (WHERE s = 'not_found') AS f, bool_and(v) AS v FROM e GROUP BY ALL)
 SELECT shipment_id, check_id, CASE WHEN c > 0 THEN 'conflicting' WHEN f = n THEN 'not_found' WHEN y = n THEN 'supported' WHEN y > 0 THEN 'partially_supported' ELSE 'not_applicable' END AS support, CASE WHEN f = n THEN 'unavailable' WHEN c > 0 THEN 'conflicting' WHEN v THEN 'verified' ELSE 'partial' END AS grade FROM g""")
 def evidence_grades(spark, sf_dir):
     k = F.col("event_id") % 5
-    rows = load(spark, sf_dir, "events").where("event_id % 5 <> 1 or user_id % 4 = 0")
-    return audit.evidence_grade(rows.select(F.col("user_id").alias("shipment_id"), F.col("event_type").alias("check_id"), F.when(k == 0, "not_found").when(k == 1, "conflicting").otherwise("supported").alias("support"), (F.col("event_id") % 3 != 0).alias("verified")))
+    rows = load(spark, sf_dir, "events")
+    return audit.evidence_grade(rows.select(F.col("user_id").alias("shipment_id"), F.col("event_type").alias("check_id"), F.when(k == 0, "not_found").when((k == 1) & (F.col("user_id") % 4 == 0), "conflicting").otherwise("supported").alias("support"), (F.col("event_id") % 3 != 0).alias("verified")))
 
 
 @query("""SELECT user_id AS shipment_id, round(avg(CASE WHEN value > 50 THEN 1 ELSE 0 END), 4) AS confidence FROM events GROUP BY 1""")
@@ -157,11 +157,11 @@ def family_counts(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT p_brand AS question, p_partkey AS candidate FROM part WHERE p_partkey <= 200), d AS (SELECT candidate, n AS document FROM c, unnest([2, 3, 5, 7]) t(n) WHERE candidate % n <> 0), k AS (SELECT question, count(*) AS n FROM c GROUP BY 1)
+WITH c AS (SELECT p_brand || '-' || p_size AS question, p_partkey AS candidate FROM part), d AS (SELECT candidate, n AS document FROM c, unnest([2, 3, 5, 7]) t(n) WHERE candidate % n <> 0), k AS (SELECT question, count(*) AS n FROM c GROUP BY 1)
 SELECT question, document FROM c JOIN d USING (candidate) JOIN k USING (question) GROUP BY question, document, n HAVING count(*) = n""")
 def shared_requirements(spark, sf_dir):
     """Documents that every candidate product of an ambiguous question requires."""
-    candidates = load(spark, sf_dir, "part").where("p_partkey <= 200").select(F.col("p_brand").alias("question"), F.col("p_partkey").alias("candidate"))
+    candidates = load(spark, sf_dir, "part").select(F.concat_ws("-", "p_brand", F.col("p_size").cast("string")).alias("question"), F.col("p_partkey").alias("candidate"))
     needed = candidates.select("question", "candidate", F.explode(F.array(*map(F.lit, (2, 3, 5, 7)))).alias("document")).where("candidate % document <> 0")
     number = candidates.groupBy("question").agg(F.count("*").alias("_n"))
     return needed.groupBy("question", "document").agg(F.count("*").alias("_k")).join(number, "question").where("_k = _n").select("question", "document")

@@ -120,11 +120,11 @@ def cache_misses(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT p_partkey AS doc_id, p_name AS name, p_size AS size FROM part WHERE p_partkey % 10 = 0)
+WITH p AS (SELECT p_partkey AS doc_id, p_name AS name, p_size AS size FROM part)
 SELECT doc_id, CAST(1 AS INTEGER) AS page, CAST(1 AS INTEGER) AS row, 'description' AS "column", split_part(name, ' ', 1) AS cell FROM p
 UNION ALL SELECT doc_id, 1, 1, 'quantity', CAST(size AS VARCHAR) FROM p UNION ALL SELECT doc_id, 1, 1, 'line_total', CAST(size * 2 AS VARCHAR) FROM p""")
 def word_box_tables(spark, sf_dir):
-    part = load(spark, sf_dir, "part").where("p_partkey % 10 = 0")
+    part = load(spark, sf_dir, "part")
     word = lambda x0, y, x1, t: F.struct(F.lit(float(x0)).alias("x0"), F.lit(float(y)).alias("y0"), F.lit(float(x1)).alias("x1"), F.lit(float(y + 10)).alias("y1"), t.cast("string").alias("text"))
     name = F.substring_index("p_name", " ", 1)
     words = F.array(
@@ -144,13 +144,13 @@ def stacked_tables(spark, sf_dir):
 
 
 @query("""
-WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id % 5 = 0), x AS (SELECT doc_id, i AS line, unnest(string_split(ls[i], ' ')) AS w, generate_subscripts(string_split(ls[i], ' '), 1) AS word FROM l, unnest(range(1, len(ls) + 1)) r(i)),
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), x AS (SELECT doc_id, i AS line, unnest(string_split(ls[i], ' ')) AS w, generate_subscripts(string_split(ls[i], ' '), 1) AS word FROM l, unnest(range(1, len(ls) + 1)) r(i)),
 s AS (SELECT *, (length(w) * 7 + word) % 60 + 40 AS conf FROM x WHERE trim(w) <> ''), p AS (SELECT doc_id, line, string_agg(w, ' ' ORDER BY word) AS t FROM s GROUP BY 1, 2),
 c AS (SELECT doc_id, CAST(sum(conf) AS BIGINT) AS c, count(*) AS n FROM s GROUP BY 1)
 SELECT doc_id, CAST(1 AS INTEGER) AS page, sha256(string_agg(t, chr(10) ORDER BY line)) AS text, ((20 * any_value(c) + any_value(n)) // (2 * any_value(n))) / 1000.0 AS ocr_confidence, CASE WHEN (20 * any_value(c) + any_value(n)) // (2 * any_value(n)) >= 800 THEN 'verified' ELSE 'manual_review' END AS status
 FROM p JOIN c USING (doc_id) GROUP BY 1""")
 def ocr_pages(spark, sf_dir):
-    lines = load(spark, sf_dir, "documents").where("doc_id % 5 = 0").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "_text"))
+    lines = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "_text"))
     words = lines.select("doc_id", F.lit(1).alias("page"), "line", F.posexplode(F.split("_text", " ")).alias("word", "text"))
     words = words.withColumn("conf", ((F.length("text") * 7 + F.col("word") + 1) % 60 + 40).cast("long"))
     return extraction.ocr_pages(words).withColumn("text", F.sha2("text", 256))

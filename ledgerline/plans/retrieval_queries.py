@@ -14,18 +14,18 @@ QUERIES, ORACLES, query = registry()
 BM25 = """
   t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents), tf AS (SELECT doc_id, token, count(*) AS tf FROM t GROUP BY ALL),
   dl AS (SELECT doc_id, count(*) AS dl FROM t GROUP BY 1), c AS (SELECT count(*) AS n, avg(dl) AS a FROM dl), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
-  q AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark WHERE item_id < 12), qt AS (SELECT query_id, token, count(*) AS qtf FROM q GROUP BY ALL),
+  q AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark), qt AS (SELECT query_id, token, count(*) AS qtf FROM q GROUP BY ALL),
   bm AS (
     SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / a))), 6) AS score
     FROM qt JOIN tf USING (token) JOIN df USING (token) JOIN dl USING (doc_id), c GROUP BY ALL
   )"""
 DENSE = """
-  e AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings), qv AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 12),
+  e AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings), qv AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)),
   de AS (SELECT query_id, doc_id, round(list_sum(list_transform(list_zip(e.v, qv.v), lambda p: p[1] * p[2])), 6) AS dense FROM e, qv)"""
 
 
 def _queries(spark, sf_dir):
-    return load(spark, sf_dir, "benchmark").where("item_id < 12").select(F.col("item_id").alias("query_id"), "text")
+    return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def _docs(spark, sf_dir):
@@ -37,7 +37,9 @@ def _vectors(spark, sf_dir):
 
 
 def _query_vectors(spark, sf_dir):
-    return _vectors(spark, sf_dir).where("doc_id < 12").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"))
+    """An item's vector is the one of its number."""
+    items = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"))
+    return _vectors(spark, sf_dir).join(items, "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 @query("""
@@ -77,7 +79,7 @@ def fusion(spark, sf_dir):
 
 RERANKED = FUSED + """,
   f25 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS k FROM fused QUALIFY k <= 25),
-  qw AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark WHERE item_id < 12), dw AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
+  qw AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark), dw AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
   rr AS (SELECT f25.query_id, f25.doc_id, lexical, dense, rrf, round(len(list_intersect(qw.w, dw.w)) / len(qw.w), 6) AS overlap FROM f25 JOIN qw USING (query_id) JOIN dw USING (doc_id))"""
 
 
@@ -145,10 +147,10 @@ def metadata_filters(spark, sf_dir):
     return retrieval.filtered(chunks, True, "61091000", "ministry", "en", "2026-07-22", True).select("doc_id")
 
 
-@query(f"WITH {DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, doc_id) AS n FROM de) SELECT query_id, doc_id, dense FROM r WHERE n <= 5 AND query_id = 3")
+@query(f"WITH {DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, doc_id) AS n FROM de) SELECT query_id, doc_id, dense FROM r WHERE n <= 5")
 def similar_shipments(spark, sf_dir):
     vectors = _vectors(spark, sf_dir).withColumn("updated_at", F.col("doc_id"))
-    return retrieval.similar_shipments(vectors, _query_vectors(spark, sf_dir).where("query_id = 3"), vectors, 5).select("query_id", "doc_id", "dense")
+    return retrieval.similar_shipments(vectors, _query_vectors(spark, sf_dir), vectors, 5).select("query_id", "doc_id", "dense")
 
 
 @query("""SELECT label AS query_id, vec_id AS doc_id, CAST(vec_id % 3 AS BIGINT) AS page, CASE WHEN vec_id % 5 = 0 THEN 'document' WHEN vec_id % 2 = 0 THEN 'page' END AS reason FROM embeddings""")
