@@ -12,13 +12,14 @@ order, hence the cost, and never the result.
 very many documents may have is salted. Members of one set only drop out there, and what remains
 are groups of rows by shingle.
 
-*Links.* First each group's rows are compared with its smallest row, a number of pairs linear in
-the index. Components of the links found settle most groups. In a group that is left with rows of
-several components, all pairs of different components are compared, in blocks where the group is
-large. Each pair passes the size filter; then that of parity sketches, whose bits that differ are
-no more than the members that differ; then the other orders' prefixes; then the exact count of
-common shingles. All filters are bounds, so no link between different components is lost, and
-components are exact.
+*Links.* First each row of a group is compared with the ``NEXT`` rows after it, a number of pairs
+linear in the index. Components of the links found settle most groups. In a group that is left with
+rows of several components, all pairs of different components are compared, in blocks where the
+group is large. Each pair passes the size filter; then that of positions: by the first shingle that
+they share in the order, no more than what follows can be common; then that of parity sketches,
+whose bits that differ are no more than the members that differ; then the other orders' prefixes;
+then the exact count of common shingles. All filters are bounds, so no link between different
+components is lost, and components are exact.
 
 Rows are known by their position in the input, so ``docs`` must be read from files or stored.
 Defined results: a null, empty or blank text has no shingle and links with nothing; fewer words
@@ -48,6 +49,8 @@ ORDERS = 3
 PER_COUNTER, COUNTERS_LEAST, COUNTERS_MOST, CHUNK = 32, 1 << 16, 1 << 24, 1 << 14
 #: Entries of an index bucket, rows of a salted group, and rows of a block, about.
 BUCKET_ENTRIES, GROUP_ROWS, BLOCK_ROWS = 400_000, 1000, 512
+#: How many of the next rows of its groups a row is compared with at first.
+NEXT = 8
 #: Pairs of one leader that are verified in one go.
 LEADER_PAIRS = 1000
 #: Bits of a parity sketch at least and at most; a set has twice as many as members, about.
@@ -100,12 +103,13 @@ def shingle_sets(texts: list[bytes | None], hashes: WordHashes) -> list[np.ndarr
 
 
 def prefix(shingles: np.ndarray, rarity: np.ndarray, order: int) -> np.ndarray:
-    """The members of a set that come first under one order, as many as a link must meet."""
+    """The members of a set that come first under one order, in order, as many as a link must meet."""
     n = len(shingles)
     count = n - (PERCENT * n + 99) // 100 + 1
     shift = np.uint64(64 - int(len(rarity)).bit_length() + 1)
     key = (rarity[(shingles >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (mixed(shingles * np.uint64(ORDER_FACTORS[order])) >> np.uint64(8))
-    return shingles[np.argpartition(key, count - 1)[:count]] if count < n else shingles
+    first = np.argpartition(key, count - 1)[:count] if count < n else np.arange(n)
+    return shingles[first[np.argsort(key[first])]]
 
 
 def parity(shingles: np.ndarray) -> bytes:
@@ -121,7 +125,7 @@ def near_enough(batches):
         a, b, n, m = (batch[c].to_numpy().astype(np.int64) for c in ("a", "b", "nx", "ny"))
         left, right = batch["px"].to_pylist(), batch["py"].to_pylist()
         # a link has 100 * both >= PERCENT * (n + m - both), and n + m - 2 * both members differ
-        most = n + m - 2 * -(-PERCENT * (n + m) // (100 + PERCENT))
+        most = n + m - 2 * common_least(n, m)
         size = np.array([[len(x), len(y)] for x, y in zip(left, right)]).reshape(-1, 2)
         ok = np.zeros(len(a), dtype=bool)
         for x, y in np.unique(size, axis=0):
@@ -139,6 +143,11 @@ def salts_of(token: np.ndarray, rarity: np.ndarray) -> np.ndarray:
     return np.maximum(1, about // GROUP_ROWS).astype(np.int64)
 
 
+def common_least(n, m):
+    """How many members two sets of these sizes must have in common to link."""
+    return -(-PERCENT * (n + m) // (100 + PERCENT))
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     n, m = len(a), len(b)
     if 100 * min(n, m) < PERCENT * max(n, m):
@@ -215,59 +224,68 @@ def magnitudes(chunks: DataFrame, counters: int) -> np.ndarray:
 
 
 def indexed(docs: DataFrame, rarity, buckets: int) -> DataFrame:
-    """(token, salts, rows): rows whose prefix has the shingle, if two or more; ascending."""
+    """(token, salts, rows, rests): rows whose prefix has the shingle, if two or more; ascending.
+
+    A rest is how many members of a row's set come from the shingle on, it included. If it is the
+    first that two sets share, they share no more than the smaller rest.
+    """
 
     def emit(batches):
         hashes, rare = WordHashes(), rarity.value
         for batch in batches:
-            seen, tokens, rows = set(), [], []
+            seen, tokens, rows, rests = set(), [], [], []
             for row, s in _sets(batch, hashes):
                 if len(s) and (key := hashlib.blake2b(s.tobytes(), digest_size=16).digest()) not in seen:
                     seen.add(key)
                     tokens.append(prefix(s, rare, 0))
                     rows.append(np.full(len(tokens[-1]), row, dtype=np.int64))
+                    rest = len(s) - np.arange(len(tokens[-1]))
+                    rests.append(np.where(rest >= common_least(len(s), len(s)), -rest, rest))
             if not rows:
                 continue
-            token, row = np.concatenate(tokens), np.concatenate(rows)
+            token, row, rest = np.concatenate(tokens), np.concatenate(rows), np.concatenate(rests).astype(np.int32)
             salt = mixed(row.astype(np.uint64)) % salts_of(token, rare).astype(np.uint64)
             bucket = (mixed(token + salt * np.uint64(WORD_FACTORS[0])) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((token, bucket))
-            bucket, token, row = bucket[order], token[order], row[order]
+            bucket, token, row, rest = bucket[order], token[order], row[order], rest[order]
             edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist()
             base = int(row.min())
             small = (row - base).astype(np.uint32)  # a batch is of one partition
             cut = list(zip(edges, edges[1:]))
-            yield [int(bucket[a]) for a, _ in cut], [base] * len(cut), [token[a:b].tobytes() for a, b in cut], [small[a:b].tobytes() for a, b in cut]
+            yield [int(bucket[a]) for a, _ in cut], [base] * len(cut), [token[a:b].tobytes() for a, b in cut], [small[a:b].tobytes() for a, b in cut], [rest[a:b].tobytes() for a, b in cut]
 
     def group(batches):
         rare = rarity.value
 
         def done(held):
-            token, row = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            token, row, rest = (np.concatenate(x) for x in zip(*held))
             salts = salts_of(token, rare)
             salt = (mixed(row.astype(np.uint64)) % salts.astype(np.uint64)).astype(np.int64)
             order = np.lexsort((row, salt, token))
-            token, row, salt, salts = token[order], row[order], salt[order], salts[order]
+            token, row, salt, salts, rest = token[order], row[order], salt[order], salts[order], rest[order]
             edges = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]), [True])))
-            keep = (np.diff(edges) > 1) | (salts[edges[:-1]] > 1)
+            # a pair needs one member whose rest is long enough for a set of its own size
+            early = np.add.reduceat((rest < 0).astype(np.int64), edges[:-1]) > 0
+            keep = (np.diff(edges) > 1) & early | (salts[edges[:-1]] > 1)
+            rest = np.abs(rest)
             begin, end = edges[:-1][keep].tolist(), edges[1:][keep].tolist()
             for at in range(0, len(begin), 20_000):
                 a, b = begin[at : at + 20_000], end[at : at + 20_000]
-                yield token[a].view(np.int64).tolist(), salts[a].tolist(), [row[x:y].tolist() for x, y in zip(a, b)]
+                yield token[a].view(np.int64).tolist(), salts[a].tolist(), [row[x:y].tolist() for x, y in zip(a, b)], [rest[x:y].tolist() for x, y in zip(a, b)]
 
         held, last = [], None
         for batch in batches:
-            for bucket, base, token, row in zip(*(batch[c].to_pylist() for c in ("bucket", "base", "tokens", "rows"))):
+            for bucket, base, token, row, rest in zip(*(batch[c].to_pylist() for c in ("bucket", "base", "tokens", "rows", "rests"))):
                 if bucket != last and held:
                     yield from done(held)
                     held = []
                 last = bucket
-                held.append((np.frombuffer(token, dtype=np.uint64), np.frombuffer(row, dtype=np.uint32).astype(np.int64) + base))
+                held.append((np.frombuffer(token, dtype=np.uint64), np.frombuffer(row, dtype=np.uint32).astype(np.int64) + base, np.frombuffer(rest, dtype=np.int32).astype(np.int64)))
         if held:
             yield from done(held)
 
-    packed = _batches(docs, emit, "bucket long, base long, tokens binary, rows binary")
-    return _batches(packed.repartition("bucket").sortWithinPartitions("bucket"), group, "token long, salts long, rows array<long>")
+    packed = _batches(docs, emit, "bucket long, base long, tokens binary, rows binary, rests binary")
+    return _batches(packed.repartition("bucket").sortWithinPartitions("bucket"), group, "token long, salts long, rows array<long>, rests array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rarity) -> DataFrame:
@@ -330,15 +348,63 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def near(pairs: DataFrame) -> DataFrame:
         """Pairs of representatives of different sets whose sizes and sketches allow a link."""
         left, right = (sets.select(F.col("row").alias(r), F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"p{x}")) for r, x in (("a", "x"), ("b", "y")))
-        pairs = pairs.distinct().join(left, "a").join(right, "b").where(f"x <> y and 100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny)")
+        pairs = pairs.groupBy("a", "b").agg(F.max("rest").alias("rest")).join(left, "a").join(right, "b")
+        pairs = pairs.where(f"x <> y and 100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny) and {100 + PERCENT} * rest >= {PERCENT} * (nx + ny)")
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "nx", "ny", "px", "py")
         return _batches(pairs, near_enough, "a long, b long").distinct()
 
-    lead = groups.select("token", "salts", F.col("rows")[0].alias("a"), "rows")
-    star = lead.select("a", F.explode("rows").alias("b")).where("a <> b")
-    top = lead.where("salts > 1").groupBy("token").agg(F.min("a").alias("a"))
-    tops = lead.where("salts > 1").select("token", F.col("a").alias("b")).join(top, "token").where("a <> b").select("a", "b")
-    tried = stored(near(star.unionByName(tops)))
+    def member_rows(roots: DataFrame) -> DataFrame:
+        """Rows (token, rep, n, root, rest) of groups that hold rows of several components, with blocks."""
+        member = groups.select("token", F.explode(F.arrays_zip("rows", "rests")).alias("_")).select("token", F.col("_.rows").alias("row"), F.col("_.rests").alias("rest"))
+        member = member.join(roots, "row").select("token", "rep", "n", "root", "rest")
+        open_ = member.groupBy("token").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.approx_count_distinct("rep").alias("_many")).where("_low <> _high")
+        blocks = F.ceil(F.col("_many") / BLOCK_ROWS)
+        return stored(member.distinct().join(stored(open_), "token").select("token", "rep", "n", "root", "rest", blocks.alias("_blocks")))
+
+    def paired(left: DataFrame, most: int | None) -> DataFrame:
+        """Pairs (a, b, rest) of different components in a group that sizes and positions allow.
+
+        With ``most``, each row meets so many of the next ones in its block; else all, in all blocks:
+        block i meets block j at the cell (least, greatest) of the two.
+        """
+        own = left.withColumn("_own", F.pmod(F.xxhash64("rep"), "_blocks"))
+        other = F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1) if most is None else F.array("_own")
+        cells = own.withColumn("_other", F.explode(other))
+        cells = cells.select("token", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "rep", "n", "root", "rest")
+
+        def run(batches):
+            def done(held, out):
+                own, rep, n, root, rest = np.array(held).T
+                order = np.argsort(rep)
+                own, rep, n, root, rest = own[order], rep[order], n[order], root[order], rest[order]
+                for k in range(len(rep) - 1):
+                    later = slice(k + 1, None)
+                    both = np.minimum(rest[later], rest[k])
+                    ok = (root[later] != root[k]) & (100 * np.minimum(n[later], n[k]) >= PERCENT * np.maximum(n[later], n[k])) & (both >= common_least(n[later], n[k]))
+                    if key[1] != key[2]:
+                        ok &= own[later] != own[k]
+                    for x in np.flatnonzero(ok)[:most].tolist():
+                        pair = int(rep[k]), int(rep[k + 1 + x])
+                        out[pair] = max(int(both[x]), out.get(pair, 0))
+
+            key, held, out = None, [], {}
+            for batch in batches:
+                for token, i, j, *x in zip(*(batch[c].to_pylist() for c in ("token", "i", "j", "_own", "rep", "n", "root", "rest"))):
+                    if key != (token, i, j):
+                        if len(held) > 1:
+                            done(held, out)
+                        held, key = [], (token, i, j)
+                        if len(out) > 50_000:
+                            yield [p[0] for p in out], [p[1] for p in out], list(out.values())
+                            out = {}
+                    held.append(x)
+            if len(held) > 1:
+                done(held, out)
+            yield [p[0] for p in out], [p[1] for p in out], list(out.values())
+
+        return _batches(cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j"), run, "a long, b long, rest long")
+
+    tried = stored(near(paired(member_rows(sets.select("row", "rep", "n", F.col("rep").alias("root"))), NEXT)))
     links = stored(verified(tried, rows, rarity))
     joined = components(links)
 
@@ -346,46 +412,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Each row with its representative, size and component so far."""
         return sets.join(joined.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").select("row", "rep", "n", F.coalesce("root", "rep").alias("root"))
 
-    # groups that hold rows of several components
-    member = groups.select("token", F.explode("rows").alias("row")).join(placed(), "row").select("token", "rep", "n", "root")
-    open_ = member.groupBy("token").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.approx_count_distinct("rep").alias("_many")).where("_low <> _high")
-    blocks = F.ceil(F.col("_many") / BLOCK_ROWS)
-    left = stored(member.distinct().join(open_, "token").select("token", "rep", "n", "root", blocks.alias("_blocks")))
-    own = F.pmod(F.xxhash64("rep"), "_blocks")
-    # block i meets block j at the cell (least, greatest) of the two
-    cells = left.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    cells = cells.select("token", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "rep", "n", "root")
-
-    def cross(batches):
-        def done(held):
-            own, rep, n, root = (np.array(c) for c in zip(*held))
-            out = set()
-            for k in range(len(rep)):
-                ok = (root != root[k]) & (100 * np.minimum(n, n[k]) >= PERCENT * np.maximum(n, n[k])) & (rep > rep[k])
-                if i != j:
-                    ok &= own != own[k]
-                out.update((int(rep[k]), int(x)) for x in rep[ok])
-            return out
-
-        key, held, out = None, [], set()
-        for batch in batches:
-            for token, i_, j_, *x in zip(*(batch[c].to_pylist() for c in ("token", "i", "j", "_own", "rep", "n", "root"))):
-                if key != (token, i_, j_):
-                    if len(held) > 1:
-                        _, i, j = key
-                        out |= done(held)
-                    held, key = [], (token, i_, j_)
-                    if len(out) > 50_000:
-                        yield [p[0] for p in out], [p[1] for p in out]
-                        out = set()
-                held.append(x)
-        if len(held) > 1:
-            _, i, j = key
-            out |= done(held)
-        yield [p[0] for p in out], [p[1] for p in out]
-
-    more = _batches(cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j"), cross, "a long, b long")
-    more = stored(near(more).join(tried, ["a", "b"], "left_anti"))
+    more = stored(near(paired(member_rows(placed()), None)).join(tried, ["a", "b"], "left_anti"))
     links = stored(links.unionByName(verified(more, rows, rarity)))
     joined = components(links)
     named = stored(placed().join(ids, "row").select("row", "_id", "n", "root"))
