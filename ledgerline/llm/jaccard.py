@@ -50,7 +50,7 @@ PER_COUNTER, COUNTERS_LEAST, COUNTERS_MOST, CHUNK = 32, 1 << 16, 1 << 24, 1 << 1
 #: Entries of an index bucket, rows of a salted group, and rows of a block, about.
 BUCKET_ENTRIES, GROUP_ROWS, BLOCK_ROWS = 400_000, 1000, 512
 #: How many of the next rows of its groups a row is compared with at first.
-NEXT = 8
+NEXT = 4
 #: Pairs of one leader that are verified in one go.
 LEADER_PAIRS = 1000
 #: Bits of a parity sketch at least and at most; a set has twice as many as members, about.
@@ -326,7 +326,8 @@ def verified(pairs: DataFrame, docs: DataFrame, rarity) -> DataFrame:
                     found[1].append(row)
             yield found
 
-    sets = _batches(docs.join(asks, "_row"), ship, "a long, salt long, side int, row long, data binary")
+    # texts meet their asks by a sorted join whatever the sizes, so that cost grows in proportion
+    sets = _batches(docs.join(asks.hint("merge"), "_row"), ship, "a long, salt long, side int, row long, data binary")
     return _batches(sets.repartition("a", "salt").sortWithinPartitions("a", "salt", "side"), verify, "a long, b long")
 
 
