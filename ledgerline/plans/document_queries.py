@@ -25,7 +25,7 @@ def _printed(spark, sf_dir):
     number = F.when(k % 5 == 0, F.concat(F.lit("INV-A"), k.cast("string"))).when(k % 5 != 4, F.concat(F.lit("INV-"), k.cast("string")))
     date = F.when(k % 4 == 0, F.concat(F.lit("2026-03-0"), (k % 9 + 1).cast("string"))).when(k % 4 == 1, "05/03/2026").when(k % 4 == 2, "25/03/2026")
     head = F.concat_ws("\n", F.concat(F.lit("Invoice No: "), number), F.when(k % 5 == 3, F.lit("Invoice No: INV-SECOND-1")), F.concat(F.lit("Invoice Date\n"), date), F.lit("PCT Code 6109.10.00"))
-    return load(spark, sf_dir, "documents").select("doc_id", head.alias("text"), F.length("text").alias("n_chars"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", head, F.coalesce("text", F.lit(""))).alias("text"), F.length("text").alias("n_chars"))
 
 
 FIELDS = tuple(f for f in extraction.FIELDS if f[0] in ("invoice_number", "invoice_date", "pct_code"))
