@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import chunking, evaluation, extraction, supporting
@@ -168,11 +167,7 @@ WITH p AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\n\\s*\\n'),
 c AS (SELECT doc_id, parent, ls AS cs FROM q WHERE len(ls) > 1), e AS (SELECT doc_id, parent, i - 1 AS child_index, trim(cs[i]) AS child FROM c, unnest(range(1, len(cs) + 1)) r(i))
 SELECT doc_id, CAST(parent AS INTEGER) AS parent, CAST(child_index AS INTEGER) AS child_index, CASE WHEN (contains(lower(child), 'invoice') AND contains(lower(child), 'no')) OR contains(lower(child), 'date') THEN 'header' WHEN contains(lower(child), 'total') THEN 'totals' WHEN contains(lower(child), 'weight') THEN 'weights' ELSE 'body' END AS section, sha256(child) AS content_hash FROM e""")
 def line_chunks(spark, sf_dir):
-    found = chunking.line_children(load(spark, sf_dir, "documents"))
-    several = F.count("*").over(Window.partitionBy("doc_id", "parent"))
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", r"\n\s*\n"), lambda p: F.trim(p) != "")).alias("parent", "_p"))
-    lined = docs.where(F.size(F.filter(F.split("_p", "\n"), lambda x: F.trim(x) != "")) > 1).select("doc_id", "parent")
-    return found.withColumn("_n", several).join(lined, ["doc_id", "parent"], "left_semi").select("doc_id", "parent", "child_index", "section", "content_hash")
+    return chunking.line_children(load(spark, sf_dir, "documents")).select("doc_id", "parent", "child_index", "section", "content_hash")
 
 
 @query("""

@@ -1,5 +1,10 @@
 """Queries over small tables of their own, in cases that the given tables lack."""
 
+import hashlib
+import re
+
+from compare import both
+
 from ledgerline import catalog
 
 
@@ -18,3 +23,29 @@ def test_labels_in_bodies_count(spark, tmp_path):
     assert got[15, "invoice_date"] == ("2026-01-02", "high") and all(got[k, "pct_code"] == ("61091000", "high") for k, _ in rows)
     assert {r["field"]: r["resolved"] for r in catalog.QUERIES["extraction_coverage"](spark, sf).collect()}["invoice_number"] == 4
     assert {r["doc_id"]: r["value"] for r in catalog.QUERIES["gap_filling"](spark, sf).collect()}[14] == "INV-9999"
+
+
+#: As the SQL of ``line_chunks``, which leaves out paragraphs of one line, with their sentences.
+LINES_AND_SENTENCES = r"""
+WITH p AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(x) <> '') AS ps FROM documents), q AS (SELECT doc_id, i - 1 AS parent, list_filter(string_split(ps[i], chr(10)), lambda x: trim(x) <> '') AS ls, ps[i] AS p FROM p, unnest(range(1, len(ps) + 1)) r(i)),
+c AS (SELECT doc_id, parent, CASE WHEN len(ls) > 1 THEN ls ELSE list_filter(string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)), lambda x: trim(x) <> '') END AS cs FROM q), e AS (SELECT doc_id, parent, i - 1 AS child_index, trim(cs[i]) AS child FROM c, unnest(range(1, len(cs) + 1)) r(i))
+SELECT doc_id, CAST(parent AS INTEGER) AS parent, CAST(child_index AS INTEGER) AS child_index, CASE WHEN (contains(lower(child), 'invoice') AND contains(lower(child), 'no')) OR contains(lower(child), 'date') THEN 'header' WHEN contains(lower(child), 'total') THEN 'totals' WHEN contains(lower(child), 'weight') THEN 'weights' ELSE 'body' END AS section, sha256(child) AS content_hash FROM e"""
+
+
+def test_line_chunks_equal_sql_of_lines_and_sentences(spark):
+    got, want = both(spark, catalog.QUERIES["line_chunks"], LINES_AND_SENTENCES)
+    assert got == want
+
+
+def test_line_chunks_of_one_line_are_sentences(spark, tmp_path):
+    texts = ["One. Two!  Three?four. Total 5", "no stop", "a.\n b. c\n\nx. y\n \nWeight.", " . . ", "\nalone. \n", "", None]
+    sf = _table(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
+    want = []
+    for k, text in enumerate(texts):
+        for p, paragraph in enumerate(x for x in re.split(r"\n\s*\n", text or "") if x.strip(" ")):
+            lines = [x for x in paragraph.split("\n") if x.strip(" ")]
+            lines = lines if len(lines) > 1 else [x for x in re.split(r"(?<=[.!?])\s+", paragraph) if x.strip(" ")]
+            want += [(k, p, c, hashlib.sha256(x.strip(" ").encode()).hexdigest()) for c, x in enumerate(lines)]
+    found = catalog.QUERIES["line_chunks"](spark, sf).collect()
+    assert sorted((r["doc_id"], r["parent"], r["child_index"], r["content_hash"]) for r in found) == sorted(want)
+    assert {(r["doc_id"], r["section"]) for r in found} >= {(0, "totals"), (1, "body"), (2, "weights")}
