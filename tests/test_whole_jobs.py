@@ -6,6 +6,8 @@ import re
 from compare import both
 
 from ledgerline import catalog
+from ledgerline.operators import chunking
+from ledgerline.plans import views
 
 
 def _table(spark, folder, name, rows, schema):
@@ -49,3 +51,25 @@ def test_line_chunks_of_one_line_are_sentences(spark, tmp_path):
     found = catalog.QUERIES["line_chunks"](spark, sf).collect()
     assert sorted((r["doc_id"], r["parent"], r["child_index"], r["content_hash"]) for r in found) == sorted(want)
     assert {(r["doc_id"], r["section"]) for r in found} >= {(0, "totals"), (1, "body"), (2, "weights")}
+
+
+#: As the SQL of ``shipment_summaries``, which hashes two lines, with all lines.
+WHOLE_SUMMARIES = f"""
+SELECT o_orderkey AS shipment_id, sha256(concat_ws(chr(10), 'shipment_id: ' || o_orderkey, 'destination: ' || coalesce(n_name, 'unknown'), 'shipment_date: ' || coalesce(CAST(CAST(o_orderdate AS DATE) AS VARCHAR), 'unknown'),
+  'code: ' || (['{"', '".join(views.CODES)}'])[o_orderkey % {len(views.CODES)} + 1], 'exporter: ' || coalesce(c_name, 'unknown'), 'amount: ' || coalesce(CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR), 'unknown'))) AS checksum
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON n_nationkey = c_nationkey"""
+
+
+def test_checksums_equal_sql_of_all_lines(spark):
+    got, want = both(spark, catalog.QUERIES["shipment_summaries"], WHOLE_SUMMARIES)
+    assert got == want
+
+
+def test_every_line_counts_in_the_checksum(spark):
+    first = (1, "CHINA", "2026-01-02", "61091000", "A", "1.00")
+    rows = [first, *((*first[:k], x, *first[k + 1 :]) for k, x in enumerate(("FRANCE", "2026-01-03", "52010090", "B", None), start=1))]
+    ships = spark.createDataFrame(rows, "shipment_id long, destination string, shipment_date string, code string, exporter string, amount string")
+    found = chunking.summary_text(ships).collect()
+    assert len({r["checksum"] for r in found}) == len(rows)
+    text = "shipment_id: 1\ndestination: CHINA\nshipment_date: 2026-01-02\ncode: 61091000\nexporter: A\namount: 1.00"
+    assert hashlib.sha256(text.encode()).hexdigest() in {r["checksum"] for r in found}
