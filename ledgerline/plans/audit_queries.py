@@ -127,9 +127,7 @@ SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversation
 def last_answers(spark, sf_dir):
     """The last assistant message of each conversation, from which it goes on."""
     said = load(spark, sf_dir, "conversations").where("role = 'assistant' and text is not null")
-    found = audit.latest(said, "conv_id", ["turn", "text"]).select("conv_id", "turn", "text")
-    once = said.groupBy("conv_id").agg(F.count("*").alias("_n"), F.count_distinct("turn").alias("_m")).where("_n = _m")
-    return found.join(once.select("conv_id"), "conv_id", "left_semi")
+    return audit.latest(said, "conv_id", ["turn", "text"]).select("conv_id", "turn", "text")
 
 
 @query("""SELECT event_type AS kind, count(*) AS n, round(avg(value), 4) AS mean, round(median(value), 4) AS median, count(*) FILTER (WHERE value > 90) AS over_budget FROM events GROUP BY 1""")

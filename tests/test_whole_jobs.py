@@ -73,3 +73,10 @@ def test_every_line_counts_in_the_checksum(spark):
     assert len({r["checksum"] for r in found}) == len(rows)
     text = "shipment_id: 1\ndestination: CHINA\nshipment_date: 2026-01-02\ncode: 61091000\nexporter: A\namount: 1.00"
     assert hashlib.sha256(text.encode()).hexdigest() in {r["checksum"] for r in found}
+
+
+def test_last_answers_with_repeated_rows_and_tied_turns(spark, tmp_path):
+    rows = [(1, 1, "assistant", "a"), (1, 2, "assistant", "b"), (1, 2, "assistant", "b"), (2, 3, "assistant", "x"), (2, 3, "assistant", "y"), (2, 4, "user", "u"), (3, 1, "assistant", "only"), (4, 1, "user", "u"), (5, 1, "assistant", "t"), (5, 2, "assistant", None)]
+    sf = _table(spark, tmp_path, "conversations", rows, "conv_id long, turn int, role string, text string")
+    found = sorted(tuple(r) for r in catalog.QUERIES["last_answers"](spark, sf).select("conv_id", "turn", "text").collect())
+    assert found == [(1, 2, "b"), (2, 3, "y"), (3, 1, "only"), (5, 1, "t")]
