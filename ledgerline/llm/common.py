@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -20,12 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder all executors share; a temporary one only in local mode, where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     made = spark.sparkContext.getCheckpointDir()
     if not made:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerline-"))
         made = spark.sparkContext.getCheckpointDir()
     return made.rstrip("/")
@@ -39,12 +42,35 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerline/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, row_col: str | None = None, **columns) -> DataFrame:
+    """``columns`` of ``docs`` with ``_row``, a number that each row keeps.
+
+    Without ``row_col``, a column that numbers the rows of a written table, rows are numbered here and
+    written: a position computed anew by a later job may differ, as it follows how files are cut.
+    """
+    named = [c.alias(n) for n, c in columns.items()]
+    if row_col:
+        return docs.select(F.col(row_col).alias("_row"), *named)
+    return stored(docs.select(F.monotonically_increasing_id().alias("_row"), *named))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(_h, _y, _text): at most ``most`` labelled rows, the first by a hash of id and text.
+
+    Bounded by rows, as an id may stand in any number of rows; ``most`` labels are chosen first.
+    """
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y is not null")
+    chosen = stored(known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(most))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).join(F.broadcast(chosen), "_id")
+    return rows.select(F.xxhash64("_id", "_text").alias("_h"), "_y", "_text").orderBy("_h", "_y").limit(most)
+
+
 def ascii_lower(col):
     """Lower-case A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

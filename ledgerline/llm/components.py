@@ -1,8 +1,8 @@
 """Connected components of a graph held as a table of edges, by large-star and small-star rounds.
 
 Each round gives every node the smallest node it sees, on edges alone: no list of neighbours is
-ever held in one row, so a node with any number of edges is no hot spot beyond one that a join
-can split. The edges stay in tables in the shared folder.
+ever held in one row. The smallest nodes are written before they meet the edges, so that the join is
+one of two plain exchanges, in which Spark splits a node with very many edges. The edges stay in tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -15,13 +15,13 @@ from .common import stored
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = stored(down.groupBy("a").agg(F.min("b").alias("m")))
     other = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return other.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
