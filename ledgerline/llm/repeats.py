@@ -14,17 +14,19 @@ lengths of neighbours give the interval tree, scanned with a stack. An interval
 ``least`` bytes whose occurrences differ in the byte to their left (or stand at the left end of
 their segments) is a maximal repeat; it marks all its occurrences. Others are part of a longer one.
 
-*Large anchors.* An anchor with more than ``LARGE`` occurrences is salted by the segments' content,
-so each block has a bounded suffix array. Blocks of such an anchor also say which windows they
-have, and windows that two blocks share are marked as well; so nothing is lost by the salt.
+*Large anchors.* The distinct segments of an anchor that has more than ``LARGE`` are taken as texts
+of their own and dealt again by longer k-grams, which fewer of them share, and so on; at the length
+of a window all segments of an anchor are equal. So each suffix array is bounded, and nothing is lost.
 
 As windows of one segment always overlap, what is covered in a segment is one range. Ranges go
 back to all occurrences, are merged by document and cut out.
 
-Rows are known by their position in the input, so ``docs`` must be read from files or stored.
+Rows are numbered once, in a table written with their texts, so no number changes when a task or
+an executor is lost or files are cut anew.
 Defined results: a null text is empty; texts under ``least`` bytes stay whole; repeated rows are
 repeats of each other, also with equal or null ids; an empty table gives no rows; very long texts
-are worked on in pieces of ``PIECE`` windows; extra columns come through if asked for.
+are worked on in pieces of ``PIECE`` windows; extra columns come through if asked for, whatever
+their names; one that is named like a result is given up.
 """
 
 from __future__ import annotations
@@ -39,13 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shipped, stored
+from .common import numbered, shipped, stored
 
 LEAST = 400
 #: Windows of a long text, and bytes of short ones, that are hashed at once.
 PIECE = 1 << 20
-#: Segments of a suffix array at most, about.
+#: Distinct segments of a suffix array at most.
 LARGE = 256
+#: By how much the part of a window that is no k-gram shrinks when large anchors are dealt again.
+FINER = 4
 #: An odd multiplier and the mixing constants of the splitmix64 finaliser.
 BASE, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
@@ -53,8 +57,8 @@ BASE, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 class Anchors:
     """Cuts texts into segments of windows with one anchor."""
 
-    def __init__(self, least: int = LEAST):
-        self.least, self.gram = least, max(1, least // 2)
+    def __init__(self, least: int = LEAST, gram: int = 0):
+        self.least, self.gram = least, gram or max(1, least // 2)
         self.width = least - self.gram + 1
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
@@ -174,11 +178,11 @@ def covered(segments: Sequence[bytes], weights: Sequence[int], least: int) -> li
     return [(0, len(x)) if n > 1 else (a, b) if b else None for x, n, a, b in zip(segments, weights, low, high)]
 
 
-def anchors_of(docs: DataFrame, least: int) -> DataFrame:
+def anchors_of(docs: DataFrame, least: int, gram: int) -> DataFrame:
     """(row, anchor, seg, start, owned): every segment of every text; seg is its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = Anchors(least)
+        cut = Anchors(least, gram)
         for batch in batches:
             row = np.array(batch.column("_row").to_pylist(), dtype=np.int64)
             for of, anchor, start, owned, parts in cut.segments(batch.column("_text").to_pylist()):
@@ -188,50 +192,26 @@ def anchors_of(docs: DataFrame, least: int) -> DataFrame:
     return docs.select("_row", "_text").mapInArrow(run, "row long, anchor long, seg long, start int, owned int")
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(row, start, end): covered bytes of texts, one row for each segment with any.
+def tree_ranges(parts: DataFrame, least: int) -> DataFrame:
+    """(anchor, seg, first, last): the covered range of each segment, by the interval tree of its anchor.
 
-    docs: _row (long, unique) and _text (binary).
+    parts: anchor, seg, weight and bytes of each distinct segment; ``LARGE`` of an anchor at most.
     """
-    every = stored(anchors_of(docs, least))
-    anchors = every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("seg").alias("_a"), F.max("seg").alias("_b")).where("n > 1")
-    twice = stored(every.join(anchors, "anchor").select("row", "anchor", "seg", "start", "owned", "n", (F.col("_a") == F.col("_b")).alias("same")))
-    whole = twice.where("same").select("row", "start", (F.col("start") + F.col("owned") + least - 1).alias("end"))
-    mixed = twice.where("not same")
-    # one copy of each distinct segment
-    one = mixed.groupBy("anchor", "seg").agg(F.count("*").alias("weight"), F.max("n").alias("n"), F.min(F.struct("row", "start", "owned")).alias("at"))
-    salts = F.ceil(F.col("n") / LARGE)
-    one = one.select("at.row", F.struct("at.start", "at.owned", "anchor", "seg", F.pmod(F.xxhash64("seg"), salts).cast("int").alias("salt"), "weight", (salts > 1).alias("large")).alias("ask"))
-    asked = docs.join(one.groupBy("row").agg(F.collect_list("ask").alias("ask")), docs["_row"] == F.col("row")).select("_text", "ask")
-    kind = "anchor long, salt int, seg long, weight long, large boolean, bytes binary"
-    extra = least - 1
+    names = ["anchor", "seg", "first", "last"]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [(x["anchor"], x["salt"], x["seg"], x["weight"], x["large"], text[x["start"] : x["start"] + x["owned"] + extra]) for text, ask in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in ask]
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, types)], names=["anchor", "salt", "seg", "weight", "large", "bytes"])
+    def done(group: list[tuple], out: list[tuple]) -> None:
+        ranges = covered([x[3] for x in group], [x[2] for x in group], least)
+        out += [(x[0], x[1], *range_) for x, range_ in zip(group, ranges) if range_]
 
-    parts = asked.mapInArrow(cut, kind).repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "seg")
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, types)], names=names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "seg", "first", "last", "window"]
-
-        def done(group: list[tuple], out: list[tuple]) -> None:
-            for x, range_ in zip(group, covered([x[5] for x in group], [x[3] for x in group], least)):
-                if range_:
-                    out.append((x[0], x[2], *range_, None))
-                if x[4]:  # other blocks may have these windows too
-                    out += [(x[0], x[2], s, s + least, hashlib.blake2b(x[5][s : s + least], digest_size=16).digest()) for s in range(len(x[5]) - extra)]
-
-        def batch_of(out: list[tuple]) -> pa.RecordBatch:
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, types)], names=names)
-
         group, out = [], []
         for batch in batches:
             for x in zip(*(c.to_pylist() for c in batch.columns)):
-                if group and group[-1][:2] != x[:2]:
+                if group and group[-1][0] != x[0]:
                     done(group, out)
                     group = []
                     if len(out) > 20_000:
@@ -241,11 +221,47 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
         done(group, out)
         yield batch_of(out)
 
-    found = stored(parts.mapInArrow(scan, "anchor long, seg long, first int, last int, window binary"))
-    windows = found.where("window is not null")
-    shared = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    ranges = found.where("window is null").drop("window").unionByName(windows.join(shared, "window").drop("window"))
-    ranges = ranges.groupBy("anchor", "seg").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    dealt = parts.select("anchor", "seg", "weight", "bytes").repartition("anchor").sortWithinPartitions("anchor", "seg")
+    return dealt.mapInArrow(scan, "anchor long, seg long, first int, last int")
+
+
+def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = 0) -> DataFrame:
+    """(row, start, end): covered bytes of texts, one row for each segment with any.
+
+    docs: _row (long, unique) and _text (binary), read from a table.
+    """
+    gram, extra = gram or max(1, least // 2), least - 1
+    every = stored(anchors_of(docs, least, gram))
+    # sums by key are written before they meet their rows, so that Spark can split the join of a hot key
+    anchors = stored(every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("seg").alias("_a"), F.max("seg").alias("_b")).where("n > 1"))
+    twice = stored(every.join(anchors, "anchor").select("row", "anchor", "seg", "start", "owned", (F.col("_a") == F.col("_b")).alias("same")))
+    whole = twice.where("same").select("row", "start", (F.col("start") + F.col("owned") + extra).alias("end"))
+    mixed = twice.where("not same")
+    # one copy of each distinct segment
+    one = stored(mixed.groupBy("anchor", "seg").agg(F.count("*").alias("weight"), F.min(F.struct("row", "start", "owned")).alias("at")))
+    many = stored(one.groupBy("anchor").agg(F.count("*").alias("segs")))
+    deal_again = gram < least and not many.where(F.col("segs") > LARGE).isEmpty()
+    large = (F.col("segs") > LARGE) if deal_again else F.lit(False)
+    asks = one.join(many, "anchor").select("at.row", F.struct("at.start", "at.owned", "anchor", "seg", "weight", large.alias("large")).alias("ask"))
+    asked = docs.join(asks.groupBy("row").agg(F.collect_list("ask").alias("ask")), docs["_row"] == F.col("row")).select("_text", "ask")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+        for batch in batches:
+            out = [(x["anchor"], x["seg"], x["weight"], x["large"], text[x["start"] : x["start"] + x["owned"] + extra]) for text, ask in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in ask]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, types)], names=["anchor", "seg", "weight", "large", "bytes"])
+
+    parts = asked.mapInArrow(cut, "anchor long, seg long, weight long, large boolean, bytes binary")
+    if not deal_again:
+        ranges = tree_ranges(parts, least)
+    else:
+        parts = numbered(parts, anchor=F.col("anchor"), seg=F.col("seg"), weight=F.col("weight"), large=F.col("large"), bytes=F.col("bytes"))
+        again = parts.where("large")
+        deeper = repeated_spans(again.select("_row", F.col("bytes").alias("_text")), least, least - (least - gram) // FINER)
+        deeper = deeper.join(again.select("_row", "anchor", "seg"), F.col("row") == F.col("_row")).select("anchor", "seg", F.col("start").alias("first"), F.col("end").alias("last"))
+        copied = again.where("weight > 1").select("anchor", "seg", F.lit(0).alias("first"), F.octet_length("bytes").alias("last"))
+        ranges = tree_ranges(parts.where("not large"), least).unionByName(deeper).unionByName(copied)
+    ranges = stored(ranges.groupBy("anchor", "seg").agg(F.min("first").alias("first"), F.max("last").alias("last")))
     part = mixed.join(ranges, ["anchor", "seg"]).select("row", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last")).alias("end"))
     return whole.unionByName(part)
 
@@ -259,11 +275,12 @@ RESULT = T.StructType([
 def remove_repeats(docs: DataFrame, least: int = LEAST, text_col: str = "text", keep: Sequence[str] = ("doc_id",), with_text: bool = False) -> DataFrame:
     """The columns ``keep`` of ``docs`` with ``RESULT``, and ``kept`` (bytes) if ``with_text``."""
     shipped(docs.sparkSession)
-    keep = [c for c in keep if c not in RESULT.names]
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")).alias("_text"), *[F.col(c) for c in keep])
+    added = T.StructType([*RESULT.fields, *([T.StructField("kept", T.BinaryType())] if with_text else [])])
+    keep = [c for c in keep if c not in added.names]
+    rows = numbered(docs, _text=F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")), _kept=F.struct(*keep))
     spans = repeated_spans(rows.select("_row", "_text"), least).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    joined = rows.join(spans, rows["_row"] == spans["row"], "left").select(*keep, "_text", "_spans")
-    schema = T.StructType([*(rows.schema[c] for c in keep), *RESULT.fields, *([T.StructField("kept", T.BinaryType())] if with_text else [])])
+    joined = rows.join(spans, rows["_row"] == spans["row"], "left").select("_kept", "_text", "_spans")
+    schema = T.StructType([rows.schema["_kept"], *added.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,6 +297,6 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, text_col: str = "text",
                 out.append((len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in runs], kept))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
             columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, types)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns[: len(schema) - len(keep)]], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("_kept"), *columns[: len(added)]], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).select("_kept.*", *added.names)
