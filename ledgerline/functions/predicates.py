@@ -13,8 +13,6 @@ INJECTION = (
     r"\bmark\s+.*\b(passed|compliant)\b", r"change\s+the\s+pct\s+code", r"reveal\s+the\s+system\s+prompt", r"skip\s+(the\s+)?human\s+review", r"you\s+are\s+now\s+",
     r"call\s+(another\s+)?tool", r"override\s+the\s+(compliance|deterministic)",
 )
-#: Claims that no answer may make, by label.
-FORBIDDEN = {"approval": r"\b(is|are) (hereby )?approved\b", "guarantee": r"\bguarantee(d|s)?\b", "legal_advice": r"\blegal advice\b", "clearance": r"\bwill be cleared\b"}
 #: Canonical destinations and how they are written.
 DESTINATIONS = {
     "USA": ("usa", "u s a", "us", "u s", "united states", "united states of america", "america", "the united states", "stateside"),
@@ -33,32 +31,53 @@ ALIASES = {
 }
 
 
-def injections(x: Column) -> Column:
-    """The first phrase of each kind found, joined; empty if none."""
-    return F.array_join(F.array_compact(F.array(*[F.nullif(F.regexp_extract(x, f"(?i)({r})", 1), F.lit("")) for r in INJECTION])), "|")
+#: Supporting documents and how they are written, as slugs.
+SUPPORTING_TYPES = {
+    "form_e_or_psw_export_declaration": ("form_e", "forme", "psw_export_declaration", "form_e_or_psw_export_declaration", "form_e_psw_export_declaration", "form_e_export_declaration", "export_declaration", "psw_declaration"),
+    "certificate_of_origin": ("certificate_of_origin", "coo", "cpfta_certificate_of_origin", "certificate_of_origin_cpfta", "preferential_certificate_of_origin", "non_preferential_certificate_of_origin"),
+    "sbp_deposit_proof": ("sbp_deposit_proof", "proof_of_sbp_deposit", "sbp_deposit_receipt", "state_bank_of_pakistan_deposit_proof"),
+    "sbp_confirmation": ("sbp_confirmation", "state_bank_of_pakistan_confirmation"),
+    "irrevocable_letter_of_credit": ("irrevocable_letter_of_credit", "letter_of_credit", "lc", "irrevocable_lc", "documentary_credit"),
+    "phytosanitary_certificate": ("phytosanitary_certificate", "phyto_certificate", "plant_health_certificate"),
+    "importing_country_permit": ("import_permit", "importing_country_permit", "importing_country_import_permit"),
+    "goods_declaration": ("goods_declaration", "export_goods_declaration"), "bill_of_lading": ("bill_of_lading", "ocean_bill_of_lading"), "export_contract": ("export_contract", "export_sales_contract", "sales_contract"),
+}
+#: Documents of a request and how they are written; others keep their slug.
+INPUT_TYPES = {
+    "commercial_invoice": ("invoice", "commercial_invoice"), "packing_list": ("packing_list",), "form_e": ("form_e", "forme"),
+    "sbp_deposit_proof": ("sbp_deposit_proof", "proof_of_sbp_deposit", "proof_of_1_sbp_deposit", "proof_of_1_percent_sbp_deposit"), "sbp_confirmation": ("sbp_confirmation", "sbp_confirmation_letter"),
+    "irrevocable_letter_of_credit": ("irrevocable_letter_of_credit", "letter_of_credit", "lc"), "phytosanitary_certificate": ("phytosanitary_certificate", "phyto_certificate"),
+    "certificate_of_origin": ("certificate_of_origin", "coo"), "import_permit": ("import_permit",), "product_permit": ("product_permit",), "product_licence": ("product_licence", "product_license"),
+    "product_certificate": ("product_certificate",), "product_approval": ("product_approval",),
+}
 
 
-def violations(x: Column, has_evidence: Column) -> Column:
-    """Labels of forbidden claims, sorted; and a citation that nothing backs."""
-    named = [F.when(x.rlike(f"(?i){r}"), F.lit(k)) for k, r in FORBIDDEN.items()]
-    named.append(F.when(~has_evidence & x.rlike(r"(?i)\b(according to|under|per) (the )?(section|article|rule)\b"), F.lit("uncited")))
-    return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*named)))), ",")
+def _slug(x: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), "[^a-z0-9]+", "_"), "^_|_$", "")
 
 
-def claims(x: Column, claim: str) -> Column:
-    """Some sentence makes the claim, with no negation before it."""
-    sentences = F.split(x, r"(?<=[.!?])\s+")
-    return F.coalesce(F.exists(sentences, lambda s: s.rlike(f"(?i){claim}") & ~s.rlike(rf"(?i)\b(not|no|never|cannot|without)\b.*{claim}")), F.lit(False))
+def input_type(x: Column) -> Column:
+    """The name of a request's document; one that is not known keeps its own, as a slug."""
+    slug = _slug(x)
+    return F.coalesce(*[F.when(slug.isin(*s), F.lit(k)) for k, s in INPUT_TYPES.items()], slug)
 
 
-def explanation_failure(x: Column, facts: Column) -> Column:
-    """The first reason to reject an explanation: keys, jargon, vagueness, numbers not in the facts."""
-    numbers = F.regexp_extract_all(x, F.lit(r"(\d{3,})"), 1)
-    return (
-        F.when(x.rlike(r"\b[a-z]+_[a-z_]+\b"), "snake_case").when(x.rlike(r"(?i)\b(json|payload|null|regex|token)\b"), "jargon")
-        .when(x.rlike(r"(?i)\b(may or may not|various|several things)\b"), "vague")
-        .when(F.exists(numbers, lambda n: ~F.contains(F.regexp_replace(facts, r"\D", ""), n)), "ungrounded_number")
-    )
+def supporting_type(x: Column) -> Column:
+    """A supporting document's type by one of its spellings; else the only type with a spelling among the words; else unknown."""
+    slug = _slug(x)
+    wide = F.concat(F.lit("_"), slug, F.lit("_"))
+    held = F.array_compact(F.array(*[F.when(reduce(lambda a, b: a | b, [F.contains(wide, F.lit(f"_{s}_")) for s in ss if len(s) >= 3]), F.lit(k)) for k, ss in SUPPORTING_TYPES.items()]))
+    return F.coalesce(*[F.when(slug.isin(*s), F.lit(k)) for k, s in SUPPORTING_TYPES.items()], F.when(F.size(held) == 1, F.get(held, F.lit(0))), F.lit("unknown"))
+
+
+def citation_snippet(x: Column, width: int = 320) -> Column:
+    """At most ``width`` characters, the last of which then stands for the rest."""
+    return F.when(F.length(x) > width, F.concat(F.regexp_replace(F.substring(x, 1, width - 1), r"\s+$", ""), F.lit("…"))).otherwise(x)
+
+
+def injections(x: Column) -> Column:
+    """The first phrase of each kind found, joined; empty if none."""
+    return F.array_join(F.array_compact(F.array(*[F.nullif(F.regexp_extract(x, f"(?i)({r})", 1), F.lit("")) for r in INJECTION])), "|")
 
 
 def flat(x: Column) -> Column:
@@ -139,31 +158,6 @@ def correction_basis(value: Column, ocr_required: Column, method: Column, confid
     )
 
 
-def intent(x: Column) -> Column:
-    """What a question about rules is after: the first rung of the ladder that holds."""
-    low = F.lower(x)
-    return (
-        F.when(low.rlike(r"\b(hello|hi|thanks)\b"), "greeting").when(low.rlike(r"\bcompare|difference between\b"), "comparison").when(low.rlike(r"\bdocuments?\b|\bchecklist\b"), "documents")
-        .when(low.rlike(r"\b(deadline|within|days)\b"), "deadline").when(low.rlike(r"\b(tariff|code|classif)"), "classification").when(low.rlike(r"\b(penalty|seizure|fine)\b"), "penalty")
-        .when(low.rlike(r"\b(licen[cs]e|permit|approval)\b"), "licence").when(low.rlike(r"\b(destination|country)\b"), "destination").when(low.rlike(r"\b(act|rule|section)\b"), "law").otherwise("general")
-    )
-
-
-def route(x: Column) -> Column:
-    """Where a question about a shipment goes."""
-    low = F.lower(x)
-    return (
-        F.when(low.rlike(r"\b(why|explain)\b"), "explanation").when(low.rlike(r"\b(missing|outstanding)\b"), "outstanding").when(low.rlike(r"\b(status|passed|failed)\b"), "status")
-        .when(low.rlike(r"\b(invoice|packing|total|weight)\b"), "document_fact").when(low.rlike(r"\b(find|similar|search)\b"), "search").when(low.rlike(r"\b(rule|regulation|law)\b"), "regulation").otherwise("general")
-    )
-
-
-def in_domain(x: Column) -> Column:
-    """An anchor word, or a word of context together with one of concept."""
-    low = F.lower(x)
-    return low.rlike(r"\b(export|customs|tariff|shipment|invoice)\w*") | (low.rlike(r"\b(country|goods|cotton|product)\w*") & low.rlike(r"\b(document|certificate|permit|rule)\w*"))
-
-
 def legal_predicates(source: Column, sro: Column, authority: Column, check_id: Column) -> list[Column]:
     """Three different senses of legal: regulatory check, check of the system's own scope, legal check."""
     scope = check_id.isin("mvp_pct_support", "required_fields")

@@ -7,8 +7,47 @@ from pyspark.sql import functions as F
 
 from ..status import FAILED, PASSED, REVIEW
 
-#: Fields and the checks that depend on them; a trailing % stands for any ending.
-DEPENDENCIES = (("quantity", "item_quantity_match"), ("quantity", "item_calculation"), ("unit_price", "item_calculation"), ("destination", "xr_coo%"), ("code", "xr_%"), ("code", "item_pct_match"), ("shipment_date", "xr_52010090_shipment%"))
+#: Document, field, whether of an item, the checks that depend on it, whether the rules do too.
+DEPENDENCIES = (
+    ("invoice", "quantity", True, ("positive_quantity", "item_quantity_match", "item_line_calculation", "invoice_line_calculation", "sum_line_totals_match_invoice_total"), False),
+    ("invoice", "unit_price", True, ("positive_unit_price", "item_line_calculation", "invoice_line_calculation", "sum_line_totals_match_invoice_total"), False),
+    ("invoice", "line_total", True, ("item_line_calculation", "invoice_line_calculation", "sum_line_totals_match_invoice_total"), False),
+    ("invoice", "net_weight", True, ("item_net_weight_match", "invoice_net_weight_total", "weight_consistency"), False),
+    ("invoice", "gross_weight", True, ("item_gross_weight_match", "invoice_gross_weight_total", "weight_consistency"), False),
+    ("invoice", "pct_code", True, ("item_pct_code_match", "mvp_pct_support"), True),
+    ("invoice", "product_name", True, (), True),
+    ("packing_list", "quantity", True, ("item_quantity_match",), False),
+    ("packing_list", "net_weight", True, ("item_net_weight_match", "packing_net_weight_total", "weight_consistency"), False),
+    ("packing_list", "gross_weight", True, ("item_gross_weight_match", "packing_gross_weight_total", "weight_consistency"), False),
+    ("packing_list", "pct_code", True, ("item_pct_code_match",), False),
+    ("invoice", "destination_country", False, (), True),
+    ("invoice", "declared_net_weight_total", False, ("invoice_net_weight_total",), False),
+    ("invoice", "declared_gross_weight_total", False, ("invoice_gross_weight_total",), False),
+    ("invoice", "invoice_total", False, ("sum_line_totals_match_invoice_total",), False),
+    ("invoice", "exporter_name", False, (), False),
+    ("invoice", "shipment_date", False, (), True),
+    ("packing_list", "declared_net_weight_total", False, ("packing_net_weight_total",), False),
+    ("packing_list", "declared_gross_weight_total", False, ("packing_gross_weight_total",), False),
+)
+#: The checks that make up the rules' family.
+FAMILY_START, FAMILY_ID = "xr_", "mvp_pct_support"
+#: Check, label, level, and the document and field that it rests on.
+RESTS_ON = (
+    *(("item_quantity_match", "quantity", "item", d, "quantity") for d in ("invoice", "packing_list")),
+    *(("item_net_weight_match", "net weight", "item", d, "net_weight") for d in ("invoice", "packing_list")),
+    *(("item_gross_weight_match", "gross weight", "item", d, "gross_weight") for d in ("invoice", "packing_list")),
+    ("item_pct_code_match", "PCT code", "item", "invoice", "pct_code"),
+    *((c, "quantity, unit price and line total", "item", "invoice", f) for c in ("item_line_calculation", "invoice_line_calculation") for f in ("quantity", "unit_price", "line_total")),
+    ("sum_line_totals_match_invoice_total", "invoice total", "header", "invoice", "invoice_total"),
+    ("invoice_total_consistency", "invoice total", "header", "invoice", "invoice_total"),
+    ("invoice_net_weight_total", "declared net weight", "header", "invoice", "declared_net_weight_total"),
+    ("invoice_gross_weight_total", "declared gross weight", "header", "invoice", "declared_gross_weight_total"),
+    ("packing_net_weight_total", "packing-list net weight", "header", "packing_list", "declared_net_weight_total"),
+    ("packing_gross_weight_total", "packing-list gross weight", "header", "packing_list", "declared_gross_weight_total"),
+)
+#: Checks by what is wrong when they fail.
+MISMATCH_IDS = ("item_quantity_match", "item_net_weight_match", "item_gross_weight_match", "item_pct_match", "single_document_items")
+ARITHMETIC_IDS = ("item_calculation", "product_calculation", "order_total", "net_weight_total", "gross_weight_total")
 
 
 def latest(events: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -29,12 +68,101 @@ def unseen(events: DataFrame, stored: DataFrame, key: str, order: list[str]) ->
 
 
 def affected_checks(changes: DataFrame, checks: DataFrame, spark) -> DataFrame:
-    """Checks of a shipment that depend on its changed fields; the rest keep their evidence."""
-    table = spark.createDataFrame(DEPENDENCIES, "field string, pattern string")
-    wanted = changes.join(F.broadcast(table), "field").select("shipment_id", F.regexp_replace("pattern", "%$", "").alias("_start"), F.endswith(F.col("pattern"), F.lit("%")).alias("_open"))
-    joined = checks.join(wanted, "shipment_id")
-    hit = F.when(F.col("_open"), F.startswith(F.col("check_id"), F.col("_start"))).otherwise(F.col("check_id") == F.col("_start"))
-    return joined.where(hit).select("shipment_id", "check_id").distinct()
+    """(shipment_id, path, check_id): checks to run again after a correction; the rest keep their evidence.
+
+    changes: shipment_id and path, of an item (``invoice.line_items[2].quantity``) or a document
+    (``invoice.invoice_total``); a path that is not known affects nothing and is for the caller to refuse.
+    """
+    from ..functions.predicates import field_path
+
+    table = spark.createDataFrame([(d, f, i, list(c), r) for d, f, i, c, r in DEPENDENCIES], "document string, field string, of_item boolean, direct array<string>, family boolean")
+    parsed = changes.select("shipment_id", "path", field_path(F.col("path")).alias("_p")).select("shipment_id", "path", F.regexp_replace("_p.document", "^commercial_", "").alias("document"), F.col("_p.field").alias("field"), F.col("_p.index").isNotNull().alias("of_item"))
+    known = parsed.join(F.broadcast(table), ["document", "field", "of_item"])
+    direct = known.select("shipment_id", "path", F.explode("direct").alias("check_id"))
+    present = checks.where(F.col("check_id").startswith(FAMILY_START) | (F.col("check_id") == FAMILY_ID)).select("shipment_id", "check_id").distinct()
+    return direct.unionByName(known.where("family").select("shipment_id", "path").join(present, "shipment_id")).distinct()
+
+
+def document_evidence(checks: DataFrame, fields: DataFrame, spark) -> DataFrame:
+    """(shipment_id, check_id, item_index, document, field, value, page): what a check rests on.
+
+    checks: shipment_id, check_id, invoice_index, packing_index, invoice_page, packing_page; fields:
+    shipment_id, document, item_index (null for the document's own), field, value, page. A check
+    without known fields shows its own pages, so that none comes without evidence.
+    """
+    table = F.broadcast(spark.createDataFrame(RESTS_ON, "check_id string, label string, level string, document string, field string"))
+    own = checks.join(table, "check_id", "left")
+    index = F.when(F.col("level") == "item", F.when(F.col("document") == "invoice", F.col("invoice_index")).otherwise(F.col("packing_index")))
+    known = own.where("level is not null").withColumn("item_index", index).where("level = 'header' or item_index is not null")
+    at = fields.select("shipment_id", "document", F.coalesce("item_index", F.lit(0)).alias("_at"), "field", "value", "page")
+    found = known.withColumn("_at", F.coalesce("item_index", F.lit(0))).join(at, ["shipment_id", "document", "_at", "field"])
+    pages = F.array(F.struct(F.lit("invoice").alias("document"), F.col("invoice_page").alias("page")), F.struct(F.lit("packing_list").alias("document"), F.col("packing_page").alias("page")))
+    rest = own.where("level is null").drop("document").select("shipment_id", "check_id", F.inline(pages)).where("page is not null")
+    return found.select("shipment_id", "check_id", "item_index", "document", "field", "value", "page").unionByName(rest, allowMissingColumns=True)
+
+
+def citations(cited: DataFrame, primary: int = 2, width: int = 320) -> DataFrame:
+    """Each source and page once in a query, in order; the first ``primary`` are shown expanded."""
+    from ..functions.predicates import citation_snippet
+
+    first = Window.partitionBy("query_id", "source", "page").orderBy("ordinal")
+    one = cited.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("ordinal"))
+    return one.withColumn("place", place).withColumn("display_primary", F.col("place") <= primary).withColumn("snippet", citation_snippet(F.col("snippet"), width))
+
+
+def all_checks(*lists: DataFrame) -> DataFrame:
+    """Item, shipment and rule checks as one list; columns that a list lacks are null."""
+    out = lists[0]
+    for more in lists[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
+def categorised(checks: DataFrame) -> DataFrame:
+    """Open checks by what a reader has to do: (shipment_id, bucket, messages), one message for a missing document.
+
+    checks: shipment_id, check_id, status, message, required_document, is_rule, validation_status.
+    """
+    c, rule = F.col("check_id"), F.coalesce("is_rule", F.lit(False))
+    note = F.lower(F.concat_ws(" ", "message", "validation_status"))
+    limited = note.rlike("effective date|provenance|source page|evidence|verified")
+    bucket = (
+        F.when(F.col("status") == FAILED, F.when(c.startswith("required_document"), "missing_documents").when(c.isin(*ARITHMETIC_IDS), "calculation_errors").when(c.isin(*MISMATCH_IDS), "document_mismatches")
+               .when(rule & F.col("required_document").isNotNull(), "missing_documents").otherwise("regulatory_problems"))
+        .when(rule & limited, "evidence_limitations").otherwise("missing_or_uncertain_fields")
+    )
+    open_ = checks.where(F.col("status").isin(FAILED, REVIEW)).withColumn("bucket", bucket)
+    once = F.when(F.col("bucket") == "missing_documents", F.coalesce(F.lower(F.trim("required_document")), "message")).otherwise(F.col("message"))
+    first = open_.groupBy("shipment_id", "bucket", once.alias("_once")).agg(F.min(F.struct("check_id", "message")).alias("_m"))
+    return first.groupBy("shipment_id", "bucket").agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list("_m")), lambda m: m["message"])), "|").alias("messages"))
+
+
+def agreement(reviews: DataFrame) -> DataFrame:
+    """Two reviewers' reports by topic: agreed and disagreed topics, open issues, whether a person must look, and why.
+
+    reviews: shipment_id, engine_status, first_status, second_status, confirmed, omissions, arithmetic,
+    challenged, verified (arrays), support, missing_provenance, anomalies (arrays), unsupported, action.
+    """
+    uncertain = F.col("support").isin("not_found", "conflicting", "partially_supported")
+    topics = (
+        ("deterministic_status", (F.col("engine_status") == F.col("first_status")) & (F.col("engine_status") == F.col("second_status")), F.lit(True)),
+        ("compliance_status_confirmed", F.col("confirmed"), F.lit(True)), ("detected_discrepancies", F.size("omissions") == 0, F.lit(True)), ("arithmetic_and_weights", F.size("arithmetic") == 0, F.lit(True)),
+        ("supporting_documents", F.size("challenged") == 0, (F.size("challenged") > 0) | (F.size("verified") > 0)),
+    )
+    said = lambda good: F.array_compact(F.array(*[F.when(applies & (F.coalesce(ok, F.lit(False)) == good), F.lit(name)) for name, ok, applies in topics]))
+    agreed = F.concat(said(True), F.when(~uncertain, F.array(F.lit("evidence_availability"))).otherwise(F.array().cast("array<string>")))
+    no = F.array().cast("array<string>")
+    open_ = F.concat("omissions", "arithmetic", "challenged", F.when(uncertain, F.array(F.concat(F.lit("evidence_"), "support"))).otherwise(no), "missing_provenance", "anomalies", F.when(F.col("unsupported"), F.array(F.lit("unsupported_product_present"))).otherwise(no))
+    escalates = F.col("action").isin("human_review", "evidence_missing", "rerun_extraction", "technical_failure")
+    critical = F.array_compact(F.concat(F.array(F.when(F.size(said(False)) > 0, F.lit("agent_disagreement")), F.when(F.col("unsupported"), F.lit("unsupported_product")), F.when(escalates, F.concat(F.lit("auditor_"), "action"))), F.filter("anomalies", lambda a: F.contains(a, F.lit("conflict")) | F.contains(a, F.lit("anomaly")))))
+    judged = reviews.select("shipment_id", "engine_status", agreed.alias("agreed"), said(False).alias("disagreed"), open_.alias("open"), critical.alias("critical"), (uncertain | (F.size("missing_provenance") > 0)).alias("_unsure"))
+    unsure = F.col("_unsure") | (F.col("engine_status") == REVIEW)
+    reason = (
+        F.when(F.size("critical") > 0, F.concat(F.lit("critical anomaly requires human review: "), F.array_join(F.array_distinct("critical"), ", "))).when(F.col("engine_status") == REVIEW, "uncertainty requires human confirmation")
+        .when(unsure, F.concat(F.lit("unresolved issues: "), F.array_join(F.slice("open", 1, 5), "; "))).otherwise("reviewers agree; the result is clear")
+    )
+    return judged.select("shipment_id", *[F.array_join(c, ",").alias(c) for c in ("agreed", "disagreed", "open")], (F.size("disagreed") == 0).alias("consensus"), ((F.size("critical") > 0) | unsure).alias("needs_review"), reason.alias("reason"))
 
 
 def consensus(engine: DataFrame, audit: DataFrame) -> DataFrame:

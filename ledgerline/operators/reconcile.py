@@ -138,3 +138,22 @@ def item_rollup(fields: DataFrame) -> DataFrame:
         F.min("confidence").alias("confidence"), F.when(F.max((F.col("status") == REVIEW).cast("int")) == 1, REVIEW).otherwise("verified").alias("status"),
         F.min_by("page", F.when(F.col("page").isNotNull(), F.col("ordinal"))).alias("page"),
     )
+
+
+def declared_weights(invoice: DataFrame, packing: DataFrame, header: DataFrame) -> DataFrame:
+    """(shipment_id, check_id, status): net and gross sums of both documents against their declared totals.
+
+    header: shipment_id and declared_{invoice,packing}_{net,gross}; a document without items has nothing known.
+    """
+    out = header
+    for name, items in (("invoice", invoice), ("packing", packing)):
+        sums = items.groupBy("shipment_id").agg(F.count("*").alias(f"{name}_n"), *[f(c).alias(f"{name}_{s}_{c}") for c in ("net_weight", "gross_weight") for s, f in (("sum", F.sum), ("known", F.count))])
+        out = out.join(sums, "shipment_id", "left")
+
+    def status(name: str, kind: str):
+        declared = F.col(f"declared_{name}_{kind}")
+        unknown = F.col(f"{name}_n").isNull() | (F.col(f"{name}_known_{kind}_weight") < F.col(f"{name}_n"))
+        return F.when(declared.isNull(), NOT_APPLICABLE).when(unknown, REVIEW).when(within(F.col(f"{name}_sum_{kind}_weight"), declared), PASSED).otherwise(FAILED)
+
+    checks = [F.struct(F.lit(f"{n}_{k}_weight_total").alias("check_id"), status(n, k).alias("status")) for n in ("invoice", "packing") for k in ("net", "gross")]
+    return out.select("shipment_id", F.inline(F.array(*checks)))

@@ -11,7 +11,7 @@ K1, B, RRF = 1.5, 0.75, 60
 CANDIDATES, RERANKED, FLOOR, ACCEPTED, CLOSE = 200, 25, 0.20, 0.5, 1.0
 
 
-def filtered(chunks: DataFrame, verified_only: bool = False, code: str | None = None, authority: str | None = None, kind: str | None = None, cutoff: str | None = None, exclude_superseded: bool = False) -> DataFrame:
+def filtered(chunks: DataFrame, verified_only: bool = False, code: str | None = None, authority: str | None = None, kind: str | None = None, cutoff: str | None = None, exclude_superseded: bool = False, notice: str | None = None) -> DataFrame:
     """Metadata filters, applied before ranking so that they reach the scan; a null cutoff date is out."""
     if verified_only:
         chunks = chunks.where(F.col("validation_status").isin("verified", "partially_verified"))
@@ -19,6 +19,8 @@ def filtered(chunks: DataFrame, verified_only: bool = False, code: str | None =
         chunks = chunks.where(F.array_contains("pct_codes", code))
     if authority:
         chunks = chunks.where(F.contains(F.lower("issuing_authority"), F.lit(authority.lower())))
+    if notice:
+        chunks = chunks.where(F.lower(F.trim("sro_number")) == notice.strip().lower())
     if kind:
         chunks = chunks.where(F.col("document_type") == kind)
     if cutoff:
@@ -124,8 +126,108 @@ def similar_shipments(vectors: DataFrame, query: DataFrame, recent: DataFrame, k
     return dense_top(vectors, query, k) if fits else recent.orderBy(F.col("updated_at").desc(), "doc_id").limit(k)
 
 
+#: Words without content, and what a question's words ask of a chunk.
+STOPWORDS = tuple(
+    "a an the and or of to in on for from by with about is are was were be been do does did can could should would will shall may might must i me my we us our you your it its this that these those there here what which who whom whose when where why how please tell show give find list say says said any some all each every into at as if then than so such not no yes".split()
+)
+ASKS_TYPE = (("invoice", ("commercial_invoice",)), ("packing list", ("packing_list",)), ("form e", ("form_e", "psw_declaration")), ("certificate of origin", ("certificate_of_origin",)))
+WEIGHT_SECTIONS = ("shipment_weights", "weight_totals", "package_information", "general_content", "product_line")
+
+
+def shipment_gate(query: Column, document_type: Column, section: Column, text: Column) -> Column:
+    """What a chunk of a shipment's documents is to a question: unavailable, conflicting, partial or verified."""
+    content = lambda c: F.filter(tokens(F.coalesce(c, F.lit(""))), lambda t: ~t.isin(*STOPWORDS))
+    low = F.lower(query)
+    other = F.lit(False)
+    for phrase, types in ASKS_TYPE:
+        other = other | (F.contains(low, F.lit(phrase)) & ~document_type.isin(*types))
+    return (
+        F.when((F.size(content(query)) > 0) & ~F.arrays_overlap(content(query), content(text)), "shipment_evidence_unavailable").when(other, "shipment_evidence_conflicting")
+        .when(F.contains(low, F.lit("weight")) & ~section.isin(*WEIGHT_SECTIONS), "shipment_evidence_partial").otherwise("shipment_evidence_verified")
+    )
+
+
+def shipment_top(candidates: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """Of the first max(2k, 10) by fusion, the first k by rerank; ties keep the order of fusion."""
+    scored = reranked(candidates, docs, queries, max(2 * k, 10))
+    order = Window.partitionBy("query_id").orderBy(F.col("rerank").desc(), F.col("rrf").desc(), "doc_id")
+    return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+
+
+def official_first(ranked: DataFrame) -> DataFrame:
+    """Official sources before curated ones, each in the order that they came in."""
+    order = Window.partitionBy("query_id").orderBy(F.col("is_official").desc(), "rank")
+    return ranked.withColumn("shown", F.row_number().over(order))
+
+
 def valid_citations(cited: DataFrame, retrieved: DataFrame) -> DataFrame:
-    """Citations with the first reason against them: document or page not retrieved; else null."""
-    docs, pages = retrieved.select("query_id", "doc_id", F.lit(True).alias("_doc")).distinct(), retrieved.select("query_id", "doc_id", "page", F.lit(True).alias("_page")).distinct()
-    joined = cited.join(docs, ["query_id", "doc_id"], "left").join(pages, ["query_id", "doc_id", "page"], "left")
-    return joined.select("query_id", "doc_id", "page", F.when(F.col("_doc").isNull(), "document").when(F.col("_page").isNull(), "page").alias("reason"))
+    """Citations with the first reason against them: document, notice or page not retrieved; else null.
+
+    cited and retrieved: query_id, doc_id, notice (null if none), page (null if none).
+    """
+    notice = lambda c: F.regexp_replace(F.lower(c), "[^0-9ivx]", "")
+    docs = retrieved.select("query_id", "doc_id", F.lit(True).alias("_doc")).distinct()
+    pages = retrieved.select("query_id", "doc_id", "page", F.lit(True).alias("_page")).distinct()
+    notices = retrieved.where("notice is not null").select("query_id", notice("notice").alias("_n"), F.lit(True).alias("_notice")).distinct()
+    joined = cited.withColumn("_n", notice("notice")).join(docs, ["query_id", "doc_id"], "left").join(notices, ["query_id", "_n"], "left").join(pages, ["query_id", "doc_id", "page"], "left")
+    reason = F.when(F.col("_doc").isNull(), "document").when(F.col("notice").isNotNull() & F.col("_notice").isNull(), "notice").when(F.col("page").isNotNull() & F.col("_page").isNull(), "page")
+    return joined.select("query_id", "doc_id", "page", "notice", reason.alias("reason"))
+
+
+#: What a document is called in passages, and what says that it is not needed.
+DOCUMENT_TERMS = {
+    "form_e": ("form-e", "form e", "export declaration"), "certificate_of_origin": ("certificate of origin",), "phytosanitary_certificate": ("phytosanitary",), "sbp_deposit_proof": ("deposit",),
+    "irrevocable_letter_of_credit": ("letter of credit",), "sbp_confirmation": ("confirmation",),
+}
+NOT_NEEDED = r"\b(not required|no longer required|exempt|not necessary)\b"
+
+
+def evidence_classes(requirements: DataFrame, passages: DataFrame) -> DataFrame:
+    """Each requirement with the class of its evidence and the passage shown.
+
+    requirements: case_id, document, has_source; passages: case_id, document, passage_id, rank, text.
+    Direct if a passage names the document, conflicting if those that do disagree, else indirect; without any passage
+    it rests on the configured rule, if that has a source.
+    """
+    names = F.coalesce(*[F.when(F.col("document") == d, F.array(*map(F.lit, ts))) for d, ts in DOCUMENT_TERMS.items()], F.array(F.replace("document", F.lit("_"), F.lit(" "))))
+    low = F.lower(F.coalesce("text", F.lit("")))
+    marked = passages.withColumn("_direct", F.exists(names, lambda n: F.contains(low, n))).withColumn("_no", low.rlike(NOT_NEEDED))
+    best = F.min(F.struct((~F.col("_direct")).alias("far"), "rank", "passage_id"))
+    found = marked.groupBy("case_id", "document").agg(best.alias("_b"), F.bool_or("_direct").alias("_direct"), F.bool_or(F.col("_direct") & F.col("_no")).alias("_no"), F.bool_or(F.col("_direct") & ~F.col("_no")).alias("_yes"))
+    joined = requirements.join(found, ["case_id", "document"], "left")
+    kind = F.when(F.col("_b").isNull(), F.when(F.col("has_source"), "configured_rule_only").otherwise("evidence_unavailable")).when(F.col("_no") & F.col("_yes"), "conflicting_evidence").when(F.col("_direct"), "direct_evidence").otherwise("indirect_support")
+    return joined.select("case_id", "document", kind.alias("evidence_class"), F.col("_b.passage_id").alias("passage_id"))
+
+
+def explanation_status(evidence: DataFrame) -> DataFrame:
+    """Per check: evidence_not_found, conflicting_evidence, manual_review_required or explained.
+
+    evidence: check_id, original_status, passage_id (null if none was found), validation_status, grounded.
+    """
+    some = F.col("passage_id").isNotNull()
+    found = evidence.groupBy("check_id", "original_status").agg(
+        F.count_if(some).alias("_n"), F.bool_or(some & (F.col("validation_status") == "conflicting")).alias("_against"), F.bool_or(some & F.col("grounded")).alias("_grounded"),
+        F.bool_or(some & F.col("grounded") & (F.col("validation_status") == "verified")).alias("_verified"),
+    )
+    off = lambda c: F.coalesce(F.col(c), F.lit(False))
+    status = (
+        F.when(F.col("_n") == 0, "evidence_not_found").when(off("_against"), "conflicting_evidence").when(~off("_grounded"), "manual_review_required")
+        .when((F.col("original_status") == "manual_review") & ~off("_verified"), "manual_review_required").otherwise("explained")
+    )
+    return found.select("check_id", "original_status", status.alias("status"))
+
+
+def pre_submission(cases: DataFrame, rules_table: DataFrame, passages: DataFrame, no_documents: DataFrame) -> DataFrame:
+    """What to prepare for an export before anything is sent: documents by rule, each with its class of evidence.
+
+    cases: shipment_id, code, destination, shipment_date, letter_of_credit_date; the rules are run
+    without documents; the two documents that any review starts from are always on the list.
+    """
+    from .rules import evaluate, outstanding
+
+    listed = outstanding(evaluate(cases, no_documents, rules_table)).select(F.col("shipment_id").alias("case_id"), "document", "requirement")
+    known = passages.join(listed.select("case_id", "document"), "document") if "case_id" not in passages.columns else passages
+    judged = evidence_classes(listed.select("case_id", "document", F.lit(True).alias("has_source")), known).join(listed, ["case_id", "document"])
+    base = cases.select(F.col("shipment_id").alias("case_id"), F.explode(F.array(F.lit("commercial_invoice"), F.lit("packing_list"))).alias("document"))
+    base = base.select("case_id", "document", F.lit("required").alias("requirement"), F.lit("configured_rule_only").alias("evidence_class"))
+    return base.unionByName(judged.select("case_id", "document", "requirement", "evidence_class"))

@@ -184,3 +184,98 @@ def provenance_report(rules: DataFrame) -> DataFrame:
 def missing_metadata(codes: DataFrame, products: DataFrame) -> DataFrame:
     """Codes without metadata: a difference of sets that should be empty."""
     return codes.select("code").distinct().join(products.select("code"), "code", "left_anti")
+
+
+#: Fields that a shipment needs, the date that rules were checked up to, and what makes a status uncertain.
+REQUIRED_FIELDS = ("product_name", "pct_code", "quantity", "unit_price", "invoice_line_total", "invoice_total", "net_weight", "gross_weight", "destination_country", "shipment_date", "uploaded_document_types")
+LEGAL_CUTOFF = "2026-07-22"
+UNCERTAIN = ("missing", "unclear", "unknown", "unverified", "not_verified", "not verified")
+LEGAL_FIELDS = ("source_document", "source_url", "source_page_or_source_locator", "issuing_authority", "effective_date", "legal_cutoff_date", "rule_data_version", "validation_status")
+
+
+def required_fields(shipments: DataFrame) -> DataFrame:
+    """(shipment_id, status, missing): the fields that are null or blank; what is unknown is for review, not a failure."""
+    blank = lambda c: F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
+    missing = F.array_compact(F.array(*[F.when(blank(c), F.lit(c)) for c in REQUIRED_FIELDS]))
+    return shipments.select("shipment_id", F.when(F.size(missing) > 0, REVIEW).otherwise(PASSED).alias("status"), F.array_join(missing, ", ").alias("missing"))
+
+
+def code_support(shipments: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(shipment_id, status, reason): a code in the catalog, with metadata of a known status, is supported.
+
+    catalog: code, has_metadata, validation_status; a configured list, which Spark broadcasts while it is small.
+    """
+    joined = shipments.join(catalog.withColumn("_in", F.lit(True)), "code", "left")
+    reason = (
+        F.when(F.col("_in").isNull(), "outside_validated_mvp_scope").when(~F.coalesce("has_metadata", F.lit(False)), "missing_tariff_metadata")
+        .when(F.coalesce(F.trim("validation_status"), F.lit("")) == "", "missing").otherwise(F.col("validation_status"))
+    )
+    fine = F.col("_in").isNotNull() & F.coalesce("has_metadata", F.lit(False)) & (F.coalesce(F.trim("validation_status"), F.lit("")) != "")
+    return joined.select("shipment_id", F.when(fine, PASSED).otherwise(REVIEW).alias("status"), reason.alias("reason"))
+
+
+def with_provenance(checks: DataFrame) -> DataFrame:
+    """A government rule's pass, or inapplicability, without whole or with uncertain provenance becomes manual_review.
+
+    checks: shipment_id, check_id, status, message, government, source_document, source_url,
+    source_page, source_locator, issuing_authority, effective_date, legal_cutoff_date,
+    rule_data_version, validation_status. Applied once, last; failures stay.
+    """
+    empty = lambda c: F.col(c).isNull() | (F.col(c).cast("string") == "")
+    cutoff = F.coalesce("legal_cutoff_date", F.when(F.col("government"), F.lit(LEGAL_CUTOFF).cast("date")))
+    lacks = {c: empty(c) for c in LEGAL_FIELDS if c not in ("source_page_or_source_locator", "legal_cutoff_date")}
+    lacks |= {"source_page_or_source_locator": F.col("source_page").isNull() & empty("source_locator"), "legal_cutoff_date": cutoff.isNull()}
+    missing = F.array_compact(F.array(*[F.when(lacks[c], F.lit(c)) for c in LEGAL_FIELDS]))
+    low = F.lower(F.coalesce("validation_status", F.lit("")))
+    unsure = (low == "") | F.exists(F.array(*map(F.lit, UNCERTAIN)), lambda m: F.contains(low, m))
+    down = F.coalesce("government", F.lit(False)) & F.col("status").isin(PASSED, NOT_APPLICABLE) & ((F.size(missing) > 0) | unsure)
+    why = F.array_join(F.array_compact(F.array(
+        F.when(F.size(missing) > 0, F.concat(F.lit("missing legal source field(s): "), F.array_join(missing, ", "))), F.when(unsure, F.lit("validation status is absent or uncertain")))), " and ")
+    message = F.when(down, F.concat("message", F.lit(" Manual review required because "), why, F.lit("."))).otherwise(F.col("message"))
+    return checks.select("shipment_id", "check_id", F.when(down, REVIEW).otherwise(F.col("status")).alias("status"), message.alias("message"))
+
+
+def general_documents(shipments: DataFrame, documents: DataFrame, source_url: str | None) -> DataFrame:
+    """The three documents that every shipment needs; a rule without a source to cite is for review."""
+    names = ("commercial_invoice", "packing_list", "form_e")
+    wanted = shipments.select("shipment_id", F.explode(F.array(*map(F.lit, names))).alias("document"))
+    joined = wanted.join(documents.select("shipment_id", "document", F.lit(True).alias("_has")), ["shipment_id", "document"], "left")
+    present = F.col("_has").isNotNull()
+    return joined.select("shipment_id", F.concat(F.lit("required_document_"), "document").alias("check_id"), (F.lit(REVIEW) if not source_url else F.when(present, PASSED).otherwise(FAILED)).alias("status"))
+
+
+def verified_requirements(shipments: DataFrame, documents: DataFrame, requirements: DataFrame) -> DataFrame:
+    """Requirements of a product whose own status is known: false, conditional or true, by presence.
+
+    requirements: code, document, value, verification. One whose verification is absent or
+    uncertain, or without a value, is for review; what is verified as not required does not apply.
+    """
+    rows = shipments.join(requirements, "code").join(documents.withColumn("_has", F.lit(True)), ["shipment_id", "document"], "left")
+    has, low = F.coalesce("_has", F.lit(False)), F.lower(F.coalesce("verification", F.lit("")))
+    unsure = (low == "") | F.exists(F.array(*map(F.lit, UNCERTAIN)), lambda m: F.contains(low, m)) | F.col("value").isNull()
+    status = F.when(unsure, REVIEW).when(F.col("value") == "false", NOT_APPLICABLE).when(has, PASSED).when(F.col("value") == "conditional", REVIEW).otherwise(FAILED)
+    return rows.select("shipment_id", "document", status.alias("status"))
+
+
+def outstanding_details(checks: DataFrame) -> DataFrame:
+    """Documents still to obtain in the order first named, with the distinct reasons and sources of all their checks.
+
+    checks: shipment_id, ordinal, status, required_document, message, source.
+    """
+    document = F.lower(F.trim("required_document"))
+    open_ = checks.where(F.col("status").isin(FAILED, REVIEW)).withColumn("document", document).where("document <> '' and document not in ('commercial_invoice', 'packing_list')")
+    once = lambda c: F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("ordinal", c)))), lambda x: x[c])), "|")
+    found = open_.groupBy("shipment_id", "document").agg(F.min("ordinal").alias("_first"), F.when(F.bool_or(F.col("status") == FAILED), "required").otherwise("conditional").alias("requirement"), once("message").alias("reasons"), once("source").alias("sources"))
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("shipment_id").orderBy("_first"))).drop("_first")
+
+
+def patched_requirements(products: DataFrame, date: str, authority: str = "Ministry of Commerce") -> DataFrame:
+    """Requirements with what a primary source settles: date, authority where absent, unknown values as not required.
+
+    products: code, issuing_authority, and for licence, permit and approval a value and a verification.
+    """
+    out = [F.col("code"), F.lit(date).alias("effective_date"), F.coalesce(F.nullif("issuing_authority", F.lit("")), F.lit(authority)).alias("issuing_authority")]
+    for kind in ("licence", "permit", "approval"):
+        unknown = F.col(f"{kind}_value").isNull()
+        out += [F.when(unknown, "false").otherwise(F.col(f"{kind}_value")).alias(f"{kind}_value"), F.when(unknown, f"verified_no_{kind}_required_under_epo_2022_general_permission").otherwise(F.col(f"{kind}_verification")).alias(f"{kind}_verification")]
+    return products.select(*out)

@@ -32,19 +32,6 @@ def unseen_events(spark, sf_dir):
     return audit.unseen(rows, rows.where("event_id % 3 = 0"), "user_id", ["ts", "event_id"]).select("event_id")
 
 
-CHANGES = S.CHECKS + """, ch AS (SELECT shipment_id, (['quantity', 'destination', 'code', 'shipment_date'])[shipment_id % 4 + 1] AS field FROM ships WHERE shipment_id % 3 = 0)"""
-
-
-@query(f"""
-WITH {CHANGES}
-SELECT DISTINCT c.shipment_id, check_id FROM checks c JOIN ch USING (shipment_id) WHERE field = 'destination' AND check_id LIKE 'xr\\_coo%' ESCAPE '\\' OR field = 'code' AND check_id LIKE 'xr\\_%' ESCAPE '\\' OR field = 'shipment_date' AND check_id LIKE 'xr\\_52010090\\_shipment%' ESCAPE '\\'""")
-def affected_checks(spark, sf_dir):
-    checks = S._checks(spark, sf_dir)
-    field = F.element_at(F.array(*map(F.lit, ("quantity", "destination", "code", "shipment_date"))), (F.col("shipment_id") % 4 + 1).cast("int"))
-    changes = checks.where("shipment_id % 3 = 0").select("shipment_id", field.alias("field")).distinct()
-    return audit.affected_checks(changes, checks, spark)
-
-
 @query(f"""
 WITH {S.CHECKS}, a AS (SELECT shipment_id, check_id, CASE WHEN shipment_id % 11 = 0 AND status = 'passed' THEN 'failed' ELSE status END AS status FROM checks WHERE NOT (shipment_id % 7 = 0 AND check_id LIKE '%form_e')),
 j AS (SELECT c.shipment_id, c.status, a.status AS audited FROM checks c LEFT JOIN a USING (shipment_id, check_id)), g AS (SELECT shipment_id, count(*) FILTER (WHERE audited IS NULL) AS omitted, count(*) FILTER (WHERE audited <> status) AS differing, bool_or(status <> 'passed') AS o FROM j GROUP BY 1)
@@ -123,7 +110,7 @@ def defect_register(spark, sf_dir):
 
 
 @query("""
-SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' AND text IS NOT NULL GROUP BY 1 HAVING count(*) = count(DISTINCT turn)""")
+SELECT conv_id, max(turn) AS turn, arg_max(text, {'n': turn, 't': text}) AS text FROM conversations WHERE role = 'assistant' AND text IS NOT NULL GROUP BY 1""")
 def last_answers(spark, sf_dir):
     """The last assistant message of each conversation, from which it goes on."""
     said = load(spark, sf_dir, "conversations").where("role = 'assistant' and text is not null")

@@ -162,9 +162,9 @@ def parent_child_chunks(spark, sf_dir):
     return chunking.chunks(docs.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("slug"), F.lit(None).cast("int").alias("page"), F.lit(0).alias("unit"), "text"))
 
 
-@query("""
-WITH p AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: trim(x) <> '') AS ps FROM documents), q AS (SELECT doc_id, i - 1 AS parent, list_filter(string_split(ps[i], chr(10)), lambda x: trim(x) <> '') AS ls, ps[i] AS p FROM p, unnest(range(1, len(ps) + 1)) r(i)),
-c AS (SELECT doc_id, parent, ls AS cs FROM q WHERE len(ls) > 1), e AS (SELECT doc_id, parent, i - 1 AS child_index, trim(cs[i]) AS child FROM c, unnest(range(1, len(cs) + 1)) r(i))
+@query(r"""
+WITH p AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(x) <> '') AS ps FROM documents), q AS (SELECT doc_id, i - 1 AS parent, list_filter(string_split(ps[i], chr(10)), lambda x: trim(x) <> '') AS ls, ps[i] AS p FROM p, unnest(range(1, len(ps) + 1)) r(i)),
+c AS (SELECT doc_id, parent, CASE WHEN len(ls) > 1 THEN ls ELSE list_filter(string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)), lambda x: trim(x) <> '') END AS cs FROM q), e AS (SELECT doc_id, parent, i - 1 AS child_index, trim(cs[i]) AS child FROM c, unnest(range(1, len(cs) + 1)) r(i))
 SELECT doc_id, CAST(parent AS INTEGER) AS parent, CAST(child_index AS INTEGER) AS child_index, CASE WHEN (contains(lower(child), 'invoice') AND contains(lower(child), 'no')) OR contains(lower(child), 'date') THEN 'header' WHEN contains(lower(child), 'total') THEN 'totals' WHEN contains(lower(child), 'weight') THEN 'weights' ELSE 'body' END AS section, sha256(child) AS content_hash FROM e""")
 def line_chunks(spark, sf_dir):
     return chunking.line_children(load(spark, sf_dir, "documents")).select("doc_id", "parent", "child_index", "section", "content_hash")
@@ -195,8 +195,10 @@ def active_chunks(spark, sf_dir):
     return chunking.active_chunks(rows).select("event_id", "active")
 
 
-@query("""
-SELECT o_orderkey AS shipment_id, sha256('shipment_id: ' || o_orderkey || chr(10) || 'destination: ' || coalesce(n_name, 'unknown')) AS checksum FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON n_nationkey = c_nationkey""")
+@query(f"""
+SELECT o_orderkey AS shipment_id, sha256(concat_ws(chr(10), 'shipment_id: ' || o_orderkey, 'destination: ' || coalesce(n_name, 'unknown'), 'shipment_date: ' || coalesce(CAST(CAST(o_orderdate AS DATE) AS VARCHAR), 'unknown'),
+  'code: ' || (['{"', '".join(views.CODES)}'])[o_orderkey % {len(views.CODES)} + 1], 'exporter: ' || coalesce(c_name, 'unknown'), 'amount: ' || coalesce(CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR), 'unknown'))) AS checksum
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON n_nationkey = c_nationkey""")
 def shipment_summaries(spark, sf_dir):
     return chunking.summary_text(views.shipments(spark, sf_dir)).select("shipment_id", "checksum")
 

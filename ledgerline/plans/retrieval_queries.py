@@ -153,12 +153,6 @@ def similar_shipments(spark, sf_dir):
     return retrieval.similar_shipments(vectors, _query_vectors(spark, sf_dir), vectors, 5).select("query_id", "doc_id", "dense")
 
 
-@query("""SELECT label AS query_id, vec_id AS doc_id, CAST(vec_id % 3 AS BIGINT) AS page, CASE WHEN vec_id % 5 = 0 THEN 'document' WHEN vec_id % 2 = 0 THEN 'page' END AS reason FROM embeddings""")
-def citation_validation(spark, sf_dir):
-    cited = load(spark, sf_dir, "embeddings").select(F.col("label").alias("query_id"), F.col("vec_id").alias("doc_id"), (F.col("vec_id") % 3).alias("page"))
-    return retrieval.valid_citations(cited, cited.where("doc_id % 5 <> 0").withColumn("page", F.when(F.col("doc_id") % 2 == 0, 9).otherwise(F.col("page"))))
-
-
 @query("""
 WITH l AS (SELECT doc_id, text, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents)
 SELECT p.doc_id AS parent_id, c.doc_id, coalesce(p.text, c.text) = c.text AS same FROM l c LEFT JOIN l p ON p.doc_id = c.doc_id - 1 AND c.doc_id % 2 = 1""")
@@ -188,16 +182,6 @@ def index_signature(spark, sf_dir):
     return load(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"), F.max("vec_id").alias("latest"), F.min(F.size("embedding")).cast("long").alias("size"), F.bool_and(F.size("embedding") == 64).alias("compatible"))
 
 
-@query("""
-WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM conversations), s AS (SELECT *, list_filter(w, lambda x: NOT list_contains(['the', 'of', 'a', 'to', 'and', 'in', 'is'], x)) AS k FROM w)
-SELECT conv_id, turn, list_has_any(k, ['that', 'er', 'for']) AS shares FROM s""")
-def shipment_evidence_gate(spark, sf_dir):
-    """An answer's evidence must share a word with the question that is not a stop word."""
-    stop = F.array(*map(F.lit, ("the", "of", "a", "to", "and", "in", "is")))
-    words = F.array_except(T.words(F.col("text")), stop)
-    return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.arrays_overlap(words, F.array(*map(F.lit, ("that", "er", "for")))).alias("shares"))
-
-
 @query("""
 WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), s AS (SELECT doc_id, list_contains(w, 'that') AS first, list_contains(w, 'er') AS second FROM t), n AS (SELECT count(*) FILTER (WHERE first AND second) AS n FROM s)
 SELECT doc_id, CASE WHEN first AND second THEN 1 ELSE 2 END AS stage FROM s, n WHERE first AND second OR n = 0 AND first""")

@@ -165,16 +165,6 @@ def injection_phrases(spark, sf_dir):
     return rows.select("conv_id", "turn", "role", P.injections(text).alias("phrases"))
 
 
-@query("""
-SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'approval' WHEN 1 THEN 'guarantee,uncited' WHEN 2 THEN '' ELSE 'clearance' END AS violations, p_partkey % 4 IN (0) AS claims_approval,
-       CASE p_partkey % 4 WHEN 0 THEN 'snake_case' WHEN 1 THEN 'jargon' WHEN 3 THEN 'ungrounded_number' END AS failure FROM part""")
-def claim_predicates(spark, sf_dir):
-    k = (F.col("p_partkey") % 4 + 1).cast("int")
-    text = F.element_at(F.array(*map(F.lit, ("The shipment is approved.", "We guarantee it under section 4.", "It is not, and never was, approved.", "It will be cleared within 900 days."))), k)
-    told = F.element_at(F.array(*map(F.lit, ("see item_quantity_match", "the payload is 12", "all 180 days are there", "within 900 days"))), k)
-    return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), P.violations(text, F.lit(False)).alias("violations"), P.claims(text, r"\bis approved\b").alias("claims_approval"), P.explanation_failure(told, F.lit("limit 180 days")).alias("failure"))
-
-
 @query("""
 SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'stored_kind' WHEN 1 THEN 'official_tariff' WHEN 2 THEN 'official_policy' WHEN 3 THEN 'curated_rule_summary' ELSE 'unclassified' END AS kind,
        CASE p_partkey % 3 WHEN 0 THEN 'commercial_invoice|2|quantity' WHEN 1 THEN 'packing_list||currency' ELSE '||' END AS path FROM part""")
@@ -210,16 +200,6 @@ def correction_bases(spark, sf_dir):
     return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), basis.alias("basis"))
 
 
-@query("""
-WITH q AS (SELECT p_partkey AS id, (['hello there', 'compare both', 'which documents do I need', 'within how many days', 'tariff code for cotton', 'seizure of goods', 'is a permit needed', 'which country', 'what does section 3 say', 'tell me more'])[p_partkey % 10 + 1] AS t FROM part)
-SELECT id, (['greeting', 'comparison', 'documents', 'deadline', 'classification', 'penalty', 'licence', 'destination', 'law', 'general'])[id % 10 + 1] AS intent,
-       CASE WHEN id % 10 IN (0, 1, 2, 3, 4, 5, 6, 7, 8, 9) THEN 'general' END AS route, id % 10 = 4 AS in_domain FROM q""")
-def question_routes(spark, sf_dir):
-    asked = ("hello there", "compare both", "which documents do I need", "within how many days", "tariff code for cotton", "seizure of goods", "is a permit needed", "which country", "what does section 3 say", "tell me more")
-    text = F.element_at(F.array(*map(F.lit, asked)), (F.col("p_partkey") % 10 + 1).cast("int"))
-    return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), P.intent(text).alias("intent"), P.route(text).alias("route"), P.in_domain(text).alias("in_domain"))
-
-
 @query("""
 SELECT p_partkey AS id, p_partkey % 2 = 0 AND p_partkey % 5 <> 0 OR p_partkey % 3 = 0 AND p_partkey % 5 <> 0 AS is_regulatory, p_partkey % 5 = 0 AS is_scope, p_partkey % 7 = 0 OR p_partkey % 3 = 0 AS is_legal,
        'item quantity match ' || p_name AS shown FROM part""")
