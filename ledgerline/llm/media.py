@@ -11,7 +11,8 @@ an adaptive threshold: the mean of the last ``RECENT`` differences plus ``SPREAD
 and ``FLOOR`` at least. Each shot is a timed clip.
 
 Defined results: a null or empty text is a payload of 64 zero bytes; equal payloads give equal
-files; extra columns pass through if asked for. Memory is that of one batch of rows plus one
+files; repeated rows give equal values; an empty table gives no rows; extra columns pass through if
+asked for, whatever their names, but one that is named like a result is given up. Memory is that of one batch of rows plus one
 chunk of lines.
 """
 
@@ -25,6 +26,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import shipped
@@ -271,13 +273,13 @@ def media_columns(docs: DataFrame, text_col: str = "text", keep: Sequence[str] =
     """The columns ``keep`` of ``docs`` with those of ``RESULT``; one row per row, no shuffle."""
     shipped(docs.sparkSession)
     keep = [c for c in keep if c not in RESULT.names]
-    source = docs.select(*dict.fromkeys([*keep, text_col]))
-    schema = T.StructType([*(source.schema[c] for c in keep), *RESULT.fields])
+    source = docs.select(F.struct(*keep).alias("_kept"), F.col(text_col).cast("binary").alias("_text"))
+    schema = T.StructType([source.schema["_kept"], *RESULT.fields])
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([(n, pa.int32()) for n in ("clip", "start_ms", "end_ms", "first_frame", "frames")]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text_col).cast(pa.binary()).to_pylist()
+            texts = batch.column("_text").to_pylist()
             done, group, held = [], [], 0
             for k, text in enumerate(texts):
                 group.append(text)
@@ -286,6 +288,12 @@ def media_columns(docs: DataFrame, text_col: str = "text", keep: Sequence[str] =
                     done += describe(group)
                     group, held = [], 0
             columns = zip(*done) if done else [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(list(c), t) for c, t in zip(columns, kinds))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("_kept"), *(pa.array(list(c), t) for c, t in zip(columns, kinds))], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select("_kept.*", *RESULT.names)
+
+
+def clip_rows(media: DataFrame) -> DataFrame:
+    """One row for each timed clip of what ``media_columns`` returns, with all but the feature columns."""
+    kept = [c for c in media.columns if c not in RESULT.names or c == "media_sha256"]
+    return media.select(*kept, F.explode("clips").alias("_clip")).select(*kept, "_clip.*")
