@@ -8,12 +8,14 @@ host's posterior, each by the weight of a Beta prior whose strength is estimated
 means of groups differ beyond chance: sparse sites fall back on the level above. A document's
 posterior odds are its own, moved by its path's posterior odds against the global ones.
 
-At most ``TRAIN_ROWS`` labelled rows, the first by a hash of their id, are fitted on; sums cover all
-documents. Only sizes, ids and sites are shuffled, never texts, and sums are pre-aggregated.
+At most ``TRAIN_ROWS`` labelled rows, the first by a hash of their id and text, are fitted on; sums
+cover all documents. Only sizes, ids and sites are shuffled, never texts, and sums are pre-aggregated.
 
 Defined results: a null or empty text has all shares 0; null hosts and paths are groups of their
 own; labels that are null or in no document do not count; without labels of both kinds every
-document's evidence is the smoothed share; an empty table gives no rows; repeated rows count each.
+document's evidence is the smoothed share; an empty table gives no rows; repeated rows count each
+and get equal values; a very long text is measured whole; extra columns are ignored, whatever their
+names; ids may be of any type that labels share.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shipped, stored
+from .common import labelled, shipped, stored
 from .linear import fit, predict
 
 TRAIN_ROWS, THRESHOLD = 8000, 0.5
@@ -54,17 +56,11 @@ def measures(text: bytes | None) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[np.ndarray, np.ndarray]:
-    spark = docs.sparkSession
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).where("_id is not null and _y is not null")
-    chosen = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(TRAIN_ROWS).collect()
-    chosen = spark.createDataFrame([(r["_id"], int(r["_y"])) for r in chosen], "_id long, _y int")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).join(F.broadcast(chosen), "_id")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_y"), pa.array([measures(t).tolist() for t in b.column("_text").to_pylist()], pa.list_(pa.float64()))], names=["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("_h"), b.column("_y"), pa.array([measures(t).tolist() for t in b.column("_text").to_pylist()], pa.list_(pa.float64()))], names=["h", "y", "x"])
 
-    got = sorted(rows.select("_id", "_y", "_text").mapInArrow(run, "id long, y int, x array<double>").collect())
+    got = sorted(labelled(docs, labels, TRAIN_ROWS, id_col, text_col, label_col).mapInArrow(run, "h long, y int, x array<double>").collect())  # TRAIN_ROWS at most
     return np.array([r["x"] for r in got]).reshape(len(got), len(_PUNCTUATION) + 10), np.array([r["y"] for r in got], dtype=float)
 
 
