@@ -2,18 +2,23 @@
 
 Categories are predicted one after the other; each model is linear in word features and in the
 probabilities of the categories before it. In training those probabilities are out-of-fold: each
-row's come from models that have not seen it. Two categories, whose labels are the fixed word
-lists below, lead to the last, ``toxic``, whose labels are given.
+row's come from models that have not seen it. The label table has one category, ``toxic``; the two
+before it are its grades, taken from the labelled rows and no list of words: a toxic row is
+``severe`` if it has ``SEVERE`` or more distinct words that have a toxic feature, and ``explicit`` if it has one.
+Toxic features are those that the rows of the other folds show, so no row labels itself.
 
 Features are words and beginnings of words, by the number of distinct words of a text that have
 them. A category's model takes the ``FEATURES`` that are most surely more frequent in its rows,
-each weighed by how surely, and the strongest two of a text once more; all anew for each fold. At most ``TRAIN_ROWS`` labelled rows, the first by a hash of their id,
-are fitted on; every row is scored, over its whole text. The model is bounded, so it is broadcast.
+each weighed by how surely, and the strongest two of a text once more; all anew for each fold. At
+most ``TRAIN_ROWS`` labelled rows, the first by a hash of their id and text, are fitted on; every row
+is scored, over its whole text. The model is bounded, so it is broadcast.
 
 Defined results: a null or empty text has no feature and gets the models' intercepts; labels that
 are null, or whose id is null or in no document, do not count; without labels of both kinds all
-rows get the same smoothed share, and an empty label table makes nothing toxic; repeated rows get
-equal scores; extra columns pass through if asked for.
+rows get the same smoothed share, and an empty label table makes nothing toxic; an empty document
+table gives no rows; repeated rows get equal scores, and count each in training; a very long text
+counts as its set of distinct words; extra columns pass through if asked for, whatever their names,
+but one that is named like a result is given up; ids may be of any type that labels share.
 """
 
 from __future__ import annotations
@@ -27,19 +32,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shipped
+from .common import labelled, shipped
 from .decontamination import words_of
 from .linear import fit, predict, sigmoid
 
-#: Words whose presence labels the two leading categories.
-INSULT = ("clown", "idiot", "loser", "moron", "scum")
-CONTEMPT = ("disgusting", "pathetic", "stupid", "trash", "worthless")
-CATEGORIES = ("insult", "contempt", "toxic")
+CATEGORIES = ("severe", "explicit", "toxic")
+#: Distinct words with a toxic feature that make a toxic row severe.
+SEVERE = 3
 #: Labelled rows, features and folds of a model; lengths in bytes of beginnings of words.
-TRAIN_ROWS, FEATURES, FOLDS, BEGINNINGS = 4000, 160, 5, range(4, 9)
+TRAIN_ROWS, FEATURES, FOLDS, BEGINNINGS = 4000, 320, 5, range(4, 9)
 #: Standard errors by which evidence is lowered.
 MARGIN = 2.0
-THRESHOLD = 0.4
+THRESHOLD = 0.5
+#: Words of labelled rows whose features are counted at once.
+CHUNK = 200_000
 #: Words without any feature that a task remembers.
 REMEMBERED = 1_000_000
 
@@ -49,19 +55,37 @@ def features_of(word: bytes) -> list[bytes]:
 
 
 class Sample:
-    """Labelled texts as counts of hashed features."""
+    """Labelled texts as counts of features, in flat arrays."""
 
-    def __init__(self, words: list[list[bytes]]):
+    def __init__(self, texts: Sequence[bytes]):
+        """texts: the distinct words of each row, joined by blanks."""
         number: dict[bytes, int] = {}
-        row, column = [], []
-        for k, ws in enumerate(words):
-            for w in ws:
-                for f in features_of(w):
-                    row.append(k)
-                    column.append(number.setdefault(f, len(number)))
-        self.names, n = list(number), len(number)
-        key, self.count = np.unique(np.array(row, dtype=np.int64) * max(1, n) + np.array(column, dtype=np.int64), return_counts=True)
-        self.row, self.column, self.rows = key // max(1, n), key % max(1, n), len(words)
+        vocabulary: dict[bytes, int] = {}
+        own: list[np.ndarray] = []  # features of each word of the vocabulary
+        held: list[np.ndarray] = []
+        for text in texts:
+            words = text.split()
+            for w in words:
+                if w not in vocabulary:
+                    vocabulary[w] = len(own)
+                    own.append(np.array([number.setdefault(f, len(number)) for f in features_of(w)], dtype=np.int32))
+            held.append(np.fromiter((vocabulary[w] for w in words), dtype=np.int32, count=len(words)))
+        self.names, self.rows = list(number), len(held)
+        self.size = np.array([len(x) for x in own], dtype=np.int64)
+        self.features, self.first = np.concatenate(own) if own else np.zeros(0, np.int32), np.cumsum(self.size) - self.size
+        self.word = np.concatenate(held) if held else np.zeros(0, np.int32)
+        self.row_of_word = np.repeat(np.arange(self.rows, dtype=np.int32), [len(x) for x in held])
+        n, keys, counts = max(1, len(number)), [], []
+        for at in range(0, len(self.word), CHUNK):  # a row that a cut divides is summed below
+            w, r = self.word[at : at + CHUNK], self.row_of_word[at : at + CHUNK]
+            many = self.size[w]
+            place = np.repeat(self.first[w] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            key, count = np.unique(np.repeat(r, many).astype(np.int64) * n + self.features[place], return_counts=True)
+            keys.append(key)
+            counts.append(count)
+        key, at = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_inverse=True)
+        self.count = np.bincount(at, np.concatenate(counts) if counts else None, len(key)).astype(np.int32) if len(key) else np.zeros(0, np.int32)
+        self.row, self.column = (key // n).astype(np.int32), (key % n).astype(np.int32)
 
     def chosen(self, y: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The features most surely more frequent where ``y``, in the rows ``live``, and how surely.
@@ -78,6 +102,17 @@ class Sample:
         best = best[(surely[best] > 0) & (positive[best] > 2)]
         return best, surely[best]
 
+    def grades(self, toxic: np.ndarray, fold: np.ndarray) -> list[np.ndarray]:
+        """For each row the labels of the two grades, by toxic features of the rows of other folds."""
+        hits = np.zeros(self.rows)
+        for k in range(FOLDS if len(self.word) else 0):
+            found = np.zeros(len(self.names), dtype=bool)
+            found[self.chosen(toxic, fold != k)[0]] = True
+            toxic_word = np.logical_or.reduceat(found[self.features], self.first)
+            each = np.bincount(self.row_of_word[toxic_word[self.word]], minlength=self.rows)
+            hits = np.where((fold == k) & (toxic == 1), each, hits)
+        return [(hits >= SEVERE).astype(float), (hits >= 1).astype(float)]
+
     def matrix(self, features: np.ndarray, surely: np.ndarray) -> np.ndarray:
         """Evidence by feature, then the strongest and the second strongest."""
         place = np.full(len(self.names), -1)
@@ -94,10 +129,9 @@ class Sample:
 class Chain:
     """The fitted models: for each category the weights by feature, of earlier ones, and the intercept."""
 
-    def __init__(self, words: list[list[bytes]], toxic: np.ndarray):
-        lists = [{w.encode() for w in names} for names in (INSULT, CONTEMPT)]
-        labels = [np.array([int(any(w in names for w in ws)) for ws in words], dtype=float) for names in lists] + [toxic.astype(float)]
+    def __init__(self, words: Sequence[bytes], toxic: np.ndarray):
         sample, fold = Sample(words), np.arange(len(words)) % FOLDS
+        labels = [*sample.grades(toxic, fold), toxic.astype(float)]
         before = np.zeros((len(words), 0))
         self.weights: dict[bytes, list[tuple[int, float, float]]] = {}
         self.strongest, self.earlier, self.base = [], [], []
@@ -147,19 +181,14 @@ class Chain:
 
 
 def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Chain:
-    spark = docs.sparkSession
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).where("_id is not null and _y is not null")
-    chosen = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(TRAIN_ROWS).collect()
-    chosen = spark.createDataFrame([(r["_id"], int(r["_y"])) for r in chosen], "_id long, _y int")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).join(F.broadcast(chosen), "_id")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = [b" ".join(sorted(set(words_of(t)))) for t in b.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_y"), pa.array(words, pa.binary())], names=["id", "y", "words"])
+            yield pa.RecordBatch.from_arrays([b.column("_h"), b.column("_y"), pa.array(words, pa.binary())], names=["h", "y", "words"])
 
-    got = sorted(rows.select("_id", "_y", "_text").mapInArrow(run, "id long, y int, words binary").collect())
-    return Chain([bytes(r["words"]).split() for r in got], np.array([r["y"] for r in got]))
+    got = labelled(docs, labels, TRAIN_ROWS, id_col, text_col, label_col).mapInArrow(run, "h long, y int, words binary").collect()  # TRAIN_ROWS at most
+    got = sorted(got, key=lambda r: (r["h"], bytes(r["words"]), r["y"]))
+    return Chain([bytes(r["words"]) for r in got], np.array([r["y"] for r in got]))
 
 
 RESULT = T.StructType([T.StructField(f"p_{c}", T.DoubleType()) for c in CATEGORIES] + [T.StructField("toxic", T.BooleanType())])
@@ -170,13 +199,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     spark = shipped(docs.sparkSession)
     model = spark.sparkContext.broadcast(trained(docs, labels, id_col, text_col))
     keep = [c for c in keep if c not in RESULT.names]
-    source = docs.select(*dict.fromkeys([*keep, text_col]))
-    schema = T.StructType([*(source.schema[c] for c in keep), *RESULT.fields])
+    source = docs.select(F.struct(*keep).alias("_kept"), F.col(text_col).cast("binary").alias("_text"))
+    schema = T.StructType([source.schema["_kept"], *RESULT.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         neutral: set[bytes] = set()
         for b in batches:
-            p = model.value.score(b.column(text_col).cast(pa.binary()).to_pylist(), neutral).round(6)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(p[:, c]) for c in range(len(CATEGORIES))), pa.array(p[:, -1] >= THRESHOLD)], names=schema.names)
+            p = model.value.score(b.column("_text").to_pylist(), neutral).round(6)
+            yield pa.RecordBatch.from_arrays([b.column("_kept"), *(pa.array(p[:, c]) for c in range(len(CATEGORIES))), pa.array(p[:, -1] >= THRESHOLD)], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select("_kept.*", *RESULT.names)
