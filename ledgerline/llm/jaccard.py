@@ -1,30 +1,35 @@
 """N-gram Jaccard join: prefix filters under several global orders, then exact verification.
 
 A document's set holds 64-bit hashes of its distinct shingles of ``SHINGLE`` words. Documents with
-equal sets form a class, known by its smallest row. A global order of shingles puts rare ones
-first; a set's prefix is the least part of which two sets that link must share a member. So a pair
-is a candidate only if its prefixes meet, and under ``ORDERS`` different orders they must meet in
-each. Rarity comes from counters over all shingles of all documents, wide in proportion to their
-number (``COUNTERS_MOST`` at most), of which only the magnitude is sent to the tasks. It steers the
-order, hence the cost, and never the result.
+equal sets form a class, known by its smallest row. A global order of shingles ranks them; a set's
+prefix under it is the least part of which two sets that link must share a member. So a pair is a
+candidate only if its prefixes meet, and under ``ORDERS`` different orders they must meet in each.
+The first order puts rare shingles first: rarity comes from counters over all shingles of all
+documents, wide in proportion to their number (``COUNTERS_MOST`` at most), of which only the
+magnitude is sent to the tasks. The other orders are by hashes. Orders steer the cost, never the result.
 
 *Index.* Prefix members under the first order are dealt to buckets, packed as bytes; a member that
 very many documents may have is salted. Members of one set only drop out there, and what remains
 are groups of rows by shingle.
 
-*Links.* First each row of a group is compared with the ``NEXT`` rows after it, a number of pairs
-linear in the index. Components of the links found settle most groups. In a group that is left with
-rows of several components, all pairs of different components are compared, in blocks where the
-group is large. Each pair passes the size filter; then that of positions: by the first shingle that
-they share in the order, no more than what follows can be common; then that of parity sketches,
-whose bits that differ are no more than the members that differ; then the other orders' prefixes;
-then the exact count of common shingles. All filters are bounds, so no link between different
-components is lost, and components are exact.
+*Families.* First each row meets the rows of ``FAMILY_TOKENS`` of its groups, the largest ones,
+which near copies have in common. A group gives pairs that span it, fewer than its rows; these
+are verified, and components of the links found settle families of any size.
 
-Rows are known by their position in the input, so ``docs`` must be read from files or stored.
+*Rest.* In each group that is left with rows of several components, all pairs of rows of different
+components are compared, in blocks where the group is large. Of each pair the sizes must allow a
+link; then positions: by the first shingle that they share in the order, no more than what follows
+can be common; then parity sketches, whose bits that differ are no more than the members that
+differ; then the prefixes under the other orders, which must meet. What passes is verified: the
+sets move, and common shingles are counted exactly. All filters are bounds, so no link between
+different components is lost, and components are exact.
+
+Rows are numbered once, in a table written with their texts, so no number changes when a task or
+an executor is lost or files are cut anew.
 Defined results: a null, empty or blank text has no shingle and links with nothing; fewer words
 than ``SHINGLE`` are one shingle; equal rows are linked; a component's id is its smallest id that
-is not null; an empty table gives no rows; extra columns are ignored. Memory: one document's set,
+is not null; an empty table gives no rows; extra columns are ignored, whatever
+their names; a very long text is one set, of 8 bytes a shingle. Memory: one document's set,
 one bucket of the index, one group of bounded size.
 """
 
@@ -36,10 +41,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shipped, stored
+from .common import numbered, shipped, stored
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -49,12 +54,14 @@ ORDERS = 3
 PER_COUNTER, COUNTERS_LEAST, COUNTERS_MOST, CHUNK = 32, 1 << 16, 1 << 24, 1 << 14
 #: Entries of an index bucket, rows of a salted group, and rows of a block, about.
 BUCKET_ENTRIES, GROUP_ROWS, BLOCK_ROWS = 400_000, 1000, 512
-#: How many of the next rows of its groups a row is compared with at first.
-NEXT = 4
+#: Bits of the rank by which a prefix member of the other orders is known.
+RANK = 32
 #: Pairs of one leader that are verified in one go.
 LEADER_PAIRS = 1000
 #: Bits of a parity sketch at least and at most; a set has twice as many as members, about.
-PARITY_LEAST, PARITY_MOST = 256, 1 << 20
+PARITY_LEAST, PARITY_MOST = 512, 1 << 20
+#: By how many of its groups a row looks for its family at first, and bytes of a sketch there.
+FAMILY_TOKENS, FOLDED = 4, PARITY_LEAST // 8
 #: Rarity is told in quarters of a doubling, from this multiple of the counters' mean on.
 STEPS, PLAIN = 4, 1.75
 #: Odd multipliers: one for each word of a shingle, one for each order.
@@ -102,12 +109,12 @@ def shingle_sets(texts: list[bytes | None], hashes: WordHashes) -> list[np.ndarr
     return out
 
 
-def prefix(shingles: np.ndarray, rarity: np.ndarray, order: int) -> np.ndarray:
-    """The members of a set that come first under one order, in order, as many as a link must meet."""
+def prefix(shingles: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """The members of a set that come first under the first order, in order, as many as a link must meet."""
     n = len(shingles)
     count = n - (PERCENT * n + 99) // 100 + 1
     shift = np.uint64(64 - int(len(rarity)).bit_length() + 1)
-    key = (rarity[(shingles >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (mixed(shingles * np.uint64(ORDER_FACTORS[order])) >> np.uint64(8))
+    key = (rarity[(shingles >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (mixed(shingles * np.uint64(ORDER_FACTORS[0])) >> np.uint64(8))
     first = np.argpartition(key, count - 1)[:count] if count < n else np.arange(n)
     return shingles[first[np.argsort(key[first])]]
 
@@ -119,8 +126,30 @@ def parity(shingles: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def folded(bits: bytes) -> bytes:
+    """A parity sketch of ``FOLDED`` bytes, which bounds as the whole one does, if less tightly."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, dtype=np.uint64).reshape(-1, FOLDED // 8), axis=0).tobytes()
+
+
+def heads(shingles: np.ndarray) -> bytes:
+    """The prefixes under the orders but the first, each as sorted ranks cut to ``RANK`` bits."""
+    n = len(shingles)
+    count = n - (PERCENT * n + 99) // 100 + 1
+    out = []
+    for factor in ORDER_FACTORS[1:]:
+        rank = mixed(shingles * np.uint64(factor))
+        out.append((np.partition(rank, count - 1)[:count] if count < n else rank) & np.uint64((1 << RANK) - 1))
+    return np.concatenate(out).astype(np.uint32).tobytes()
+
+
+def heads_meet(x: bytes, y: bytes) -> bool:
+    """Whether two sets' prefixes share a member under each of the orders but the first."""
+    a, b = (np.frombuffer(h, dtype=np.uint32).reshape(ORDERS - 1, -1) for h in (x, y))
+    return all(np.isin(p, q).any() for p, q in zip(a, b))
+
+
 def near_enough(batches):
-    """Of the pairs (a, b, nx, ny, px, py), those whose sizes and parity sketches allow a link."""
+    """Of the pairs (a, b, nx, ny, px, py, hx, hy), those whose sizes, sketches and prefixes allow a link."""
     for batch in batches:
         a, b, n, m = (batch[c].to_numpy().astype(np.int64) for c in ("a", "b", "nx", "ny"))
         left, right = batch["px"].to_pylist(), batch["py"].to_pylist()
@@ -133,6 +162,9 @@ def near_enough(batches):
             least = min(x, y)
             folded = [np.bitwise_xor.reduce(np.frombuffer(b"".join(side[k] for k in at.tolist()), dtype=np.uint8).reshape(len(at), -1, least), axis=1) for side in (left, right)]
             ok[at] = np.bitwise_count(folded[0] ^ folded[1]).sum(axis=1, dtype=np.int64) <= most[at]
+        heads_x, heads_y = batch["hx"], batch["hy"]
+        for k in np.flatnonzero(ok).tolist():
+            ok[k] = heads_meet(heads_x[k].as_py(), heads_y[k].as_py())
         yield a[ok].tolist(), b[ok].tolist()
 
 
@@ -177,13 +209,13 @@ def _sets(batch: dict, hashes: WordHashes, step: int = 512) -> Iterator[tuple[in
 
 
 def scanned(docs: DataFrame, counters: int) -> DataFrame:
-    """(row, n, one, two, bits): a row's set size, fingerprint and parity; and (-1 - chunk, counts)."""
+    """(row, n, one, two, bits, fold, heads): a row's set size, fingerprint, sketches and prefixes; and (-1 - chunk, counts)."""
 
     def run(batches):
         hashes, counts = WordHashes(), np.zeros(counters, dtype=np.int64)
         shift = np.uint64(64 - counters.bit_length() + 1)
         for batch in batches:
-            rows, sizes, one, two, bits = [], [], [], [], []
+            rows, sizes, one, two, bits, folds, tops = [], [], [], [], [], [], []
             for row, s in _sets(batch, hashes):
                 key = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64).tolist()
                 rows.append(row)
@@ -191,13 +223,15 @@ def scanned(docs: DataFrame, counters: int) -> DataFrame:
                 one.append(key[0])
                 two.append(key[1])
                 bits.append(parity(s))
+                folds.append(folded(bits[-1]))
+                tops.append(heads(s) if len(s) else b"")
                 np.add.at(counts, (s >> shift).astype(np.int64), 1)
-            yield rows, sizes, one, two, bits
+            yield rows, sizes, one, two, bits, folds, tops
         parts = np.minimum(counts, 65_535).astype(np.uint16).reshape(-1, min(CHUNK, counters))
         live = [k for k, p in enumerate(parts) if p.any()]
-        yield [-1 - k for k in live], [0] * len(live), [0] * len(live), [0] * len(live), [parts[k].tobytes() for k in live]
+        yield [-1 - k for k in live], [0] * len(live), [0] * len(live), [0] * len(live), [parts[k].tobytes() for k in live], [b""] * len(live), [b""] * len(live)
 
-    return _batches(docs, run, "row long, n int, one long, two long, bits binary")
+    return _batches(docs, run, "row long, n int, one long, two long, bits binary, fold binary, heads binary")
 
 
 def magnitudes(chunks: DataFrame, counters: int) -> np.ndarray:
@@ -237,7 +271,7 @@ def indexed(docs: DataFrame, rarity, buckets: int) -> DataFrame:
             for row, s in _sets(batch, hashes):
                 if len(s) and (key := hashlib.blake2b(s.tobytes(), digest_size=16).digest()) not in seen:
                     seen.add(key)
-                    tokens.append(prefix(s, rare, 0))
+                    tokens.append(prefix(s, rare))
                     rows.append(np.full(len(tokens[-1]), row, dtype=np.int64))
                     rest = len(s) - np.arange(len(tokens[-1]))
                     rests.append(np.where(rest >= common_least(len(s), len(s)), -rest, rest))
@@ -288,12 +322,12 @@ def indexed(docs: DataFrame, rarity, buckets: int) -> DataFrame:
     return _batches(packed.repartition("bucket").sortWithinPartitions("bucket"), group, "token long, salts long, rows array<long>, rests array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rarity) -> DataFrame:
-    """The pairs (a, b) of rows that link. pairs: distinct, sizes already near enough.
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of rows that link. pairs: distinct, already through all filters.
 
     Sets meet by leader ``a``, whose pairs are salted if many; a leader's set goes to each salt.
     """
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / LEADER_PAIRS).alias("salts"))
+    many = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / LEADER_PAIRS).alias("salts")))
     dealt = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), "b")
     leaders = many.select(F.col("a").alias("_row"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"))
     asks = leaders.unionByName(dealt.select(F.col("b").alias("_row"), "a", "salt", F.lit(1).alias("side")))
@@ -314,108 +348,162 @@ def verified(pairs: DataFrame, docs: DataFrame, rarity) -> DataFrame:
             yield out
 
     def verify(batches):
-        rare, last, own, prefixes = rarity.value, None, None, None
+        last, own = None, None
         for batch in batches:
             found = [[], []]
             for a, side, row, data in zip(*(batch[c].to_pylist() for c in ("a", "side", "row", "data"))):
                 s = np.frombuffer(data, dtype=np.uint64)
                 if side == 0:
-                    last, own, prefixes = a, s, [prefix(s, rare, k) for k in range(1, ORDERS)]
-                elif last == a and all(np.isin(p, prefix(s, rare, k), assume_unique=True).any() for k, p in enumerate(prefixes, start=1)) and linked(own, s):
+                    last, own = a, s
+                elif last == a and linked(own, s):
                     found[0].append(a)
                     found[1].append(row)
             yield found
 
     # texts meet their asks by a sorted join whatever the sizes, so that cost grows in proportion
-    sets = _batches(docs.join(asks.hint("merge"), "_row"), ship, "a long, salt long, side int, row long, data binary")
+    sets = _batches(texts.join(asks.hint("merge"), "_row"), ship, "a long, salt long, side int, row long, data binary")
     return _batches(sets.repartition("a", "salt").sortWithinPartitions("a", "salt", "side"), verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: row, id, n_shingles, component_id, and the component's first row."""
+def family_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b, rest) that join the rows of each group (token, part) into as few parts as filters allow.
+
+    members: token, part, row, n, rest, fold. Rows are taken in order; of each part so far, each is
+    paired with the earlier row that it is most like by the sketches, if these, sizes and positions
+    allow a link, and joins those parts. So a group of m rows gives m - 1 pairs at most, however many of its rows are alike.
+    """
+
+    def spanned(rows: list[tuple], out: dict) -> None:
+        bits = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint64).reshape(len(rows), -1)
+        row, n, rest = np.array([r[:3] for r in rows]).T
+        part = np.arange(len(rows))
+        for k in range(1, len(rows)):
+            both, least = np.minimum(rest[:k], rest[k]), common_least(n[:k], n[k])
+            ok = (100 * np.minimum(n[:k], n[k]) >= PERCENT * np.maximum(n[:k], n[k])) & (both >= least)
+            if not ok.any():
+                continue
+            # how many members may differ more than do
+            spare = n[:k] + n[k] - 2 * least - np.bitwise_count(bits[:k] ^ bits[k]).sum(axis=1, dtype=np.int64)
+            near = np.flatnonzero(ok & (spare >= 0))
+            if len(near):
+                near = near[np.argsort(-spare[near], kind="stable")]
+                parts, first = np.unique(part[near], return_index=True)
+                for j in near[first].tolist():
+                    pair = int(row[j]), int(row[k])
+                    out[pair] = max(int(both[j]), out.get(pair, 0))
+                part[k] = parts[0]
+                part[:k][np.isin(part[:k], parts)] = parts[0]
+
+    def run(batches):
+        key, held, out = None, [], {}
+        for batch in batches:
+            for token, part, *x in zip(*(batch[c].to_pylist() for c in ("token", "part", "row", "n", "rest", "fold"))):
+                if key != (token, part):
+                    if len(held) > 1:
+                        spanned(held, out)
+                    held, key = [], (token, part)
+                    if len(out) > 50_000:
+                        yield [p[0] for p in out], [p[1] for p in out], list(out.values())
+                        out = {}
+                held.append(x)
+        if len(held) > 1:
+            spanned(held, out)
+        yield [p[0] for p in out], [p[1] for p in out], list(out.values())
+
+    return _batches(members.repartition("token", "part").sortWithinPartitions("token", "part", "row"), run, "a long, b long, rest long")
+
+
+def rest_pairs(members: DataFrame) -> DataFrame:
+    """All pairs (a, b, rest) of rows of different components in a group that sizes, positions and sketches allow.
+
+    members: token, row, n, root, rest, fold and _blocks, into how many blocks the group is dealt; block i
+    meets block j at the cell (least, greatest) of the two.
+    """
+    own = members.withColumn("_own", F.pmod(F.xxhash64("row"), "_blocks"))
+    cells = own.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    cells = cells.select("token", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "row", "n", "root", "rest", "fold")
+
+    def done(key: tuple, held: list, out: dict) -> None:
+        own, row, n, root, rest = np.array([x[:5] for x in held]).T
+        bits = np.frombuffer(b"".join(x[5] for x in held), dtype=np.uint64).reshape(len(held), -1)
+        for k in range(len(row) - 1):
+            later = slice(k + 1, None)
+            both = np.minimum(rest[later], rest[k])
+            least = common_least(n[later], n[k])
+            ok = (root[later] != root[k]) & (100 * np.minimum(n[later], n[k]) >= PERCENT * np.maximum(n[later], n[k])) & (both >= least)
+            if key[1] != key[2]:
+                ok &= own[later] != own[k]
+            if not ok.any():
+                continue
+            ok &= np.bitwise_count(bits[later] ^ bits[k]).sum(axis=1, dtype=np.int64) <= n[later] + n[k] - 2 * least
+            for x in np.flatnonzero(ok).tolist():
+                pair = min(int(row[k]), int(row[k + 1 + x])), max(int(row[k]), int(row[k + 1 + x]))
+                out[pair] = max(int(both[x]), out.get(pair, 0))
+
+    def run(batches):
+        key, held, out = None, [], {}
+        for batch in batches:
+            for token, i, j, *x in zip(*(batch[c].to_pylist() for c in ("token", "i", "j", "_own", "row", "n", "root", "rest", "fold"))):
+                if key != (token, i, j):
+                    if len(held) > 1:
+                        done(key, held, out)
+                    held, key = [], (token, i, j)
+                    if len(out) > 50_000:
+                        yield [p[0] for p in out], [p[1] for p in out], list(out.values())
+                        out = {}
+                held.append(x)
+        if len(held) > 1:
+            done(key, held, out)
+        yield [p[0] for p in out], [p[1] for p in out], list(out.values())
+
+    return _batches(cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j"), run, "a long, b long, rest long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: row, id, n_shingles, component_id, and the component's first row.
+
+    row_col: a column of ``docs`` that numbers its rows and is read from a table; rows are numbered
+    and written here without one.
+    """
     spark = shipped(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(text_col).cast("binary").alias("_text"))
-    ids = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("_id"))
-    n_bytes = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    rows = numbered(docs, row_col, _id=F.col(id_col), _text=F.col(text_col).cast("binary"))
+    texts = rows.select("_row", "_text")
+    n_bytes = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     shingles = n_bytes // 6 + 1  # about; it sets widths only
     counters = 1 << min(max((shingles // PER_COUNTER).bit_length(), COUNTERS_LEAST.bit_length() - 1), COUNTERS_MOST.bit_length() - 1)
-    scan = stored(scanned(rows, counters))
+    scan = stored(scanned(texts, counters))
     rarity = spark.sparkContext.broadcast(magnitudes(scan.where("row < 0"), counters))
-    sets = scan.where("row >= 0").select("row", "n", "one", "two", "bits")
-    first = sets.where("n > 0").groupBy("one", "two").agg(F.min("row").alias("rep"))
-    sets = stored(sets.join(first, ["one", "two"], "left").select("row", "n", "bits", F.coalesce("rep", "row").alias("rep")))
-    groups = stored(indexed(rows, rarity, max(64, shingles // 5 // BUCKET_ENTRIES)))
+    sketches = scan.where("row >= 0").select("row", "n", "bits", "fold", "heads")
+    first = stored(scan.where("row >= 0 and n > 0").groupBy("one", "two").agg(F.min("row").alias("rep")))
+    sets = stored(scan.where("row >= 0").join(first, ["one", "two"], "left").select("row", "n", F.coalesce("rep", "row").alias("rep")))
+    groups = stored(indexed(texts, rarity, max(64, shingles // 5 // BUCKET_ENTRIES)))
+    # the smallest row of each set is always in the index; its copies need not be compared
+    entries = groups.select("token", F.element_at("rows", 1).alias("part"), F.size("rows").alias("many"), F.explode(F.arrays_zip("rows", "rests")).alias("_"))
+    entries = entries.select("token", "part", "many", F.col("_.rows").alias("row"), F.col("_.rests").alias("rest"))
+    least = F.ceil(F.col("n") * (2 * PERCENT) / (100 + PERCENT))
 
     def near(pairs: DataFrame) -> DataFrame:
-        """Pairs of representatives of different sets whose sizes and sketches allow a link."""
-        left, right = (sets.select(F.col("row").alias(r), F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"p{x}")) for r, x in (("a", "x"), ("b", "y")))
+        """Pairs of rows that may link by sizes, positions, sketches and the prefixes of the other orders."""
+        left, right = (sketches.select(F.col("row").alias(r), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"p{x}"), F.col("heads").alias(f"h{x}")) for r, x in (("a", "x"), ("b", "y")))
         pairs = pairs.groupBy("a", "b").agg(F.max("rest").alias("rest")).join(left, "a").join(right, "b")
-        pairs = pairs.where(f"x <> y and 100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny) and {100 + PERCENT} * rest >= {PERCENT} * (nx + ny)")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "nx", "ny", "px", "py")
-        return _batches(pairs, near_enough, "a long, b long").distinct()
-
-    def member_rows(roots: DataFrame) -> DataFrame:
-        """Rows (token, rep, n, root, rest) of groups that hold rows of several components, with blocks."""
-        member = groups.select("token", F.explode(F.arrays_zip("rows", "rests")).alias("_")).select("token", F.col("_.rows").alias("row"), F.col("_.rests").alias("rest"))
-        member = member.join(roots, "row").select("token", "rep", "n", "root", "rest")
-        open_ = member.groupBy("token").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.approx_count_distinct("rep").alias("_many")).where("_low <> _high")
-        blocks = F.ceil(F.col("_many") / BLOCK_ROWS)
-        return stored(member.distinct().join(stored(open_), "token").select("token", "rep", "n", "root", "rest", blocks.alias("_blocks")))
-
-    def paired(left: DataFrame, most: int | None) -> DataFrame:
-        """Pairs (a, b, rest) of different components in a group that sizes and positions allow.
-
-        With ``most``, each row meets so many of the next ones in its block; else all, in all blocks:
-        block i meets block j at the cell (least, greatest) of the two.
-        """
-        own = left.withColumn("_own", F.pmod(F.xxhash64("rep"), "_blocks"))
-        other = F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1) if most is None else F.array("_own")
-        cells = own.withColumn("_other", F.explode(other))
-        cells = cells.select("token", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "rep", "n", "root", "rest")
-
-        def run(batches):
-            def done(held, out):
-                own, rep, n, root, rest = np.array(held).T
-                order = np.argsort(rep)
-                own, rep, n, root, rest = own[order], rep[order], n[order], root[order], rest[order]
-                for k in range(len(rep) - 1):
-                    later = slice(k + 1, None)
-                    both = np.minimum(rest[later], rest[k])
-                    ok = (root[later] != root[k]) & (100 * np.minimum(n[later], n[k]) >= PERCENT * np.maximum(n[later], n[k])) & (both >= common_least(n[later], n[k]))
-                    if key[1] != key[2]:
-                        ok &= own[later] != own[k]
-                    for x in np.flatnonzero(ok)[:most].tolist():
-                        pair = int(rep[k]), int(rep[k + 1 + x])
-                        out[pair] = max(int(both[x]), out.get(pair, 0))
-
-            key, held, out = None, [], {}
-            for batch in batches:
-                for token, i, j, *x in zip(*(batch[c].to_pylist() for c in ("token", "i", "j", "_own", "rep", "n", "root", "rest"))):
-                    if key != (token, i, j):
-                        if len(held) > 1:
-                            done(held, out)
-                        held, key = [], (token, i, j)
-                        if len(out) > 50_000:
-                            yield [p[0] for p in out], [p[1] for p in out], list(out.values())
-                            out = {}
-                    held.append(x)
-            if len(held) > 1:
-                done(held, out)
-            yield [p[0] for p in out], [p[1] for p in out], list(out.values())
-
-        return _batches(cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j"), run, "a long, b long, rest long")
-
-    tried = stored(near(paired(member_rows(sets.select("row", "rep", "n", F.col("rep").alias("root"))), NEXT)))
-    links = stored(verified(tried, rows, rarity))
-    joined = components(links)
+        pairs = pairs.where(f"100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny) and {100 + PERCENT} * rest >= {PERCENT} * (nx + ny)")
+        return _batches(pairs.select("a", "b", "nx", "ny", "px", "py", "hx", "hy"), near_enough, "a long, b long")
+
+    early = entries.join(sets.where("row = rep").select("row", "n"), "row").where(F.col("rest") >= least)
+    order = Window.partitionBy("row").orderBy(F.desc("many"), F.xxhash64("token"), "token")
+    picked = early.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= FAMILY_TOKENS).drop("_at")
+    tried = stored(near(family_pairs(picked.join(sketches.select("row", "fold"), "row"))))
+    joined = components(verified(tried, texts))
 
     def placed() -> DataFrame:
         """Each row with its representative, size and component so far."""
         return sets.join(joined.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").select("row", "rep", "n", F.coalesce("root", "rep").alias("root"))
 
-    more = stored(near(paired(member_rows(placed()), None)).join(tried, ["a", "b"], "left_anti"))
-    links = stored(links.unionByName(verified(more, rows, rarity)))
-    joined = components(links)
-    named = stored(placed().join(ids, "row").select("row", "_id", "n", "root"))
-    least = named.groupBy("root").agg(F.min("_id").alias("component_id"))
-    return named.join(least, "root").select("row", F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("root").alias("first_row"))
+    members = stored(entries.join(placed().where("row = rep"), "row").join(sketches.select("row", "fold"), "row").select("token", "row", "n", "root", "rest", "fold"))
+    open_ = members.groupBy("token").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_rows"))
+    open_ = stored(open_.where("_low <> _high").select("token", F.ceil(F.col("_rows") / BLOCK_ROWS).alias("_blocks")))
+    more = stored(near(rest_pairs(members.join(open_, "token"))).join(tried, ["a", "b"], "left_anti"))
+    joined = components(joined.unionByName(verified(more, texts)))
+    named = stored(placed().join(rows.select(F.col("_row").alias("row"), "_id"), "row").select("row", "_id", "n", "root"))
+    smallest = stored(named.groupBy("root").agg(F.min("_id").alias("component_id")))
+    return named.join(smallest, "root").select("row", F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("root").alias("first_row"))
