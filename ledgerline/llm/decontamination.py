@@ -14,7 +14,8 @@ broadcast stays bounded; spans of several blocks are merged. There is no shuffle
 Defined results: a null or empty text has no words and no span; an item without words matches
 nothing; an item without an id marks words but cannot be listed; an item given twice is listed
 twice; an empty benchmark or document table gives clean, or no, rows; any extra columns asked for
-by ``keep`` pass through unread, where one is named like a result it is given up.
+by ``keep`` pass through unread, whatever their names; one that is named like a result is given up.
+A very long text is a shard of its own.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shipped
+from .common import numbered, shipped
 
 WINDOW = 10
 #: Bytes of item texts sent to all tasks at once.
@@ -209,9 +210,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     stated = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).cast("binary").alias("text"))
     n_bytes = stated.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-n_bytes // BLOCK_BYTES))
-    source = docs.select(*dict.fromkeys([*keep, text_col]), F.monotonically_increasing_id().alias("_row"))
-    kept = T.StructType([source.schema[c] for c in [*keep, "_row"]])
-    schema = T.StructType([*kept.fields, *RESULT.fields])
+    columns = {"_text": F.col(text_col).cast("binary"), "_kept": F.struct(*keep)}
+    # blocks of items meet by row, so rows are numbered and written if there are several
+    source = numbered(docs, **columns) if blocks > 1 else docs.select(F.lit(0).cast("long").alias("_row"), *[c.alias(n) for n, c in columns.items()])
+    carried = ["_kept"] if blocks == 1 else ["_row"]
+    schema = T.StructType([*(source.schema[c] for c in carried), *RESULT.fields])
 
     def searched(block: int) -> DataFrame:
         part = stated if blocks == 1 else stated.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block)
@@ -219,10 +222,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column(text_col).cast(pa.binary()).to_pylist()
+                texts = batch.column("_text").to_pylist()
                 n_words, spans, items = search_batch(texts, windows.value)
                 yield pa.RecordBatch.from_arrays([
-                    *(batch.column(c) for c in [*keep, "_row"]), pa.array(n_words, pa.int64()),
+                    *(batch.column(c) for c in carried), pa.array(n_words, pa.int64()),
                     pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                     pa.array(items, pa.list_(pa.string())),
                 ], names=schema.names)
@@ -230,7 +233,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         return source.mapInArrow(run, schema)
 
     if blocks == 1:
-        return searched(0).drop("_row")
+        return searched(0).select("_kept.*", *RESULT.names)
     # spans of several blocks of items: gathered by row, sorted, and joined where they touch
     every = searched(0)
     for block in range(1, blocks):
@@ -240,7 +243,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
           concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end)))),
           concat(a, array(x))))"""
     found = every.groupBy("_row").agg(F.first("n_words").alias("n_words"), F.expr(merged).alias("spans"), F.sort_array(F.flatten(F.collect_list("items"))).alias("items"))
-    return source.select(*keep, "_row").join(found, "_row").drop("_row")
+    return source.select("_kept", "_row").join(found, "_row").select("_kept.*", *RESULT.names)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -31,6 +31,8 @@ SLOTS, LEAST_BLOCKS = 65_536, 256
 #: Hash buckets of all documents; a source gets its share of them.
 BUCKETS = 1024
 GOLDEN = 0.6180339887498949
+#: Words of a source whose documents are rounded to whole copies together, about.
+COPY_WORDS = 4_000_000
 #: Pieces of the unit interval by which slots meet the shares of sources.
 STRIPS = 64
 
@@ -49,13 +51,15 @@ def water_fill(sizes: DataFrame, max_epochs: int) -> DataFrame:
     return held.withColumn("target", F.when(first.isNull(), cap).otherwise(F.least(cap, first * F.col("weight")))).drop("_level", "_fits")
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of ``docs``: row (its position in ``docs``), id, size, source_size, target, taken.
+def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: row, source_id (the source's rank), id, size, source_size, target, taken.
+
+    row is the column ``row_col``, which numbers the rows of a table, or else the position when read.
 
     The sources in code-point order, null last, weigh ``weights``, repeating.
     """
     rows = stored(docs.select(
-        F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("source"),
+        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(BLANK_WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_hash"),
     ))
@@ -84,8 +88,24 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3
     edge = lambda j: F.expr(f"({j} * source_size) div blocks")
     parts = rows.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(block_of("_from"), block_of("_from + size - 1")))))
     parts = parts.withColumn("_part", F.least(F.expr("_from + size"), edge("(block + 1)")) - F.greatest(F.col("_from"), edge("block")))
-    taken = parts.join(uses, ["sid", "block"], "left").groupBy("_row", "_id", "size", "source_size", "target").agg(F.coalesce(F.sum(F.col("_part") * F.col("uses")), F.lit(0)).alias("taken"))
-    return taken.select(F.col("_row").alias("row"), F.col("_id").alias(id_col), "size", "source_size", "target", "taken")
+    taken = parts.join(uses, ["sid", "block"], "left").groupBy("_row", "_id", "sid", "size", "source_size", "target").agg(F.coalesce(F.sum(F.col("_part") * F.col("uses")), F.lit(0)).alias("taken"))
+    return taken.select(F.col("_row").alias("row"), F.col("sid").alias("source_id"), F.col("_id").alias(id_col), "size", "source_size", "target", "taken")
+
+
+def copies(mixed: DataFrame) -> DataFrame:
+    """What ``mix`` returns with ``copies``: how often each whole document comes.
+
+    That is its words taken by its size, rounded so that a source's words stay near what is taken of
+    it: a source's documents are dealt to buckets by hash, laid out by size in each, and of the
+    running sum of the exact numbers the whole ones count. The rounding of one document is thus
+    carried on to the next, which is about as long. No document comes more than ``max_epochs`` times.
+    """
+    exact = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0)
+    part = F.pmod(F.xxhash64("row"), F.ceil(F.col("source_size") / COPY_WORDS))
+    order = Window.partitionBy("source_id", "_part").orderBy(F.desc("size"), "row")
+    whole = lambda c: F.floor(c + 0.5 + 1e-9)
+    sums = mixed.withColumn("_part", part).withColumn("_exact", exact).withColumn("_to", F.sum("_exact").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return sums.withColumn("copies", (whole(F.col("_to")) - whole(F.col("_to") - F.col("_exact"))).cast("int")).drop("_part", "_exact", "_to")
 
 
 def schedule(sizes: DataFrame, max_epochs: int) -> DataFrame:

@@ -12,7 +12,8 @@ URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+    return found.withColumn("repeated", found["n_removed"] > 0)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("row")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("row", "source_id")
 
 
 def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +46,11 @@ def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(table(spark, sf_dir, "documents")).drop("clips")
+    from pyspark.sql import functions as F
+
+    found = media.media_columns(table(spark, sf_dir, "documents"))
+    clip = F.transform("clips", lambda c: F.concat_ws("-", c["start_ms"].cast("string"), c["end_ms"].cast("string")))
+    return found.select(*[c for c in found.columns if c != "clips"], F.size("clips").alias("n_clips"), F.array_join(clip, ";").alias("clips_ms"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
