@@ -12,7 +12,10 @@ from pyspark.sql.types import StringType
 #: Characters without a shape of their own that text may carry.
 INVISIBLE = "​‌‍⁠﻿­‎‏"
 #: Words of headings, which alone make no organisation.
-HEADINGS = ("address", "buyer", "consignee", "date", "description", "exporter", "importer", "invoice", "number", "packing", "quantity", "seller", "shipper", "total")
+HEADINGS = (
+    "address", "buyer", "consignee", "date", "description", "exporter", "importer", "invoice", "number", "packing", "quantity", "seller", "shipper", "total", "name", "names", "details", "detail", "information", "particulars",
+    "contact", "reference", "no", "code", "and", "or", "of",
+)
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
@@ -91,24 +94,30 @@ def date_parts(x: Column) -> Column:
     Numbers that could be day-month or month-day, and differ, are null and ambiguous. Years of two
     digits are 2000 on up to 79, then 1900.
     """
-    s = F.lower(F.trim(x))
-    part = lambda r, k: F.regexp_extract(s, r, k)
     year = lambda y: F.when(F.length(y) == 2, F.when(y.try_cast("int") < 80, y.try_cast("int") + 2000).otherwise(y.try_cast("int") + 1900)).otherwise(y.try_cast("int"))
     iso = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
     first, second = r"^(\d{1,2})[\s\-]+([a-z]{3})[a-z]*\.?,?[\s\-]+(\d{4}|\d{2})$", r"^([a-z]{3})[a-z]*\.?\s+(\d{1,2}),?\s+(\d{4}|\d{2})$"
     plain = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4}|\d{2})$"
     month = lambda m: F.array_position(F.array(*map(F.lit, MONTHS)), m)
-    dmy, mdy = _day(year(part(plain, 3)), part(plain, 2), part(plain, 1)), _day(year(part(plain, 3)), part(plain, 1), part(plain, 2))
-    both = dmy.isNotNull() & mdy.isNotNull() & (dmy != mdy)
-    found = (
-        F.when(s.rlike(iso), _day(part(iso, 1), part(iso, 2), part(iso, 3)))
-        .when(s.rlike(first), _day(year(part(first, 3)), month(part(first, 2)), part(first, 1)))
-        .when(s.rlike(second), _day(year(part(second, 3)), month(part(second, 1)), part(second, 2)))
-        .when(s.rlike(plain), F.when(~both | both.isNull(), F.coalesce(dmy, mdy)))
-    )
-    ambiguous = F.coalesce(s.rlike(plain) & both, F.lit(False))
-    reason = F.when(ambiguous, "day and month can be exchanged").when(found.isNull(), "not a date")
-    return F.struct(found.alias("date"), ambiguous.alias("ambiguous"), reason.alias("reason"))
+
+    def readings(s: Column) -> Column:
+        part = lambda r, k: F.regexp_extract(s, r, k)
+        spelled = F.coalesce(
+            F.when(s.rlike(iso), _day(part(iso, 1), part(iso, 2), part(iso, 3))), F.when(s.rlike(first), _day(year(part(first, 3)), month(part(first, 2)), part(first, 1))),
+            F.when(s.rlike(second), _day(year(part(second, 3)), month(part(second, 1)), part(second, 2))),
+        )
+        numbers = s.rlike(plain)
+        dmy, mdy = F.when(numbers, _day(year(part(plain, 3)), part(plain, 2), part(plain, 1))), F.when(numbers, _day(year(part(plain, 3)), part(plain, 1), part(plain, 2)))
+        return F.struct(spelled.alias("spelled"), dmy.alias("dmy"), mdy.alias("mdy"))
+
+    def settled(r: Column) -> Column:
+        ambiguous = F.coalesce(r["dmy"] != r["mdy"], F.lit(False))
+        found = F.coalesce(r["spelled"], F.when(~ambiguous, F.coalesce(r["dmy"], r["mdy"])))
+        reason = F.when(ambiguous, "day and month can be exchanged").when(found.isNull(), "not a date")
+        return F.struct(found.alias("date"), ambiguous.alias("ambiguous"), reason.alias("reason"))
+
+    # arrays of one bind each step's value, so that no expression is written out several times
+    return F.get(F.transform(F.transform(F.array(F.lower(F.trim(x))), readings), settled), F.lit(0))
 
 
 def confusable(x: Column) -> Column:

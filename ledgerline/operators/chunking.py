@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PARENT_TARGET, PARENT_CAP, CHILD_TARGET = 1800, 3200, 480
-SECTION = re.compile(r"^\s*(section|chapter|article|appendix|schedule|rule)\b", re.I)
+#: Fixed value: what a block starts with that opens a section.
+SECTION = re.compile(r"^\s*(S\.?\s*R\.?\s*O\.?|Sr\.?\s*No\.?|Schedule|SCHEDULE|===\s*Page|\(\s*[ivx]+\s*\))")
 
 
 def parent_sections(text: str) -> list[str]:
@@ -19,7 +20,7 @@ def parent_sections(text: str) -> list[str]:
     A block is never cut; lengths leave out separators.
     """
     out, held, size = [], [], 0
-    for block in (b.strip() for b in re.split(r"\n\s*\n", text)):
+    for block in (b.strip() for b in re.sub(r"\n{3,}", "\n\n", re.sub(r"\r\n?", "\n", text)).strip().split("\n\n")):
         if not block:
             continue
         if held and (SECTION.match(block) or size + len(block) > PARENT_TARGET or size >= PARENT_CAP):
@@ -31,15 +32,18 @@ def parent_sections(text: str) -> list[str]:
 
 
 def child_windows(text: str) -> list[str]:
-    """Lines gathered up to the target, each counted with its break; a long line stays whole."""
+    """Lines gathered up to the target, each counted with its break, blanks around them off.
+
+    A long line stays whole; a parent without any window is its own.
+    """
     out, held, size = [], [], 0
     for line in text.split("\n"):
         if held and size + len(line) + 1 > CHILD_TARGET:
-            out.append("\n".join(held))
+            out.append("\n".join(held).strip())
             held, size = [], 0
         held.append(line)
         size += len(line) + 1
-    return [x for x in [*out, "\n".join(held)] if x.strip()]
+    return [x for x in [*out, "\n".join(held).strip()] if x] or [text.strip()]
 
 
 def chunks(units: DataFrame) -> DataFrame:
@@ -99,3 +103,21 @@ def summary_text(ships: DataFrame) -> DataFrame:
     """A shipment's rendered summary and its checksum."""
     text = F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("unknown"))) for c in ("shipment_id", "destination", "shipment_date", "code", "exporter", "amount")])
     return ships.select("shipment_id", text.alias("summary"), F.sha2(text, 256).alias("checksum"))
+
+
+def audit_summary(reports: DataFrame) -> DataFrame:
+    """(shipment_id, summary, checksum): ten lines on a finished shipment.
+
+    reports: shipment_id, exporter, destination, status, needs_review, and arrays products, codes,
+    mismatches, calculation_errors, regulatory_problems.
+    """
+    once = lambda c, by, empty: F.coalesce(F.nullif(F.array_join(F.array_distinct(F.filter(c, lambda x: F.coalesce(x, F.lit("")) != "")), by), F.lit("")), F.lit(empty))
+    about = lambda word: F.coalesce(F.nullif(F.array_join(F.filter("mismatches", lambda m: F.contains(F.lower(m), F.lit(word))), "; "), F.lit("")), F.lit("none"))
+    known = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("unknown"))
+    failed = F.concat("mismatches", "calculation_errors", "regulatory_problems")
+    lines = (
+        ("Shipment ID", F.col("shipment_id").cast("string")), ("Exporter", known("exporter")), ("Destination", known("destination")), ("Products", once(F.col("products"), ", ", "none recorded")), ("PCT codes", once(F.col("codes"), ", ", "none recorded")),
+        ("Compliance status", known("status")), ("Failed checks", once(failed, "; ", "none")), ("Weight discrepancies", about("weight")), ("Quantity discrepancies", about("quantity")), ("Human review", F.when(F.col("needs_review"), "required").otherwise("not required")),
+    )
+    text = F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), v) for k, v in lines])
+    return reports.select("shipment_id", text.alias("summary"), F.sha2(text, 256).alias("checksum"))

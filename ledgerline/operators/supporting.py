@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalise as N
-from ..functions.predicates import document_type
+from ..functions.predicates import SUPPORTING_TYPES, document_type
 from ..status import FAILED, NOT_APPLICABLE, PASSED, REVIEW, compared, worst
 
 LOW_OCR = 0.75
@@ -71,3 +71,45 @@ def presence(verified: DataFrame) -> DataFrame:
         F.array_join(F.sort_array(F.collect_set(F.when(F.col("presence") != "missing", F.col("type")))), ",").alias("present"),
         F.array_join(F.sort_array(F.collect_set(F.when(F.col("presence") == "matched", F.col("type")))), ",").alias("verified"), worst(F.col("content_status")).alias("status"),
     )
+
+
+#: Types whose invoice reference, destination or amount is compared with the shipment's.
+BY_INVOICE = ("form_e_or_psw_export_declaration", "sbp_deposit_proof", "sbp_confirmation", "goods_declaration")
+BY_DESTINATION = ("certificate_of_origin", "phytosanitary_certificate", "importing_country_permit")
+BY_AMOUNT = ("form_e_or_psw_export_declaration", "goods_declaration")
+DEPOSIT_PERCENTAGE = 1
+
+
+def comparisons(documents: DataFrame, shipments: DataFrame, today: str) -> DataFrame:
+    """(shipment_id, type, check, status): what a supporting document says against its shipment.
+
+    documents: shipment_id, type, exporter, invoice_reference, destination, code, deadline, amount,
+    related_reference, currency, commodity, percentage, expiry, ocr_confidence; shipments:
+    shipment_id, and s_exporter, s_invoice, s_destination, s_code, s_date, s_total, s_deposit,
+    s_currency, s_product. Which checks apply follows the type, and for some whether a value was read.
+    """
+    j, kind = documents.join(shipments, "shipment_id"), F.col("type")
+    have = lambda *c: reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in c])
+    same = lambda f, a, b: compared(~have(a, b), f(F.col(a)) == f(F.col(b)))
+    as_is = lambda c: c
+    credit = kind == "irrevocable_letter_of_credit"
+    rules = (
+        ("exporter_match", F.lit(True), same(N.company, "exporter", "s_exporter")), ("invoice_reference_match", kind.isin(*BY_INVOICE), same(N.plain, "invoice_reference", "s_invoice")),
+        ("destination_match", kind.isin(*BY_DESTINATION), same(N.plain, "destination", "s_destination")), ("pct_match", have("code", "s_code"), same(N.digits, "code", "s_code")),
+        ("beneficiary_match", credit, same(N.company, "exporter", "s_exporter")), ("shipment_deadline", credit, compared(~have("deadline", "s_date"), F.col("deadline") >= F.col("s_date"))),
+        ("amount_cover", credit & have("amount", "s_total"), compared(F.lit(False), F.col("amount") >= F.col("s_total"))), ("related_deposit_match", kind == "sbp_confirmation", same(N.plain, "related_reference", "s_deposit")),
+        ("amount_match", kind.isin(*BY_AMOUNT), same(as_is, "amount", "s_total")), ("currency_match", have("currency", "s_currency"), same(N.plain, "currency", "s_currency")),
+        ("commodity_match", kind == "phytosanitary_certificate", same(N.product, "commodity", "s_product")), ("deposit_percentage", kind == "sbp_deposit_proof", compared(~have("percentage"), F.col("percentage") == DEPOSIT_PERCENTAGE)),
+        ("not_expired", have("expiry"), compared(F.lit(False), F.col("expiry") >= F.lit(today).cast("date"))),
+    )
+    soft = F.coalesce(F.col("ocr_confidence") < LOW_OCR, F.lit(False))
+    made = [F.when(applies, F.struct(F.lit(n).alias("check"), F.when(soft & (status == FAILED), REVIEW).otherwise(status).alias("status"))) for n, applies, status in rules]
+    return j.select("shipment_id", "type", F.inline(F.array_compact(F.array(*made))))
+
+
+def presence_names(results: DataFrame) -> DataFrame:
+    """(shipment_id, name, verified): every name of each type that was sent and recognised; verified unless its content failed."""
+    kept = results.where(F.col("state").isin("type_verified", "fields_verified", "shipment_matched"))
+    names = F.create_map(*[v for k, xs in SUPPORTING_TYPES.items() for v in (F.lit(k), F.array(*map(F.lit, dict.fromkeys([k, *xs]))))])
+    tall = kept.select("shipment_id", F.explode(F.coalesce(F.try_element_at(names, F.col("type")), F.array("type"))).alias("name"), (F.col("content_status") != FAILED).alias("ok"))
+    return tall.groupBy("shipment_id", "name").agg(F.bool_or("ok").alias("verified"))

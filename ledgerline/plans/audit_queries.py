@@ -181,4 +181,4 @@ def streamed_windows(spark, sf_dir):
 @query("""WITH e AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS rounds FROM events GROUP BY 1) SELECT user_id, rounds, CASE WHEN rounds >= 2 THEN 'finalised' ELSE 'open' END AS state FROM e""")
 def streamed_reviews(spark, sf_dir):
     """Review rounds kept in state per workflow; the batch's rows are the last state."""
-    return streams.run_to_end(streams.review_rounds(streams.read_events(spark, sf_dir)), "update")
+    return streams.run_to_end(streams.review_rounds(streams.read_events(spark, sf_dir)), "update", "user_id")

@@ -119,16 +119,16 @@ def cache_misses(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT p_partkey AS doc_id, p_name AS name, p_size AS size FROM part)
-SELECT doc_id, CAST(1 AS INTEGER) AS page, CAST(1 AS INTEGER) AS row, 'description' AS "column", split_part(name, ' ', 1) AS cell FROM p
-UNION ALL SELECT doc_id, 1, 1, 'quantity', CAST(size AS VARCHAR) FROM p UNION ALL SELECT doc_id, 1, 1, 'line_total', CAST(size * 2 AS VARCHAR) FROM p""")
+WITH p AS (SELECT p_partkey AS doc_id, p_name AS name, p_size AS size, p_partkey % 6 = 0 AS bad FROM part)
+SELECT doc_id, CAST(1 AS INTEGER) AS page, CAST(1 AS INTEGER) AS row, unnest(['description', 'quantity', 'line_total']) AS "column", unnest([split_part(name, ' ', 1), CASE WHEN bad THEN 'few' ELSE CAST(size AS VARCHAR) END, CAST(size * 2 AS VARCHAR)]) AS cell, unnest(['high', CASE WHEN bad THEN 'low' ELSE 'high' END, 'high']) AS grade FROM p""")
 def word_box_tables(spark, sf_dir):
+    """A table of one item by the boxes of its words; every sixth quantity is no number. What stands under "Net Wt (KG)" is no field."""
     part = load(spark, sf_dir, "part")
     word = lambda x0, y, x1, t: F.struct(F.lit(float(x0)).alias("x0"), F.lit(float(y)).alias("y0"), F.lit(float(x1)).alias("x1"), F.lit(float(y + 10)).alias("y1"), t.cast("string").alias("text"))
     name = F.substring_index("p_name", " ", 1)
     words = F.array(
-        word(10, 100, 80, F.lit("Description")), word(120, 101, 150, F.lit("Qty")), word(200, 100, 230, F.lit("Line")), word(232, 100, 260, F.lit("Total")),
-        word(12, 120, 60, name), word(125, 121.5, 140, F.col("p_size")), word(205, 122.5, 250, F.col("p_size") * 2), word(10, 140, 40, F.lit("Total")), word(205, 140, 250, F.lit("9")),
+        word(10, 100, 80, F.lit("Description")), word(120, 101, 150, F.lit("Qty")), word(200, 100, 230, F.lit("Line")), word(232, 100, 260, F.lit("Total")), word(300, 100, 320, F.lit("Net")), word(322, 100, 335, F.lit("Wt")), word(337, 100, 360, F.lit("(KG)")),
+        word(12, 120, 60, name), word(125, 121.5, 140, F.when(F.col("p_partkey") % 6 == 0, "few").otherwise(F.col("p_size").cast("string"))), word(205, 122.5, 250, F.col("p_size") * 2), word(310, 121, 330, F.lit("7")), word(10, 140, 40, F.lit("Total")), word(205, 140, 250, F.lit("9")),
     )
     return extraction.tables(part.select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page"), F.inline(words)))
 

@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PDF, ZIP, MOST_BYTES = "255044462D", "504B0304", 20 << 20
 
 
+#: MIME types by kind of file, and a member that every text document in a ZIP has.
+MIME = {"pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document"}
+MEMBER = "word/document.xml"
+
+
 def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder with what their first bytes say they are; too large or other ones are refused."""
+    """Files of a folder with what their content says they are; too large or other ones are refused, by the first reason.
+
+    Empty files are none to Spark's reader.
+    """
     files = spark.read.format("binaryFile").load(path)
     head = F.hex(F.substring("content", 1, 5))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     kind = F.when(head == PDF, "pdf").when(F.startswith(head, F.lit(ZIP)), "docx")
     expected = F.lower(F.regexp_extract(name, r"\.(\w+)$", 1))
-    reason = F.when(F.col("length") > MOST_BYTES, "too large").when(kind.isNull(), "unknown content").when(kind != expected, "content differs from name")
-    return files.select(name.alias("file_name"), F.col("length").alias("size"), kind.alias("kind"), F.sha2("content", 256).alias("checksum"), reason.alias("refused"))
+    member = F.instr(F.decode("content", "ISO-8859-1"), MEMBER) > 0  # names of members stand uncompressed
+    reason = (
+        F.when(F.col("length") > MOST_BYTES, "too large").when(kind.isNull(), "unknown content").when(kind != expected, "content differs from name")
+        .when((kind == "docx") & ~member, "not a text document")
+    )
+    mime = F.coalesce(*[F.when(kind == k, m) for k, m in MIME.items()])
+    return files.select(name.alias("file_name"), F.col("length").alias("size"), kind.alias("kind"), mime.alias("mime"), F.sha2("content", 256).alias("checksum"), reason.alias("refused"))
 
 
 def text_units(spark: SparkSession, path: str) -> DataFrame:
@@ -44,14 +59,46 @@ def catalog(spark: SparkSession, path: str) -> DataFrame:
     return codes.join(products, "code", "left").orderBy("code")
 
 
+def json_units(spark: SparkSession, path: str) -> DataFrame:
+    """Units of a requirements file: one common, one on origin, one for each product, in words.
+
+    common: note and documents; origin: note; products: pct_code, name and their requirements.
+    """
+    schema = "common struct<note:string,documents:array<string>>, origin struct<note:string>, products array<struct<pct_code:string,name:string,licence:string,permit:string>>"
+    doc = spark.read.schema(schema).json(path, multiLine=True)
+    unit = lambda slug, text: F.struct(F.lit(slug).alias("slug") if isinstance(slug, str) else slug.alias("slug"), text.alias("text"))
+    product = lambda p: unit(F.concat(F.lit("product-"), p["pct_code"]), F.concat_ws("\n", F.concat(F.lit("Product: "), p["name"]), F.concat(F.lit("PCT code: "), p["pct_code"]), F.concat(F.lit("Licence required: "), p["licence"]), F.concat(F.lit("Permit required: "), p["permit"])))
+    units = F.concat(
+        F.array(unit("common", F.concat_ws("\n", F.col("common.note"), F.concat(F.lit("Documents: "), F.array_join("common.documents", ", ")))), unit("origin", F.col("origin.note"))), F.transform("products", product)
+    )
+    return doc.select(F.posexplode(units).alias("unit", "_u")).select("_u.slug", F.lit(None).cast("int").alias("page"), "unit", "_u.text")
+
+
+def config_problems(codes: DataFrame, metadata: DataFrame, requirements: DataFrame) -> DataFrame:
+    """(code, problem): codes without metadata or requirements, metadata or requirements of no code, repeated ones."""
+    lacks = lambda a, b, what: a.select("code").distinct().join(b.select("code"), "code", "left_anti").withColumn("problem", F.lit(what))
+    twice = lambda df, what: df.groupBy("code").agg(F.count("*").alias("_n")).where("_n > 1").select("code", F.lit(what).alias("problem"))
+    return (
+        lacks(codes, metadata, "no metadata").unionByName(lacks(codes, requirements, "no requirements")).unionByName(lacks(metadata, codes, "metadata of no code")).unionByName(lacks(requirements, codes, "requirements of no code"))
+        .unionByName(twice(metadata, "metadata repeated"))
+    )
+
+
 def version(files: DataFrame) -> DataFrame:
     """One digest over all files' paths and contents, each with its length before it; in path order."""
     part = F.concat(F.length("path").cast("string"), F.lit(":"), F.col("path"), F.lit(":"), F.octet_length("text").cast("string"), F.lit(":"), F.sha2(F.coalesce("text", F.lit("")), 256))
     return files.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", part.alias("part")))), lambda x: x["part"]), "|"), 256).alias("version"))
 
 
-def html_table(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", columns: int = 4) -> DataFrame:
-    """Rows of tables with exactly ``columns`` cells: cells, an ISO date where the last cell is one."""
+def html_table(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", columns: int = 4, headings: Sequence[str] | None = None) -> DataFrame:
+    """Rows of tables with exactly ``columns`` cells: cells, an ISO date where the last cell is one.
+
+    With ``headings``, only pages that have a row of just these headings count.
+    """
+    if headings is not None:
+        cells = lambda tr: F.transform(F.regexp_extract_all(tr, F.lit(r"(?is)<th[^>]*>(.*?)</th>"), 1), lambda c: F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", ""), r"\s+", " "))))
+        wanted = F.array(*[F.lit(h.lower()) for h in headings])
+        pages = pages.where(F.exists(F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1), lambda tr: cells(tr) == wanted))
     rows = pages.select(id_col, F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1)).alias("row", "_tr"))
     cells = F.transform(F.regexp_extract_all("_tr", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), 1), lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", ""), r"\s+", " ")))
     found = rows.withColumn("cells", cells).where(F.size("cells") == columns)

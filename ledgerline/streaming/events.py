@@ -17,13 +17,22 @@ def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet
     return spark.readStream.schema(SCHEMA).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").parquet(folder)
 
 
-def run_to_end(stream: DataFrame, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Run a query over what is there and return its result, from a memory table."""
+def run_to_end(stream: DataFrame, mode: str, key: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Run a query over what is there and return its result, from a memory table; for reports, not for whole corpora.
+
+    In update mode every batch adds its rows; with ``key`` the last of each key are returned.
+    """
     name = f"ledgerline_{uuid.uuid4().hex[:12]}"
+    if key:
+        stream = stream.withColumn("_at", F.current_timestamp())
     writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
     query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = stream.sparkSession.table(name)
+    if not key:
+        return rows
+    others = [c for c in rows.columns if c not in (key, "_at")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*others), "_at").alias("_")).select(key, "_.*")
 
 
 def latest_status(events: DataFrame) -> DataFrame:
@@ -37,15 +46,30 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "1 day
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-def ingest_once(stream: DataFrame, target: str, checkpoint: str) -> None:
-    """Each event id once into a table of files: batches are repeatable, so a lost one does no harm."""
-
+def _append_new(stream: DataFrame, target: str, checkpoint: str, keys: list[str]) -> None:
     def batch(df: DataFrame, epoch: int) -> None:
-        df.dropDuplicates(["event_id"]).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+        spark = df.sparkSession
+        own, fresh = f"{target}/epoch={epoch}", df.dropDuplicates(keys)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+            # a batch that runs again must not see what it wrote itself
+            seen = spark.read.schema(f"{', '.join(f'{k} {t}' for k, t in df.dtypes)}, epoch long").option("basePath", target).parquet(target).where(F.col("epoch") != epoch)
+            fresh = fresh.join(seen.select(*keys), keys, "left_anti")
+        fresh.write.mode("overwrite").parquet(own)
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def ingest_once(stream: DataFrame, target: str, checkpoint: str) -> None:
+    """Each event id once into a table of files, over all batches; a batch that runs again writes the same."""
+    _append_new(stream, target, checkpoint, ["event_id"])
+
+
+def ingest_changed(stream: DataFrame, target: str, checkpoint: str) -> None:
+    """Each content of each source once into a table of files: what comes again unchanged is skipped."""
+    _append_new(stream, target, checkpoint, ["source_path", "checksum"])
+
+
 def review_rounds(events: DataFrame, most: int = 2) -> DataFrame:
     """Pause and resume: a key's review rounds are counted in state, and end after ``most``."""
 

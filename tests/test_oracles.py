@@ -5,11 +5,8 @@ from compare import SF, both
 
 from ledgerline import catalog
 
-#: Numbers of its SQL are for the larger tables only; it is checked at sf0.01.
-LARGER = {"license_lines"}
 
-
-@pytest.mark.parametrize("name", sorted(set(catalog.ORACLES) - LARGER))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_its_sql(spark, name):
     got, want = both(spark, catalog.QUERIES[name], catalog.ORACLES[name])
     assert got == want
