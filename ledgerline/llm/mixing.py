@@ -101,7 +101,7 @@ def copies(mixed: DataFrame) -> DataFrame:
     carried on to the next, which is about as long. No document comes more than ``max_epochs`` times.
     """
     exact = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0)
-    part = F.pmod(F.xxhash64("row"), F.ceil(F.col("source_size") / COPY_WORDS))
+    part = F.pmod(F.xxhash64("row"), F.greatest(F.ceil(F.col("source_size") / COPY_WORDS), F.lit(1)))
     order = Window.partitionBy("source_id", "_part").orderBy(F.desc("size"), "row")
     whole = lambda c: F.floor(c + 0.5 + 1e-9)
     sums = mixed.withColumn("_part", part).withColumn("_exact", exact).withColumn("_to", F.sum("_exact").over(order.rowsBetween(Window.unboundedPreceding, 0)))
