@@ -175,6 +175,11 @@ def salts_of(token: np.ndarray, rarity: np.ndarray) -> np.ndarray:
     return np.maximum(1, about // GROUP_ROWS).astype(np.int64)
 
 
+def salt_of(token: np.ndarray, row: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """The group of a row under a shingle: another one under each, so that rows parted by one meet by the next."""
+    return (mixed(mixed(token) ^ row.astype(np.uint64)) % salts.astype(np.uint64)).astype(np.int64)
+
+
 def common_least(n, m):
     """How many members two sets of these sizes must have in common to link."""
     return -(-PERCENT * (n + m) // (100 + PERCENT))
@@ -278,7 +283,7 @@ def indexed(docs: DataFrame, rarity, buckets: int) -> DataFrame:
             if not rows:
                 continue
             token, row, rest = np.concatenate(tokens), np.concatenate(rows), np.concatenate(rests).astype(np.int32)
-            salt = mixed(row.astype(np.uint64)) % salts_of(token, rare).astype(np.uint64)
+            salt = salt_of(token, row, salts_of(token, rare)).astype(np.uint64)
             bucket = (mixed(token + salt * np.uint64(WORD_FACTORS[0])) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((token, bucket))
             bucket, token, row, rest = bucket[order], token[order], row[order], rest[order]
@@ -294,7 +299,7 @@ def indexed(docs: DataFrame, rarity, buckets: int) -> DataFrame:
         def done(held):
             token, row, rest = (np.concatenate(x) for x in zip(*held))
             salts = salts_of(token, rare)
-            salt = (mixed(row.astype(np.uint64)) % salts.astype(np.uint64)).astype(np.int64)
+            salt = salt_of(token, row, salts)
             order = np.lexsort((row, salt, token))
             token, row, salt, salts, rest = token[order], row[order], salt[order], salts[order], rest[order]
             edges = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]), [True])))
@@ -368,31 +373,38 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def family_pairs(members: DataFrame) -> DataFrame:
     """Pairs (a, b, rest) that join the rows of each group (token, part) into as few parts as filters allow.
 
-    members: token, part, row, n, rest, fold. Rows are taken in order; of each part so far, each is
-    paired with the earlier row that it is most like by the sketches, if these, sizes and positions
-    allow a link, and joins those parts. So a group of m rows gives m - 1 pairs at most, however many of its rows are alike.
+    members: token, part, row, n, rest, fold. Of the pairs that sizes, positions and sketches allow,
+    those are taken that span the group with the greatest likeness: each part, a row at first, is
+    joined with the one that has the row most like one of its own, until no parts can be joined. So
+    a group of m rows gives m - 1 pairs at most, however many of its rows are alike.
     """
 
     def spanned(rows: list[tuple], out: dict) -> None:
         bits = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint64).reshape(len(rows), -1)
         row, n, rest = np.array([r[:3] for r in rows]).T
-        part = np.arange(len(rows))
+        spare = np.full((len(rows), len(rows)), -1, dtype=np.int32)  # how many members may differ more than do
         for k in range(1, len(rows)):
             both, least = np.minimum(rest[:k], rest[k]), common_least(n[:k], n[k])
-            ok = (100 * np.minimum(n[:k], n[k]) >= PERCENT * np.maximum(n[:k], n[k])) & (both >= least)
-            if not ok.any():
-                continue
-            # how many members may differ more than do
-            spare = n[:k] + n[k] - 2 * least - np.bitwise_count(bits[:k] ^ bits[k]).sum(axis=1, dtype=np.int64)
-            near = np.flatnonzero(ok & (spare >= 0))
-            if len(near):
-                near = near[np.argsort(-spare[near], kind="stable")]
-                parts, first = np.unique(part[near], return_index=True)
-                for j in near[first].tolist():
-                    pair = int(row[j]), int(row[k])
-                    out[pair] = max(int(both[j]), out.get(pair, 0))
-                part[k] = parts[0]
-                part[:k][np.isin(part[:k], parts)] = parts[0]
+            ok = np.flatnonzero((100 * np.minimum(n[:k], n[k]) >= PERCENT * np.maximum(n[:k], n[k])) & (both >= least))
+            if len(ok):
+                spare[k, ok] = spare[ok, k] = n[ok] + n[k] - 2 * least[ok] - np.bitwise_count(bits[ok] ^ bits[k]).sum(axis=1, dtype=np.int64)
+        part = np.arange(len(rows))
+        while True:
+            other = np.where(part[:, None] != part[None, :], spare, -1)
+            to = other.argmax(axis=1)
+            best = other[np.arange(len(rows)), to]
+            order = np.argsort(-best, kind="stable")
+            order = order[best[order] >= 0]
+            if not len(order):
+                return
+            _, first = np.unique(part[order], return_index=True)
+            for k in order[first].tolist():
+                j = int(to[k])
+                if part[j] != part[k]:  # not joined by another part's choice
+                    a, b = sorted((j, k))
+                    pair = int(row[a]), int(row[b])
+                    out[pair] = max(int(min(rest[a], rest[b])), out.get(pair, 0))
+                    part[part == max(part[a], part[b])] = min(part[a], part[b])
 
     def run(batches):
         key, held, out = None, [], {}
