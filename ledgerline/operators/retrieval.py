@@ -48,6 +48,30 @@ def bm25(index: DataFrame, queries: DataFrame) -> DataFrame:
     return scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
+def corpus_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(token, df, total): in how many documents a token is and how often, by one shuffle of partial sums per token."""
+    rows = docs.select(tokens(F.col(text_col)).alias("_t"))
+    one = lambda n, m: lambda t: F.struct(t.alias("token"), F.lit(n).cast("long").alias("df"), F.lit(m).cast("long").alias("total"))
+    marks = rows.select(F.inline(F.concat(F.transform(F.array_distinct("_t"), one(1, 0)), F.transform("_t", one(0, 1)))))
+    return marks.groupBy("token").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+
+
+def bm25_scan(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``bm25`` where no index is at hand: of the corpus only the queries' tokens are kept, before any shuffle.
+
+    Which tokens those are goes to the documents by a join that Spark broadcasts while they are few.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("_t")).select("doc_id", "_t", F.size("_t").alias("dl")).where("dl > 0")
+    corpus = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    wanted = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
+    hit = rows.select("doc_id", "dl", F.explode("_t").alias("token")).join(wanted.select("token").distinct(), "token", "left_semi").groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf"))
+    df = hit.groupBy("token").agg(F.count("*").alias("df"))
+    scored = hit.join(df, "token").join(wanted, "token").crossJoin(F.broadcast(corpus))  # one row
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
 def _best(scores: DataFrame, score: str, limit: int, name: str) -> DataFrame:
     """The first ``limit`` per query, ranked from 1 on; ties by document."""
     order = Window.partitionBy("query_id").orderBy(F.col(score).desc(), "doc_id")
@@ -58,6 +82,10 @@ def lexical_top(index: DataFrame, queries: DataFrame, limit: int = CANDIDATES) -
     return _best(bm25(index, queries), "score", limit, "lexical_rank")
 
 
+def lexical_scan_top(docs: DataFrame, queries: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+    return _best(bm25_scan(docs, queries), "score", limit, "lexical_rank")
+
+
 def dense_top(vectors: DataFrame, queries: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     """(query_id, doc_id, dense, dense_rank); queries: query_id, vector.
 

@@ -42,18 +42,19 @@ def _query_vectors(spark, sf_dir):
     return _vectors(spark, sf_dir).join(items, "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
-@query("""
-WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents), tf AS (SELECT doc_id, token, count(*) AS tf FROM t GROUP BY ALL)
+@query(r"""
+WITH p AS (SELECT doc_id, lower(text) AS x, regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}\x00-\x7F]', ' ', 'g'), '[^\x00-\x7F]', '_', 'g') AS y FROM documents), t AS (
+  SELECT doc_id, unnest(list_concat(list_transform(regexp_extract_all(x, '[a-z0-9]+'), lambda w: CASE WHEN w IN ('confiscated', 'confiscation') THEN 'confiscate' WHEN w = 'declarations' THEN 'declaration' WHEN w = 'officers' THEN 'officer' WHEN w = 'powers' THEN 'power'
+      WHEN w IN ('seized', 'seizing', 'seizure') THEN 'seize' WHEN w IN ('submission', 'submitted', 'submitting') THEN 'submit' ELSE w END), list_transform(regexp_extract_all(y, '\b\d{4}\.?\d{4}\b'), lambda c: 'pct' || replace(c, '.', '')),
+    list_transform(regexp_extract_all(x, '\d{2,4}\s*\(?\s*i\s*\)?\s*[/\-]?\s*\d{4}'), lambda n: regexp_replace(n, '^(\d{2,4}).*?(\d{4})$', 'sro\1i\2')))) AS token FROM p), tf AS (SELECT doc_id, token, count(*) AS tf FROM t GROUP BY ALL)
 SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM tf GROUP BY 1""")
 def corpus_statistics(spark, sf_dir):
-    index = retrieval.postings(_docs(spark, sf_dir)).where("not token rlike '^(pct|sro)[0-9]'")
-    return index.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    return retrieval.corpus_terms(_docs(spark, sf_dir))
 
 
 @query(f"WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM bm) SELECT query_id, doc_id, score FROM r WHERE n <= 200")
 def lexical_ranking(spark, sf_dir):
-    index = retrieval.postings(_docs(spark, sf_dir))
-    return retrieval.lexical_top(index, _queries(spark, sf_dir)).select("query_id", "doc_id", "score")
+    return retrieval.lexical_scan_top(_docs(spark, sf_dir), _queries(spark, sf_dir)).select("query_id", "doc_id", "score")
 
 
 @query(f"WITH {DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, doc_id) AS n FROM de) SELECT query_id, doc_id, dense, n AS dense_rank FROM r WHERE n <= 20")
@@ -68,7 +69,7 @@ FUSED = BM25 + "," + DENSE + """,
 
 
 def _fused(spark, sf_dir):
-    lexical = retrieval.lexical_top(retrieval.postings(_docs(spark, sf_dir)), _queries(spark, sf_dir))
+    lexical = retrieval.lexical_scan_top(_docs(spark, sf_dir), _queries(spark, sf_dir))
     return retrieval.fused(lexical, retrieval.dense_top(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir)))
 
 
