@@ -289,9 +289,13 @@ def citation_snippets(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", P.citation_snippet(F.col("text")).alias("snippet"))
 
 
+#: Twice applied, as one "from" may follow another and the blank between them is matched once.
+FROM_SQL = lit(' from (?:the )?(?:' + '|'.join(s for s, _ in sorted(((s, k) for k, ss in P.DESTINATIONS.items() for s in ss), key=lambda p: (-len(p[0]), p[0]))) + '|pakistan|pak) ')
+
+
 @query(f"""
 WITH n AS (SELECT conv_id, turn, role, {asked('text', '(conv_id * 3 + turn)', ('to the U.S.A.', 'China from Germany', 'from Pakistan', '', 'great britain, england', 'we ship from the uae to south korea'))} AS q FROM conversations), f AS (SELECT *, ' ' || trim(regexp_replace(lower(q), '[^a-z0-9]+', ' ', 'g')) || ' ' AS h FROM n),
-g AS (SELECT *, regexp_replace(regexp_replace(h, {lit(' from (?:the )?(?:' + '|'.join(s for s, _ in sorted(((s, k) for k, ss in P.DESTINATIONS.items() for s in ss), key=lambda p: (-len(p[0]), p[0]))) + '|pakistan|pak) ')}, '  ', 'g'), ' +', ' ', 'g') AS a FROM f)
+g AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(h, {FROM_SQL}, '  ', 'g'), {FROM_SQL}, '  ', 'g'), ' +', ' ', 'g') AS a FROM f)
 SELECT conv_id, turn, role, CASE {' '.join(f"WHEN {held('h', [f' {s} ' for s in ss])} THEN {lit(k)}" for k, ss in P.DESTINATIONS.items())} END AS canonical,
   CASE {' '.join(f"WHEN contains(a, ' {s} ') THEN {lit(k)}" for s, k in sorted(((s, k) for k, ss in P.DESTINATIONS.items() for s in ss), key=lambda p: (-len(p[0]), p[0])))} END AS asked FROM g""")
 def text_destinations(spark, sf_dir):
