@@ -100,16 +100,13 @@ def folded_text(spark, sf_dir):
 
 
 @query("""
-WITH q AS (SELECT conv_id, turn, coalesce(text, '') AS t, row_number() OVER (ORDER BY conv_id, turn, role, text) AS n FROM conversations),
-w AS (SELECT conv_id, turn, t || CASE WHEN n % 4 = 0 THEN ' to the U.S.A.' WHEN n % 4 = 1 THEN ' China from Germany' WHEN n % 4 = 2 THEN ' from Pakistan' ELSE '' END AS t, n FROM q)
-SELECT n, CASE WHEN n % 4 = 0 THEN 'USA' WHEN n % 4 = 1 THEN 'China' END AS canonical, CASE WHEN n % 4 = 0 THEN 'USA' WHEN n % 4 = 1 THEN 'China' END AS asked FROM w""")
+WITH q AS (SELECT conv_id, turn, role, (conv_id * 3 + turn) % 4 AS k FROM conversations)
+SELECT conv_id, turn, role, CASE k WHEN 0 THEN 'USA' WHEN 1 THEN 'China' END AS canonical, CASE k WHEN 0 THEN 'USA' WHEN 1 THEN 'China' END AS asked FROM q""")
 def destinations(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = load(spark, sf_dir, "conversations").select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("conv_id", "turn", "role", "text")).cast("long").alias("n"))
-    k = F.col("n") % 4
+    """Printed questions, one for each turn; ``text_destinations`` reads the turns' own texts."""
+    k = (F.col("conv_id") * 3 + F.col("turn")) % 4
     text = F.concat(F.lit("we ship "), F.when(k == 0, " to the U.S.A.").when(k == 1, " China from Germany").when(k == 2, " from Pakistan").otherwise(""))
-    return rows.select("n", P.destination(text).alias("canonical"), P.asked_destination(text).alias("asked"))
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", P.destination(text).alias("canonical"), P.asked_destination(text).alias("asked"))
 
 
 @query("""
