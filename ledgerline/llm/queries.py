@@ -1,10 +1,12 @@
-"""The ten queries of this subpackage, with their SQL where SQL can express them."""
+"""The queries of this subpackage, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard, media, mixing, packing, page_text, quality, repeats, toxicity, url_filter
+from . import decontamination, jaccard, media, mixing, packing, page_text, pieces, quality, repeats, toxicity, url_filter
 from .common import table
 
 #: (host, path, verdict)
@@ -61,9 +63,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
+    return pieces.digest(pieces.encode_pieces(table(spark, sf_dir, "documents"), model))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_repeats, op2_decontamination, op3_quality, op4_url_filter, op5_vector_packing,
-    op6_source_mix, op7_page_text, op8_media, op9_jaccard_join, op10_toxicity,
+    op6_source_mix, op7_page_text, op8_media, op9_jaccard_join, op10_toxicity, op13_sentencepiece,
 )}
 
 ORACLE_SQL = {
