@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir, stored
+
+__all__ = ["BLANK_WORD", "ascii_lower", "labelled", "numbered", "shared_dir", "shipped", "stored", "table"]
+
 #: Words of the mixing and similarity operators: maximal runs of anything but these blanks.
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,34 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only in local mode, where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    made = spark.sparkContext.getCheckpointDir()
-    if not made:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerline-"))
-        made = spark.sparkContext.getCheckpointDir()
-    return made.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    It cuts lineage as a checkpoint does, survives lost executors, is computed once, and is
-    removed when the driver's file system closes.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ledgerline/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def numbered(docs: DataFrame, row_col: str | None = None, **columns) -> DataFrame:
     """``columns`` of ``docs`` with ``_row``, a number that each row keeps.
 

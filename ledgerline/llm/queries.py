@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard, media, mixing, packing, page_text, pieces, quality, repeats, toxicity, url_filter
+from . import decontamination, jaccard, media, mixing, packing, page_text, pieces, quality, repeats, toxicity, url_filter, whitening
 from .common import table
 
 #: (host, path, verdict)
@@ -63,6 +63,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -72,7 +76,7 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_repeats, op2_decontamination, op3_quality, op4_url_filter, op5_vector_packing,
-    op6_source_mix, op7_page_text, op8_media, op9_jaccard_join, op10_toxicity, op13_sentencepiece,
+    op6_source_mix, op7_page_text, op8_media, op9_jaccard_join, op10_toxicity, op12_whitening, op13_sentencepiece,
 )}
 
 ORACLE_SQL = {
