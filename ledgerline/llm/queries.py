@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard, media, mixing, packing, page_text, pieces, quality, repeats, toxicity, url_filter, whitening
+from . import decontamination, jaccard, media, mixing, packing, page_text, pieces, quality, repeats, toxicity, trie, url_filter, whitening
 from .common import table
 
 #: (host, path, verdict)
@@ -63,6 +63,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def conversation_nodes(conversations: DataFrame) -> DataFrame:
+    """The prefix tree of conversations that begin like the first of their hundred."""
+    from pyspark.sql import functions as F
+
+    conv = F.col("conv_id")
+    opening = F.crc32(conv.cast("string").cast("binary")) % 6
+    seq, convs = trie.with_shared_openings(trie.stored(trie.turns(conversations)), conv - conv % 100, opening, 5)
+    return trie.prefix_trie(seq, convs)
+
+
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_nodes(table(spark, sf_dir, "conversations"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -76,7 +90,7 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_repeats, op2_decontamination, op3_quality, op4_url_filter, op5_vector_packing,
-    op6_source_mix, op7_page_text, op8_media, op9_jaccard_join, op10_toxicity, op12_whitening, op13_sentencepiece,
+    op6_source_mix, op7_page_text, op8_media, op9_jaccard_join, op10_toxicity, op11_conversation_trie, op12_whitening, op13_sentencepiece,
 )}
 
 ORACLE_SQL = {
@@ -100,4 +114,50 @@ ORACLE_SQL = {
                CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
         FROM ruled
     """,
+    "op11_conversation_trie": """
+        WITH bits AS (  -- of each id's digits, the lowest bit of a digit first
+          SELECT conv_id, list((ascii(substr(CAST(conv_id AS VARCHAR), CAST(i // 8 AS INT) + 1, 1)) >> CAST(i % 8 AS INT)) & 1 ORDER BY i) AS bits
+          FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), range(8 * length(CAST(conv_id AS VARCHAR))) AS r(i)
+          GROUP BY conv_id
+        ), convs AS (
+          SELECT conv_id, conv_id - conv_id % 100 AS base,
+                 xor(list_reduce(list_prepend(4294967295::BIGINT, bits), lambda a, b: xor(a >> 1, 3988292384 * xor(a & 1, b))), 4294967295::BIGINT) % 6 AS h
+          FROM bits
+        ), own AS (
+          SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+          FROM conversations WHERE conv_id IS NOT NULL
+        ), pieces AS (
+          SELECT c.conv_id, 0 AS part, o.p, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.base AND o.p <= c.h
+          UNION ALL
+          SELECT c.conv_id, 1, o.p, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.p > c.h
+        ), turns AS (
+          SELECT conv_id, length(text) AS chars, sha256(length(role) || ':' || role || ':' || text) AS key,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY part, p) AS d
+          FROM pieces
+        ), member AS (
+          SELECT conv_id, d, chars, sha256(string_agg(key, '/') OVER (PARTITION BY conv_id ORDER BY d)) AS path,
+                 count(*) OVER (PARTITION BY conv_id) AS last
+          FROM turns
+          UNION ALL
+          SELECT c.conv_id, 0, 0, 'root', (SELECT count(*) FROM turns t WHERE t.conv_id = c.conv_id) FROM convs c
+        ), node AS (
+          SELECT d, path, min(conv_id) AS conv_id, count(*) AS n, any_value(chars) AS chars,
+                 sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = last), '')) AS ends_sha256
+          FROM member GROUP BY d, path
+        ), linked AS (  -- each node with the path of the node above, read off its least member
+          SELECT n.*, m.path AS up, u.conv_id AS parent_conv_id
+          FROM node n LEFT JOIN member m ON m.conv_id = n.conv_id AND m.d = n.d - 1
+               LEFT JOIN node u ON u.d = m.d AND u.path = m.path
+        ), children AS (
+          SELECT d - 1 AS d, up AS path, count(*) AS n_children FROM linked WHERE d > 0 GROUP BY ALL
+        ), complete AS (
+          SELECT l.*, coalesce(c.n_children, 0) AS n_children FROM linked l LEFT JOIN children c USING (d, path)
+        ), below AS (
+          SELECT m.d, m.path, count(*) FILTER (x.n_children = 0) AS n_leaves, sum((x.n - 1) * x.chars) AS saved
+          FROM complete x JOIN member m ON m.conv_id = x.conv_id AND m.d <= x.d GROUP BY m.d, m.path
+        )
+        SELECT conv_id, d AS depth, parent_conv_id, n AS n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends_sha256
+        FROM complete JOIN below USING (d, path)
+    """,
 }
