@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tokens import cosine, tokens
+from ..functions.assistant import currency_priority, source_compatibility, source_intent
+from ..functions.predicates import asked_destination
+from ..functions.tokens import tokens
+from .vector_index import dense_top, pack_vectors
 
 K1, B, RRF = 1.5, 0.75, 60
 CANDIDATES, RERANKED, FLOOR, ACCEPTED, CLOSE = 200, 25, 0.20, 0.5, 1.0
@@ -56,48 +59,12 @@ def corpus_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return marks.groupBy("token").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
 
 
-def bm25_scan(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As ``bm25`` where no index is at hand: of the corpus only the queries' tokens are kept, before any shuffle.
-
-    Which tokens those are goes to the documents by a join that Spark broadcasts while they are few.
-    """
-    rows = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("_t")).select("doc_id", "_t", F.size("_t").alias("dl")).where("dl > 0")
-    corpus = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    hit = rows.select("doc_id", "dl", F.explode("_t").alias("token")).join(wanted.select("token").distinct(), "token", "left_semi").groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf"))
-    df = hit.groupBy("token").agg(F.count("*").alias("df"))
-    scored = hit.join(df, "token").join(wanted, "token").crossJoin(F.broadcast(corpus))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-
-
 def _best(scores: DataFrame, score: str, limit: int, name: str) -> DataFrame:
     """The first ``limit`` per query, ranked from 1 on; ties by document."""
     order = Window.partitionBy("query_id").orderBy(F.col(score).desc(), "doc_id")
     return scores.withColumn(name, F.row_number().over(order)).where(F.col(name) <= limit)
 
 
-def lexical_top(index: DataFrame, queries: DataFrame, limit: int = CANDIDATES) -> DataFrame:
-    return _best(bm25(index, queries), "score", limit, "lexical_rank")
-
-
-def lexical_scan_top(docs: DataFrame, queries: DataFrame, limit: int = CANDIDATES) -> DataFrame:
-    return _best(bm25_scan(docs, queries), "score", limit, "lexical_rank")
-
-
-def dense_top(vectors: DataFrame, queries: DataFrame, limit: int = CANDIDATES) -> DataFrame:
-    """(query_id, doc_id, dense, dense_rank); queries: query_id, vector.
-
-    The stated queries are packed into one row and sent to the vectors, so the vectors are read
-    once and never shuffled; only the first of each partition and query are.
-    """
-    packed = queries.agg(F.collect_list(F.struct("query_id", "vector")).alias("qs"))
-    rows = vectors.select("doc_id", "embedding").crossJoin(F.broadcast(packed))
-    scored = rows.select("doc_id", F.explode(F.transform("qs", lambda q: F.struct(q["query_id"].alias("query_id"), F.round(cosine(q["vector"], F.col("embedding")), 6).alias("dense")))).alias("_")).select("doc_id", "_.*")
-    return _best(scored, "dense", limit, "dense_rank")
-
-
 def fused(lexical: DataFrame, dense: DataFrame) -> DataFrame:
     """Reciprocal rank fusion of both lists; who is not in one has rank after its end."""
     joined = lexical.join(dense, ["query_id", "doc_id"], "full_outer")
@@ -112,19 +79,44 @@ def overlap(query: Column, doc: Column) -> Column:
 
 
 def reranked(candidates: DataFrame, docs: DataFrame, queries: DataFrame, limit: int = RERANKED) -> DataFrame:
-    """The first by fusion, scored by token overlap and half a point for each shared special token."""
+    """The first by fusion, scored by token overlap and half a point for each shared special token.
+
+    Only the texts of these are looked at.
+    """
     first = _best(candidates, "rrf", limit, "rrf_rank")
-    joined = first.join(queries.select("query_id", tokens(F.col("text")).alias("_q")), "query_id").join(docs.select("doc_id", tokens(F.col("text")).alias("_d")), "doc_id")
+    joined = first.join(queries.select("query_id", F.col("text").alias("_qt")), "query_id").join(docs.select("doc_id", F.col("text").alias("_dt")), "doc_id")
+    split = joined.select("query_id", "doc_id", "lexical", "dense", "rrf", tokens(F.col("_qt")).alias("_q"), tokens(F.col("_dt")).alias("_d"))
     special = F.size(F.filter(F.array_intersect("_q", "_d"), lambda t: t.rlike("^(pct|sro)[0-9]")))
-    return joined.select("query_id", "doc_id", "lexical", "dense", "rrf", F.round(overlap(F.col("_q"), F.col("_d")), 6).alias("overlap"), F.round(overlap(F.col("_q"), F.col("_d")) + 0.5 * special, 6).alias("rerank"))
+    return split.select("query_id", "doc_id", "lexical", "dense", "rrf", F.round(overlap(F.col("_q"), F.col("_d")), 6).alias("overlap"), F.round(overlap(F.col("_q"), F.col("_d")) + 0.5 * special, 6).alias("rerank"))
+
 
+def judged(scored: DataFrame, passages: DataFrame, queries: DataFrame) -> DataFrame:
+    """``scored`` (query_id, doc_id, ...) with relevance, accepted, parent_id, compatibility and currency.
 
-def gated(scored: DataFrame, code_in_text: Column, code_in_tags: Column, notice: Column, destination: Column, compatible: Column) -> DataFrame:
-    """Relevance: bonuses only on top of real overlap; a code in the text itself lifts it to the floor."""
-    base = F.when(code_in_text, F.greatest(F.col("overlap"), F.lit(FLOOR))).otherwise(F.col("overlap"))
-    bonus = F.when(compatible, 0.25).otherwise(0.0) + F.when(code_in_text | code_in_tags, 0.5).otherwise(0.0) + F.when(notice, 0.5).otherwise(0.0) + F.when(destination, 0.25).otherwise(0.0)
-    relevance = F.when(base < FLOOR, base).otherwise(base + bonus)
-    return scored.withColumn("relevance", F.round(relevance, 6)).withColumn("accepted", F.col("relevance") >= ACCEPTED)
+    passages: doc_id, parent_id, text, title, document_type, section, kind, currency_status, pct_codes, sro_number;
+    queries: query_id, text. What a question asks for (product code, destination, source family,
+    the past) is read off its text; what a passage has, off its text and tags. Bonuses come only on top of real
+    overlap, in which title, type and section count as text; a code in the text itself lifts it to the floor.
+    """
+    q, text = F.col("_question"), F.coalesce("text", F.lit(""))
+    code = F.nullif(F.concat(F.regexp_extract(q, r"\b(\d{4})\.?(\d{4})\b", 1), F.regexp_extract(q, r"\b(\d{4})\.?(\d{4})\b", 2)), F.lit(""))
+    asked = queries.select("query_id", F.coalesce("text", F.lit("")).alias("_question")).select(
+        "query_id", "_question", code.alias("_code"), asked_destination(q).alias("_country"), source_intent(q).alias("_intent"), tokens(q).alias("_q"))
+    rows = scored.join(asked, "query_id").join(passages, "doc_id")
+    searchable = F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("text", "title", "document_type", "section")])
+    rows = rows.withColumns({"_d": tokens(searchable), "compatibility": source_compatibility(F.col("_intent"), F.col("kind"), F.col("document_type"), F.col("title")), "currency": currency_priority(q, F.col("currency_status"))})
+    off = lambda c: F.coalesce(c, F.lit(False))
+    in_text = off(F.contains(F.regexp_replace(text, r"\D", ""), F.col("_code")))
+    notice = F.col("sro_number").isNotNull() & F.exists(F.array_intersect("_q", "_d"), lambda t: t.startswith("sro"))
+    rows = rows.withColumns({"_base": overlap(F.col("_q"), F.col("_d")), "_in_text": in_text, "_notice": notice})
+    base = F.when(F.col("_in_text"), F.greatest(F.col("_base"), F.lit(FLOOR))).otherwise(F.col("_base"))
+    bonus = lambda when, points: F.when(off(when), points).otherwise(0.0)
+    more = (
+        bonus(F.col("compatibility") >= 4, 0.25) + bonus(F.col("_in_text") | F.array_contains("pct_codes", F.col("_code")), 0.5) + bonus(F.col("_notice"), 0.5)
+        + bonus(F.contains(F.lower(text), F.lower("_country")), 0.25)
+    )
+    relevance = F.round(F.when(base < FLOOR, base).otherwise(base + more), 6)
+    return rows.select(*scored.columns, "parent_id", "compatibility", "currency", relevance.alias("relevance"), (relevance >= ACCEPTED).alias("accepted"))
 
 
 def one_per_parent(rows: DataFrame) -> DataFrame:
@@ -134,24 +126,18 @@ def one_per_parent(rows: DataFrame) -> DataFrame:
 
 
 def prioritised(rows: DataFrame, top: int = 5) -> DataFrame:
-    """Those near the best by rerank first, then source and currency, then rerank and fusion."""
+    """Those near the best by rerank first, by source and currency; the others, and ties, by rerank and fusion."""
     near = F.col("rerank") >= F.max("rerank").over(Window.partitionBy("query_id")) - CLOSE
-    order = Window.partitionBy("query_id").orderBy(F.col("comparable").desc(), F.col("compatibility").desc(), F.col("currency").desc(), F.col("rerank").desc(), F.col("rrf").desc(), "doc_id")
+    among = lambda c: F.when(F.col("comparable"), F.col(c)).otherwise(0).desc()
+    order = Window.partitionBy("query_id").orderBy(F.col("comparable").desc(), among("compatibility"), among("currency"), F.col("rerank").desc(), F.col("rrf").desc(), "doc_id")
     return rows.withColumn("comparable", near).withColumn("position", F.row_number().over(order)).where(F.col("position") <= top)
 
 
-def currency_priority(status: Column, historical: Column) -> Column:
-    s = F.lower(F.coalesce(status, F.lit("current")))
-    old = F.when(s == "historical_reference", 3).when(s == "superseded", 2).when(s == "current", 1).otherwise(0)
-    now = F.when(s == "current", 3).when(s == "historical_reference", 1).otherwise(0)
-    return F.when(historical, old).otherwise(now)
-
-
 def similar_shipments(vectors: DataFrame, query: DataFrame, recent: DataFrame, k: int) -> DataFrame:
     """Top k by dot product; if any vector is of another length, the most recent instead."""
     size = len(query.first()["vector"])
-    fits = vectors.agg(F.bool_and(F.size("embedding") == size)).first()[0]
-    return dense_top(vectors, query, k) if fits else recent.orderBy(F.col("updated_at").desc(), "doc_id").limit(k)
+    packed = vectors if "block" in vectors.columns else pack_vectors(vectors)
+    return dense_top(packed, query, k) if packed.where(F.col("dim") != size).isEmpty() else recent.orderBy(F.col("updated_at").desc(), "doc_id").limit(k)
 
 
 #: Words without content, and what a question's words ask of a chunk.

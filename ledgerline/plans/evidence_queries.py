@@ -118,8 +118,9 @@ def shipment_evidence_gate(spark, sf_dir):
 
 
 @query(f"""
-WITH {R.FUSED}, f10 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS k FROM fused QUALIFY k <= 10), qw AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark), dw AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
-s AS (SELECT f10.query_id, f10.doc_id, rrf, round(len(list_intersect(qw.w, dw.w)) / len(qw.w), 6) AS rerank FROM f10 JOIN qw USING (query_id) JOIN dw USING (doc_id))
+WITH {R.FUSED}, f10 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS k FROM fused QUALIFY k <= 10),
+qw AS (SELECT query_id, list_distinct({R.sql_tokens('text')}) AS qw FROM items), dw AS (SELECT doc_id, list_distinct({R.sql_tokens('text')}) AS dw FROM docs),
+s AS (SELECT f10.query_id, f10.doc_id, rrf, round(len(list_intersect(qw, dw)) / len(qw) + 0.5 * len(list_filter(list_intersect(qw, dw), lambda w: regexp_matches(w, '^(pct|sro)[0-9]'))), 6) AS rerank FROM f10 JOIN qw USING (query_id) JOIN dw USING (doc_id))
 SELECT query_id, doc_id, rerank, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, rrf DESC, doc_id) AS position FROM s QUALIFY position <= 5""")
 def shipment_passages(spark, sf_dir):
     return retrieval.shipment_top(R._fused(spark, sf_dir), R._docs(spark, sf_dir), R._queries(spark, sf_dir)).select("query_id", "doc_id", "rerank", F.col("position").cast("long").alias("position"))

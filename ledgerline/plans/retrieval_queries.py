@@ -5,16 +5,58 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import tokens as T
-from ..operators import evaluation, retrieval
+from ..operators import evaluation, lexical_index, retrieval, vector_index
 from ..session import load
+from ..storage import table_signature
 from .registry import registry
 
 QUERIES, ORACLES, query = registry()
 
-BM25 = """
-  t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents), tf AS (SELECT doc_id, token, count(*) AS tf FROM t GROUP BY ALL),
+#: What is printed after an item, by its number: questions with codes, places, sources and times in them.
+ASKS = (
+    "which tariff entry covers 5201.0090 raw cotton", "what powers of seizure does customs have", "what do the customs rules say of goods declarations to Germany",
+    "what did the previous export policy order say under SRO 642(I)/2023", "how is a single declaration filed for 61091000 to China",
+    "how is an electronic certificate of origin processed for export to Turkey", "which documents should I prepare for shipping to the United States",
+)
+#: What each of them asks for, as a reader would state it: source family, code, destination, whether of the past.
+MEANT = (
+    ("tariff", "52010090", None, False), ("customs_act", None, None, False), ("customs_rules", None, "germany", False), ("export_policy", None, None, True),
+    ("psw_single_declaration", "61091000", "china", False), ("psw_ecoo", None, "turkey", False), ("configured_guidance", None, "usa", False),
+)
+#: What is printed after a document, by its number.
+SAYS = ("PCT 5201.0090 raw cotton tariff entry", "SRO 642(I)/2023 on exports to Germany", "code 61091000 of China", "officers may seize goods", "", "declarations submitted to Turkey under customs rules", "previous order SRO 711(I)/2022")
+#: What a document's source is, by the number in its name.
+TITLES = ("Customs Act 1969", "Customs Rules 2001", "Export Policy Order", "Single Declaration Manual", "Electronic Certificate of Origin Manual", "Tariff")
+SOURCE_KINDS = ("official_tariff", "official_regulation", "official_policy", "official_procedure", "official_manual", "curated_rule_summary", "unclassified")
+STATUSES = ("current", "historical_reference", "superseded")
+TAGGED = ("52010090", "52051100", "52094200", "61091000", "63023110")
+
+
+def _list(values) -> str:
+    return "[" + ", ".join("NULL" if v is None else str(v) if isinstance(v, bool) else "'" + v + "'" for v in values) + "]"
+
+
+def _at(values, key: str) -> str:
+    return f"({_list(values)})[{key} % {len(values)} + 1]"
+
+
+def sql_tokens(x: str) -> str:
+    """Tokens of a column in SQL: words with stems, product codes, notices."""
+    ascii_only = rf"regexp_replace(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}\x00-\x7F]', ' ', 'g'), '[^\x00-\x7F]', '_', 'g')"
+    return (
+        rf"list_concat(list_transform(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda w: CASE WHEN w IN ('confiscated', 'confiscation') THEN 'confiscate' WHEN w = 'declarations' THEN 'declaration' WHEN w = 'officers' THEN 'officer' WHEN w = 'powers' THEN 'power'"
+        rf" WHEN w IN ('seized', 'seizing', 'seizure') THEN 'seize' WHEN w IN ('submission', 'submitted', 'submitting') THEN 'submit' ELSE w END), list_transform(regexp_extract_all({ascii_only}, '\b\d{{4}}\.?\d{{4}}\b'), lambda c: 'pct' || replace(c, '.', '')),"
+        rf" list_transform(regexp_extract_all(lower({x}), '\d{{2,4}}\s*\(?\s*i\s*\)?\s*[/\-]?\s*\d{{4}}'), lambda n: regexp_replace(n, '^(\d{{2,4}}).*?(\d{{4}})$', 'sro\1i\2')))"
+    )
+
+
+TEXTS = f"""
+  docs AS (SELECT doc_id, lang, coalesce(try_cast(substr(source, 4) AS INTEGER), 0) AS s, concat_ws(' ', coalesce(text, ''), {_at(SAYS, 'doc_id')}) AS text FROM documents),
+  items AS (SELECT item_id AS query_id, concat_ws(' ', coalesce(text, ''), {_at(ASKS, 'item_id')}) AS text FROM benchmark)"""
+BM25 = TEXTS + f""",
+  t AS (SELECT doc_id, unnest({sql_tokens('text')}) AS token FROM docs), tf AS (SELECT doc_id, token, count(*) AS tf FROM t GROUP BY ALL),
   dl AS (SELECT doc_id, count(*) AS dl FROM t GROUP BY 1), c AS (SELECT count(*) AS n, avg(dl) AS a FROM dl), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
-  q AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark), qt AS (SELECT query_id, token, count(*) AS qtf FROM q GROUP BY ALL),
+  q AS (SELECT query_id, unnest({sql_tokens('text')}) AS token FROM items), qt AS (SELECT query_id, token, count(*) AS qtf FROM q GROUP BY ALL),
   bm AS (
     SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / a))), 6) AS score
     FROM qt JOIN tf USING (token) JOIN df USING (token) JOIN dl USING (doc_id), c GROUP BY ALL
@@ -24,18 +66,44 @@ DENSE = """
   de AS (SELECT query_id, doc_id, round(list_sum(list_transform(list_zip(e.v, qv.v), lambda p: p[1] * p[2])), 6) AS dense FROM e, qv)"""
 
 
+def _pick(values, key):
+    return F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
+
+
+def _printed(text, values, key):
+    return F.concat_ws(" ", F.coalesce(text, F.lit("")), _pick(values, key))
+
+
 def _queries(spark, sf_dir):
-    return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), _printed(F.col("text"), ASKS, F.col("item_id")).alias("text"))
 
 
 def _docs(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", "text")
+    return load(spark, sf_dir, "documents").select("doc_id", _printed(F.col("text"), SAYS, F.col("doc_id")).alias("text"))
+
+
+def _passages(spark, sf_dir):
+    """Chunks with what is known of their source; three neighbours have one parent."""
+    n = F.coalesce(F.expr("try_cast(substr(source, 4) as int)"), F.lit(0))
+    return load(spark, sf_dir, "documents").select(
+        "doc_id", F.floor(F.col("doc_id") / 3).alias("parent_id"), _printed(F.col("text"), SAYS, F.col("doc_id")).alias("text"), _pick(TITLES, n).alias("title"), F.col("lang").alias("document_type"), F.lit(None).cast("string").alias("section"),
+        _pick(SOURCE_KINDS, n).alias("kind"), _pick(STATUSES, n).alias("currency_status"), F.array(_pick(TAGGED, n)).alias("pct_codes"), F.when(n % 2 == 0, "SRO 642(I)/2023").alias("sro_number"),
+    )
+
+
+def _index(spark, sf_dir):
+    """The stored lexical index of the printed texts; written by whichever query comes first."""
+    return lexical_index.index_of(_docs(spark, sf_dir), table_signature(spark, f"{sf_dir}/documents.parquet"))
 
 
 def _vectors(spark, sf_dir):
     return load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
 
 
+def _packed(spark, sf_dir):
+    return vector_index.cached_vectors(_vectors(spark, sf_dir), table_signature(spark, f"{sf_dir}/embeddings.parquet"))
+
+
 def _query_vectors(spark, sf_dir):
     """An item's vector is the one of its number."""
     items = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"))
@@ -49,17 +117,23 @@ WITH p AS (SELECT doc_id, lower(text) AS x, regexp_replace(regexp_replace(lower(
     list_transform(regexp_extract_all(x, '\d{2,4}\s*\(?\s*i\s*\)?\s*[/\-]?\s*\d{4}'), lambda n: regexp_replace(n, '^(\d{2,4}).*?(\d{4})$', 'sro\1i\2')))) AS token FROM p), tf AS (SELECT doc_id, token, count(*) AS tf FROM t GROUP BY ALL)
 SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM tf GROUP BY 1""")
 def corpus_statistics(spark, sf_dir):
-    return retrieval.corpus_terms(_docs(spark, sf_dir))
+    return retrieval.corpus_terms(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(f"WITH {TEXTS}, t AS (SELECT doc_id, unnest({sql_tokens('text')}) AS token FROM docs), tf AS (SELECT doc_id, token, count(*) AS tf FROM t GROUP BY ALL) SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM tf GROUP BY 1")
+def indexed_terms(spark, sf_dir):
+    """What the stored index holds of each token; no text is read."""
+    return lexical_index.terms(_index(spark, sf_dir))
 
 
 @query(f"WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM bm) SELECT query_id, doc_id, score FROM r WHERE n <= 200")
 def lexical_ranking(spark, sf_dir):
-    return retrieval.lexical_scan_top(_docs(spark, sf_dir), _queries(spark, sf_dir)).select("query_id", "doc_id", "score")
+    return lexical_index.search(_index(spark, sf_dir), _queries(spark, sf_dir), retrieval.CANDIDATES).select("query_id", "doc_id", "score")
 
 
 @query(f"WITH {DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, doc_id) AS n FROM de) SELECT query_id, doc_id, dense, n AS dense_rank FROM r WHERE n <= 20")
 def dense_ranking(spark, sf_dir):
-    return retrieval.dense_top(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir), 20).select("query_id", "doc_id", "dense", F.col("dense_rank").cast("long").alias("dense_rank"))
+    return vector_index.dense_top(_packed(spark, sf_dir), _query_vectors(spark, sf_dir), 20).select("query_id", "doc_id", "dense", F.col("dense_rank").cast("long").alias("dense_rank"))
 
 
 FUSED = BM25 + "," + DENSE + """,
@@ -69,8 +143,8 @@ FUSED = BM25 + "," + DENSE + """,
 
 
 def _fused(spark, sf_dir):
-    lexical = retrieval.lexical_scan_top(_docs(spark, sf_dir), _queries(spark, sf_dir))
-    return retrieval.fused(lexical, retrieval.dense_top(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir)))
+    lexical = lexical_index.search(_index(spark, sf_dir), _queries(spark, sf_dir), retrieval.CANDIDATES)
+    return retrieval.fused(lexical, vector_index.dense_top(_packed(spark, sf_dir), _query_vectors(spark, sf_dir), retrieval.CANDIDATES))
 
 
 @query(f"WITH {FUSED} SELECT * FROM fused")
@@ -78,46 +152,52 @@ def fusion(spark, sf_dir):
     return _fused(spark, sf_dir)
 
 
-RERANKED = FUSED + """,
+RERANKED = FUSED + f""",
   f25 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS k FROM fused QUALIFY k <= 25),
-  qw AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark), dw AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
-  rr AS (SELECT f25.query_id, f25.doc_id, lexical, dense, rrf, round(len(list_intersect(qw.w, dw.w)) / len(qw.w), 6) AS overlap FROM f25 JOIN qw USING (query_id) JOIN dw USING (doc_id))"""
+  qw AS (SELECT query_id, text AS question, list_distinct({sql_tokens('text')}) AS qw FROM items), dw AS (SELECT doc_id, lang, s, text, list_distinct({sql_tokens('text')}) AS dw FROM docs),
+  rr AS (SELECT f25.query_id, f25.doc_id, lexical, dense, rrf, lang, s, text, qw, dw, round(len(list_intersect(qw, dw)) / len(qw), 6) AS overlap,
+    round(len(list_intersect(qw, dw)) / len(qw) + 0.5 * len(list_filter(list_intersect(qw, dw), lambda w: regexp_matches(w, '^(pct|sro)[0-9]'))), 6) AS rerank FROM f25 JOIN qw USING (query_id) JOIN dw USING (doc_id))"""
 
 
 def _reranked(spark, sf_dir):
     return retrieval.reranked(_fused(spark, sf_dir), _docs(spark, sf_dir), _queries(spark, sf_dir))
 
 
-@query(f"WITH {RERANKED} SELECT query_id, doc_id, overlap, overlap AS rerank FROM rr")
+@query(f"WITH {RERANKED} SELECT query_id, doc_id, overlap, rerank FROM rr")
 def reranking(spark, sf_dir):
     return _reranked(spark, sf_dir).select("query_id", "doc_id", "overlap", "rerank")
 
 
-GATED = RERANKED + """, g AS (SELECT *, doc_id // 3 AS parent_id, round(CASE WHEN CASE WHEN doc_id % 11 = 0 THEN greatest(overlap, 0.2) ELSE overlap END < 0.2 THEN overlap
-    ELSE CASE WHEN doc_id % 11 = 0 THEN greatest(overlap, 0.2) ELSE overlap END + CASE WHEN doc_id % 5 = 0 THEN 0.25 ELSE 0 END + CASE WHEN doc_id % 11 = 0 OR doc_id % 7 = 0 THEN 0.5 ELSE 0 END + CASE WHEN doc_id % 13 = 0 THEN 0.5 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 0.25 ELSE 0 END END, 6) AS relevance FROM rr)"""
+GATED = RERANKED + f""",
+  known AS (SELECT *, doc_id // 3 AS parent_id, {_at([m[0] for m in MEANT], 'query_id')} AS intent, {_at([m[1] for m in MEANT], 'query_id')} AS code, {_at([m[2] for m in MEANT], 'query_id')} AS country, {_at([m[3] for m in MEANT], 'query_id')} AS past,
+    lower({_at(TITLES, 's')}) AS title, {_at(SOURCE_KINDS, 's')} AS kind, {_at(STATUSES, 's')} AS status, {_at(TAGGED, 's')} AS tag, s % 2 = 0 AS notice FROM rr),
+  fit AS (SELECT *, CASE intent WHEN 'tariff' THEN CASE kind WHEN 'official_tariff' THEN 4 WHEN 'curated_rule_summary' THEN 1 ELSE 0 END WHEN 'customs_act' THEN CASE WHEN contains(title, 'customs act') THEN 4 WHEN kind = 'official_regulation' THEN 1 ELSE 0 END
+    WHEN 'customs_rules' THEN CASE WHEN contains(title, 'customs rules') THEN 4 WHEN kind = 'official_procedure' THEN 2 ELSE 0 END WHEN 'export_policy' THEN CASE WHEN kind = 'official_policy' THEN 4 WHEN kind = 'official_regulation' AND contains(title, 'export policy order') THEN 3 WHEN kind = 'curated_rule_summary' THEN 1 ELSE 0 END
+    WHEN 'psw_single_declaration' THEN CASE WHEN kind = 'official_manual' THEN CASE WHEN contains(title, 'single declaration') THEN 4 ELSE 2 END WHEN kind = 'curated_rule_summary' THEN 1 ELSE 0 END
+    WHEN 'psw_ecoo' THEN CASE WHEN kind = 'official_manual' THEN CASE WHEN contains(title, 'electronic certificate of origin') THEN 4 ELSE 2 END WHEN kind = 'curated_rule_summary' THEN 1 ELSE 0 END ELSE CASE WHEN kind = 'curated_rule_summary' THEN 4 ELSE 1 END END AS compatibility,
+    CASE WHEN past THEN CASE status WHEN 'historical_reference' THEN 3 WHEN 'superseded' THEN 2 ELSE 1 END ELSE CASE status WHEN 'current' THEN 3 WHEN 'historical_reference' THEN 1 ELSE 0 END END AS currency,
+    coalesce(contains(regexp_replace(text, '[^0-9]', '', 'g'), code), false) AS in_text, len(list_intersect(qw, list_distinct(list_concat(dw, regexp_extract_all(title || ' ' || lang, '[a-z0-9]+'))))) / len(qw) AS base,
+    notice AND len(list_filter(list_intersect(qw, dw), lambda w: starts_with(w, 'sro'))) > 0 AS same_notice FROM known),
+  g AS (SELECT *, round(CASE WHEN CASE WHEN in_text THEN greatest(base, 0.2) ELSE base END < 0.2 THEN base ELSE CASE WHEN in_text THEN greatest(base, 0.2) ELSE base END + CASE WHEN compatibility >= 4 THEN 0.25 ELSE 0 END + CASE WHEN in_text OR coalesce(tag = code, false) THEN 0.5 ELSE 0 END
+    + CASE WHEN same_notice THEN 0.5 ELSE 0 END + CASE WHEN coalesce(contains(lower(text), country), false) THEN 0.25 ELSE 0 END END, 6) AS relevance FROM fit)"""
 
 
 def _gated(spark, sf_dir):
-    k = F.col("doc_id")
-    return retrieval.gated(_reranked(spark, sf_dir), k % 11 == 0, k % 7 == 0, k % 13 == 0, k % 3 == 0, k % 5 == 0)
+    return retrieval.judged(_reranked(spark, sf_dir), _passages(spark, sf_dir), _queries(spark, sf_dir))
 
 
-@query(f"WITH {GATED} SELECT query_id, doc_id, relevance, relevance >= 0.5 AS accepted FROM g")
+@query(f"WITH {GATED} SELECT query_id, doc_id, relevance, relevance >= 0.5 AS accepted, compatibility, currency FROM g")
 def relevance_gate(spark, sf_dir):
-    return _gated(spark, sf_dir).select("query_id", "doc_id", "relevance", "accepted")
+    return _gated(spark, sf_dir).select("query_id", "doc_id", "relevance", "accepted", "compatibility", "currency")
 
 
-EVIDENCE = GATED + """, one AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY overlap DESC, rrf DESC, doc_id) AS n FROM g WHERE relevance >= 0.5 QUALIFY n = 1),
-  pr AS (SELECT *, overlap >= max(overlap) OVER (PARTITION BY query_id) - 1.0 AS comparable, CASE WHEN doc_id % 4 = 0 THEN 4 ELSE 0 END AS compatibility, CASE WHEN doc_id % 6 = 0 THEN 0 WHEN doc_id % 6 = 1 THEN 1 ELSE 3 END AS currency FROM one),
-  ev AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY comparable DESC, compatibility DESC, currency DESC, overlap DESC, rrf DESC, doc_id) AS position FROM pr QUALIFY position <= 5)"""
+EVIDENCE = GATED + """, one AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rerank DESC, rrf DESC, doc_id) AS n FROM g WHERE relevance >= 0.5 QUALIFY n = 1),
+  pr AS (SELECT *, rerank >= max(rerank) OVER (PARTITION BY query_id) - 1.0 AS comparable FROM one),
+  ev AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY comparable DESC, CASE WHEN comparable THEN compatibility ELSE 0 END DESC, CASE WHEN comparable THEN currency ELSE 0 END DESC, rerank DESC, rrf DESC, doc_id) AS position FROM pr QUALIFY position <= 5)"""
 
 
 def _evidence(spark, sf_dir):
-    k = F.col("doc_id")
-    found = _gated(spark, sf_dir).where("accepted").withColumn("parent_id", F.floor(k / 3))
-    status = F.when(k % 6 == 0, "superseded").when(k % 6 == 1, "historical_reference").otherwise("current")
-    ranked = retrieval.one_per_parent(found).withColumn("compatibility", F.when(k % 4 == 0, 4).otherwise(0)).withColumn("currency", retrieval.currency_priority(status, F.lit(False)))
-    return retrieval.prioritised(ranked)
+    return retrieval.prioritised(retrieval.one_per_parent(_gated(spark, sf_dir).where("accepted")))
 
 
 @query(f"WITH {EVIDENCE} SELECT query_id, doc_id, position FROM ev")
@@ -150,8 +230,8 @@ def metadata_filters(spark, sf_dir):
 
 @query(f"WITH {DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, doc_id) AS n FROM de) SELECT query_id, doc_id, dense FROM r WHERE n <= 5")
 def similar_shipments(spark, sf_dir):
-    vectors = _vectors(spark, sf_dir).withColumn("updated_at", F.col("doc_id"))
-    return retrieval.similar_shipments(vectors, _query_vectors(spark, sf_dir), vectors, 5).select("query_id", "doc_id", "dense")
+    recent = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("vec_id").alias("updated_at"))
+    return retrieval.similar_shipments(_packed(spark, sf_dir), _query_vectors(spark, sf_dir), recent, 5).select("query_id", "doc_id", "dense")
 
 
 @query("""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
@@ -39,3 +40,43 @@ def stored(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def files(spark: SparkSession, path: str):
+    """(path, file system) of the JVM."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target, fs = files(spark, path)
+    return fs.exists(target)
+
+
+def publish(spark: SparkSession, staged: str, path: str) -> None:
+    """Move a written folder to its place, whole or not at all; if another session was first, its work stands."""
+    target, fs = files(spark, path)
+    fs.mkdirs(target.getParent())
+    if not fs.exists(target):
+        fs.rename(files(spark, staged)[0], target)
+
+
+def cached(df: DataFrame, name: str, write=None) -> DataFrame:
+    """The table ``name`` of the shared folder; when it isn't there yet, written by ``write`` (a plain one of ``df`` if none)."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/ledgerline/{name}"
+    if not exists(spark, path):
+        staged = new_path(spark)
+        (write or (lambda to: df.write.parquet(to)))(staged)
+        publish(spark, staged, path)
+    return spark.read.parquet(path)
+
+
+def table_signature(spark: SparkSession, path: str) -> str:
+    """Of a table's files: names, sizes and times; equal as long as nothing was written."""
+    root, fs = files(spark, path)
+    found, seen = fs.listFiles(root, True), []
+    while found.hasNext():
+        f = found.next()
+        seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(seen)).encode()).hexdigest()
