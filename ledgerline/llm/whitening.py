@@ -11,8 +11,8 @@ product computed anew, are at rounding (``AT_ROUNDING`` times the greatest eigen
 The driver holds blocks of (entries a vector) x (3 blocks) numbers, never rows.
 
 Defined results: rows whose vector is null or empty, holds a null or an entry that is not finite, or
-does not fit in a long, are left out, as are those whose length isn't the most frequent one (of two
-equally frequent ones the greater counts); repeated rows give equal rows, and the fit counts
+does not fit in a long, are left out, as are those whose length isn't the one most distinct vectors
+have (of two equally frequent ones the greater counts); repeated rows give equal rows, and the fit counts
 their vector once; null ids are values; components whose eigenvalue is zero up to rounding have no
 whitened values and are left out, so that a table with one distinct vector, or an empty one, gives no rows; a
 deviation beyond a long is null. Extra columns pass through if asked for, but those named like a result give way.
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .common import shipped, stored
 
 SCALE, OFFSET = 64, 1_000_000
-COMPONENTS, GUARDS = 16, 8
+COMPONENTS, GUARDS, ADDERS = 16, 8, 8
 AT_ROUNDING, CERTIFIED, ZERO, ROUNDS = 1e-15, 1e-12, 1e-12, 1000
 RESULT = ("component", "n", "deviation", "whitened", "explained", "identity_error")
 
@@ -42,9 +42,7 @@ def whole_numbers(vectors: DataFrame, vector_col: str, keep: Sequence[str]) -> D
     v = F.col(vector_col)
     entry = lambda c: F.floor(c.cast("double") * SCALE)
     usable = (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & (F.abs(c.cast("double")) < 2.0**62 / SCALE))  # not so for NaN, which is the greatest
-    rows = vectors.where(v.isNotNull() & usable).select(F.struct(*keep).alias("_kept"), F.transform(v, lambda c: entry(c) + F.lit(OFFSET).cast("long")).alias("_x"))
-    length = rows.groupBy(F.size("_x").alias("l")).count().orderBy(F.desc("count"), F.desc("l")).first()
-    return rows.where(F.size("_x") == (length["l"] if length else 0))
+    return vectors.where(v.isNotNull() & usable).select(F.struct(*keep).alias("_kept"), F.transform(v, lambda c: entry(c) + F.lit(OFFSET).cast("long")).alias("_x"))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -93,20 +91,24 @@ class Centre:
 
 
 def _summed(fit: DataFrame, shape: tuple[int, int], partial: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """The sum over blocks of rows of ``partial(block)``, a matrix of ``shape``."""
-    height, width = shape
+    """The sum over blocks of rows of ``partial(block)``, a matrix of ``shape``: one matrix a task, added in ``ADDERS`` tasks and then in one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
         for x in _blocks(batches):
             for at in range(0, len(x), 4096):
                 total += partial(x[at : at + 4096])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(height * width)), pa.array(total.ravel())], names=["at", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sum"])
 
-    out = np.zeros(height * width)
-    for at, v in fit.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toLocalIterator():
-        out[at] = v
-    return out.reshape(shape)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in batches:
+            for one in batch.column("sum"):
+                total += np.frombuffer(one.as_buffer()).reshape(shape)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sum"])
+
+    sums = fit.mapInArrow(run, "sum binary").repartition(ADDERS).mapInArrow(add, "sum binary").repartition(1).mapInArrow(add, "sum binary")
+    return sum(np.frombuffer(r["sum"]).reshape(shape) for r in sums.collect()) + np.zeros(shape)
 
 
 def _orthonormal(block: np.ndarray, against: np.ndarray) -> np.ndarray:
@@ -157,7 +159,9 @@ def whiten(vectors: DataFrame, vector_col: str = "embedding", keep: Sequence[str
     spark = shipped(vectors.sparkSession)
     keep = [c for c in keep if c not in RESULT]
     rows = whole_numbers(vectors, vector_col, keep)
-    fit = stored(rows.select("_x").distinct())
+    distinct = stored(rows.select("_x").distinct())
+    length = distinct.groupBy(F.size("_x").alias("l")).count().orderBy(F.desc("count"), F.desc("l")).first()
+    rows, fit = (t.where(F.size("_x") == (length["l"] if length else 0)) for t in (rows, distinct))
     centre = Centre(fit)
     kinds = [rows.schema["_kept"].dataType[c].dataType for c in keep]
     if centre.n < 2:

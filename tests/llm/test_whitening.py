@@ -12,7 +12,7 @@ from ledgerline.llm import whitening
 def brute(rows, components=16):
     """{id: (n, deviation, whitened, explained)} by exact sums and a dense solver."""
     usable = [(k, [math.floor(float(np.float32(c)) * 64) + 1_000_000 for c in v]) for k, v in rows if v and all(c is not None and math.isfinite(c) for c in v)]
-    lengths = [len(x) for _, x in usable]
+    lengths = [len(x) for x in {tuple(x) for _, x in usable}]
     d = max(set(lengths), key=lambda n: (lengths.count(n), n)) if lengths else 0
     usable = [(k, x) for k, x in usable if len(x) == d]
     fit = sorted({tuple(x) for _, x in usable})
