@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunking, evaluation, extraction, supporting
+from ..functions import tokens
+from ..operators import chunking, evaluation, extraction, ingestion, supporting
 from ..session import load
+from ..storage import new_path
 from . import views
 from .registry import registry
 
@@ -276,3 +278,58 @@ def field_accuracy(spark, sf_dir):
     number = docs.select("doc_id", F.lit("invoice_number").alias("field"), F.concat(F.lit("INV-"), F.col("doc_id").cast("string")).alias("value"))
     truth = number.unionByName(docs.select("doc_id", F.lit("pct_code").alias("field"), F.lit("61091000").alias("value")))
     return evaluation.field_accuracy(got, truth, ["doc_id", "field"])
+
+
+LONGEST = 20_000
+
+
+def _readable(text: str) -> str:
+    if len(text) > LONGEST:
+        raise ValueError("too long to read")
+    return text
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t1, coalesce(text, '') || CASE WHEN doc_id % 5 = 1 THEN ' as amended' ELSE '' END AS t2 FROM documents),
+k AS (SELECT *, doc_id % 3 <> 0 AND length(t1) <= {LONGEST} AS known, length(t2) <= {LONGEST} AS ok FROM d)
+SELECT 1 AS run, 'doc-' || doc_id AS source_path, CASE WHEN known THEN 'ingested' ELSE 'error' END AS status FROM k WHERE doc_id % 3 <> 0
+UNION ALL SELECT 2, 'doc-' || doc_id, CASE WHEN known AND t1 = t2 THEN 'skipped_idempotent' WHEN NOT ok THEN 'error' WHEN known THEN 'updated' ELSE 'ingested' END FROM k
+UNION ALL SELECT 3, 'doc-' || doc_id, CASE WHEN ok THEN 'skipped_idempotent' ELSE 'error' END FROM k""")
+def ingestion_runs(spark, sf_dir):
+    """Three runs into one table: some sources; all, some of them amended; the same again. Sources too long to read fail alone."""
+    table = ingestion.chunk_table(spark, new_path(spark))
+    k, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    units = load(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc-"), k.cast("string")).alias("source_path"), F.lit(None).cast("int").alias("page"), F.lit(0).alias("unit"), text.alias("text"))
+    amended = units.withColumn("text", F.when(k % 5 == 1, F.concat("text", F.lit(" as amended"))).otherwise(F.col("text")))
+    runs = [ingestion.ingest(table, u.drop("doc_id"), _readable).select(F.lit(n).alias("run"), "source_path", "status") for n, u in enumerate((units.where(k % 3 != 0), amended, amended), start=1)]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
+@query("""
+WITH d AS (SELECT *, doc_id % 3 <> 0 AS first, doc_id % 4 <> 0 AS second, doc_id % 5 = 1 AS changed FROM documents)
+SELECT 1 AS run, count(*) FILTER (first) AS discovered, count(*) FILTER (first) AS embedded, 0::BIGINT AS updated, 0::BIGINT AS skipped, 0::BIGINT AS stale_removed, 'hash-64' AS models, count(*) FILTER (first) AS vectors FROM d
+UNION ALL SELECT 2, count(*) FILTER (second), count(*) FILTER (second AND NOT first), count(*) FILTER (second AND first AND changed), count(*) FILTER (second AND first AND NOT changed), count(*) FILTER (first AND NOT second), 'hash-64', count(*) FILTER (second) FROM d
+UNION ALL SELECT 3, count(*) FILTER (second), 0, count(*) FILTER (second), 0, 0, 'hash-64', count(*) FILTER (second) FROM d
+UNION ALL SELECT 4, count(*) FILTER (second), 0, 0, count(*) FILTER (second), 0, 'hash-64', count(*) FILTER (second) FROM d""")
+def vector_index_runs(spark, sf_dir):
+    """Vectors of a corpus over four runs: some; others, some changed, some gone; a new index version; nothing new."""
+    table = ingestion.vector_table(spark, new_path(spark))
+    k, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    docs = load(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    later = docs.where(k % 4 != 0).withColumn("text", F.when(k % 5 == 1, F.concat("text", F.lit(" as amended"))).otherwise(F.col("text")))
+    rows = []
+    for n, (chunks, version) in enumerate(((docs.where(k % 3 != 0), "1"), (later, "1"), (later, "2"), (later, "2")), start=1):
+        report = ingestion.index_vectors(table, chunks.select(k.alias("chunk_id"), "text", F.sha2("text", 256).alias("checksum")), tokens.embedder(64), "hash-64", version)
+        meta = ingestion.index_meta(table).first()
+        rows.append((n, *(report[c] for c in ("discovered", "embedded", "updated", "skipped", "stale_removed")), ",".join(meta["models"]), meta["vectors"]))
+    return spark.createDataFrame(rows, "run int, discovered long, embedded long, updated long, skipped long, stale_removed long, models string, vectors long")
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS chunk_id, doc_id % 3 <> 0 AS was_stored, 64 AS size FROM documents""")
+def stored_or_embedded(spark, sf_dir):
+    """A vector for every chunk: the stored one, or for chunks the index misses one made now."""
+    table = ingestion.vector_table(spark, new_path(spark))
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("checksum", F.sha2("text", 256))
+    ingestion.index_vectors(table, docs.where("chunk_id % 3 <> 0"), tokens.embedder(64), "hash-64", "1")
+    found = ingestion.vectors_for(table, docs, tokens.embedder(64), "hash-64", 64)
+    return found.select("chunk_id", "was_stored", F.size("embedding").alias("size"))
