@@ -39,7 +39,7 @@ UNION ALL SELECT doc_id, 'invoice_date', CASE doc_id % 4 WHEN 0 THEN printed_dat
 UNION ALL SELECT doc_id, 'pct_code', '61091000', 'high' FROM h""")
 def graded_fields(spark, sf_dir):
     docs = _printed(spark, sf_dir)
-    return extraction.graded(extraction.hits(docs, fields=FIELDS), docs, fields=FIELDS).select("doc_id", "field", "value", "grade")
+    return extraction.graded(docs, fields=FIELDS).select("doc_id", "field", "value", "grade")
 
 
 @query(f"""
@@ -47,7 +47,7 @@ WITH {PRINTED}, g AS (SELECT 'invoice_number' AS field, invoice IS NOT NULL AND
 SELECT field, count(*) AS total, count(*) FILTER (WHERE ok) AS resolved, round(avg(CAST(ok AS INTEGER)), 4) AS coverage FROM g GROUP BY 1""")
 def extraction_coverage(spark, sf_dir):
     docs = _printed(spark, sf_dir)
-    return extraction.coverage(extraction.graded(extraction.hits(docs, fields=FIELDS), docs, fields=FIELDS))
+    return extraction.coverage(extraction.graded(docs, fields=FIELDS))
 
 
 @query(f"""
@@ -58,7 +58,7 @@ WITH {PRINTED}, g AS (
 SELECT doc_id, field, CASE WHEN c >= 0.8 THEN value END AS value, CAST(c AS DOUBLE) AS confidence, CASE WHEN c >= 0.8 THEN 'verified' ELSE 'manual_review' END AS status FROM g""")
 def trusted_fields(spark, sf_dir):
     docs = _printed(spark, sf_dir)
-    return extraction.trusted(extraction.graded(extraction.hits(docs, fields=FIELDS), docs, fields=FIELDS))
+    return extraction.trusted(extraction.graded(docs, fields=FIELDS))
 
 
 @query("""
@@ -84,7 +84,7 @@ WITH {PRINTED}
 SELECT doc_id, 'invoice_number' AS field, coalesce(invoice, CASE WHEN doc_id % 2 = 0 THEN 'GAP-' || doc_id END) AS value, CASE WHEN invoice IS NOT NULL THEN 'deterministic' WHEN doc_id % 2 = 0 THEN 'gap' ELSE 'none' END AS method, invoice IS NOT NULL AND doc_id % 2 = 0 AS disagrees FROM h""")
 def gap_filling(spark, sf_dir):
     docs = _printed(spark, sf_dir)
-    fields = extraction.graded(extraction.hits(docs, fields=FIELDS[:1]), docs, fields=FIELDS[:1])
+    fields = extraction.graded(docs, fields=FIELDS[:1])
     gap = F.concat(F.lit("GAP-"), F.col("doc_id").cast("string"))
     gaps = docs.select("doc_id", F.lit("invoice_number").alias("field"), gap.alias("value"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("ref gap "), F.col("doc_id").cast("string"), F.lit("!"))).otherwise("nothing").alias("snippet"))
     return extraction.filled(fields, gaps)
@@ -274,7 +274,7 @@ WITH {PRINTED}, t AS (SELECT 'invoice_number' AS field, 'INV-' || doc_id AS trut
 SELECT field, count(*) FILTER (WHERE truth = value) AS correct, count(*) FILTER (WHERE value <> truth) AS incorrect, count(*) FILTER (WHERE value IS NULL) AS missing, count(*) AS total, round(count(*) FILTER (WHERE truth = value) / count(*), 4) AS accuracy FROM t GROUP BY 1""")
 def field_accuracy(spark, sf_dir):
     docs = _printed(spark, sf_dir)
-    got = extraction.graded(extraction.hits(docs, fields=FIELDS), docs, fields=FIELDS).select("doc_id", "field", "value")
+    got = extraction.graded(docs, fields=FIELDS).select("doc_id", "field", "value")
     number = docs.select("doc_id", F.lit("invoice_number").alias("field"), F.concat(F.lit("INV-"), F.col("doc_id").cast("string")).alias("value"))
     truth = number.unionByName(docs.select("doc_id", F.lit("pct_code").alias("field"), F.lit("61091000").alias("value")))
     return evaluation.field_accuracy(got, truth, ["doc_id", "field"])

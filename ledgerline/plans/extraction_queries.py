@@ -36,7 +36,8 @@ def invoices(spark, sf_dir):
     )
     line = lambda label, v: F.concat(F.lit(label), F.when(k % 3 == 0, "\n").when(k % 3 == 1, ": ").otherwise("  "), v)
     lines = F.concat_ws("\n", *[line(*f) for f in fields], F.lit("Sold in PCS only"), F.when(k % 7 == 0, "Invoice No: OTHER-1"))
-    return o.select(k.alias("doc_id"), lines.alias("text"))
+    # a small table makes much text: deal its rows out before the texts are read
+    return o.select(k.alias("doc_id"), lines.alias("text")).repartition(2 * spark.sparkContext.defaultParallelism, "doc_id")
 
 
 INVOICES = """
@@ -50,13 +51,13 @@ INVOICES = """
 @query(f"WITH {INVOICES} SELECT k AS doc_id, field, value, grade FROM f")
 def invoice_fields(spark, sf_dir):
     docs = invoices(spark, sf_dir)
-    return extraction.graded(extraction.hits(docs), docs).select("doc_id", "field", "value", "grade")
+    return extraction.graded(docs).select("doc_id", "field", "value", "grade")
 
 
 @query(f"WITH {INVOICES} SELECT field, count(*) AS total, count(*) FILTER (WHERE grade = 'high') AS resolved, round(avg(CASE WHEN grade = 'high' THEN 1 ELSE 0 END), 4) AS coverage FROM f GROUP BY 1")
 def invoice_coverage(spark, sf_dir):
     docs = invoices(spark, sf_dir)
-    return extraction.coverage(extraction.graded(extraction.hits(docs), docs))
+    return extraction.coverage(extraction.graded(docs))
 
 
 @query("""
