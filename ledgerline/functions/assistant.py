@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .automaton import Marks
+
 # Fixed values from here to the next function: patterns, phrases and words that results rely on.
 
 #: Instructions aimed at the assistant itself.
@@ -162,35 +164,53 @@ def question(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"\s+", " "))
 
 
-def _stems(x: Column, spaced: Column, terms) -> Column:
-    """Terms of several words stand anywhere, short ones alone, longer ones begin a word."""
-    phrases = [t for t in terms if any(c in t for c in " -/")]
-    return has(x, phrases) | has(spaced, [f" {t} " if len(t) <= 4 else f" {t}" for t in terms if t not in phrases])
+def _anywhere(terms) -> list[str]:
+    """Terms of several words stand anywhere."""
+    return [t for t in terms if any(c in t for c in " -/")]
+
+
+def _spaced(terms) -> list[str]:
+    """Of single words, short ones stand alone and longer ones begin a word."""
+    return [f" {t} " if len(t) <= 4 else f" {t}" for t in terms if t not in _anywhere(terms)]
+
+
+#: Words without which no pattern of the list can match; a text without them is not searched for the patterns.
+GUARD_WORDS = ("instruction", "disregard", "forget", "now", "pretend", "act", "system", "jailbreak", "override", "status", "shipment")
+OUTSIDE_WORDS = (
+    "write", "python", "javascript", "typescript", "java", "c++", "golang", "rust", "sql query", "regex", "football", "cricket", "soccer", "basketball", "tennis", "match result", "score", "world cup", "movie", "film", "netflix", "song",
+    "lyrics", "album", "celebrity", "recipe", "cook", "restaurant", "repair", "fix", "love poem", "dating", "horoscope", "astrology", "sort",
+)
+SCOPE = Marks(anchor=_anywhere(ANCHORS), trade=_anywhere(TRADE), concept=_anywhere(CONCEPTS), guard=GUARD_WORDS, outside=OUTSIDE_WORDS)
+SCOPE_SPACED = Marks(anchor=_spaced(ANCHORS), trade=_spaced(TRADE), concept=_spaced(CONCEPTS))
 
 
 def scope(x: Column) -> Column:
     """struct(in_domain, reason, injection) of a question."""
     text = question(x)
-    spaced = F.concat(F.lit(" "), F.regexp_replace(text, r"[^\p{L}\p{N}_]+", " "), F.lit(" "))
-    injection, outside = found(text, *GUARD), found(text, *OUT_OF_SCOPE)
-    anchor = _stems(text, spaced, ANCHORS)
-    pair = (_stems(text, spaced, TRADE) | found(text, CODE_IN_TEXT)) & _stems(text, spaced, CONCEPTS)
+    marks, spaced = SCOPE.of(text), SCOPE_SPACED.of(F.concat(F.lit(" "), F.regexp_replace(text, r"[^\p{L}\p{N}_]+", " "), F.lit(" ")))
+    stands = lambda name: SCOPE.any(marks, name) | SCOPE_SPACED.any(spaced, name)
+    injection, outside = SCOPE.any(marks, "guard") & found(text, *GUARD), SCOPE.any(marks, "outside") & found(text, *OUT_OF_SCOPE)
+    pair = (stands("trade") | found(text, CODE_IN_TEXT)) & stands("concept")
     reason = (
         F.when(text == "", "empty question").when(outside, "request is for content outside customs and trade scope").when(injection, "request attempts to override assistant instructions")
-        .when(anchor, "matched domain anchor term").when(pair, "matched trade context and document/regulatory concept").otherwise("no customs, trade or regulatory signal found")
+        .when(stands("anchor"), "matched domain anchor term").when(pair, "matched trade context and document/regulatory concept").otherwise("no customs, trade or regulatory signal found")
     )
     return F.struct((F.startswith(reason, F.lit("matched"))).alias("in_domain"), reason.alias("reason"), ((text != "") & injection).alias("injection"))
 
 
+ROUTE_LISTS = {f"{name} {k}": ps for name, phrases in ROUTES for k, ps in enumerate([phrases] if isinstance(phrases[0], str) else phrases)}
+ROUTED = Marks(**ROUTE_LISTS, why=("why",), required=("required",), advice=("what should i do", "how to correct"))
+
+
 def route(x: Column) -> Column:
     """Where a question about a shipment goes: the first route with a phrase in it, else by how it asks."""
-    q = question(x)
+    marks = ROUTED.of(question(x))
     out = None
-    for name, phrases in ROUTES:
-        hit = has(q, phrases) if isinstance(phrases[0], str) else reduce(lambda a, b: a & b, [has(q, p) for p in phrases])
+    for name, _ in ROUTES:
+        hit = reduce(lambda a, b: a & b, [ROUTED.any(marks, n) for n in ROUTE_LISTS if n.rpartition(" ")[0] == name])
         out = F.when(hit, name) if out is None else out.when(hit, name)
-    why = F.contains(q, F.lit("why"))
-    out = out.when(why & F.contains(q, F.lit("required")), "combined_shipment_and_regulation").when(why | has(q, ("what should i do", "how to correct")), "audit_result")
+    why = ROUTED.any(marks, "why")
+    out = out.when(why & ROUTED.any(marks, "required"), "combined_shipment_and_regulation").when(why | ROUTED.any(marks, "advice"), "audit_result")
     return out.otherwise("shipment_document_fact")
 
 
@@ -222,11 +242,17 @@ def intent(x: Column, supported: list[str], product_code: Column, candidates: Co
     )
 
 
+#: For each forbidden claim, words one of which every wording of it holds.
+CLAIM_WORDS = (("customs",), ("guarantee",), ("compliant",), ("required",), ("legally",), ("shipment",), ("issuing",), ("authentic",), ("authentic",), ("system",), ("document", "nothing", "list", "prepare", "need"))
+CLAIMS = Marks(**{f"claim{k}": w for k, w in enumerate(CLAIM_WORDS)}, guard=GUARD_WORDS, uncited=UNCITED.split("|"))
+
+
 def violations(answer: Column, has_evidence: Column) -> Column:
     """Labels of what a grounded answer may not say, distinct and sorted, joined."""
     low = F.lower(F.coalesce(answer, F.lit("")))
-    named = [F.when(low.rlike(p), F.lit(label)) for p, label in FORBIDDEN]
-    named += [F.when(found(low, *GUARD), F.lit("answer echoes an embedded instruction")), F.when(~has_evidence & low.rlike(UNCITED), F.lit("uncited regulatory claim"))]
+    marks = CLAIMS.of(low)
+    named = [F.when(CLAIMS.any(marks, f"claim{k}") & low.rlike(p), F.lit(label)) for k, (p, label) in enumerate(FORBIDDEN)]
+    named += [F.when(CLAIMS.any(marks, "guard") & found(low, *GUARD), F.lit("answer echoes an embedded instruction")), F.when(~has_evidence & CLAIMS.any(marks, "uncited"), F.lit("uncited regulatory claim"))]
     return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*named)))), "|")
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .automaton import phrase_numbers
+
 #: Phrases that try to steer whoever reads the text.
 INJECTION = (
     r"ignore\s+(all\s+)?previous\s+instructions", r"disregard\s+(the\s+)?(above|previous|prior)", r"mark\s+(this\s+)?(shipment|it)\s+(as\s+)?compliant",
@@ -84,18 +86,26 @@ def flat(x: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9]+", " ")), F.lit(" "))
 
 
+#: Spellings in the order of the table, and the longest first; each between blanks, as in ``flat``.
+SPELLED = [(f" {s} ", k) for k, names in DESTINATIONS.items() for s in names]
+LONGEST_FIRST = sorted(SPELLED, key=lambda p: (-len(p[0]), p[0]))
+_SPELLED, _LONGEST = (phrase_numbers([s for s, _ in xs]) for xs in (SPELLED, LONGEST_FIRST))
+
+
+def _first_name(numbers: Column, spelled: list[tuple[str, str]]) -> Column:
+    """The destination of the least number, which comes first in ``spelled``."""
+    return F.get(F.array(*[F.lit(k) for _, k in spelled]), F.get(numbers, F.lit(0)))
+
+
 def destination(x: Column) -> Column:
     """The canonical destination: the first in the table of which a spelling stands in the text."""
-    hay = flat(x)
-    return F.coalesce(*[F.when(reduce(lambda a, b: a | b, [F.contains(hay, F.lit(f" {s} ")) for s in names]), F.lit(k)) for k, names in DESTINATIONS.items()])
+    return _first_name(_SPELLED(flat(x)), SPELLED)
 
 
 def asked_destination(x: Column) -> Column:
     """What a question names as destination, without what follows "from"; the longest spelling wins."""
-    names = sorted(((s, k) for k, ss in DESTINATIONS.items() for s in ss), key=lambda p: (-len(p[0]), p[0]))
-    froms = "|".join(s for s, _ in [*names, ("pakistan", ""), ("pak", "")])
-    hay = F.regexp_replace(flat(x), rf" from (the )?({froms})(?= )", " ")
-    return F.coalesce(*[F.when(F.contains(hay, F.lit(f" {s} ")), F.lit(k)) for s, k in names])
+    froms = "|".join(s.strip() for s, _ in [*LONGEST_FIRST, ("pakistan", ""), ("pak", "")])
+    return _first_name(_LONGEST(F.regexp_replace(flat(x), rf" from (the )?({froms})(?= )", " ")), LONGEST_FIRST)
 
 
 def document_type(x: Column) -> Column:

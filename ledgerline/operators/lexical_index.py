@@ -34,6 +34,8 @@ from ..storage import cached, stored
 from .retrieval import K1, B
 
 BUCKETS, RANGE_DOCS, QUERY_BLOCK = 32, 4096, 256
+#: A small corpus is cut into this many ranges all the same, so that they can be scored side by side.
+LEAST_RANGES = 32
 #: The token that every document has.
 EVERY = ""
 
@@ -48,7 +50,8 @@ def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("_t")).select("doc_id", F.size("_t").alias("dl"), "_t").where("dl > 0")
     marks = rows.select("doc_id", "dl", F.explode(F.concat("_t", F.array(F.lit(EVERY)))).alias("token"))
     counted = stored(marks.groupBy("doc_id", "dl", "token").agg(F.count("*").cast("int").alias("tf")))
-    ranges = max(1, counted.where(F.col("token") == EVERY).count() // range_docs)
+    count = counted.where(F.col("token") == EVERY).count()
+    ranges = max(1, count // range_docs, min(LEAST_RANGES, count // 256))
     dealt = counted.withColumn("range", F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int"))
     blocks = dealt.groupBy("token", "range").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("_p"))
     blocks = blocks.select(
@@ -123,13 +126,12 @@ def search(index: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """(query_id, doc_id, score, lexical_rank): the first ``limit`` documents of each query (query_id, text) by BM25."""
     wanted = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
     wanted = stored(wanted.withColumn("bucket", _bucket(F.col("token"))))
-    buckets = [r[0] for r in wanted.select("bucket").distinct().collect()]  # BUCKETS at most
+    buckets, count = wanted.agg(F.collect_set("bucket"), F.count_distinct("query_id")).first()  # BUCKETS at most
     blocks = index.where(F.col("bucket").isin(buckets))
     corpus = index.where((F.col("bucket") == _bucket(F.lit(EVERY))) & (F.col("token") == EVERY))
     long_sum = F.aggregate("dls", F.lit(0).cast("long"), lambda a, x: a + x)
     n, length = corpus.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(long_sum), F.lit(0))).first()
     average = length / n if n else 1.0
-    count = wanted.select("query_id").distinct().count()
     held = blocks.select("token", "range", "n", "tf_most", "dl_least").join(wanted.select("token").distinct(), "token", "left_semi")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = wanted.join(held.groupBy("token").agg(F.sum("n").alias("df")), "token").select("query_id", "token", (F.col("qtf") * idf).alias("weight"))

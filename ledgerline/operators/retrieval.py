@@ -78,6 +78,11 @@ def overlap(query: Column, doc: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, doc)) / F.size(q)).otherwise(0.0)
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Few rows whose texts are costly to read, dealt out to all tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id", "doc_id")
+
+
 def reranked(candidates: DataFrame, docs: DataFrame, queries: DataFrame, limit: int = RERANKED) -> DataFrame:
     """The first by fusion, scored by token overlap and half a point for each shared special token.
 
@@ -85,7 +90,7 @@ def reranked(candidates: DataFrame, docs: DataFrame, queries: DataFrame, limit:
     """
     first = _best(candidates, "rrf", limit, "rrf_rank")
     joined = first.join(queries.select("query_id", F.col("text").alias("_qt")), "query_id").join(docs.select("doc_id", F.col("text").alias("_dt")), "doc_id")
-    split = joined.select("query_id", "doc_id", "lexical", "dense", "rrf", tokens(F.col("_qt")).alias("_q"), tokens(F.col("_dt")).alias("_d"))
+    split = _dealt(joined).select("query_id", "doc_id", "lexical", "dense", "rrf", tokens(F.col("_qt")).alias("_q"), tokens(F.col("_dt")).alias("_d"))
     special = F.size(F.filter(F.array_intersect("_q", "_d"), lambda t: t.rlike("^(pct|sro)[0-9]")))
     return split.select("query_id", "doc_id", "lexical", "dense", "rrf", F.round(overlap(F.col("_q"), F.col("_d")), 6).alias("overlap"), F.round(overlap(F.col("_q"), F.col("_d")) + 0.5 * special, 6).alias("rerank"))
 
@@ -102,7 +107,7 @@ def judged(scored: DataFrame, passages: DataFrame, queries: DataFrame) -> DataFr
     code = F.nullif(F.concat(F.regexp_extract(q, r"\b(\d{4})\.?(\d{4})\b", 1), F.regexp_extract(q, r"\b(\d{4})\.?(\d{4})\b", 2)), F.lit(""))
     asked = queries.select("query_id", F.coalesce("text", F.lit("")).alias("_question")).select(
         "query_id", "_question", code.alias("_code"), asked_destination(q).alias("_country"), source_intent(q).alias("_intent"), tokens(q).alias("_q"))
-    rows = scored.join(asked, "query_id").join(passages, "doc_id")
+    rows = _dealt(scored.join(asked, "query_id").join(passages, "doc_id"))
     searchable = F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("text", "title", "document_type", "section")])
     rows = rows.withColumns({"_d": tokens(searchable), "compatibility": source_compatibility(F.col("_intent"), F.col("kind"), F.col("document_type"), F.col("title")), "currency": currency_priority(q, F.col("currency_status"))})
     off = lambda c: F.coalesce(c, F.lit(False))
