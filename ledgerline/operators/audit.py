@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..status import FAILED, PASSED, REVIEW
+from .numbering import dense_numbers
 
 #: Document, field, whether of an item, the checks that depend on it, whether the rules do too.
 DEPENDENCIES = (
@@ -227,5 +228,4 @@ def defects(rows: DataFrame, signatures: DataFrame) -> DataFrame:
     """A record for every signature that a row that is neither fine nor blocked matches, by family."""
     open_ = rows.where("status <> 'passed' and not blocked")
     joined = open_.join(F.broadcast(signatures), F.col("message").contains(F.col("pattern")))  # a fixed list of signatures
-    order = Window.partitionBy("family").orderBy("row_id", "pattern")
-    return joined.select("family", "row_id", "pattern", F.row_number().over(order).alias("number"))
+    return dense_numbers(joined.select("family", "row_id", "pattern"), ["family"], [F.col("row_id"), F.col("pattern")])  # few families, of any size

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..status import FAILED, NOT_APPLICABLE, PASSED, REVIEW, named, severity, worst
 
-RULE_SCHEMA = "rule_id string, check_type string, applies_to array<string>, required_document string, destination string, deadline_days int, requirement string, validation_status string, source_document string, source_url string, issuing_authority string, effective_date string, government boolean"
-#: Provenance that a government rule needs for its pass to count.
+RULE_SCHEMA = "rule_id string, check_type string, applies_to array<string>, required_document string, destination string, deadline_days int, requirement string, validation_status string, source_document string, source_url string, issuing_authority string, effective_date string, government boolean, source_page int, source_locator string, legal_cutoff_date date, rule_data_version string"
+#: Provenance that the report on rules counts as blocking.
 PROVENANCE = ("source_document", "source_url", "issuing_authority", "effective_date")
 #: Spellings of one destination.
 CHINA = ("CHINA", "PEOPLE'S REPUBLIC OF CHINA", "PRC")
@@ -18,7 +18,7 @@ COTTON, OTHERS = "52010090", ("52051100", "52094200", "61091000", "63023110")
 def sample_rules(spark: SparkSession) -> DataFrame:
     """Synthetic rules in the shape of the configured ones; no rule file is at hand to read."""
     every, gov = [COTTON, *OTHERS], "Ministry of Commerce"
-    rule = lambda rid, kind, codes, doc=None, dest=None, days=None, req=None, status="verified", date="2025-01-01", url="https://example.org/rules": (rid, kind, list(codes), doc, dest, days, req, status, "notice", url, gov, date, True)
+    rule = lambda rid, kind, codes, doc=None, dest=None, days=None, req=None, status="verified", date="2025-01-01", url="https://example.org/rules": (rid, kind, list(codes), doc, dest, days, req, status, "notice", url, gov, date, True, 3, None, None, "2026-07")
     rows = [
         *[rule(f"xr_common_{d}", "required_document", every, d, status="partially_verified") for d in ("commercial_invoice", "packing_list", "form_e")],
         *[rule(f"xr_{c}_export_status", "export_status_informational", [c], status="unverified") for c in every],
@@ -43,8 +43,8 @@ def evaluate(shipments: DataFrame, documents: DataFrame, rules: DataFrame) -> Da
 
     Rules are a configured dimension, exploded by code; Spark broadcasts them while they are small.
     A conditional rule gives way to a destination rule for the same document that matches. Last,
-    a government rule's pass (or inapplicability) without whole provenance becomes manual_review;
-    inapplicability for structural reasons does not.
+    a government rule's pass (or inapplicability) without whole provenance, or with an uncertain
+    validation status, becomes manual_review; inapplicability for structural reasons does not.
     """
     by_code = rules.withColumn("code", F.explode("applies_to")).drop("applies_to").withColumnRenamed("destination", "rule_destination")
     rows = shipments.join(by_code, "code").join(documents.select("shipment_id", F.col("document").alias("required_document"), F.lit(True).alias("_has")), ["shipment_id", "required_document"], "left")
@@ -71,12 +71,12 @@ def evaluate(shipments: DataFrame, documents: DataFrame, rules: DataFrame) -> Da
     settled = F.max((kind == "destination_document") & F.coalesce(there, F.lit(False))).over(same)
     give_way = (kind == "conditional_document") & settled & F.col("required_document").isNotNull()
     judged = judged.withColumn("_give_way", F.coalesce(give_way, F.lit(False)))
-    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull() | (F.trim(F.col(c)) == ""), F.lit(c)) for c in PROVENANCE]))
+    missing, unsure = _provenance_gaps()
     status = F.when(F.col("_give_way"), NOT_APPLICABLE).otherwise(F.col("status"))
-    down = F.col("government") & ~F.col("_structural") & ~F.col("_give_way") & status.isin(PASSED, NOT_APPLICABLE) & (F.size(missing) > 0)
+    down = F.col("government") & ~F.col("_structural") & ~F.col("_give_way") & status.isin(PASSED, NOT_APPLICABLE) & ((F.size(missing) > 0) | unsure)
     return judged.select(
         "shipment_id", F.col("rule_id").alias("check_id"), "required_document", F.when(down, REVIEW).otherwise(status).alias("status"),
-        F.when(down, F.array_join(missing, ",")).otherwise(F.lit("")).alias("reasons"),
+        F.when(down, F.array_join(F.concat(missing, F.when(unsure, F.array(F.lit("uncertain_validation"))).otherwise(F.array().cast("array<string>"))), ",")).otherwise(F.lit("")).alias("reasons"),
     )
 
 
@@ -214,6 +214,17 @@ def code_support(shipments: DataFrame, catalog: DataFrame) -> DataFrame:
     return joined.select("shipment_id", F.when(fine, PASSED).otherwise(REVIEW).alias("status"), reason.alias("reason"))
 
 
+def _provenance_gaps():
+    """(legal fields that are missing, as an array; whether the validation status is absent or uncertain) of a rule's columns."""
+    empty = lambda c: F.col(c).isNull() | (F.col(c).cast("string") == "")
+    cutoff = F.coalesce("legal_cutoff_date", F.when(F.col("government"), F.lit(LEGAL_CUTOFF).cast("date")))
+    lacks = {c: empty(c) for c in LEGAL_FIELDS if c not in ("source_page_or_source_locator", "legal_cutoff_date")}
+    lacks |= {"source_page_or_source_locator": F.col("source_page").isNull() & empty("source_locator"), "legal_cutoff_date": cutoff.isNull()}
+    low = F.lower(F.coalesce("validation_status", F.lit("")))
+    unsure = (low == "") | F.exists(F.array(*map(F.lit, UNCERTAIN)), lambda m: F.contains(low, m))
+    return F.array_compact(F.array(*[F.when(lacks[c], F.lit(c)) for c in LEGAL_FIELDS])), unsure
+
+
 def with_provenance(checks: DataFrame) -> DataFrame:
     """A government rule's pass, or inapplicability, without whole or with uncertain provenance becomes manual_review.
 
@@ -221,13 +232,7 @@ def with_provenance(checks: DataFrame) -> DataFrame:
     source_page, source_locator, issuing_authority, effective_date, legal_cutoff_date,
     rule_data_version, validation_status. Applied once, last; failures stay.
     """
-    empty = lambda c: F.col(c).isNull() | (F.col(c).cast("string") == "")
-    cutoff = F.coalesce("legal_cutoff_date", F.when(F.col("government"), F.lit(LEGAL_CUTOFF).cast("date")))
-    lacks = {c: empty(c) for c in LEGAL_FIELDS if c not in ("source_page_or_source_locator", "legal_cutoff_date")}
-    lacks |= {"source_page_or_source_locator": F.col("source_page").isNull() & empty("source_locator"), "legal_cutoff_date": cutoff.isNull()}
-    missing = F.array_compact(F.array(*[F.when(lacks[c], F.lit(c)) for c in LEGAL_FIELDS]))
-    low = F.lower(F.coalesce("validation_status", F.lit("")))
-    unsure = (low == "") | F.exists(F.array(*map(F.lit, UNCERTAIN)), lambda m: F.contains(low, m))
+    missing, unsure = _provenance_gaps()
     down = F.coalesce("government", F.lit(False)) & F.col("status").isin(PASSED, NOT_APPLICABLE) & ((F.size(missing) > 0) | unsure)
     why = F.array_join(F.array_compact(F.array(
         F.when(F.size(missing) > 0, F.concat(F.lit("missing legal source field(s): "), F.array_join(missing, ", "))), F.when(unsure, F.lit("validation status is absent or uncertain")))), " and ")

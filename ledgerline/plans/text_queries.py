@@ -271,18 +271,32 @@ def new_downloads(spark, sf_dir):
     return files.new_downloads(found, found.where("file_id % 10 = 0"))
 
 
-@query("""SELECT * FROM (VALUES ('certificate-of-origin', 'official_manual', 'current'), ('customs-act', 'official_regulation', 'current'), ('customs-rules', 'official_regulation', 'current'), ('export-policy', 'official_policy', 'current'),
-  ('export-policy-old', 'official_policy', 'superseded'), ('notices', 'official_regulation', 'historical_reference'), ('requirements', 'curated_rule_summary', 'current'), ('single-declaration', 'official_manual', 'current'), ('tariff', 'official_tariff', 'current')) t(slug, source_kind, currency_status)""")
+@query("""
+WITH r(i, slug, kind, currency, first, last) AS (VALUES (0, 'tariff', 'official_tariff', 'current', NULL, NULL), (1, 'customs-act', 'official_regulation', 'current', NULL, NULL), (2, 'customs-rules', 'official_regulation', 'current', 1, 400),
+  (3, 'export-policy', 'official_policy', 'current', NULL, NULL), (4, 'export-policy-old', 'official_policy', 'superseded', NULL, NULL), (5, 'single-declaration', 'official_manual', 'current', NULL, NULL),
+  (6, 'certificate-of-origin', 'official_manual', 'current', NULL, NULL), (7, 'notices', 'official_regulation', 'historical_reference', NULL, NULL), (8, 'requirements', 'curated_rule_summary', 'current', NULL, NULL)),
+d AS (SELECT doc_id, coalesce(try_cast(substr(source, 4) AS INTEGER), 0) % 9 AS i, length(text) AS page FROM documents)
+SELECT doc_id, slug, kind AS source_kind, currency AS currency_status FROM d JOIN r USING (i) WHERE (first IS NULL OR page >= first) AND (last IS NULL OR page <= last)""")
 def source_registry_rows(spark, sf_dir):
-    return source_registry.sources(spark).select("slug", "source_kind", "currency_status")
+    """Units with what the registry says of their source, within the source's pages; a document's length stands for its page."""
+    slugs = [row[0] for row in source_registry.SOURCES]
+    number = F.coalesce(F.expr("try_cast(substr(source, 4) as int)"), F.lit(0)) % len(slugs) + 1
+    units = load(spark, sf_dir, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, slugs)), number).alias("slug"), F.length("text").alias("page"))
+    return source_registry.registered(units).select("doc_id", "slug", "source_kind", "currency_status")
 
 
-@query("""
-WITH r AS (SELECT n_name AS path, n_name || ' of region ' || n_regionkey AS text FROM nation)
-SELECT sha256(string_agg(length(path) || ':' || path || ':' || strlen(text) || ':' || sha256(text), '|' ORDER BY path)) AS version FROM r""")
+def _digests(above: str, below: str) -> str:
+    """A level of the tree in SQL; a single digest stays as it is."""
+    return f"{below} AS (SELECT n // 64 AS n, CASE WHEN (SELECT count(*) FROM {above}) = 1 THEN max(d) ELSE sha256(string_agg(d, '|' ORDER BY n)) END AS d FROM {above} GROUP BY n // 64)"
+
+
+@query(f"""
+WITH l0 AS (SELECT row_number() OVER (ORDER BY path) - 1 AS n, length(path) || ':' || path || ':' || strlen(text) || ':' || sha256(text) AS d FROM (SELECT 'doc-' || doc_id AS path, coalesce(text, '') AS text FROM documents)),
+l1 AS (SELECT n // 64 AS n, sha256(string_agg(d, '|' ORDER BY n)) AS d FROM l0 GROUP BY n // 64), {_digests('l1', 'l2')}, {_digests('l2', 'l3')}, {_digests('l3', 'l4')}
+SELECT max(d) AS version FROM l4""")
 def data_version(spark, sf_dir):
-    """Of a configuration of few files, which the nations stand for."""
-    return files.version(load(spark, sf_dir, "nation").select(F.col("n_name").alias("path"), F.concat_ws(" of region ", "n_name", F.col("n_regionkey").cast("string")).alias("text")))
+    """Of all documents, as files of a large configuration."""
+    return files.version(load(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).alias("text")))
 
 
 @query("""

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.numbering import dense_numbers
+
 PDF, ZIP, MOST_BYTES = "255044462D", "504B0304", 20 << 20
 
 
@@ -84,10 +86,25 @@ def config_problems(codes: DataFrame, metadata: DataFrame, requirements: DataFra
     )
 
 
+#: Digests that make one digest of the next level.
+FAN = 64
+
+
 def version(files: DataFrame) -> DataFrame:
-    """One digest over all files' paths and contents, each with its length before it; in path order."""
-    part = F.concat(F.length("path").cast("string"), F.lit(":"), F.col("path"), F.lit(":"), F.octet_length("text").cast("string"), F.lit(":"), F.sha2(F.coalesce("text", F.lit("")), 256))
-    return files.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", part.alias("part")))), lambda x: x["part"]), "|"), 256).alias("version"))
+    """One digest over all files' paths and contents, each with its length before it.
+
+    Files in path order are numbered, each ``FAN`` of them make one digest, each ``FAN`` of those the next, up to
+    one: no row ever holds more than ``FAN`` digests, and how files lie in partitions doesn't matter. No file: null.
+    """
+    part = F.concat(F.length("path").cast("string"), F.lit(":"), F.col("path"), F.lit(":"), F.octet_length(F.coalesce("text", F.lit(""))).cast("string"), F.lit(":"), F.sha2(F.coalesce("text", F.lit("")), 256))
+    level = dense_numbers(files.select("path", part.alias("digest")), [], [F.col("path"), F.col("digest")], "n").select((F.col("n") - 1).alias("n"), "digest")
+    left = level.count()
+    while True:
+        inside = F.transform(F.array_sort(F.collect_list(F.struct("n", "digest"))), lambda x: x["digest"])
+        level = level.groupBy(F.floor(F.col("n") / FAN).alias("n")).agg(F.sha2(F.array_join(inside, "|"), 256).alias("digest"))
+        left = -(-left // FAN)
+        if left <= 1:
+            return level.agg(F.max("digest").alias("version"))
 
 
 def html_table(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", columns: int = 4, headings: Sequence[str] | None = None) -> DataFrame:
@@ -122,9 +139,9 @@ def links(pages: DataFrame) -> DataFrame:
 def new_downloads(files: DataFrame, existing: DataFrame) -> DataFrame:
     """Files whose content is neither there yet nor earlier in the batch, with names that are free."""
     fresh = files.join(existing.select("checksum"), "checksum", "left_anti")
-    first = fresh.withColumn("_n", F.row_number().over(Window.partitionBy("checksum").orderBy("file_id"))).where("_n = 1")
-    again = F.row_number().over(Window.partitionBy("file_name").orderBy("file_id")) - 1
-    return first.withColumn("_again", again).select("file_id", "checksum", F.when(F.col("_again") == 0, F.col("file_name")).otherwise(F.concat("file_name", F.lit("-"), F.col("_again").cast("string"))).alias("file_name"))
+    first = fresh.groupBy("checksum").agg(F.min(F.struct("file_id", "file_name")).alias("_f")).select("checksum", "_f.*")
+    numbered = dense_numbers(first, ["file_name"], [F.col("file_id")], "_again").withColumn("_again", F.col("_again") - 1)
+    return numbered.select("file_id", "checksum", F.when(F.col("_again") == 0, F.col("file_name")).otherwise(F.concat("file_name", F.lit("-"), F.col("_again").cast("string"))).alias("file_name"))
 
 
 def write_report(df: DataFrame, path: str, form: str = "parquet") -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: slug, title, document type, kind, validation, currency, first and last page
 SOURCES = (
@@ -20,3 +21,11 @@ SOURCES = (
 
 def sources(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SOURCES, "slug string, title string, document_type string, source_kind string, validation_status string, currency_status string, first_page int, last_page int")
+
+
+def registered(units: DataFrame) -> DataFrame:
+    """``units`` (slug, page, ...) with what the registry says of their source; pages outside the source's window and unknown sources go."""
+    known = sources(units.sparkSession)
+    joined = units.join(F.broadcast(known), "slug")  # a dimension of a few sources
+    inside = (F.col("first_page").isNull() | (F.col("page") >= F.col("first_page"))) & (F.col("last_page").isNull() | (F.col("page") <= F.col("last_page")))
+    return joined.where(inside).drop("first_page", "last_page")
