@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import tokens
+from ..functions import table_functions, tokens
 from ..operators import chunking, evaluation, extraction, ingestion, supporting
 from ..session import load
 from ..storage import new_path
@@ -157,9 +157,33 @@ def ocr_pages(spark, sf_dir):
     return extraction.ocr_pages(words).withColumn("text", F.sha2("text", 256))
 
 
-@query()
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def chunk_sql(units: str) -> str:
+    """Parents and children of ``units`` (place, text) in SQL: the greedy folds as recursive tables."""
+    return rf"""
+u AS ({units}),
+b AS (SELECT place, list_filter(list_transform(string_split(trim(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), {BLANKS}), chr(10) || chr(10)), lambda x: trim(x, {BLANKS})), lambda x: x <> '') AS bs FROM u),
+w AS (SELECT place, 1 AS i, 0 AS g, length(bs[1]) AS size FROM b WHERE len(bs) > 0 UNION ALL
+  SELECT place, i + 1, CASE WHEN cut THEN g + 1 ELSE g END, CASE WHEN cut THEN n ELSE size + n END FROM (
+    SELECT place, i, g, size, length(bs[i + 1]) AS n, regexp_matches(bs[i + 1], '^\s*(S\.?\s*R\.?\s*O\.?|Sr\.?\s*No\.?|Schedule|SCHEDULE|===\s*Page|\(\s*[ivx]+\s*\))') OR size + length(bs[i + 1]) > 1800 OR size >= 3200 AS cut
+    FROM w JOIN b USING (place) WHERE i < len(bs))),
+p AS (SELECT place, g, string_agg(bs[i], chr(10) || chr(10) ORDER BY i) AS text FROM w JOIN b USING (place) GROUP BY place, g),
+l AS (SELECT place, g, string_split(text, chr(10)) AS ls FROM p),
+v AS (SELECT place, g, 1 AS i, 0 AS h, length(ls[1]) + 1 AS size FROM l UNION ALL
+  SELECT place, g, i + 1, CASE WHEN cut THEN h + 1 ELSE h END, CASE WHEN cut THEN n ELSE size + n END FROM (
+    SELECT place, g, i, h, size, length(ls[i + 1]) + 1 AS n, size + length(ls[i + 1]) + 1 > 480 AS cut FROM v JOIN l USING (place, g) WHERE i < len(ls))),
+c AS (SELECT place, g, h, trim(string_agg(ls[i], chr(10) ORDER BY i), {BLANKS}) AS text FROM v JOIN l USING (place, g) GROUP BY place, g, h),
+k AS (SELECT place, g, row_number() OVER (PARTITION BY place, g ORDER BY h) - 1 AS h, text FROM c WHERE text <> ''),
+made AS (
+  SELECT place || ':p' || g AS chunk_id, CAST(NULL AS VARCHAR) AS parent_chunk_id, 'parent' AS role, CAST(g AS INTEGER) AS chunk_index, text FROM p
+  UNION ALL SELECT place || ':p' || g || ':c' || h, place || ':p' || g, 'child', CAST(h AS INTEGER), text FROM k)"""
+
+
+@query(f"WITH RECURSIVE {chunk_sql("SELECT 'doc-' || doc_id || ':u0' AS place, coalesce(text, '') AS text FROM documents")} SELECT *, CAST(length(text) AS INTEGER) AS char_count, sha256(text) AS checksum FROM made")
 def parent_child_chunks(spark, sf_dir):
-    """Rows only: greedy gathering is a fold."""
+    """Parents and children of each document, a unit of its own."""
     docs = load(spark, sf_dir, "documents")
     return chunking.chunks(docs.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("slug"), F.lit(None).cast("int").alias("page"), F.lit(0).alias("unit"), "text"))
 
@@ -333,3 +357,11 @@ def stored_or_embedded(spark, sf_dir):
     ingestion.index_vectors(table, docs.where("chunk_id % 3 <> 0"), tokens.embedder(64), "hash-64", "1")
     found = ingestion.vectors_for(table, docs, tokens.embedder(64), "hash-64", 64)
     return found.select("chunk_id", "was_stored", F.size("embedding").alias("size"))
+
+
+@query(f"""WITH RECURSIVE {chunk_sql("SELECT coalesce(source, 'none') || ':u' || row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place, coalesce(text, '') AS text FROM documents")} SELECT chunk_id, parent_chunk_id, role, chunk_index, sha256(text) AS text FROM made""")
+def chunks_by_sql(spark, sf_dir):
+    """The documents of a source as its units, in order, cut by a table function that SQL calls."""
+    table_functions.register(spark)
+    units = load(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("slug"), F.lit(None).cast("int").alias("page"), "doc_id", "text")
+    return spark.sql("SELECT chunk_id, parent_chunk_id, role, chunk_index, sha2(text, 256) AS text FROM chunk_units(TABLE(SELECT * FROM {units}) PARTITION BY slug ORDER BY doc_id)", units=units)
