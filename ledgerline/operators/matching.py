@@ -13,35 +13,33 @@ STRATEGIES = (("line_reference", "line_ref"), ("pct_code", "code"), ("product",
 LAST = 10_000
 
 
-def _unique(items: DataFrame, key: str) -> DataFrame:
-    """Items whose key is not null and stands once among what is left of their shipment."""
-    alone = F.count("*").over(Window.partitionBy("shipment_id", key))
-    return items.where(F.col(key).isNotNull()).withColumn("_alone", alone).where("_alone = 1").select("shipment_id", key, "item_index")
-
-
 def match_items(invoice: DataFrame, packing: DataFrame, strategies: Sequence[tuple[str, str]] = STRATEGIES) -> DataFrame:
     """(shipment_id, invoice_index, packing_index, match_status, strategy): a full outer match.
 
     Each strategy pairs what stands exactly once on each side among the rows that earlier ones
-    left; so later strategies count anew. Null keys never match. All steps are partitioned by
-    shipment, so after the first exchange they stay where they are.
+    left; so later strategies count anew. Null keys never match. Both sides are one table with
+    one exchange, by shipment: a strategy counts its keys' free rows in a window, where each row of a
+    pair sees its partner, and no side is ever read again.
     """
     keys = [k for _, k in strategies]
-    left = invoice.select("shipment_id", "item_index", *keys).repartition("shipment_id")
-    right = packing.select("shipment_id", "item_index", *keys).repartition("shipment_id")
-    matched = None
+    side = lambda df, first: df.select("shipment_id", F.col("item_index").cast("int").alias("_index"), *keys, F.lit(first).alias("_first"))
+    rows = side(invoice, True).unionByName(side(packing, False)).repartition("shipment_id")
+    rows = rows.withColumns({"_partner": F.lit(None).cast("int"), "strategy": F.lit(None).cast("string")})
+    first = F.col("_first")
     for name, key in strategies:
-        a = _unique(left, key).withColumnRenamed("item_index", "invoice_index")
-        b = _unique(right, key).withColumnRenamed("item_index", "packing_index")
-        pairs = a.join(b, ["shipment_id", key]).select("shipment_id", "invoice_index", "packing_index", F.lit(name).alias("strategy"))
-        matched = pairs if matched is None else matched.unionByName(pairs)
-        left = left.join(pairs.select("shipment_id", F.col("invoice_index").alias("item_index")), ["shipment_id", "item_index"], "left_anti")
-        right = right.join(pairs.select("shipment_id", F.col("packing_index").alias("item_index")), ["shipment_id", "item_index"], "left_anti")
-    none = F.lit(None).cast("int")
-    return (
-        matched.withColumn("match_status", F.lit("matched"))
-        .unionByName(left.select("shipment_id", F.col("item_index").alias("invoice_index"), none.alias("packing_index"), F.lit(None).cast("string").alias("strategy"), F.lit("invoice_only").alias("match_status")))
-        .unionByName(right.select("shipment_id", none.alias("invoice_index"), F.col("item_index").alias("packing_index"), F.lit(None).cast("string").alias("strategy"), F.lit("packing_only").alias("match_status")))
+        group = Window.partitionBy("shipment_id", key)
+        free = F.col("_partner").isNull() & F.col(key).isNotNull()
+        seen = lambda mine: F.struct(F.count_if(free & mine).over(group).alias("n"), F.max(F.when(free & mine, F.col("_index"))).over(group).alias("index"))
+        rows = rows.withColumns({"_a": seen(first), "_b": seen(~first)})
+        hit = free & (F.col("_a.n") == 1) & (F.col("_b.n") == 1)
+        rows = rows.withColumns({"strategy": F.when(hit, name).otherwise(F.col("strategy")), "_partner": F.when(hit, F.when(first, F.col("_b.index")).otherwise(F.col("_a.index"))).otherwise(F.col("_partner"))})
+    paired = F.col("_partner").isNotNull()
+    return rows.where(first | ~paired).select(
+        "shipment_id",
+        F.when(first, F.col("_index")).alias("invoice_index"),
+        F.when(first, F.col("_partner")).otherwise(F.col("_index")).alias("packing_index"),
+        F.when(paired, "matched").when(first, "invoice_only").otherwise("packing_only").alias("match_status"),
+        "strategy",
     )
 
 

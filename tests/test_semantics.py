@@ -69,3 +69,28 @@ def test_chunks_keep_all_text():
 def test_embedding_has_length_one():
     v = _embed("export of cotton", 256)
     assert abs((v * v).sum() - 1) < 1e-9 and not _embed("", 256).any()
+
+
+def test_matching_counts_keys_anew_after_each_strategy(spark):
+    """Against the cascade spelled out, on small shipments with many equal and null keys; with one exchange."""
+    import random
+
+    rnd = random.Random(5)
+    pick = lambda xs: rnd.choice(xs)
+    item = lambda: (pick([None, 1, 2, 3]), pick([None, 10, 20]), pick(["p", "q", None]))
+    sides = [[(s, k, *item()) for s in range(120) for k in range(1, rnd.randint(0, 5) + 1)] for _ in range(2)]
+    a, b = (spark.createDataFrame(rows, "shipment_id long, item_index int, line_ref int, code int, product string") for rows in sides)
+    want = set()
+    for s in range(120):
+        left, right = ({r[1]: r[2:] for r in rows if r[0] == s} for rows in sides)
+        for n, (name, _) in enumerate(matching.STRATEGIES):
+            once = lambda side: {k: i for i, ks in side.items() if (k := ks[n]) is not None and sum(o[n] == k for o in side.values()) == 1}  # noqa: B023, E731
+            l1, r1 = once(left), once(right)
+            for k in l1.keys() & r1.keys():
+                want.add((s, l1[k], r1[k], "matched", name))
+                del left[l1[k]], right[r1[k]]
+        want |= {(s, i, None, "invoice_only", None) for i in left} | {(s, None, i, "packing_only", None) for i in right}
+    found = matching.match_items(a, b)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
