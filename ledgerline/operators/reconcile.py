@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import normalise as N
 from ..status import FAILED, NOT_APPLICABLE, PASSED, REVIEW, compared, overall, within, worst
 
 
@@ -106,6 +107,43 @@ def item_comparisons(matches: DataFrame, invoice: DataFrame, packing: DataFrame)
     return joined.select("shipment_id", "invoice_index", "packing_index", rows).select("shipment_id", "invoice_index", "packing_index", "_.*")
 
 
+#: The checks of a shipment with one line: name of the field in words, check, field, whether as words or digits.
+SINGLE = (("Product", "product_match", "product"), ("Quantity", "quantity_match", "quantity"), ("Net weight", "net_weight_match", "net_weight"), ("Gross weight", "gross_weight_match", "gross_weight"), ("PCT code", "pct_code_match", "code"))
+
+
+def single_line_checks(shipments: DataFrame) -> DataFrame:
+    """(shipment_id, place, check_id, status, message): seven checks of a shipment whose documents have one line each.
+
+    shipments: shipment_id, and invoice_ and packing_ of product, quantity, net_weight, gross_weight and code. Products compare as
+    words and codes as digits; a value that is unknown on either side is for review, never a failure.
+    """
+    bare = {"product": N.product, "code": lambda x: N.digits(x.cast("string"))}
+
+    def compare(title: str, check: str, field: str):
+        a, b = F.col(f"invoice_{field}"), F.col(f"packing_{field}")
+        form = bare.get(field, lambda x: x)
+        same = form(a) == form(b)
+        said = [x.cast("string") for x in (a, b)]
+        message = F.when(a.isNull() | b.isNull(), f"{title} could not be verified because one or both values are missing or uncertain.").when(same, f"{title} matches across both documents.")
+        message = message.otherwise(F.concat(F.lit(f"{title} mismatch: invoice has '"), said[0], F.lit("' and packing list has '"), said[1], F.lit("'.")))
+        return F.struct(F.lit(check).alias("check_id"), compared(a.isNull() | b.isNull(), same).alias("status"), message.alias("message"))
+
+    def weights(document: str, prefix: str):
+        net, gross = F.col(f"{prefix}_net_weight"), F.col(f"{prefix}_gross_weight")
+        message = F.when(net.isNull() | gross.isNull(), "The weight relationship requires manual review.").when(gross >= net, f"{document} gross weight is valid.").otherwise(f"{document} gross weight is below its net weight.")
+        return F.struct(F.lit(f"{document}_gross_not_below_net").alias("check_id"), compared(net.isNull() | gross.isNull(), gross >= net).alias("status"), message.alias("message"))
+
+    checks = [compare(*x) for x in SINGLE]
+    ordered = [*checks[:4], weights("invoice", "invoice"), weights("packing_list", "packing"), checks[4]]
+    return shipments.select("shipment_id", F.posexplode(F.array(*ordered)).alias("place", "_c")).select("shipment_id", "place", "_c.*")
+
+
+def single_line_input(shipments: DataFrame, checks: DataFrame) -> DataFrame:
+    """What a shipment of one line brings to the rules: a field only where its own check passed."""
+    passed = checks.groupBy("shipment_id").agg(*[F.bool_or((F.col("check_id") == check) & (F.col("status") == PASSED)).alias(f"_{field}") for _, check, field in SINGLE])
+    return shipments.join(passed, "shipment_id").select("shipment_id", *[F.when(F.col(f"_{field}"), F.col(f"invoice_{field}")).alias(field) for _, _, field in SINGLE])
+
+
 def single_document_items(matches: DataFrame) -> DataFrame:
     """How many items stand on one document only, and what that makes of the shipment."""
     counts = matches.groupBy("shipment_id").agg(*[F.count_if(F.col("match_status") == s).alias(s) for s in ("matched", "invoice_only", "packing_only")])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -236,6 +238,15 @@ def explanation_status(evidence: DataFrame) -> DataFrame:
     return found.select("check_id", "original_status", status.alias("status"))
 
 
+def passages_for_documents(index: DataFrame, docs: DataFrame, documents: Sequence[str], k: int = 5) -> DataFrame:
+    """(document, passage_id, rank, text): the first ``k`` passages of the stored index for each kind of document, asked for by its names."""
+    from .lexical_index import search
+
+    asked = [(d, " ".join([d.replace("_", " "), *DOCUMENT_TERMS.get(d, ()), "required for export"])) for d in documents]
+    found = search(index, index.sparkSession.createDataFrame(asked, "query_id string, text string"), k)
+    return found.join(docs, "doc_id").select(F.col("query_id").alias("document"), F.col("doc_id").alias("passage_id"), F.col("lexical_rank").alias("rank"), "text")
+
+
 def pre_submission(cases: DataFrame, rules_table: DataFrame, passages: DataFrame, no_documents: DataFrame) -> DataFrame:
     """What to prepare for an export before anything is sent: documents by rule, each with its class of evidence.
 

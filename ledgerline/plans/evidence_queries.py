@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
-from ..operators import audit, evaluation, reconcile, retrieval, rules
+from ..operators import audit, evaluation, lexical_index, reconcile, retrieval, rules
 from ..session import load
+from ..storage import table_signature
 from . import retrieval_queries as R
 from . import shipment_queries as S
 from . import views
@@ -382,3 +383,24 @@ def declared_weight_totals(spark, sf_dir):
     n, g = F.coalesce("n", F.lit(0)), F.coalesce("g", F.lit(0))
     header = orders.select("shipment_id", F.when(k % 4 != 0, n + k % 3).alias("declared_invoice_net"), g.alias("declared_invoice_gross"), F.when(k % 5 != 0, n).alias("declared_packing_net"), F.when(k % 6 != 0, g).alias("declared_packing_gross"))
     return reconcile.declared_weights(invoice, packing, header)
+
+
+GUIDED = ("product_licence", "import_permit", "phytosanitary_certificate", "sbp_deposit_proof", "sbp_confirmation", "irrevocable_letter_of_credit", "form_e", "certificate_of_origin")
+GUIDED_SQL = f"""docs AS (SELECT doc_id, {asked('text', 'doc_id', SAID)} AS text FROM documents), items(query_id, text) AS (VALUES {', '.join("('" + d + "', '" + ' '.join([d.replace('_', ' '), *retrieval.DOCUMENT_TERMS.get(d, ()), 'required for export']) + "')" for d in GUIDED)})"""
+
+
+@query(f"""
+WITH {GUIDED_SQL}{R.BM25_OVER}, top AS (SELECT query_id AS document, doc_id AS passage_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 5),
+x AS (SELECT top.*, lower(text) AS t FROM top JOIN docs ON doc_id = passage_id), d AS (SELECT *, CASE document {' '.join(f"WHEN {lit(n)} THEN {held('t', ts)}" for n, ts in retrieval.DOCUMENT_TERMS.items())} ELSE contains(t, replace(document, '_', ' ')) END AS direct, regexp_matches(t, {lit(retrieval.NOT_NEEDED)}) AS no FROM x),
+g AS (SELECT document, bool_or(direct) AS direct, bool_or(direct AND no) AS no, bool_or(direct AND NOT no) AS yes, min({{'far': NOT direct, 'rank': rank, 'p': passage_id}}).p AS passage_id FROM d GROUP BY 1),
+ca AS (SELECT n_nationkey * 10 + i AS case_id, ({listed(views.CODES)})[i + 1] AS code, upper(n_name) = 'CHINA' AS china FROM nation, range(5) r(i)), o(code, document, requirement) AS (VALUES ('52010090', 'product_licence', 'conditional'), ('52010090', 'import_permit', 'conditional'), ('52010090', 'phytosanitary_certificate', 'required'), ('52010090', 'sbp_deposit_proof', 'required'),
+  ('52010090', 'sbp_confirmation', 'required'), ('52010090', 'irrevocable_letter_of_credit', 'required'), ('61091000', 'product_licence', 'required')), l AS (SELECT case_id, document, requirement FROM ca JOIN o USING (code) UNION ALL SELECT case_id, 'form_e', 'required' FROM ca UNION ALL SELECT case_id, 'certificate_of_origin', CASE WHEN china THEN 'required' ELSE 'conditional' END FROM ca WHERE code <> '52010090')
+SELECT case_id, document, requirement, CASE WHEN direct IS NULL THEN 'configured_rule_only' WHEN no AND yes THEN 'conflicting_evidence' WHEN direct THEN 'direct_evidence' ELSE 'indirect_support' END AS evidence_class FROM l LEFT JOIN g USING (document)
+UNION ALL SELECT case_id, unnest(['commercial_invoice', 'packing_list']), 'required', 'configured_rule_only' FROM ca""")
+def guidance_by_retrieval(spark, sf_dir):
+    """Every product to every nation: what the rules leave to obtain, each with the class of the passages that a search finds for it."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), at(SAID, F.col("doc_id"))).alias("text"))
+    index = lexical_index.index_of(docs, table_signature(spark, f"{sf_dir}/documents.parquet") + "-said")
+    cases = load(spark, sf_dir, "nation").select(F.col("n_nationkey"), F.col("n_name").alias("destination"), F.posexplode(F.array(*map(F.lit, views.CODES))).alias("i", "code"))
+    cases = cases.select((F.col("n_nationkey") * 10 + F.col("i")).cast("long").alias("shipment_id"), "code", "destination", none("date").alias("shipment_date"), none("date").alias("letter_of_credit_date"))
+    return retrieval.pre_submission(cases, rules.sample_rules(spark), retrieval.passages_for_documents(index, docs, GUIDED), spark.createDataFrame([], "shipment_id long, document string"))

@@ -357,3 +357,35 @@ def report_lines(spark, sf_dir):
 def package_totals(spark, sf_dir):
     _, packing = _items(spark, sf_dir)
     return packing.groupBy("shipment_id").agg(F.sum(F.col("quantity").cast("string").try_cast("decimal(18,4)").cast("long")).alias("packages"))
+
+
+SINGLE_LINES = """, one AS (
+    SELECT i.shipment_id, i.product AS a_product, p.product || CASE WHEN i.shipment_id % 6 = 1 THEN ' (new)' WHEN i.shipment_id % 6 = 2 THEN ' - ' ELSE '' END AS b_product, i.units AS a_quantity, p.units AS b_quantity,
+           i.net AS a_net, p.net AS b_net, i.gross AS a_gross, p.gross AS b_gross, i.code AS a_code, p.code AS b_code
+    FROM invoice i LEFT JOIN packing p ON p.shipment_id = i.shipment_id AND p.item_index = 1 WHERE i.item_index = 1), seven AS (
+    SELECT shipment_id, unnest([0, 1, 2, 3, 4, 5, 6]) AS place, unnest(['product_match', 'quantity_match', 'net_weight_match', 'gross_weight_match', 'invoice_gross_not_below_net', 'packing_list_gross_not_below_net', 'pct_code_match']) AS check_id,
+           unnest([trim(regexp_replace(lower(a_product), '[^a-z0-9]+', ' ', 'g')) = trim(regexp_replace(lower(b_product), '[^a-z0-9]+', ' ', 'g')), a_quantity = b_quantity, a_net = b_net, a_gross = b_gross, a_gross >= a_net, b_gross >= b_net, a_code = b_code]) AS ok FROM one)"""
+
+
+def _single_lines(spark, sf_dir):
+    """The first line of each shipment's documents; products of the packing list are written otherwise here and there."""
+    invoice, packing = _items(spark, sf_dir)
+    fields = ("product", "quantity", "net_weight", "gross_weight", "code")
+    k = F.col("shipment_id")
+    a = invoice.where("item_index = 1").select("shipment_id", *[F.col(c).alias(f"invoice_{c}") for c in fields])
+    b = packing.where("item_index = 1").withColumn("product", F.concat("product", F.when(k % 6 == 1, " (new)").when(k % 6 == 2, " - ").otherwise("")))
+    return a.join(b.select("shipment_id", *[F.col(c).alias(f"packing_{c}") for c in fields]), "shipment_id", "left")
+
+
+@query(f"WITH {PACKING}{SINGLE_LINES} SELECT shipment_id, CAST(place AS INTEGER) AS place, check_id, CASE WHEN ok IS NULL THEN 'manual_review' WHEN ok THEN 'passed' ELSE 'failed' END AS status FROM seven")
+def single_line_checks(spark, sf_dir):
+    return reconcile.single_line_checks(_single_lines(spark, sf_dir)).drop("message")
+
+
+@query(f"""
+WITH {PACKING}{SINGLE_LINES}, w AS (SELECT shipment_id, bool_or(check_id = 'product_match' AND ok) AS p, bool_or(check_id = 'quantity_match' AND ok) AS q, bool_or(check_id = 'net_weight_match' AND ok) AS n, bool_or(check_id = 'gross_weight_match' AND ok) AS g, bool_or(check_id = 'pct_code_match' AND ok) AS c FROM seven GROUP BY 1)
+SELECT shipment_id, CASE WHEN p THEN a_product END AS product, CAST(CASE WHEN q THEN a_quantity END AS DOUBLE) AS quantity, CAST(CASE WHEN n THEN a_net END AS DOUBLE) AS net_weight, CAST(CASE WHEN g THEN a_gross END AS DOUBLE) AS gross_weight, CASE WHEN c THEN a_code END AS code FROM one JOIN w USING (shipment_id)""")
+def single_line_input(spark, sf_dir):
+    lines = _single_lines(spark, sf_dir)
+    found = reconcile.single_line_input(lines, reconcile.single_line_checks(lines))
+    return found.select("shipment_id", "product", *[F.col(c).cast("double").alias(c) for c in ("quantity", "net_weight", "gross_weight")], "code")

@@ -9,6 +9,7 @@ from ..functions import predicates as P
 from ..functions import tokens as T
 from ..operators import resolver
 from ..session import load
+from ..storage import new_path
 from ..sources import files, registry as source_registry
 from .registry import registry
 
@@ -321,3 +322,30 @@ def resolved_products(spark, sf_dir):
     part = load(spark, sf_dir, "part")
     questions = part.select(F.col("p_partkey").alias("question_id"), F.concat_ws(" ", "p_name", "p_type", F.lit("please")).alias("text"))
     return resolver.resolved(questions, part.select(F.col("p_type").alias("code"), F.col("p_type").alias("name")).distinct())
+
+
+@query("""SELECT 'doc-' || doc_id AS slug, length(text) AS page FROM documents WHERE length(text) BETWEEN 200 AND 4000 AND regexp_matches(text, '(?i)the hestin|thereren|rest')""")
+def relevant_units(spark, sf_dir):
+    """Units within a page range that match what is relevant; a document's length stands for its page."""
+    units = load(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("slug"), F.length("text").alias("page"), F.lit(0).alias("unit"), "text")
+    return files.page_units(units, 200, 4000, "the hestin|thereren|rest").select("slug", "page")
+
+
+@query("""SELECT p_type AS code, min(p_name) AS name, 'other' AS category FROM part GROUP BY 1""")
+def configured_catalog(spark, sf_dir):
+    """A catalog written as one JSON document of types and read back as the configuration is."""
+    path = new_path(spark)
+    types = load(spark, sf_dir, "part").groupBy(F.col("p_type").alias("pct_code")).agg(F.min("p_name").alias("simple_product_name"))
+    doc = types.agg(F.sort_array(F.collect_list("pct_code")).alias("pct_codes"), F.collect_list(F.struct("pct_code", "simple_product_name")).alias("products"))  # a configuration: as many as there are types
+    doc.select(F.to_json(F.struct("pct_codes", "products")).alias("value")).write.text(path)
+    return files.catalog(spark, path).select("code", "name", "category")
+
+
+@query("""SELECT l_returnflag AS flag, count(*) AS n, sum(CAST(l_quantity AS BIGINT)) AS quantity FROM lineitem GROUP BY 1""")
+def written_report(spark, sf_dir):
+    """A report that is written twice and read back: the second takes the place of the first."""
+    path = new_path(spark)
+    report = load(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
+    for _ in range(2):
+        files.write_report(report, path, "json")
+    return spark.read.schema("flag string, n long, quantity long").json(path)
