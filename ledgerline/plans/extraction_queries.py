@@ -207,3 +207,34 @@ def strict_handoff(spark, sf_dir):
 def open_tasks(spark, sf_dir):
     """The newest open task of each workflow; clicks stand for open ones."""
     return audit.latest(load(spark, sf_dir, "events").where("event_type = 'click'"), "user_id", ["ts", "event_id"]).select("user_id", "event_id")
+
+
+def _schema_sql(schema) -> str:
+    return f"(VALUES {', '.join(f'({lit(a)}, {lit(b)})' for a, b in schema.items())})"
+
+
+@query(f"""
+WITH {INVOICES}, m(source, target) AS {_schema_sql({"exporter_name": "exporter_name", "consignee_name": "buyer_name", "invoice_number": "invoice_number", "invoice_date": "invoice_date", "currency": "currency", "country_of_destination": "destination_country", "total_invoice_value": "invoice_total", "net_weight": "declared_net_weight_total", "gross_weight": "declared_gross_weight_total"})}
+SELECT k AS doc_id, target AS field, CASE WHEN grade = 'high' THEN value END AS value, CASE WHEN grade = 'high' THEN 0.95::DOUBLE ELSE 0::DOUBLE END AS confidence, CASE WHEN grade = 'high' THEN 'verified' ELSE 'manual_review' END AS validation_status,
+  CASE WHEN grade = 'high' THEN 'regex_labeled' ELSE 'more than one reading, or an unsure one' END AS note FROM f JOIN m ON field = source""")
+def invoice_candidates(spark, sf_dir):
+    """Each invoice as the schema of invoices asks for it."""
+    found = extraction.schema_candidates(extraction.graded(invoices(spark, sf_dir)), extraction.INVOICE_SCHEMA)
+    return found.select("doc_id", "field", "value", F.col("confidence").cast("double").alias("confidence"), "validation_status", "note")
+
+
+@query(f"""
+WITH {S.INVOICE}, c AS (SELECT shipment_id AS doc_id, item_index AS line_number, unnest(['line_number', 'product_name', 'pct_code', 'quantity', 'unit', 'unit_price', 'line_total', 'net_weight', 'gross_weight']) AS field,
+  unnest([CAST(item_index AS VARCHAR), product, CAST(code AS VARCHAR), CASE WHEN item_index % 3 = 0 THEN 'about ' ELSE '' END || units, NULL, printf('%d.%02d', price_cents // 100, price_cents % 100), printf('%d.%02d', cents // 100, cents % 100), NULL, NULL]) AS raw FROM invoice)
+SELECT doc_id, CAST(line_number AS INTEGER) AS line_number, field, CASE WHEN raw NOT LIKE 'about %' THEN raw END AS value, CASE WHEN raw IS NULL OR raw LIKE 'about %' THEN 0::DOUBLE ELSE 0.95::DOUBLE END AS confidence, CASE WHEN raw IS NULL OR raw LIKE 'about %' THEN 'manual_review' ELSE 'verified' END AS validation_status,
+  CASE WHEN field = 'line_number' THEN 'table row position' WHEN field IN ('net_weight', 'gross_weight') THEN 'not a reconstructed column on this table' WHEN raw IS NULL THEN 'not found in the document'
+    WHEN raw LIKE 'about %' THEN '''' || raw || ''' could not be converted to the type this field requires' ELSE 'regex_table' END AS note FROM c""")
+def invoice_line_candidates(spark, sf_dir):
+    """The rows of invoices' tables as the schema of lines asks for them; every third quantity is no number."""
+    i = F.col("item_index")
+    rows = views.invoice_items(spark, sf_dir).select(
+        F.col("shipment_id").alias("doc_id"), i.alias("item_index"), F.col("product").alias("description"), F.col("code").cast("string").alias("pct_code"),
+        F.concat(F.when(i % 3 == 0, "about ").otherwise(""), F.col("quantity").cast("long").cast("string")).alias("quantity"), F.lit(None).cast("string").alias("unit"), F.col("unit_price").cast("string").alias("unit_price"), F.col("line_total").cast("string").alias("line_total"),
+    )
+    found = extraction.line_candidates(rows, ("net_weight", "gross_weight"))
+    return found.select("doc_id", F.col("line_number").cast("int").alias("line_number"), "field", "value", F.col("confidence").cast("double").alias("confidence"), "validation_status", "note")

@@ -239,13 +239,13 @@ def similar_shipments(spark, sf_dir):
 
 @query("""
 WITH l AS (SELECT doc_id, text, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents)
-SELECT p.doc_id AS parent_id, c.doc_id, coalesce(p.text, c.text) = c.text AS same FROM l c LEFT JOIN l p ON p.doc_id = c.doc_id - 1 AND c.doc_id % 2 = 1""")
+SELECT p.doc_id AS parent_id, c.doc_id, sha256(coalesce(p.text, c.text)) AS shown FROM l c LEFT JOIN l p ON p.doc_id = c.doc_id - 1 AND c.doc_id % 2 = 1""")
 def parent_expansion(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     children = docs.select("doc_id", "text", F.when(F.col("doc_id") % 2 == 1, F.col("doc_id") - 1).alias("_parent"))
     parents = docs.select(F.col("doc_id").alias("parent_id"), F.col("text").alias("parent_text"))
     joined = children.join(parents, F.col("_parent") == F.col("parent_id"), "left")
-    return joined.select("parent_id", "doc_id", (F.coalesce("parent_text", "text") == F.col("text")).alias("same"))
+    return joined.select("parent_id", "doc_id", F.sha2(F.coalesce("parent_text", "text"), 256).alias("shown"))
 
 
 @query("""SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 4 <> 0)""")
@@ -272,18 +272,18 @@ SELECT doc_id, CASE WHEN first AND second THEN 1 ELSE 2 END AS stage FROM s, n W
 def two_stage_retrieval(spark, sf_dir):
     """The narrow search first; the broad one counts only if the narrow one finds nothing."""
     words = T.words(F.col("text"))
-    rows = _docs(spark, sf_dir).select("doc_id", F.array_contains(words, "that").alias("first"), F.array_contains(words, "er").alias("second"))
+    rows = load(spark, sf_dir, "documents").select("doc_id", F.array_contains(words, "that").alias("first"), F.array_contains(words, "er").alias("second"))
     narrow = rows.where("first and second").select("doc_id", F.lit(1).alias("stage"))
     return narrow if narrow.head(1) else rows.where("first").select("doc_id", F.lit(2).alias("stage"))
 
 
 @query("""
 WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: NOT list_contains(['the', 'of', 'a', 'to', 'and'], x) AND NOT regexp_matches(x, '^\\d+$'))) AS w FROM benchmark)
-SELECT item_id, len(w) AS n_terms FROM q""")
+SELECT item_id, array_to_string(list_sort(w), ' ') AS terms FROM q""")
 def query_rewrite(spark, sf_dir):
     """Codes and stop words off, the rest once each, in order."""
     words = F.array_distinct(F.filter(T.words(F.col("text")), lambda w: ~w.isin("the", "of", "a", "to", "and") & ~w.rlike(r"^\d+$")))
-    return load(spark, sf_dir, "benchmark").select("item_id", F.size(words).cast("long").alias("n_terms"))
+    return load(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.array_sort(words), " ").alias("terms"))
 
 
 @query("""SELECT doc_id FROM documents WHERE coalesce(try_cast(substr(source, 4) AS INTEGER), 0) % 2 = 0""")
