@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shipped
 from ..storage import shared_dir, stored
 
 __all__ = ["BLANK_WORD", "ascii_lower", "labelled", "numbered", "shared_dir", "shipped", "stored", "table"]
@@ -48,17 +45,3 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_co
 def ascii_lower(col):
     """Lower-case A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def shipped(spark: SparkSession) -> SparkSession:
-    """Have Python workers import this package, wherever they run; once for each context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_ledgerline_shipped", None) is None:
-        root = Path(__file__).resolve().parents[1]
-        target = Path(tempfile.mkdtemp(prefix="ledgerline-")) / "ledgerline.zip"
-        with zipfile.ZipFile(target, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, str(p.relative_to(root.parent)))
-        sc.addPyFile(str(target))
-        sc._ledgerline_shipped = True
-    return spark
