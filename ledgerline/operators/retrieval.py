@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from ..functions.assistant import currency_priority, source_compatibility, source_intent
 from ..functions.predicates import asked_destination
 from ..functions.tokens import tokens
+from ..storage import stored
 from .vector_index import dense_top, pack_vectors
 
 K1, B, RRF = 1.5, 0.75, 60
 CANDIDATES, RERANKED, FLOOR, ACCEPTED, CLOSE = 200, 25, 0.20, 0.5, 1.0
+#: Rows of candidates (some 60 bytes each) that are sent to all tasks.
+FEW = 250_000
 
 
 def filtered(chunks: DataFrame, verified_only: bool = False, code: str | None = None, authority: str | None = None, kind: str | None = None, cutoff: str | None = None, exclude_superseded: bool = False, notice: str | None = None) -> DataFrame:
@@ -80,6 +83,20 @@ def overlap(query: Column, doc: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, doc)) / F.size(q)).otherwise(0.0)
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """Candidates, written once and sent to the documents if they are few (``FEW`` rows); if not, Spark joins them as it sees fit.
+
+    So the texts of a corpus are scanned where they lie instead of being shuffled to a handful of rows.
+    """
+    kept = stored(rows)
+    return F.broadcast(kept) if kept.count() <= FEW else kept
+
+
+def _once(**columns: Column) -> Column:
+    """Costly columns as what a generator yields: filters and projections above refer to them and never compute them again."""
+    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+
+
 def _dealt(rows: DataFrame) -> DataFrame:
     """Few rows whose texts are costly to read, dealt out to all tasks."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id", "doc_id")
@@ -90,9 +107,9 @@ def reranked(candidates: DataFrame, docs: DataFrame, queries: DataFrame, limit:
 
     Only the texts of these are looked at.
     """
-    first = _best(candidates, "rrf", limit, "rrf_rank")
-    joined = first.join(queries.select("query_id", F.col("text").alias("_qt")), "query_id").join(docs.select("doc_id", F.col("text").alias("_dt")), "doc_id")
-    split = _dealt(joined).select("query_id", "doc_id", "lexical", "dense", "rrf", tokens(F.col("_qt")).alias("_q"), tokens(F.col("_dt")).alias("_d"))
+    first = _sent(_best(candidates, "rrf", limit, "rrf_rank"))
+    joined = docs.select("doc_id", F.col("text").alias("_dt")).join(first, "doc_id").join(queries.select("query_id", F.col("text").alias("_qt")), "query_id")
+    split = _dealt(joined).select("query_id", "doc_id", "lexical", "dense", "rrf", _once(_q=tokens(F.col("_qt")), _d=tokens(F.col("_dt"))))
     special = F.size(F.filter(F.array_intersect("_q", "_d"), lambda t: t.rlike("^(pct|sro)[0-9]")))
     return split.select("query_id", "doc_id", "lexical", "dense", "rrf", F.round(overlap(F.col("_q"), F.col("_d")), 6).alias("overlap"), F.round(overlap(F.col("_q"), F.col("_d")) + 0.5 * special, 6).alias("rerank"))
 
@@ -109,18 +126,18 @@ def judged(scored: DataFrame, passages: DataFrame, queries: DataFrame) -> DataFr
     code = F.nullif(F.concat(F.regexp_extract(q, r"\b(\d{4})\.?(\d{4})\b", 1), F.regexp_extract(q, r"\b(\d{4})\.?(\d{4})\b", 2)), F.lit(""))
     asked = queries.select("query_id", F.coalesce("text", F.lit("")).alias("_question")).select(
         "query_id", "_question", code.alias("_code"), asked_destination(q).alias("_country"), source_intent(q).alias("_intent"), tokens(q).alias("_q"))
-    rows = _dealt(scored.join(asked, "query_id").join(passages, "doc_id"))
+    rows = _dealt(passages.join(_sent(scored), "doc_id").join(asked, "query_id"))
     searchable = F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("text", "title", "document_type", "section")])
-    rows = rows.withColumns({"_d": tokens(searchable), "compatibility": source_compatibility(F.col("_intent"), F.col("kind"), F.col("document_type"), F.col("title")), "currency": currency_priority(q, F.col("currency_status"))})
+    rows = rows.select("*", _once(_d=tokens(searchable), compatibility=source_compatibility(F.col("_intent"), F.col("kind"), F.col("document_type"), F.col("title")), currency=currency_priority(q, F.col("currency_status"))))
     off = lambda c: F.coalesce(c, F.lit(False))
     in_text = off(F.contains(F.regexp_replace(text, r"\D", ""), F.col("_code")))
     notice = F.col("sro_number").isNotNull() & F.exists(F.array_intersect("_q", "_d"), lambda t: t.startswith("sro"))
-    rows = rows.withColumns({"_base": overlap(F.col("_q"), F.col("_d")), "_in_text": in_text, "_notice": notice})
+    rows = rows.select(*scored.columns, "parent_id", "compatibility", "currency", "pct_codes", "_code", _once(_base=overlap(F.col("_q"), F.col("_d")), _in_text=in_text, _notice=notice, _there=off(F.contains(F.lower(text), F.lower("_country")))))
     base = F.when(F.col("_in_text"), F.greatest(F.col("_base"), F.lit(FLOOR))).otherwise(F.col("_base"))
     bonus = lambda when, points: F.when(off(when), points).otherwise(0.0)
     more = (
         bonus(F.col("compatibility") >= 4, 0.25) + bonus(F.col("_in_text") | F.array_contains("pct_codes", F.col("_code")), 0.5) + bonus(F.col("_notice"), 0.5)
-        + bonus(F.contains(F.lower(text), F.lower("_country")), 0.25)
+        + bonus(F.col("_there"), 0.25)
     )
     relevance = F.round(F.when(base < FLOOR, base).otherwise(base + more), 6)
     return rows.select(*scored.columns, "parent_id", "compatibility", "currency", relevance.alias("relevance"), (relevance >= ACCEPTED).alias("accepted"))
