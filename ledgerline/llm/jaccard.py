@@ -272,26 +272,29 @@ def indexed(docs: DataFrame, rarity, buckets: int) -> DataFrame:
     def emit(batches):
         hashes, rare = WordHashes(), rarity.value
         for batch in batches:
-            seen, tokens, rows, rests = set(), [], [], []
+            # rows come in no order, as a task may read several files; of equal sets the smallest row stays
+            kept = {}
             for row, s in _sets(batch, hashes):
-                if len(s) and (key := hashlib.blake2b(s.tobytes(), digest_size=16).digest()) not in seen:
-                    seen.add(key)
-                    tokens.append(prefix(s, rare))
-                    rows.append(np.full(len(tokens[-1]), row, dtype=np.int64))
-                    rest = len(s) - np.arange(len(tokens[-1]))
-                    rests.append(np.where(rest >= common_least(len(s), len(s)), -rest, rest))
+                if len(s) and ((key := hashlib.blake2b(s.tobytes(), digest_size=16).digest()) not in kept or row < kept[key][0]):
+                    kept[key] = row, len(s), prefix(s, rare) if key not in kept else kept[key][2]
+            tokens, rows, rests = [], [], []
+            for row, n, first in kept.values():
+                tokens.append(first)
+                rows.append(np.full(len(first), row, dtype=np.int64))
+                rest = n - np.arange(len(first))
+                rests.append(np.where(rest >= common_least(n, n), -rest, rest))
             if not rows:
                 continue
             token, row, rest = np.concatenate(tokens), np.concatenate(rows), np.concatenate(rests).astype(np.int32)
             salt = salt_of(token, row, salts_of(token, rare)).astype(np.uint64)
             bucket = (mixed(token + salt * np.uint64(WORD_FACTORS[0])) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((token, bucket))
-            bucket, token, row, rest = bucket[order], token[order], row[order], rest[order]
-            edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist()
-            base = int(row.min())
-            small = (row - base).astype(np.uint32)  # a batch is of one partition
+            base = row >> 32  # numbers of several files may be in a batch, whose upper halves differ
+            order = np.lexsort((token, base, bucket))
+            bucket, base, token, row, rest = bucket[order], base[order], token[order], row[order], rest[order]
+            edges = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (base[1:] != base[:-1]), [True]))).tolist()
+            small = (row & 0xFFFFFFFF).astype(np.uint32)
             cut = list(zip(edges, edges[1:]))
-            yield [int(bucket[a]) for a, _ in cut], [base] * len(cut), [token[a:b].tobytes() for a, b in cut], [small[a:b].tobytes() for a, b in cut], [rest[a:b].tobytes() for a, b in cut]
+            yield [int(bucket[a]) for a, _ in cut], [int(base[a]) << 32 for a, _ in cut], [token[a:b].tobytes() for a, b in cut], [small[a:b].tobytes() for a, b in cut], [rest[a:b].tobytes() for a, b in cut]
 
     def group(batches):
         rare = rarity.value
@@ -492,11 +495,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the smallest row of each set is always in the index; its copies need not be compared
     entries = groups.select("token", F.element_at("rows", 1).alias("part"), F.size("rows").alias("many"), F.explode(F.arrays_zip("rows", "rests")).alias("_"))
     entries = entries.select("token", "part", "many", F.col("_.rows").alias("row"), F.col("_.rests").alias("rest"))
-    least = F.ceil(F.col("n") * (2 * PERCENT) / (100 + PERCENT))
+    least = F.ceil(F.col("n").cast("long") * (2 * PERCENT) / (100 + PERCENT))
 
     def near(pairs: DataFrame) -> DataFrame:
         """Pairs of rows that may link by sizes, positions, sketches and the prefixes of the other orders."""
-        left, right = (sketches.select(F.col("row").alias(r), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"p{x}"), F.col("heads").alias(f"h{x}")) for r, x in (("a", "x"), ("b", "y")))
+        left, right = (sketches.select(F.col("row").alias(r), F.col("n").cast("long").alias(f"n{x}"), F.col("bits").alias(f"p{x}"), F.col("heads").alias(f"h{x}")) for r, x in (("a", "x"), ("b", "y")))
         pairs = pairs.groupBy("a", "b").agg(F.max("rest").alias("rest")).join(left, "a").join(right, "b")
         pairs = pairs.where(f"100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny) and {100 + PERCENT} * rest >= {PERCENT} * (nx + ny)")
         return _batches(pairs.select("a", "b", "nx", "ny", "px", "py", "hx", "hy"), near_enough, "a long, b long")

@@ -60,6 +60,13 @@ def test_equals_all_pairs(saved, monkeypatch, small):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
 
+def test_several_files_in_a_task(spark):
+    # 23 small files, of which a task reads several: numbers far apart and in no order within a batch
+    rows = [(d, t) for d, t in corpus() if d is not None]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(23)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+
+
 def test_empty_table(saved):
     assert jaccard.near_duplicates(saved([], "doc_id long, text string")).count() == 0
 
