@@ -20,3 +20,28 @@ def test_pages_are_read_off_one_stream(spark):
         assert "InPandas" not in _plan(found)  # no call for each page
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def _shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_the_index_moves_each_text_once_and_a_search_bare_postings(spark):
+    import random
+
+    from ledgerline.operators import lexical_index
+    from ledgerline.storage import new_path
+
+    rnd, path = random.Random(3), new_path(spark)
+    rows = [(k, " ".join(f"w{rnd.randrange(2000)}" for _ in range(100))) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    began, size = _shuffled(spark), sum(len(t) for _, t in rows)
+    lexical_index.write_index(docs, path)
+    wrote = _shuffled(spark) - began  # the texts to their places here, and to their ranges
+    queries = spark.createDataFrame([(k, " ".join(f"w{rnd.randrange(2000)}" for _ in range(60))) for k in range(200)], "query_id int, text string")
+    began = _shuffled(spark)
+    assert lexical_index.search(spark.read.parquet(path), queries, 5).count() == 1000
+    assert wrote < 2.2 * size and _shuffled(spark) - began < 8 * size
