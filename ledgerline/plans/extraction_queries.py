@@ -68,7 +68,8 @@ def label_candidates(spark, sf_dir):
     k = F.col("p_partkey")
     lines = (F.concat(F.lit("Exporter / Applicant: "), "p_name"), F.concat(F.lit("| Declared Amount | "), k.cast("string"), F.lit(".00 | x")), F.lit("Country of Destination\n\n  FRANCE"), F.lit("HS Code 6109.10.00"), F.lit("(3) Currency: USD"), F.lit("B u y e r: House"), F.lit("Quantity:\nGoods\ncotton"), F.lit("nothing else"))
     pages = load(spark, sf_dir, "part").select(k.alias("doc_id"), F.lit(1).alias("page"), F.concat_ws("\n", *lines).alias("text"), (k % 2 == 0).alias("is_ocr"))
-    return extraction.label_candidates(pages)
+    # as with invoices: dealt out before the texts are read
+    return extraction.label_candidates(pages.repartition(2 * spark.sparkContext.defaultParallelism, "doc_id"))
 
 
 @query("""

@@ -45,3 +45,11 @@ def test_the_index_moves_each_text_once_and_a_search_bare_postings(spark):
     began = _shuffled(spark)
     assert lexical_index.search(spark.read.parquet(path), queries, 5).count() == 1000
     assert wrote < 2.2 * size and _shuffled(spark) - began < 8 * size
+
+
+def test_printed_pages_are_dealt_out_before_their_labels_are_read(spark):
+    from compare import SF
+
+    from ledgerline import catalog
+
+    assert "REPARTITION_BY_NUM" in _plan(catalog.QUERIES["label_candidates"](spark, SF))
