@@ -53,3 +53,11 @@ def test_printed_pages_are_dealt_out_before_their_labels_are_read(spark):
     from ledgerline import catalog
 
     assert "REPARTITION_BY_NUM" in _plan(catalog.QUERIES["label_candidates"](spark, SF))
+
+
+def test_words_of_scans_are_not_moved_again(spark):
+    from compare import SF
+
+    from ledgerline import catalog
+
+    assert _plan(catalog.QUERIES["ocr_pages"](spark, SF)).count("Exchange hashpartitioning") == 1
