@@ -61,3 +61,23 @@ def test_words_of_scans_are_not_moved_again(spark):
     from ledgerline import catalog
 
     assert _plan(catalog.QUERIES["ocr_pages"](spark, SF)).count("Exchange hashpartitioning") == 1
+
+
+def test_features_are_hashed_once(monkeypatch):
+    import hashlib
+    from collections import Counter
+
+    import numpy as np
+    from ledgerline.functions import tokens as T
+
+    texts = ["Export of raw cotton, of cotton", "", "a", "ab", "İstanbul  ünïcode\tblank", "export of raw cotton " * 200]
+    for text in texts:
+        low = text.lower()
+        w, flat, want = T.re.findall("[a-z0-9]+", low), " ".join(low.split()), np.zeros(64)
+        for f, n in Counter([*w, *map("_".join, zip(w, w[1:])), *(flat[i : i + 3] for i in range(len(flat) - 2))]).items():
+            h = int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "big")
+            want[(h >> 1) % 64] += n if h & 1 else -n
+        assert (T._embed(text, 64) == (want / np.linalg.norm(want) if want.any() else want)).all()
+    monkeypatch.setattr(T.hashlib, "blake2b", None)  # known features are not hashed again
+    for text in texts:
+        T._embed(text, 64)
