@@ -152,7 +152,7 @@ SELECT doc_id, CAST(1 AS INTEGER) AS page, sha256(string_agg(t, chr(10) ORDER BY
 FROM p JOIN c USING (doc_id) GROUP BY 1""")
 def ocr_pages(spark, sf_dir):
     # texts are dealt out by document before they are split, so that no word of theirs is moved
-    lines = load(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "_text"))
+    lines = load(spark, sf_dir, "documents").select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "_text"))
     words = lines.select("doc_id", F.lit(1).alias("page"), "line", F.posexplode(F.split("_text", " ")).alias("word", "text"))
     words = words.withColumn("conf", ((F.length("text") * 7 + F.col("word") + 1) % 60 + 40).cast("long"))
     return extraction.ocr_pages(words).withColumn("text", F.sha2("text", 256))
