@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,6 +20,11 @@ HEADINGS = (
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
+def bound(x: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``x``, with ``x`` computed once however often it is named; an array of one binds it, also within a lambda."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
+
+
 @F.pandas_udf(StringType())  # a type, not its name: workers that import this have no session
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility fold, for which there is no built-in."""
@@ -47,37 +53,33 @@ def pct_token(x: Column) -> Column:
 
 
 def pct_capture(x: Column) -> Column:
-    digits = F.regexp_replace(x, r"\D", "")
-    return F.when(F.length(digits).isin(8, 6, 4), digits)
+    return bound(F.regexp_replace(x, r"\D", ""), lambda digits: F.when(F.length(digits).isin(8, 6, 4), digits))
 
 
 def money(x: Column) -> Column:
     """A number of at most two decimals, without currency, unit, commas and blanks; else null."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(x), r"^(?i:usd|eur|gbp|pkr|rs\.?|us\$|\$)\s*|\s*(?i:usd|eur|gbp|pkr|kgs?|kg)\.?$", ""), r"[,\s]", "")
-    return F.when(bare.rlike(r"^\d+(\.\d{1,2})?$"), bare.cast("decimal(18,2)"))
+    return bound(bare, lambda b: F.when(b.rlike(r"^\d+(\.\d{1,2})?$"), b.cast("decimal(18,2)")))
 
 
 def count(x: Column) -> Column:
     found = F.regexp_extract(F.trim(x), r"^(\d[\d,]*)\s*[A-Za-z]*$", 1)
-    return F.when(found != "", F.replace(found, F.lit(","), F.lit("")).cast("int"))
+    return bound(found, lambda n: F.when(n != "", F.replace(n, F.lit(","), F.lit("")).cast("int")))
 
 
 def identifier(x: Column) -> Column:
-    bare = F.regexp_replace(F.trim(x), r"[\s.,;:]+$", "")
-    return F.when(bare.rlike(r"\d"), bare)
+    return bound(F.regexp_replace(F.trim(x), r"[\s.,;:]+$", ""), lambda bare: F.when(bare.rlike(r"\d"), bare))
 
 
 def organisation(x: Column) -> Column:
     """Blanks collapsed, outer punctuation off; null without two letters in a row, or if all are headings."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(x), r"\s+", " "), r"^[\s.,;:\-]+|[\s.,;:\-]+$", "")
-    words = F.filter(F.split(F.lower(bare), r"[^a-z]+"), lambda w: w != "")
-    own = F.size(F.array_except(words, F.array(*map(F.lit, HEADINGS)))) > 0
-    return F.when(bare.rlike("[A-Za-z]{2}") & own, bare)
+    own = rf"(?<![a-z])(?!(?:{'|'.join(HEADINGS)})(?![a-z]))[a-z]"  # a word that is no heading
+    return bound(bare, lambda b: F.when(b.rlike("[A-Za-z]{2}") & F.lower(b).rlike(own), b))
 
 
 def country(x: Column) -> Column:
-    bare = F.trim(F.regexp_replace(x, r"\s+", " "))
-    return F.when(bare.rlike(r"^[A-Za-z][A-Za-z .'\-]{1,40}$"), bare)
+    return bound(F.trim(F.regexp_replace(x, r"\s+", " ")), lambda bare: F.when(bare.rlike(r"^[A-Za-z][A-Za-z .'\-]{1,40}$"), bare))
 
 
 def upper_token(x: Column) -> Column:
@@ -85,7 +87,9 @@ def upper_token(x: Column) -> Column:
 
 
 def _day(y: Column, m: Column, d: Column) -> Column:
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", y.try_cast("int"), m.try_cast("int"), d.try_cast("int")), "yyyy-MM-dd")
+    y, m, d = (x.try_cast("int") for x in (y, m, d))
+    # a day that can't be is settled before it is read, which would raise and catch an error for each
+    return F.when(y.between(1, 9999) & m.between(1, 12) & d.between(1, 31), F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), m.cast("string"), d.cast("string")).try_cast("date"))
 
 
 def date_parts(x: Column) -> Column:
@@ -116,8 +120,7 @@ def date_parts(x: Column) -> Column:
         reason = F.when(ambiguous, "day and month can be exchanged").when(found.isNull(), "not a date")
         return F.struct(found.alias("date"), ambiguous.alias("ambiguous"), reason.alias("reason"))
 
-    # arrays of one bind each step's value, so that no expression is written out several times
-    return F.get(F.transform(F.transform(F.array(F.lower(F.trim(x))), readings), settled), F.lit(0))
+    return bound(bound(F.lower(F.trim(x)), readings), settled)
 
 
 def confusable(x: Column) -> Column:
