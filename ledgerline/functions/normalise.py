@@ -89,7 +89,7 @@ def upper_token(x: Column) -> Column:
 def _day(y: Column, m: Column, d: Column) -> Column:
     y, m, d = (x.try_cast("int") for x in (y, m, d))
     # a day that can't be is settled before it is read, which would raise and catch an error for each
-    return F.when(y.between(1, 9999) & m.between(1, 12) & d.between(1, 31), F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), m.cast("string"), d.cast("string")).try_cast("date"))
+    return F.when(y.between(0, 9999) & m.between(1, 12) & d.between(1, 31), F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), m.cast("string"), d.cast("string")).try_cast("date"))
 
 
 def date_parts(x: Column) -> Column:
