@@ -168,8 +168,18 @@ def agreement(reviews: DataFrame) -> DataFrame:
 
 def consensus(engine: DataFrame, audit: DataFrame) -> DataFrame:
     """Per shipment: agreed, disagreed (some check differs), unresolved (some check not audited)."""
-    joined = engine.join(audit.select("shipment_id", "check_id", F.col("status").alias("audited")), ["shipment_id", "check_id"], "left")
-    found = joined.groupBy("shipment_id").agg(F.count_if(F.col("audited").isNull()).alias("omitted"), F.count_if(F.col("audited") != F.col("status")).alias("differing"), F.bool_or(F.col("status") != PASSED).alias("_open"))
+    # both lists as one, dealt out by shipment once; pairs of equal ids are counted, not made
+    key, one = ["shipment_id", "check_id"], F.lit(1).cast("long")
+    auditable = audit.where("shipment_id is not null and check_id is not null")
+    both = engine.select(*key, "status", one.alias("_e"), F.lit(0).cast("long").alias("_a")).unionByName(auditable.select(*key, "status", F.lit(0).cast("long").alias("_e"), one.alias("_a"))).repartition("shipment_id")
+    each = both.groupBy(*key, "status").agg(F.sum("_e").alias("_e"), F.sum("_a").alias("_a"))
+    known, e, a = F.col("status").isNotNull(), F.col("_e"), F.col("_a")
+    pairs = each.groupBy(*key).agg(
+        F.sum("_e").alias("_e"), F.sum("_a").alias("_a"), F.sum(F.when(known, e).otherwise(0)).alias("_ke"), F.sum(F.when(known, a).otherwise(0)).alias("_ka"),
+        F.sum(F.when(known, e * a).otherwise(0)).alias("_same"), F.bool_or(F.when(e > 0, F.col("status") != PASSED)).alias("_open"),
+    )
+    omitted = F.when(a == 0, e).otherwise(e * (a - F.col("_ka")))
+    found = pairs.where(e > 0).groupBy("shipment_id").agg(F.sum(omitted).alias("omitted"), F.sum(F.col("_ke") * F.col("_ka") - F.col("_same")).alias("differing"), F.bool_or("_open").alias("_open"))
     outcome = F.when(F.col("differing") > 0, "disagreed").when(F.col("omitted") > 0, "unresolved").otherwise("agreed")
     return found.select("shipment_id", "omitted", "differing", outcome.alias("outcome"), ((outcome != "agreed") | F.col("_open")).alias("needs_review"))
 
@@ -182,7 +192,7 @@ def omissions(engine: DataFrame, flagged: DataFrame) -> DataFrame:
 def summary_counts(checks: DataFrame) -> DataFrame:
     """Per shipment and status: how many check ids, each by its first row only."""
     first = Window.partitionBy("shipment_id", "check_id").orderBy("ordinal")
-    rows = checks.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    rows = checks.repartition("shipment_id").withColumn("_n", F.row_number().over(first)).where("_n = 1")
     return rows.groupBy("shipment_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("passed", "failed", "manual_review", "not_applicable")])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import audit, evaluation
 from ..session import load
 from ..status import worst
+from ..storage import stored
 from ..streaming import events as streams
 from . import shipment_queries as S
 from .registry import registry
@@ -37,7 +38,7 @@ WITH {S.CHECKS}, a AS (SELECT shipment_id, check_id, CASE WHEN shipment_id % 11
 j AS (SELECT c.shipment_id, c.status, a.status AS audited FROM checks c LEFT JOIN a USING (shipment_id, check_id)), g AS (SELECT shipment_id, count(*) FILTER (WHERE audited IS NULL) AS omitted, count(*) FILTER (WHERE audited <> status) AS differing, bool_or(status <> 'passed') AS o FROM j GROUP BY 1)
 SELECT shipment_id, omitted, differing, CASE WHEN differing > 0 THEN 'disagreed' WHEN omitted > 0 THEN 'unresolved' ELSE 'agreed' END AS outcome, differing > 0 OR omitted > 0 OR o AS needs_review FROM g""")
 def consensus(spark, sf_dir):
-    checks = S._checks(spark, sf_dir)
+    checks = stored(S._checks(spark, sf_dir).select("shipment_id", "check_id", "status"))  # both lists are read off it
     k = F.col("shipment_id")
     audited = checks.where(~((k % 7 == 0) & F.col("check_id").like("%form_e"))).withColumn("status", F.when((k % 11 == 0) & (F.col("status") == "passed"), "failed").otherwise(F.col("status")))
     return audit.consensus(checks, audited)
@@ -53,8 +54,9 @@ def omissions(spark, sf_dir):
 WITH {S.CHECKS}, u AS (SELECT shipment_id, check_id, status, 1 AS o FROM checks UNION ALL SELECT shipment_id, check_id, 'failed', 2 FROM checks), f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY shipment_id, check_id ORDER BY o) = 1)
 SELECT shipment_id, count(*) FILTER (WHERE status = 'passed') AS passed, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'manual_review') AS manual_review, count(*) FILTER (WHERE status = 'not_applicable') AS not_applicable FROM f GROUP BY 1""")
 def summary_counts(spark, sf_dir):
-    checks = S._checks(spark, sf_dir).select("shipment_id", "check_id", "status", F.lit(1).alias("ordinal"))
-    return audit.summary_counts(checks.unionByName(checks.select("shipment_id", "check_id", F.lit("failed").alias("status"), F.lit(2).alias("ordinal"))))
+    # each check and then a failed one of its id, from one evaluation
+    twice = F.array(F.struct("status", F.lit(1).alias("ordinal")), F.struct(F.lit("failed").alias("status"), F.lit(2).alias("ordinal")))
+    return audit.summary_counts(S._checks(spark, sf_dir).select("shipment_id", "check_id", F.inline(twice)))
 
 
 @query(f"""
