@@ -91,12 +91,16 @@ def document_evidence(checks: DataFrame, fields: DataFrame, spark) -> DataFrame:
     shipment_id, document, item_index (null for the document's own), field, value, page. A check
     without known fields shows its own pages, so that none comes without evidence.
     """
-    table = F.broadcast(spark.createDataFrame(RESTS_ON, "check_id string, label string, level string, document string, field string"))
-    own = checks.join(table, "check_id", "left")
+    # what a check rests on goes by number until it has met the fields, so that no words move; fields that no check rests on stay behind
+    places = {x: n for n, x in enumerate(dict.fromkeys(r[3:] for r in RESTS_ON))}
+    table = spark.createDataFrame([(n, *r, places[r[3:]]) for n, r in enumerate(RESTS_ON)], "_n int, check_id string, label string, level string, document string, field string, _place int")
+    where = spark.createDataFrame([(*x, n) for x, n in places.items()], "document string, field string, _place int")
+    own = checks.join(F.broadcast(table.drop("field")), "check_id", "left")
     index = F.when(F.col("level") == "item", F.when(F.col("document") == "invoice", F.col("invoice_index")).otherwise(F.col("packing_index")))
-    known = own.where("level is not null").withColumn("item_index", index).where("level = 'header' or item_index is not null")
-    at = fields.select("shipment_id", "document", F.coalesce("item_index", F.lit(0)).alias("_at"), "field", "value", "page")
-    found = known.withColumn("_at", F.coalesce("item_index", F.lit(0))).join(at, ["shipment_id", "document", "_at", "field"])
+    known = own.where("level is not null").withColumn("_index", index).where("level = 'header' or _index is not null")
+    asked = known.select("shipment_id", F.coalesce("_index", F.lit(0)).alias("_at"), "_place", "_n")
+    at = fields.join(F.broadcast(where), ["document", "field"]).select("shipment_id", F.coalesce("item_index", F.lit(0)).alias("_at"), "_place", "value", "page")
+    found = asked.join(at, ["shipment_id", "_at", "_place"]).join(F.broadcast(table), "_n").withColumn("item_index", F.when(F.col("level") == "item", F.col("_at")))
     pages = F.array(F.struct(F.lit("invoice").alias("document"), F.col("invoice_page").alias("page")), F.struct(F.lit("packing_list").alias("document"), F.col("packing_page").alias("page")))
     rest = own.where("level is null").drop("document").select("shipment_id", "check_id", F.inline(pages)).where("page is not null")
     return found.select("shipment_id", "check_id", "item_index", "document", "field", "value", "page").unionByName(rest, allowMissingColumns=True)
