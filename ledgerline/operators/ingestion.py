@@ -92,6 +92,37 @@ def chunk_table(spark: SparkSession, path: str) -> KeptTable:
     return KeptTable(spark, path, "source_path", CHUNKS)
 
 
+MADE = "source_path string, chunk_id string, parent_chunk_id string, role string, chunk_index int, page int, text string, error string"
+#: Characters of units whose chunks a task hands on at once, or one unit.
+HANDED_ON = 1_000_000
+
+
+def cut_units(read: Callable[[str], str] | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Batches of units (source_path, page, unit, text) as ``MADE``; a task holds the chunks of a few units, however many a batch has."""
+    names = [f.split()[0] for f in MADE.split(", ")]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows, held = [], 0
+            for source, page, unit, text in batch.itertuples(index=False, name=None):
+                where = f"{source}:u{unit}" if pd.isna(page) else f"{source}:pg{int(page)}"
+                page, made = None if pd.isna(page) else int(page), []
+                try:
+                    for p, parent in enumerate(parent_sections(read(text or "") if read else text or "")):
+                        made.append((source, f"{where}:p{p}", None, "parent", p, page, parent, None))
+                        made += [(source, f"{where}:p{p}:c{c}", f"{where}:p{p}", "child", c, page, child, None) for c, child in enumerate(child_windows(parent))]
+                except Exception as e:  # of this source; the others go on
+                    made = [(source, where, None, "error", 0, page, None, f"{type(e).__name__}: {e}")]
+                rows += made
+                held += len(text or "")
+                if held >= HANDED_ON:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
+
+    return cut
+
+
 def ingest(table: KeptTable, units: DataFrame, read: Callable[[str], str] | None = None) -> DataFrame:
     """Bring the chunks of ``units`` (source_path, page or null, unit, text) up to date; a report.
 
@@ -109,23 +140,8 @@ def ingest(table: KeptTable, units: DataFrame, read: Callable[[str], str] | None
     if todo.isEmpty():
         return report
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for source, page, unit, text in batch.itertuples(index=False, name=None):
-                where = f"{source}:u{unit}" if pd.isna(page) else f"{source}:pg{int(page)}"
-                page, made = None if pd.isna(page) else int(page), []
-                try:
-                    for p, parent in enumerate(parent_sections(read(text or "") if read else text or "")):
-                        made.append((source, f"{where}:p{p}", None, "parent", p, page, parent, None))
-                        made += [(source, f"{where}:p{p}:c{c}", f"{where}:p{p}", "child", c, page, child, None) for c, child in enumerate(child_windows(parent))]
-                except Exception as e:  # of this source; the others go on
-                    made = [(source, where, None, "error", 0, page, None, f"{type(e).__name__}: {e}")]
-                rows += made
-            yield pd.DataFrame(rows, columns=["source_path", "chunk_id", "parent_chunk_id", "role", "chunk_index", "page", "text", "error"])
-
     fresh = units.join(todo.select("source_path"), "source_path", "left_semi").select("source_path", "page", "unit", "text")
-    made = stored(fresh.mapInPandas(cut, "source_path string, chunk_id string, parent_chunk_id string, role string, chunk_index int, page int, text string, error string"))
+    made = stored(fresh.mapInPandas(cut_units(read), MADE))
     count = lambda role: F.count_if(F.col("role") == role)
     results = made.groupBy("source_path").agg(count("parent").alias("parents"), count("child").alias("children"), F.min("error").alias("error"))
     results = stored(todo.join(results, "source_path", "left"))

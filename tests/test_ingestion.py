@@ -77,3 +77,17 @@ def test_vectors_follow_checksum_model_and_version(spark):
     assert counts(run([("a", "x"), ("b", "changed"), ("d", "new")], 3, "other")) == (3, 0, 3, 0, 0, 0)
     assert tuple(ingestion.index_meta(table).first()) == (3, ["other"], ["1"], [3])
     assert counts(run([])) == (0, 0, 0, 0, 3, 0) and table.rows().count() == 0
+
+
+def test_a_task_hands_chunks_on_by_parts_of_a_batch():
+    import pandas as pd
+
+    from ledgerline.operators import ingestion
+
+    text = "\n\n".join("word " * 60 for _ in range(10))
+    batch = pd.DataFrame({"source_path": [f"s{k}" for k in range(2000)], "page": [None] * 2000, "unit": [0] * 2000, "text": [text] * 2000})
+    frames = list(ingestion.cut_units(None)(iter([batch])))
+    assert len(frames) > 4 and max(f["text"].str.len().sum() for f in frames) < 3 * ingestion.HANDED_ON
+    got = pd.concat(frames)
+    assert got["source_path"].nunique() == 2000 and not got["chunk_id"].duplicated().any()
+    assert list(ingestion.cut_units(None)(iter([batch.head(0)])))[0].empty
