@@ -24,6 +24,7 @@ but one that is named like a result is given up; ids may be of any type that lab
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -44,8 +45,8 @@ TRAIN_ROWS, FEATURES, FOLDS, BEGINNINGS = 4000, 320, 5, range(4, 9)
 #: Standard errors by which evidence is lowered.
 MARGIN = 2.0
 THRESHOLD = 0.5
-#: Words of labelled rows whose features are counted at once.
-CHUNK = 200_000
+#: Words of labelled rows whose features are counted at once, or those of one row.
+CHUNK = 50_000
 #: Words without any feature that a task remembers.
 REMEMBERED = 1_000_000
 
@@ -61,31 +62,35 @@ class Sample:
         """texts: the distinct words of each row, joined by blanks."""
         number: dict[bytes, int] = {}
         vocabulary: dict[bytes, int] = {}
-        own: list[np.ndarray] = []  # features of each word of the vocabulary
-        held: list[np.ndarray] = []
+        own, sizes, held = array("i"), array("i"), []  # features of each word of the vocabulary, end to end
         for text in texts:
             words = text.split()
             for w in words:
                 if w not in vocabulary:
-                    vocabulary[w] = len(own)
-                    own.append(np.array([number.setdefault(f, len(number)) for f in features_of(w)], dtype=np.int32))
+                    vocabulary[w] = len(vocabulary)
+                    found = features_of(w)
+                    own.extend(number.setdefault(f, len(number)) for f in found)
+                    sizes.append(len(found))
             held.append(np.fromiter((vocabulary[w] for w in words), dtype=np.int32, count=len(words)))
+        del vocabulary
         self.names, self.rows = list(number), len(held)
-        self.size = np.array([len(x) for x in own], dtype=np.int64)
-        self.features, self.first = np.concatenate(own) if own else np.zeros(0, np.int32), np.cumsum(self.size) - self.size
+        del number
+        self.size, self.features = np.array(sizes, dtype=np.int64), np.array(own, dtype=np.int32)
+        self.first = np.cumsum(self.size) - self.size
+        ends = np.cumsum([0, *map(len, held)])
         self.word = np.concatenate(held) if held else np.zeros(0, np.int32)
-        self.row_of_word = np.repeat(np.arange(self.rows, dtype=np.int32), [len(x) for x in held])
-        n, keys, counts = max(1, len(number)), [], []
-        for at in range(0, len(self.word), CHUNK):  # a row that a cut divides is summed below
-            w, r = self.word[at : at + CHUNK], self.row_of_word[at : at + CHUNK]
+        self.row_of_word = np.repeat(np.arange(self.rows, dtype=np.int32), np.diff(ends))
+        del held
+        n, found, row = max(1, len(self.names)), [(np.zeros(0, np.int32),) * 3], 0
+        while row < self.rows:  # whole rows, so that what one chunk counts is final and in order
+            last = max(row + 1, int(np.searchsorted(ends, ends[row] + CHUNK, side="right")) - 1)
+            w, r = self.word[ends[row] : ends[last]], self.row_of_word[ends[row] : ends[last]]
             many = self.size[w]
             place = np.repeat(self.first[w] - (np.cumsum(many) - many), many) + np.arange(many.sum())
             key, count = np.unique(np.repeat(r, many).astype(np.int64) * n + self.features[place], return_counts=True)
-            keys.append(key)
-            counts.append(count)
-        key, at = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_inverse=True)
-        self.count = np.bincount(at, np.concatenate(counts) if counts else None, len(key)).astype(np.int32) if len(key) else np.zeros(0, np.int32)
-        self.row, self.column = (key // n).astype(np.int32), (key % n).astype(np.int32)
+            found.append(((key // n).astype(np.int32), (key % n).astype(np.int32), count.astype(np.int32)))
+            row = last
+        self.row, self.column, self.count = (np.concatenate([x[k] for x in found]) for k in range(3))
 
     def chosen(self, y: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The features most surely more frequent where ``y``, in the rows ``live``, and how surely.

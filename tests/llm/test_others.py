@@ -154,3 +154,26 @@ def test_classifiers_without_labels(saved):
     assert quality.score_quality(docs, labels).count() == 4 and toxicity.score_toxicity(docs, labels).count() == 4
     one = saved([(2, 1, 0), (3, None, 1), (None, 0, 1)], "doc_id long, quality int, toxic int", 1)
     assert quality.score_quality(docs, one).where("keep").count() == 4 and toxicity.score_toxicity(docs, one).where("toxic").count() == 0
+
+
+def test_features_of_labelled_rows_take_little_memory():
+    import random
+    import tracemalloc
+
+    from ledgerline.llm.toxicity import Sample, features_of
+
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9))).encode()
+    texts = [b" ".join(sorted({word() for _ in range(rnd.choice([0, 3, 150, 300]))})) for _ in range(2000)]
+    tracemalloc.start()
+    sample = Sample(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for k in (*range(60), len(texts) - 1):
+        want = {}
+        for w in texts[k].split():
+            for f in features_of(w):
+                want[f] = want.get(f, 0) + 1
+        own = sample.row == k
+        assert dict(zip((sample.names[c] for c in sample.column[own]), sample.count[own].tolist())) == want
+    assert peak < 170 * len(sample.word) + 150 * len(sample.names), (peak, len(sample.word), len(sample.names))
