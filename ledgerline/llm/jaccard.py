@@ -58,6 +58,8 @@ BUCKET_ENTRIES, GROUP_ROWS, BLOCK_ROWS = 400_000, 1000, 512
 RANK = 32
 #: Pairs of one leader that are verified in one go.
 LEADER_PAIRS = 1000
+#: Bits of the filter of rows for each pair, and in all at least (one bitmap of Spark's) and at most.
+PAIR_BITS, FILTER_LEAST, FILTER_MOST = 32, 1 << 15, 1 << 27
 #: Bits of a parity sketch at least and at most; a set has twice as many as members, about.
 PARITY_LEAST, PARITY_MOST = 512, 1 << 20
 #: By how many of its groups a row looks for its family at first, and bytes of a sketch there.
@@ -330,8 +332,24 @@ def indexed(docs: DataFrame, rarity, buckets: int) -> DataFrame:
     return _batches(packed.repartition("bucket").sortWithinPartitions("bucket"), group, "token long, salts long, rows array<long>, rests array<long>")
 
 
+def of_pairs(table: DataFrame, row: str, pairs: DataFrame) -> DataFrame:
+    """The rows of ``table`` whose number ``row`` is in ``pairs`` (a, b), and few others, told before any row moves.
+
+    A number is known by one bit of its hash, in bitmaps sent to all tasks; so a row too many may stay, but none of a pair
+    goes. pairs is read from a table.
+    """
+    width = 1 << min(max((PAIR_BITS * pairs.count()).bit_length(), FILTER_LEAST.bit_length() - 1), FILTER_MOST.bit_length() - 1)
+    bit = lambda number: F.pmod(F.xxhash64(number), F.lit(width))
+    numbers = pairs.select(F.explode(F.array("a", "b")).alias("_number"))
+    bits = numbers.select(bit("_number").alias("_bit")).groupBy(F.bitmap_bucket_number("_bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_bitmap"))
+    own = table.withColumns({"_bucket": F.bitmap_bucket_number(bit(row)), "_at": F.bitmap_bit_position(bit(row))})
+    byte = F.expr("cast(conv(hex(substring(_bitmap, cast(_at div 8 as int) + 1, 1)), 16, 10) as int)")
+    held = byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0
+    return own.join(F.broadcast(bits), "_bucket").where(held).select(*table.columns)
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of rows that link. pairs: distinct, already through all filters.
+    """The pairs (a, b) of rows that link. pairs: distinct, already through all filters, read from a table.
 
     Sets meet by leader ``a``, whose pairs are salted if many; a leader's set goes to each salt.
     """
@@ -368,8 +386,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     found[1].append(row)
             yield found
 
-    # texts meet their asks by a sorted join whatever the sizes, so that cost grows in proportion
-    sets = _batches(texts.join(asks.hint("merge"), "_row"), ship, "a long, salt long, side int, row long, data binary")
+    # texts that are asked for meet their asks by a sorted join whatever the sizes, so that cost grows in proportion
+    sets = _batches(of_pairs(texts, "_row", pairs).join(asks.hint("merge"), "_row"), ship, "a long, salt long, side int, row long, data binary")
     return _batches(sets.repartition("a", "salt").sortWithinPartitions("a", "salt", "side"), verify, "a long, b long")
 
 
@@ -499,8 +517,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def near(pairs: DataFrame) -> DataFrame:
         """Pairs of rows that may link by sizes, positions, sketches and the prefixes of the other orders."""
-        left, right = (sketches.select(F.col("row").alias(r), F.col("n").cast("long").alias(f"n{x}"), F.col("bits").alias(f"p{x}"), F.col("heads").alias(f"h{x}")) for r, x in (("a", "x"), ("b", "y")))
-        pairs = pairs.groupBy("a", "b").agg(F.max("rest").alias("rest")).join(left, "a").join(right, "b")
+        pairs = stored(pairs.groupBy("a", "b").agg(F.max("rest").alias("rest")))
+        own = of_pairs(sketches, "row", pairs)
+        left, right = (own.select(F.col("row").alias(r), F.col("n").cast("long").alias(f"n{x}"), F.col("bits").alias(f"p{x}"), F.col("heads").alias(f"h{x}")) for r, x in (("a", "x"), ("b", "y")))
+        pairs = pairs.join(left, "a").join(right, "b")
         pairs = pairs.where(f"100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny) and {100 + PERCENT} * rest >= {PERCENT} * (nx + ny)")
         return _batches(pairs.select("a", "b", "nx", "ny", "px", "py", "hx", "hy"), near_enough, "a long, b long")
 

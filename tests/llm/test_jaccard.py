@@ -80,3 +80,32 @@ def test_filters_are_bounds():
         if len(b) and jaccard.linked(a, b):
             assert np.intersect1d(jaccard.prefix(a, nothing), jaccard.prefix(b, nothing)).size
             assert jaccard.heads_meet(jaccard.heads(a), jaccard.heads(b))
+
+
+def test_rows_without_candidates_do_not_move(saved, spark):
+    rnd = random.Random(8)
+    rows = [(k, " ".join(f"{rnd.getrandbits(40):x}" for _ in range(300))) for k in range(1200)]
+    rows += [(k + 5000, t.rsplit(" ", 4)[0]) for k, t in rows[:6]]
+    docs = saved(rows, "doc_id long, text string")
+    sc = spark.sparkContext
+
+    def shuffled():
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    began = shuffled()
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    moved = shuffled() - began
+    assert got == {d: d - 5000 if d >= 5000 else d for d, _ in rows}
+    assert moved < sum(len(t) for _, t in rows), moved  # the index mainly; all texts and sketches moved before, twice each
+
+
+def test_no_row_of_a_pair_is_lost(saved, monkeypatch):
+    monkeypatch.setattr(jaccard, "FILTER_MOST", 1 << 16)
+    table = saved([(k, f"t{k}") for k in [*range(20_000), -7, 1 << 62, 5 << 33]], "_row long, text string")
+    for pairs in ([], [(0, 19_999), (5, 1 << 62), (5, 5 << 33), (-7, 3)]):
+        got = jaccard.of_pairs(table, "_row", saved(pairs, "a long, b long")).collect()
+        assert {x for p in pairs for x in p} <= {r._row for r in got} and len(got) < 100
+        assert all(r.text == f"t{r._row}" for r in got)
+    crowd = saved([(k, k + 1) for k in range(0, 20_000, 2)], "a long, b long")
+    assert {r._row for r in jaccard.of_pairs(table, "_row", crowd).collect()} >= set(range(20_000))
