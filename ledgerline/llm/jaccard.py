@@ -22,7 +22,8 @@ link; then positions: by the first shingle that they share in the order, no more
 can be common; then parity sketches, whose bits that differ are no more than the members that
 differ; then the prefixes under the other orders, which must meet. What passes is verified: the
 sets move, and common shingles are counted exactly. All filters are bounds, so no link between
-different components is lost, and components are exact.
+different components is lost, and components are exact. Rows are told apart before they are exchanged:
+sketches and texts of rows that are in no pair stay where they are, but for few (``of_pairs``).
 
 Rows are numbered once, in a table written with their texts, so no number changes when a task or
 an executor is lost or files are cut anew.
@@ -30,7 +31,7 @@ Defined results: a null, empty or blank text has no shingle and links with nothi
 than ``SHINGLE`` are one shingle; equal rows are linked; a component's id is its smallest id that
 is not null; an empty table gives no rows; extra columns are ignored, whatever
 their names; a very long text is one set, of 8 bytes a shingle. Memory: one document's set,
-one bucket of the index, one group of bounded size.
+one bucket of the index, one group of bounded size, a filter of 16 MB at most.
 """
 
 from __future__ import annotations
