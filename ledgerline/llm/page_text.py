@@ -1,34 +1,39 @@
-"""Main text of HTML pages: marked blocks first, nearest-URL page differencing for the rest.
+"""Main text of HTML pages: nearest-URL page differencing of all pages, checked by their markup.
 
-A page is cut into blocks with what its markup says of each: boilerplate (menus, headers, footers,
-sidebars, forms, scripts, adverts, notices, comments: by element, or by a name in class, id or
-role), main (inside an article or main element), or open. If any block is main, these are the
-text. On pages where markup does not settle it, the open blocks are compared with those of the
-pages whose URL paths are next, before and after, within the host: lines are aligned by longest
-common subsequence, and shared lines are deleted.
+A page is cut into blocks, its lines, without what its markup calls boilerplate (menus, headers, footers,
+sidebars, forms, scripts, adverts, notices, comments: by element, or by a name in class, id or role).
+The lines of every page are compared with those of the pages whose URL paths are next, before and
+after, within the host: they are aligned by longest common subsequence, and shared lines are deleted.
 
-Differencing alone is not used on marked blocks: menus and adverts differ from page to page of a
-host while articles repeat passages, so it would keep the former and delete the latter.
+An exact check by markup follows, since articles of a host repeat passages and nothing of them may go:
+lines of an article (of a main element, if it has no article) are restored if they were deleted, and
+lines outside of these elements go, on pages that have them. Where markup is silent, the differencing
+stands: on pages without such an element, and inside a main element beside its articles. A line that
+is in the article of the other page is a passage, no template, and stays too. Pages with silent lines are
+compared with each other, and so are those without: they are built alike.
 
-Open pages are sorted by host, path and content over ranges, so a host with any share of the pages is
+Pages are sorted by host, path and content over ranges, so a host with any share of the pages is
 cut where it must be. The first and last pages of each range wait for those of the adjacent ranges,
 so the result does not depend on where ranges are cut. Pages next to each other
 whose lines are all equal are copies: they are compared once, with the nearest page on each side that
-differs, and all get the result.
+differs, and all get the result. Pages of one host, path and html are one page (by 128 bits). Only digests of lines
+(64 bits) are sorted and compared; what is shared goes back to the pages, which are parsed a second time rather than kept.
 
 Defined results: a null or empty page has an empty text; a null URL is of host and path ''; equal
 rows give equal texts; an empty table gives no rows; a very long page is parsed whole; extra columns
 are ignored, whatever their names. Memory is that of a batch of pages, three
-pages' lines, and the ids and URLs of the copies next to each other in a range; one task reads two pages' lines at each edge of the ranges.
+pages' digests, and the keys of the copies next to each other in a range; one task reads the digests of two pages at each edge of the ranges.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -63,6 +68,14 @@ PARTS = words(
 DENIED = words("has hide is no non not off on show with without")
 #: Runs of copies that a range begins with, ends with, or is made of; an ordinal.
 FIRST, LAST, WHOLE = 0, 1, 2
+#: What markup says of a line: beside the text, nothing, of the text.
+OUTSIDE, SILENT, SURE = 0, 1, 2
+#: By the innermost element that a page has (none, main, article): what a line in none, in main, in article is.
+KINDS = ((SILENT,), (OUTSIDE, SURE), (OUTSIDE, SILENT, SURE))
+#: Bytes of a line's digest.
+WIDE = 8
+#: Pairs of equal lines for each line of two pages from which they are aligned by bits.
+DENSE = 32
 
 
 def marks_boilerplate(names: str, listed: frozenset[str]) -> bool:
@@ -113,20 +126,20 @@ def tags_of(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
         at = page.find("<", end)
 
 
-def blocks_of(page: str) -> tuple[list[str], list[str]]:
-    """(main, open) blocks of a page, in order; time grows with its length alone, whatever its markup."""
-    main, open_, text = [], [], []
-    stack: list[tuple[str, bool, bool]] = []  # element, dropped, main
+def lines_of(page: str) -> list[tuple[str, int]]:
+    """(block, level) of a page, in order: 2 in an article, 1 in a main element, else 0; time grows with its length alone, whatever its markup."""
+    out, text = [], []
+    stack: list[tuple[str, bool, int]] = []  # element, dropped, level
     held: dict[str, int] = {}  # how many of each element are open
     at = 0
-    state = lambda: (stack[-1][1], stack[-1][2]) if stack else (False, False)
+    state = lambda: (stack[-1][1], stack[-1][2]) if stack else (False, 0)
 
     def flush() -> None:
         if text:
             block = " ".join(entities.unescape("".join(text)).split())
             text.clear()
             if block:
-                (main if state()[1] else open_).append(block)
+                out.append((block, state()[1]))
 
     def pop() -> str:
         tag = stack.pop()[0]
@@ -177,45 +190,119 @@ def blocks_of(page: str) -> tuple[list[str], list[str]]:
         if tag in BLOCK or dropped or heart:
             if (tag in BLOCK or heart) and not state()[0]:
                 flush()
-            stack.append((tag, dropped, inside or heart and not dropped))
+            stack.append((tag, dropped, max(inside, (2 if tag == "article" else 1) if heart and not dropped else 0)))
             held[tag] = held.get(tag, 0) + 1
     if at < len(page) and not state()[0]:
         text.append(page[at:])
     flush()
-    return main, open_
+    return out
 
 
-def shared_lines(a: list[str], b: list[str]) -> set[int]:
-    """Positions in ``a`` of a longest common subsequence with ``b`` (Hunt and Szymanski)."""
-    place: dict[str, list[int]] = {}
+def blocks_of(page: str) -> tuple[list[str], list[str]]:
+    """(main, open) blocks of a page, in order."""
+    lines = lines_of(page)
+    return [x for x, level in lines if level], [x for x, level in lines if not level]
+
+
+def aligned_by_bits(a: list, b: list) -> list[tuple[int, int]]:
+    """The same as ``aligned`` by Hyyrö's bit vectors: time by pairs of lines over the bits of a word.
+
+    Rows are kept at every root of their number and computed anew between, from the last to the first.
+    """
+    masks: dict = {}
+    for j, x in enumerate(b):
+        masks.setdefault(x, bytearray(len(b) // 8 + 1))[j >> 3] |= 1 << (j & 7)
+    masks = {x: int.from_bytes(m, "little") for x, m in masks.items()}
+    full = (1 << len(b)) - 1
+
+    def rows(v: int, begin: int, end: int) -> Iterator[int]:
+        for x in a[begin:end]:
+            hit = v & masks.get(x, 0)
+            v = ((v + hit) | (v - hit)) & full
+            yield v
+
+    step = isqrt(len(a)) + 1
+    kept = [full]
+    for i in range(0, len(a), step):
+        for v in rows(kept[-1], i, i + step):
+            pass
+        kept.append(v)
+    out, j = [], len(b)
+    for part in range((len(a) - 1) // step, -1, -1):
+        held = [kept[part], *rows(kept[part], part * step, (part + 1) * step)]
+        i = len(held) - 1
+        while i and j:
+            if held[i] >> (j - 1) & 1:
+                j -= 1
+            else:
+                i -= 1
+                if held[i] >> (j - 1) & 1:
+                    j -= 1
+                    out.append((part * step + i, j))
+    return out
+
+
+def aligned(a: list, b: list) -> list[tuple[int, int]]:
+    """Positions in ``a`` and in ``b`` of a longest common subsequence, the last first (Hunt and Szymanski)."""
+    place: dict = {}
     for k, x in enumerate(b):
         place.setdefault(x, []).append(k)
+    if sum(len(place.get(x, ())) for x in a) > DENSE * (len(a) + len(b)):
+        return aligned_by_bits(a, b)
     ends: list[int] = []  # least end in b of a common subsequence of each length
     links: list[tuple | None] = []
     for k, x in enumerate(a):
         for j in reversed(place.get(x, ())):
             at = bisect_left(ends, j)
-            link = (k, links[at - 1] if at else None)
+            link = (k, j, links[at - 1] if at else None)
             if at == len(ends):
                 ends.append(j)
                 links.append(link)
             else:
                 ends[at], links[at] = j, link
-    out, link = set(), links[-1] if links else None
+    out, link = [], links[-1] if links else None
     while link:
-        out.add(link[0])
-        link = link[1]
+        out.append(link[:2])
+        link = link[2]
     return out
 
 
-def without_shared(lines: list[str], *others: list[str] | None) -> list[str]:
+def shared_lines(a: list[str], b: list[str]) -> set[int]:
+    """Positions in ``a`` of a longest common subsequence with ``b``."""
+    return {k for k, _ in aligned(a, b)}
+
+
+def without_shared(lines: list[str], *others: list[str] | None) -> str:
     """``lines`` but those shared with any of ``others``."""
     gone = set().union(*(shared_lines(lines, x) for x in others if x))
-    return [x for k, x in enumerate(lines) if k not in gone]
+    return "\n".join(x for k, x in enumerate(lines) if k not in gone)
 
 
-def differenced(pages: Iterator[tuple[tuple, list[str]]]) -> Iterator[tuple]:
-    """Pages of a range (key of which the first is the host, lines), each without lines shared with its neighbours.
+def kinds_of(levels: list[int]) -> bytes:
+    """The kind of each line of a page."""
+    of = KINDS[max(levels, default=0)]
+    return bytes(of[x] for x in levels)
+
+
+def checked(page: tuple[bytes, bytes], *others: tuple[bytes, bytes] | None) -> tuple[list[bool] | None, int, int]:
+    """(whether each line that is not ``OUTSIDE`` stays, null if all do; lines shared with any of ``others``; shared ones that stay).
+
+    A page is given as the digests and the kinds of its lines.
+    """
+    cut = lambda x: [x[k : k + WIDE] for k in range(0, len(x), WIDE)]
+    lines, kinds = cut(page[0]), page[1]
+    shared, template = set(), set()
+    for digests, theirs in (x for x in others if x):
+        for k, j in aligned(lines, cut(digests)):
+            shared.add(k)
+            if kinds[k] == OUTSIDE or kinds[k] == SILENT and theirs[j] != SURE:
+                template.add(k)
+    stays = [k not in template for k, kind in enumerate(kinds) if kind != OUTSIDE]
+    return None if all(stays) else stays, len(shared), len(shared - template)
+
+
+def differenced(pages: Iterator[tuple[tuple, list[str]]], result: Callable = without_shared) -> Iterator[tuple]:
+    """Pages of a range (key of which the first is the host, lines), each with ``result`` of its lines and its neighbours'.
 
     Copies that are next to each other are a run, compared as one with the nearest pages that differ.
     Yields (key, text, null, null, null) for a page whose neighbours are in the range, and for one of
@@ -233,7 +320,7 @@ def differenced(pages: Iterator[tuple[tuple, list[str]]]) -> Iterator[tuple]:
             yield from ((k, None, edge, None, None) for k in keys)
             yield (keys[0][0], None, None), None, edge, here, after if first else before
         else:
-            text = "\n".join(without_shared(here, before, after))
+            text = result(here, before, after)
             yield from ((k, text, None, None, None) for k in keys)
 
     for key, lines in pages:
@@ -249,7 +336,7 @@ def differenced(pages: Iterator[tuple[tuple, list[str]]]) -> Iterator[tuple]:
         yield from settled(None, True)
 
 
-def edge_texts(runs: Iterator[tuple[int, int, str, list[str], list[str] | None]]) -> Iterator[tuple[int, int, str]]:
+def edge_texts(runs: Iterator[tuple[int, int, str, list[str], list[str] | None]], result: Callable = without_shared) -> Iterator[tuple[int, int, str]]:
     """(range, edge, text) of runs (range, edge, host, lines, lines of the next page within), in order.
 
     Runs of several ranges that are equal and next to each other are one. Three pages' lines are held.
@@ -258,8 +345,9 @@ def edge_texts(runs: Iterator[tuple[int, int, str, list[str], list[str] | None]]
     host, lines, left = "", [], None
 
     def settled(right: list[str] | None) -> Iterator[tuple[int, int, str]]:
-        text = "\n".join(without_shared(lines, left, right))
-        return ((*k, text) for k in waiting)
+        if waiting:
+            text = result(lines, left, right)
+            yield from ((*k, text) for k in waiting)
 
     for part, edge, its_host, its_lines, within in runs:
         if edge == LAST:
@@ -278,19 +366,35 @@ def edge_texts(runs: Iterator[tuple[int, int, str, list[str], list[str] | None]]
 
 
 def page_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per row of ``pages``: id, url, text, n_chars."""
+    """One row per row of ``pages``: id, url, text, n_chars, n_shared (lines that the next pages have too), n_restored (those of them that stay)."""
     shipped(pages.sparkSession)
     host, path = url_parts(F.col(url_col))
-    source = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host.alias("_host"), path.alias("_path"), F.xxhash64(html_col, id_col).alias("_order"), F.col(html_col).alias("_html"))
-    kind = f"_id {pages.schema[id_col].dataType.simpleString()}, _url string"
-
-    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The text of pages that markup settles, the lines of the others."""
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    # a host has no / and ?, a path no ?
+    key = F.unhex(F.md5(F.concat(host, path, F.lit("?"), html).cast("binary")))
+    source = pages.select(key.alias("_key"), F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host.alias("_host"), path.alias("_path"), html.alias("_html"))
+
+    def parsed(b: pa.RecordBatch) -> Iterator[tuple[list[str], bytes]]:
+        """The lines of pages and their kinds."""
+        for h in b.column("_html").to_pylist():
+            found = lines_of(h)
+            yield [x for x, _ in found], kinds_of([level for _, level in found])
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["_key", "_host", "_path"]
+        for b in batches:
+            digests, kinds = [], []
+            for lines, of in parsed(b):
+                digests.append(b"".join(hashlib.blake2b(x.encode(), digest_size=WIDE).digest() for x in lines))
+                kinds.append(of)
+            made = [pa.array([SILENT in k for k in kinds], pa.bool_()), pa.array(digests, pa.binary()), pa.array(kinds, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *made], names=[*names, "_silent", "digests", "kinds"])
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["_key", "_id", "_url"]
         for b in batches:
-            parts = [blocks_of(h or "") for h in b.column("_html").to_pylist()]
-            text = pa.array(["\n".join(m) if m or not o else None for m, o in parts], pa.string())
-            lines = pa.array([o if o and not m else None for m, o in parts], listed)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("_id", "_url", "_host", "_path", "_order")), text, lines], names=["_id", "_url", "_host", "_path", "_order", "text", "lines"])
+            text = ["\n".join(x for x, kind in zip(lines, kinds) if kind != OUTSIDE) for lines, kinds in parsed(b)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(text, pa.string())], names=[*names, "_text"])
 
     def batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         while out := list(islice(rows, 2000)):
@@ -303,27 +407,37 @@ def page_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             nonlocal part
             for b in batches:
                 part = b.column("_part")[0].as_py() if b.num_rows else part
-                yield from (((h, i, u), x) for h, i, u, x in zip(*(b.column(c).to_pylist() for c in ("_host", "_id", "_url", "lines"))))
+                yield from ((((h, s), k), (d, of)) for h, s, k, d, of in zip(*(b.column(c).to_pylist() for c in ("_host", "_silent", "_key", "digests", "kinds"))))
 
-        return batched(((i, u, text, part if edge is not None else None, edge, h, lines, within) for (h, i, u), text, edge, lines, within in differenced(rows())), first)
+        none = (None, None, None)
+        return batched(((key[1], *(found or none), part if edge is not None else None, edge, *key[0], *(page or none[:2]), *(within or none[:2])) for key, found, edge, page, within in differenced(rows(), checked)), first)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return batched(edge_texts(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("_part", "_edge", "_host", "lines", "within")))), second)
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    listed = pa.list_(pa.string())
-    second = pa.schema([("_part", pa.int32()), ("_edge", pa.int32()), ("text", pa.string())])
-    first = pa.schema([("_id", to_arrow_type(pages.schema[id_col].dataType)), ("_url", pa.string()), ("text", pa.string()), ("_part", pa.int32()), ("_edge", pa.int32()), ("_host", pa.string()), ("lines", listed), ("within", listed)])
-    # stored, since three jobs read it: the result, and the sample and the cut of the ranges
-    every = stored(source.mapInArrow(parsed, f"{kind}, _host string, _path string, _order long, text string, lines array<string>"))
-    settled = every.where("text is not null").select("_id", "_url", "text")
-    order = ["_host", "_path", "_order"]
-    ranges = every.where("lines is not null").repartitionByRange(*order).sortWithinPartitions(*order).select("_id", "_url", "_host", "lines", F.spark_partition_id().alias("_part"))
+        runs = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("_part", "_edge", "_host", "_silent", "digests", "kinds", "digests_within", "kinds_within"))))
+        made = edge_texts(((part, edge, (h, s), (d, k), None if x is None else (x, y)) for part, edge, h, s, d, k, x, y in runs), checked)
+        return batched(((part, edge, *found) for part, edge, found in made), second)
+
+    verdict = [("stays", pa.list_(pa.bool_())), ("n_shared", pa.int64()), ("n_restored", pa.int64())]
+    second = pa.schema([("_part", pa.int32()), ("_edge", pa.int32()), *verdict])
+    first = pa.schema([("_key", pa.binary()), *verdict, ("_part", pa.int32()), ("_edge", pa.int32()), ("_host", pa.string()), ("_silent", pa.bool_()), ("digests", pa.binary()), ("kinds", pa.binary()), ("digests_within", pa.binary()), ("kinds_within", pa.binary())])
+    stays = "stays array<boolean>, n_shared long, n_restored long"
+    lines = source.select("_key", "_host", "_path", "_html").mapInArrow(digested, "_key binary, _host string, _path string, _silent boolean, digests binary, kinds binary")
+    # stored, since two jobs read it: the sample and the cut of the ranges
+    every = stored(lines.dropDuplicates(["_key"]))
+    order = ["_host", "_silent", "_path", "_key"]
+    ranges = every.repartitionByRange(*order).sortWithinPartitions(*order).select("_key", "_host", "_silent", "digests", "kinds", F.spark_partition_id().alias("_part"))
     # stored, since ranges are sampled and cut anew each time they are computed
-    found = stored(ranges.mapInArrow(compared, f"{kind}, text string, _part int, _edge int, _host string, lines array<string>, within array<string>"))
-    edges = found.where("lines is not null").select("_part", "_edge", "_host", "lines", "within").repartition(1).sortWithinPartitions("_part", "_edge")
-    texts = edges.mapInArrow(across, "_part int, _edge int, text string")
-    inner = found.where("_edge is null").select("_id", "_url", "text")
-    outer = found.where("_edge is not null and lines is null").select("_id", "_url", "_part", "_edge").join(texts, ["_part", "_edge"]).select("_id", "_url", "text")
-    return settled.unionByName(inner).unionByName(outer).select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
+    found = stored(ranges.mapInArrow(compared, f"_key binary, {stays}, _part int, _edge int, _host string, _silent boolean, digests binary, kinds binary, digests_within binary, kinds_within binary"))
+    edges = found.where("digests is not null").select("_part", "_edge", "_host", "_silent", "digests", "kinds", "digests_within", "kinds_within").repartition(1).sortWithinPartitions("_part", "_edge")
+    verdicts = edges.mapInArrow(across, f"_part int, _edge int, {stays}")
+    of = ["_key", "stays", "n_shared", "n_restored"]
+    inner = found.where("_edge is null").select(*of)
+    outer = found.where("_edge is not null and digests is null").select("_key", "_part", "_edge").join(verdicts, ["_part", "_edge"]).select(*of)
+    # the verdicts are the small side, so that texts need no sort; a page without one shares nothing
+    shared = inner.unionByName(outer).where("n_shared > 0").hint("shuffle_hash")
+    kind = pages.schema[id_col].dataType.simpleString()
+    whole = source.select("_key", "_id", "_url", "_html").mapInArrow(texts, f"_key binary, _id {kind}, _url string, _text string")
+    left = F.array_join(F.filter(F.split("_text", "\n"), lambda _, k: F.get("stays", k)), "\n")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_shared", "n_restored")]
+    done = whole.join(shared, "_key", "left").select("_id", "_url", F.when(F.col("stays").isNull(), F.col("_text")).otherwise(left).alias("_text"), *counts)
+    return done.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"), "n_shared", "n_restored")
